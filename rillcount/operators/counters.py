@@ -263,17 +263,21 @@ def summarise_in_place(updates: DataFrame, budget: Budget, item: str = "item",
     """Summary without a shuffle of the items.
 
     Each task reduces the rows it reads to at most ``capacity`` counters, so the
-    shuffle carries counters per task and not distinct items. Numbers inside the
-    bounds depend on how the input is split; the bounds hold for any split.
+    shuffle carries counters per task and not distinct items. The partial
+    summaries are checkpointed to shared storage, so the input is read once. Numbers
+    inside the bounds depend on how the input is split; the bounds hold for any split.
     """
     partial = updates.select(
         F.col(item).cast("long").alias("item"), F.col(weight).cast("long").alias("total")
     ).mapInPandas(_local_summary(budget), "item long, residual long, q long, weight long")
-    merged = partial.groupBy("item").agg(
-        F.sum("residual").alias("residual"), F.sum("q").alias("q"), F.sum("weight").alias("weight"))
+    partial = cut_lineage(partial)
     one = F.lit(0)
-    items = merged.where("item is not null").select(one.alias("shard"), "item", "residual")
-    errors = merged.where("item is null").select(one.alias("shard"), "q", "weight")
+    items = partial.where("item is not null").groupBy("item").agg(
+        F.sum("residual").alias("residual")).select(one.alias("shard"), "item", "residual")
+    errors = partial.where("item is null").agg(
+        F.coalesce(F.sum("q"), F.lit(0)).cast("long").alias("q"),
+        F.coalesce(F.sum("weight"), F.lit(0)).cast("long").alias("weight"),
+    ).select(one.alias("shard"), "q", "weight")
     return CounterSummary(items, errors, budget).prune()
 
 

@@ -21,28 +21,26 @@ def kth_smallest(df: DataFrame, groups: Sequence[str], value: str, k: int | Colu
     window never sees more than 65,536 rows. Groups shorter than ``k`` give no row.
     """
     groups = list(groups)
+    keys = groups or ["_all"]
+    if not groups:
+        df = df.withColumn("_all", F.lit(0))
     k = k if isinstance(k, Column) else F.lit(k)
-    counted = df.groupBy(*groups, F.col(value).cast("long").alias("value")).agg(
+    counted = df.groupBy(*keys, F.col(value).cast("long").alias("value")).agg(
         F.count(F.lit(1)).alias("n"))
-    state = counted.groupBy(*groups).agg(F.sum("n").alias("size")).select(
-        *groups, (k + F.lit(1 if zero_based else 0)).cast("long").alias("rank"), "size"
+    state = counted.groupBy(*keys).agg(F.sum("n").alias("size")).select(
+        *keys, (k + F.lit(1 if zero_based else 0)).cast("long").alias("rank"), "size"
     ).where((F.col("rank") >= 1) & (F.col("rank") <= F.col("size"))).drop("size")
-    narrowed, prefix_of = counted, None
+    joined = counted.join(state, keys)
     for shift in range(bits - DIGIT_BITS, -1, -DIGIT_BITS):
-        if prefix_of is not None:
-            narrowed = narrowed.withColumn("prefix", F.shiftright("value", prefix_of))
-        joined = narrowed.join(
-            state, [*groups, "prefix"] if prefix_of is not None else groups)
         digits = joined.groupBy(
-            *groups, "rank", F.shiftright("value", shift).alias("digit")
+            *keys, "rank", F.shiftright("value", shift).alias("prefix")
         ).agg(F.sum("n").alias("m"))
-        along = Window.partitionBy(*groups).orderBy("digit").rowsBetween(
+        along = Window.partitionBy(*keys).orderBy("prefix").rowsBetween(
             Window.unboundedPreceding, 0)
         state = (
             digits.withColumn("cum", F.sum("m").over(along))
             .where((F.col("cum") >= F.col("rank")) & (F.col("cum") - F.col("m") < F.col("rank")))
-            .select(*groups, (F.col("rank") - F.col("cum") + F.col("m")).alias("rank"),
-                    F.col("digit").alias("prefix")))
-        narrowed = joined.select(*groups, "value", "n")
-        prefix_of = shift
+            .select(*keys, "prefix", (F.col("rank") - F.col("cum") + F.col("m")).alias("rank")))
+        joined = counted.withColumn("prefix", F.shiftright("value", shift)).join(
+            state, [*keys, "prefix"])
     return state.select(*groups, F.col("prefix").alias("value"))
