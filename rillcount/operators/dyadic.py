@@ -74,6 +74,39 @@ class Hierarchy:
         return 1 << self.bits
 
 
+def all_level_cells(updates: DataFrame, h: Hierarchy, item: Column, weight: Column,
+                    signed: bool = False) -> DataFrame:
+    """``(level, row, bucket, c)`` of all levels with one generator and one shuffle.
+
+    Levels kept exactly use row -1 and the prefix as bucket. Works on batch and on
+    streaming input.
+    """
+    cells = []
+    for level in range(h.levels):
+        if not signed and level >= h.exact_from:
+            cells.append((level, -1, 0, 0, 0, 0))
+        elif signed:
+            cells += [(level, r, *c) for r, c in enumerate(coefficients(h.seed, h.depth, 4))]
+        else:
+            cells += [(level, r, *c, 0, 0) for r, c in enumerate(h.shape(level).coeffs)]
+    generator = F.explode(F.array(*[
+        F.struct(
+            F.lit(level).alias("level"), F.lit(row).alias("row"),
+            F.lit(level * h.gran).alias("shift"),
+            *[F.lit(v).cast("long").alias(n) for n, v in zip("abcd", coeffs)])
+        for level, row, *coeffs in cells]))
+    opened = updates.select(item.alias("_x"), weight.alias("_w"), generator.alias("h")).select(
+        F.col("h.*"), F.expr("shiftright(_x, h.shift)").alias("_p"), "_w")
+    hashed = hash31(F.col("a"), F.col("b"), F.col("_p")) % F.lit(h.width).cast("long")
+    w = F.col("_w")
+    if signed:
+        w = sign_hash(F.col("c"), F.col("d"), F.col("_p")) * w
+    placed = opened.select(
+        "level", "row", F.when(F.col("row") < 0, F.col("_p")).otherwise(hashed).alias("bucket"),
+        w.alias("_w"))
+    return placed.groupBy("level", "row", "bucket").agg(F.sum("_w").alias("c"))
+
+
 def _children(frontier: DataFrame, h: Hierarchy, level: int) -> DataFrame:
     """Replace ``prefix`` at ``level + 1`` by its children at ``level``."""
     fan = 1 << h.gran
@@ -148,15 +181,7 @@ class DyadicCountMin:
 
         The form to write out, partitioned by ``level``, when the sketch is kept.
         """
-        parts = []
-        for level in range(self.h.levels):
-            if level >= self.h.exact_from:
-                part = self.prefix_counts(level).select(
-                    F.lit(-1).alias("row"), F.col("prefix").alias("bucket"), "c")
-            else:
-                part = self.level_cells(level)
-            parts.append(part.select(F.lit(level).alias("level"), "row", "bucket", "c"))
-        return reduce(DataFrame.unionByName, parts)
+        return all_level_cells(self.totals, self.h, F.col("item"), F.col("total"))
 
     def total(self) -> DataFrame:
         return stream_total(self.totals)
@@ -359,9 +384,8 @@ class DyadicCountSketch:
 
     def cells(self) -> DataFrame:
         """``(level, row, bucket, c)`` of all levels."""
-        return reduce(DataFrame.unionByName, [
-            self.level_cells(level).select(F.lit(level).alias("level"), "row", "bucket", "c")
-            for level in range(self.h.levels)])
+        return all_level_cells(
+            self.totals, self.h, F.col("item"), F.col("total"), signed=True)
 
     def total(self) -> DataFrame:
         return stream_total(self.totals)

@@ -102,7 +102,7 @@ def split_runs(
     return cut.where(F.col("run") < runs).withColumn("run", F.col("run").cast("int"))
 
 
-def _run_thresholds(per_run: DataFrame, phi: float) -> DataFrame:
+def run_thresholds(per_run: DataFrame, phi: float) -> DataFrame:
     """``(run, thr)`` from the running total; one row per run."""
     so_far = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, 0)
     return (
@@ -122,7 +122,7 @@ def cumulative_heavy_hitters(
     stretches are opened into one row per run.
     """
     per_run = runs.groupBy("run", F.col(item).alias("item")).agg(F.sum(weight).alias("w"))
-    thresholds = _run_thresholds(per_run, phi)
+    thresholds = run_thresholds(per_run, phi)
     by_item = Window.partitionBy("item").orderBy("run")
     stretches = per_run.select(
         "item", "run",

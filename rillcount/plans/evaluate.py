@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillcount.operators.exact import cumulative_heavy_hitters, run_thresholds
+
 MEASURES = ("recall", "precision", "re_true", "re_false")
 
 
@@ -23,10 +25,10 @@ def evaluate(claims: DataFrame, totals: DataFrame, thr: Column,
     """
     keys = list(keys)
     on = [*keys, "item"]
-    marked = claims.select(*on, "est").join(
-        totals.select(*on, "total"), on, "full_outer"
-    ).withColumn("_hh", F.coalesce(F.col("total") >= thr, F.lit(False))).where(
-        F.col("est").isNotNull() | F.col("_hh"))
+    judged = totals.select(*on, "total", (F.col("total") >= thr).alias("_hh"))
+    marked = claims.select(*on, "est").join(judged, on, "full_outer").withColumn(
+        "_hh", F.coalesce("_hh", F.lit(False))
+    ).where(F.col("est").isNotNull() | F.col("_hh"))
     claimed = F.col("est").isNotNull()
     error = F.abs(F.col("total") - F.col("est")) / F.nullif(F.col("total"), F.lit(0))
     counted = (marked.groupBy(*keys) if keys else marked).agg(
@@ -52,10 +54,8 @@ def evaluate_runs(claims: DataFrame, runs: DataFrame, phi: float) -> DataFrame:
     ``runs`` is the update stream with ``run``; all runs are evaluated, also those
     without any claim.
     """
-    from rillcount.operators.exact import _run_thresholds
-
     per_run = runs.groupBy("run", "item").agg(F.sum("weight").alias("w"))
-    thresholds = _run_thresholds(per_run, phi)
+    thresholds = run_thresholds(per_run, phi)
     by_item = Window.partitionBy("item").orderBy("run")
     stretches = per_run.select(
         "item", F.col("run").alias("_from"),
@@ -64,8 +64,6 @@ def evaluate_runs(claims: DataFrame, runs: DataFrame, phi: float) -> DataFrame:
     exact = claims.join(stretches, "item").where(
         (F.col("run") >= F.col("_from")) & (F.col("run") < F.col("_to"))
     ).select("run", "item", "total")
-    from rillcount.operators.exact import cumulative_heavy_hitters
-
     heavy = cumulative_heavy_hitters(runs, phi).select("run", "item", "total")
     known = exact.unionByName(heavy).dropDuplicates(["run", "item"])
     judged = known.join(thresholds, "run").select("run", "item", "total", "thr")

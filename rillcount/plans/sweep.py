@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillcount.functions.hashing import threshold
 from rillcount.operators.counters import Budget
 from rillcount.operators.exact import stream_total
+from rillcount.plans.evaluate import evaluate
 
 # The settings of the reference's sweeps.
 EPSILON_EXPONENTS = tuple(range(10, 21))
@@ -20,50 +21,46 @@ SKEWS = tuple(round(0.1 * i, 1) for i in range(1, 21))
 SKEW_GAMMAS = (4.0, 1.0)
 
 
-def sweep_counters(totals: DataFrame, settings: Mapping[tuple[str, float], tuple[float, Budget]]) -> DataFrame:
-    """``(method, param, delta, q_bound, hh, claimed, recall, precision, re_true, re_false)``.
+def sweep_counters(totals: DataFrame, settings: Mapping[tuple[str, float], tuple[float, Budget]],
+                   groups: Sequence[str] = ()) -> DataFrame:
+    """``(*groups, method, param, n, delta, hh, claimed, recall, precision, re_true, re_false)``.
 
-    ``settings`` maps ``(method, param)`` to ``(phi, budget)``. All settings share
-    one exact count per item. How much each budget prunes follows from the counts
-    by value, a table of at most ``sqrt(2 N)`` rows; nothing is copied per setting.
+    ``settings`` maps ``(method, param)`` to ``(phi, budget)``; ``totals`` holds
+    exact totals, of one stream or of one per ``groups``. What a budget prunes, and
+    which heavy hitters survive it, follows from the counts by value, a table of at
+    most ``sqrt(2 N)`` rows per stream; only that small table is opened per setting.
+    An item that survives has its exact total as estimate, so nothing else is
+    claimed.
     """
-    n = stream_total(totals).scalar()
-    by_value = totals.groupBy(F.col("total").alias("v")).agg(F.count(F.lit(1)).alias("m"))
-    largest_first = Window.orderBy(F.col("v").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = by_value.select("v", "m", F.sum("m").over(largest_first).alias("above"))
-    keys = list(settings)
-
-    def delta(budget: Budget) -> Column:
-        kth = F.max(F.when(F.col("above") >= budget.counters, F.col("v")))
-        return F.coalesce(F.when(F.sum("m") > budget.capacity, kth), F.lit(0)).cast("long")
-
-    cuts = ranked.agg(*[delta(settings[k][1]).alias(f"d{i}") for i, k in enumerate(keys)])
-    cut = [cuts.select(f"d{i}").scalar() for i in range(len(keys))]
-    measures = []
-    for i, key in enumerate(keys):
-        thr = threshold(settings[key][0], n)
-        hit = F.col("v") >= thr
-        # A kept item's estimate is its residual plus q, which is its exact total;
-        # only items pruned away can be missed.
-        kept = F.col("v") > cut[i]
-        measures += [
-            F.sum(F.when(hit, F.col("m")).otherwise(0)).alias(f"hh{i}"),
-            F.sum(F.when(hit & kept, F.col("m")).otherwise(0)).alias(f"ok{i}")]
-    counted = by_value.agg(*measures)
-    rows = F.array(*[
+    groups = list(groups)
+    by_value = totals.groupBy(*groups, F.col("total").alias("v")).agg(
+        F.count(F.lit(1)).alias("m"))
+    stream = Window.partitionBy(*groups)
+    largest_first = stream.orderBy(F.col("v").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = by_value.select(
+        *groups, "v", "m", F.sum("m").over(largest_first).alias("above"),
+        F.sum("m").over(stream).alias("items"),
+        F.sum(F.col("v") * F.col("m")).over(stream).cast("long").alias("n"))
+    tried = F.array(*[
         F.struct(
             F.lit(method).alias("method"), F.lit(float(param)).alias("param"),
-            cut[i].alias("delta"),
-            F.floor(n / F.lit(settings[(method, param)][1].counters)).cast("long").alias("q_bound"),
-            F.col(f"hh{i}").cast("long").alias("hh"),
-            F.col(f"ok{i}").cast("long").alias("claimed"))
-        for i, (method, param) in enumerate(keys)])
-    full = F.lit(100.0)
-    return counted.select(F.explode(rows).alias("r")).select(
-        "r.*",
-        F.when(F.col("r.hh") == 0, full).otherwise(
-            full * F.col("r.claimed") / F.nullif(F.col("r.hh"), F.lit(0))).alias("recall"),
-        full.alias("precision"), F.lit(0.0).alias("re_true"), F.lit(0.0).alias("re_false"))
+            F.lit(float(phi)).alias("phi"), F.lit(b.counters).cast("long").alias("counters"),
+            F.lit(b.capacity).cast("long").alias("capacity"))
+        for (method, param), (phi, b) in settings.items()])
+    opened = ranked.select("*", F.explode(tried).alias("t")).select("*", "t.*").drop("t")
+    over = F.col("items") > F.col("capacity")
+    cut = over & (F.col("above") >= F.col("counters"))
+    hit = F.col("v") >= F.floor(F.col("phi") * F.col("n")) + 1
+    counted = opened.groupBy(*groups, "method", "param", "n").agg(
+        F.coalesce(F.max(F.when(cut, F.col("v"))), F.lit(0)).cast("long").alias("delta"),
+        F.coalesce(F.sum(F.when(hit, F.col("m"))), F.lit(0)).cast("long").alias("hh"),
+        F.coalesce(F.sum(F.when(hit & ~cut, F.col("m"))), F.lit(0)).cast("long").alias("claimed"))
+    return counted.select(
+        *groups, "method", "param", "n", "delta", "hh", "claimed",
+        F.when(F.col("hh") == 0, F.lit(100.0)).otherwise(
+            F.lit(100.0) * F.col("claimed") / F.nullif(F.col("hh"), F.lit(0))).alias("recall"),
+        F.lit(100.0).alias("precision"), F.lit(0.0).alias("re_true"),
+        F.lit(0.0).alias("re_false"))
 
 
 def epsilon_settings(exponents: Sequence[int] = EPSILON_EXPONENTS, gamma: float = 4.0):
@@ -91,8 +88,6 @@ def gamma_settings(exponents: Sequence[int] = GAMMA_EXPONENTS,
 def sweep_claims(settings: Mapping[float, float], claim: Callable[[float, float], DataFrame],
                  totals: DataFrame, method: str) -> DataFrame:
     """Evaluate ``claim(param, phi)``, a table ``(item, est)``, for every setting."""
-    from rillcount.plans.evaluate import evaluate
-
     n = stream_total(totals).scalar()
     return reduce(DataFrame.unionByName, [
         evaluate(claim(param, phi), totals, threshold(phi, n)).select(

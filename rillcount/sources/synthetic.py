@@ -46,19 +46,26 @@ def rank_cdf(spark: SparkSession, first: int, last: int, exponent: float,
     ranks = spark.range(first, last + 1).select(
         F.col("id").alias("k"), F.floor(F.col("id") / SCAN_BLOCK).alias("block"),
         F.pow(F.col("id").cast("double"), F.lit(-float(exponent))).alias("p"))
-    inside = Window.partitionBy("block").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("block").orderBy("k")
+    over_blocks = Window.orderBy("block")
     blocks = ranks.groupBy("block").agg(F.sum("p").alias("s"))
-    bases = blocks.select("block", F.coalesce(F.sum("s").over(earlier), F.lit(0.0)).alias("base"))
+    bases = blocks.select(
+        "block",
+        F.coalesce(F.sum("s").over(over_blocks.rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0.0)).alias("base"),
+        F.sum("s").over(over_blocks.rowsBetween(Window.unboundedPreceding, 0)).alias("next"))
     whole = F.lit(float(norm)) if norm else blocks.agg(F.sum("s").alias("s")).scalar()
-    summed = ranks.withColumn("run", F.sum("p").over(inside)).join(bases, "block").select(
-        "k", ((F.col("base") + F.col("run") - F.col("p")) / whole).alias("lo"),
-        ((F.col("base") + F.col("run")) / whole).alias("hi"))
-    # Neighbours must share their border exactly; the last rank takes what is left.
+    summed = ranks.select(
+        "k", "block", F.sum("p").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("run"),
+        F.lead("k").over(inside).isNull().alias("ends"),
+    ).withColumn("before", F.lag("run").over(inside)).join(bases, "block")
+    # Neighbours share their border to the last bit, so every draw meets one rank;
+    # the last rank takes what is left.
+    lo = F.col("base") + F.coalesce("before", F.lit(0.0))
+    hi = F.when(F.col("ends"), F.col("next")).otherwise(F.col("base") + F.col("run"))
     return summed.select(
-        "k", "lo",
-        F.when(F.col("k") == last, F.lit(2.0)).otherwise(
-            F.col("hi")).alias("hi"))
+        "k", (lo / whole).alias("lo"),
+        F.when(F.col("k") == last, F.lit(2.0)).otherwise(hi / whole).alias("hi"))
 
 
 def draw_ranks(draws: DataFrame, u: Column, first: int, last: int, exponent: float,
