@@ -73,7 +73,8 @@ def item_shard(item: Column, shards: int) -> Column:
     """Shard of an item; shards then hold disjoint sets of items."""
     if shards == 1:
         return F.lit(0)
-    return (hash31(SHARD_A, SHARD_B, item) % F.lit(shards)).cast("int")
+    key = F.pmod(item, F.lit(1 << 32).cast("long"))
+    return (hash31(SHARD_A, SHARD_B, key) % F.lit(shards)).cast("int")
 
 
 def _small(df: DataFrame, shards: int) -> DataFrame:

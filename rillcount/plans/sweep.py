@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillcount.functions.hashing import threshold
+from rillcount.functions.hashing import hash31
 from rillcount.operators.counters import Budget
 from rillcount.operators.exact import stream_total
-from rillcount.plans.evaluate import evaluate
+from rillcount.operators.linear import SketchShape
 
 # The settings of the reference's sweeps.
 EPSILON_EXPONENTS = tuple(range(10, 21))
@@ -85,15 +84,48 @@ def gamma_settings(exponents: Sequence[int] = GAMMA_EXPONENTS,
     return made
 
 
-def sweep_claims(settings: Mapping[float, float], claim: Callable[[float, float], DataFrame],
-                 totals: DataFrame, method: str) -> DataFrame:
-    """Evaluate ``claim(param, phi)``, a table ``(item, est)``, for every setting."""
+def sweep_count_min(totals: DataFrame, settings: Mapping[float, float], depth: int,
+                    seed: int) -> DataFrame:
+    """``(method, param, hh, claimed, recall, precision, re_true, re_false)`` of Count-Min.
+
+    ``settings`` maps a parameter to phi; each setting has its own sketch of width
+    ``2 / phi``. All sketches are built by one aggregation and probed by one join,
+    with the parameter as part of the cell key.
+    """
+    shapes = {
+        param: SketchShape(int(2.0 / phi), depth, seed + i)
+        for i, (param, phi) in enumerate(settings.items())}
+    generator = F.explode(F.array(*[
+        F.struct(
+            F.lit(float(param)).alias("param"), F.lit(float(settings[param])).alias("phi"),
+            F.lit(row).alias("row"), F.lit(shape.width).cast("long").alias("width"),
+            F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"))
+        for param, shape in shapes.items() for row, (a, b) in enumerate(shape.coeffs)])).alias("h")
+    bucket = hash31(F.col("a"), F.col("b"), F.col("item")) % F.col("width")
+    placed = totals.select("item", "total", generator).select("item", "total", "h.*").select(
+        "item", "total", "param", "phi", "row", bucket.alias("bucket"))
+    cells = placed.groupBy("param", "row", "bucket").agg(F.sum("total").alias("c"))
     n = stream_total(totals).scalar()
-    return reduce(DataFrame.unionByName, [
-        evaluate(claim(param, phi), totals, threshold(phi, n)).select(
-            F.lit(method).alias("method"), F.lit(float(param)).alias("param"),
-            "hh", "claimed", "recall", "precision", "re_true", "re_false")
-        for param, phi in settings.items()])
+    thr = (F.floor(F.col("phi") * n) + 1).cast("long")
+    estimated = placed.join(cells, ["param", "row", "bucket"]).groupBy(
+        "param", "phi", "item", "total").agg(F.min("c").alias("est"))
+    scored = estimated.select("param", "total", "est", thr.alias("thr")).withColumn(
+        "hit", F.col("total") >= F.col("thr")).withColumn("claim", F.col("est") >= F.col("thr"))
+    error = F.abs(F.col("est") - F.col("total")) / F.nullif(F.col("total"), F.lit(0))
+    counted = scored.groupBy("param").agg(
+        F.count(F.when(F.col("hit"), 1)).alias("hh"),
+        F.count(F.when(F.col("claim"), 1)).alias("claimed"),
+        F.count(F.when(F.col("hit") & F.col("claim"), 1)).alias("correct"),
+        F.coalesce(F.avg(F.when(F.col("hit") & F.col("claim"), error)), F.lit(0.0)).alias("re_true"),
+        F.coalesce(F.avg(F.when(~F.col("hit") & F.col("claim"), error)), F.lit(0.0))
+        .alias("re_false"))
+    full = F.lit(100.0)
+    return counted.select(
+        F.lit("count_min").alias("method"), "param", "hh", "claimed",
+        F.coalesce(full * F.col("correct") / F.nullif(F.col("hh"), F.lit(0)), full).alias("recall"),
+        F.coalesce(full * F.col("correct") / F.nullif(F.col("claimed"), F.lit(0)), full)
+        .alias("precision"),
+        "re_true", "re_false")
 
 
 def average_repeats(results: DataFrame, value: str = "value") -> DataFrame:

@@ -8,6 +8,7 @@ and not on the partition it happens to be in.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,57 +37,61 @@ def keys(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("pos"))
 
 
-def rank_cdf(spark: SparkSession, first: int, last: int, exponent: float,
+def rank_cdf(spark: SparkSession, first: int, last: int, exponents: Sequence[float],
              norm: float | None = None) -> DataFrame:
-    """``(k, lo, hi)`` with the share of rank k between ``lo`` and ``hi``.
+    """``(z, k, lo, hi)``: rank k of skew z holds the share between ``lo`` and ``hi``.
 
     Sums run inside blocks of ranks and then over blocks, so no task scans all
     ranks. ``norm`` replaces the true sum as the divisor.
     """
     ranks = spark.range(first, last + 1).select(
         F.col("id").alias("k"), F.floor(F.col("id") / SCAN_BLOCK).alias("block"),
-        F.pow(F.col("id").cast("double"), F.lit(-float(exponent))).alias("p"))
-    inside = Window.partitionBy("block").orderBy("k")
-    over_blocks = Window.orderBy("block")
-    blocks = ranks.groupBy("block").agg(F.sum("p").alias("s"))
+        F.explode(F.array(*[F.lit(float(z)) for z in exponents])).alias("z"),
+    ).withColumn("p", F.pow(F.col("k").cast("double"), -F.col("z")))
+    inside = Window.partitionBy("z", "block").orderBy("k")
+    over_blocks = Window.partitionBy("z").orderBy("block")
+    whole_skew = Window.partitionBy("z")
+    blocks = ranks.groupBy("z", "block").agg(F.sum("p").alias("s"))
     bases = blocks.select(
-        "block",
+        "z", "block",
         F.coalesce(F.sum("s").over(over_blocks.rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0.0)).alias("base"),
-        F.sum("s").over(over_blocks.rowsBetween(Window.unboundedPreceding, 0)).alias("next"))
-    whole = F.lit(float(norm)) if norm else blocks.agg(F.sum("s").alias("s")).scalar()
+        F.sum("s").over(over_blocks.rowsBetween(Window.unboundedPreceding, 0)).alias("next"),
+        (F.lit(float(norm)) if norm else F.sum("s").over(whole_skew)).alias("whole"))
     summed = ranks.select(
-        "k", "block", F.sum("p").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("run"),
+        "z", "k", "block",
+        F.sum("p").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("run"),
         F.lead("k").over(inside).isNull().alias("ends"),
-    ).withColumn("before", F.lag("run").over(inside)).join(bases, "block")
+    ).withColumn("before", F.lag("run").over(inside)).join(bases, ["z", "block"])
     # Neighbours share their border to the last bit, so every draw meets one rank;
     # the last rank takes what is left.
     lo = F.col("base") + F.coalesce("before", F.lit(0.0))
     hi = F.when(F.col("ends"), F.col("next")).otherwise(F.col("base") + F.col("run"))
     return summed.select(
-        "k", (lo / whole).alias("lo"),
-        F.when(F.col("k") == last, F.lit(2.0)).otherwise(hi / whole).alias("hi"))
+        "z", "k", (lo / F.col("whole")).alias("lo"),
+        F.when(F.col("k") == last, F.lit(2.0)).otherwise(hi / F.col("whole")).alias("hi"))
 
 
-def draw_ranks(draws: DataFrame, u: Column, first: int, last: int, exponent: float,
+def draw_ranks(draws: DataFrame, u: Column, first: int, last: int, exponents: Sequence[float],
                name: str = "rank", norm: float | None = None) -> DataFrame:
-    """Add the first rank whose cumulative share reaches ``u``.
+    """Per skew ``z``, the first rank whose cumulative share reaches ``u``.
 
-    Shares and draws meet on equal cells of [0, 1], one cell per rank on average,
-    so this is an ordinary equi-join: broadcast while the ranks fit, shuffled on
-    evenly used cells beyond that.
+    Gives every row of ``draws`` once per exponent, with ``z`` and the rank. Shares
+    and draws meet on equal cells of [0, 1], one cell per rank on average, so this
+    is an ordinary equi-join: broadcast while the ranks fit, shuffled on evenly used
+    cells beyond that.
     """
     spark = draws.sparkSession
     cells = last - first + 1
-    cdf = rank_cdf(spark, first, last, exponent, norm)
+    cdf = rank_cdf(spark, first, last, exponents, norm)
 
     def cell(x: Column) -> Column:
         return F.least(F.floor(x * F.lit(float(cells))), F.lit(cells)).cast("long")
 
-    opened = cdf.select("k", "lo", "hi", F.explode(
+    opened = cdf.select("z", "k", "lo", "hi", F.explode(
         F.sequence(F.greatest(cell(F.col("lo")) - 1, F.lit(0).cast("long")),
                    F.least(cell(F.col("hi")) + 1, F.lit(cells).cast("long")))).alias("_cell"))
-    if fits_broadcast(spark, 4 * cells, 48):
+    if fits_broadcast(spark, 5 * cells * len(exponents), 56):
         opened = F.broadcast(opened)
     probed = draws.withColumn("_u", u).withColumn("_cell", cell(F.col("_u")))
     met = probed.join(opened, "_cell").where(
@@ -95,19 +100,26 @@ def draw_ranks(draws: DataFrame, u: Column, first: int, last: int, exponent: flo
     return met.withColumn(name, F.col("k")).drop("_u", "_cell", "k", "lo", "hi")
 
 
-def zipf_stream(draws: DataFrame, u: Column, lo: int, hi: int, s: float,
-                name: str = "item") -> DataFrame:
-    """Add a Zipf draw from ``lo + 1`` to ``hi - 1``, ``P(lo + k)`` proportional to ``k**-s``.
+def zipf_streams(draws: DataFrame, u: Column, lo: int, hi: int, exponents: Sequence[float],
+                 name: str = "item") -> DataFrame:
+    """Zipf draws of several skews ``z`` from ``lo + 1`` to ``hi - 1``, in one job.
 
-    A draw of exactly 0 falls on ``lo`` itself, which otherwise has no share.
+    ``P(lo + k)`` is proportional to ``k**-z``. A draw of exactly 0 falls on ``lo``
+    itself, which otherwise has no share.
     """
-    n = hi - lo
-    drawn = draw_ranks(draws.withColumn("_draw", u), F.col("_draw"), 1, n - 1, s, "_k")
+    drawn = draw_ranks(
+        draws.withColumn("_draw", u), F.col("_draw"), 1, hi - lo - 1, exponents, "_k")
     return drawn.withColumn(
         name, F.when(F.col("_draw") == 0.0, F.lit(lo).cast("long")).otherwise(F.col("_k") + lo)
     ).drop("_k", "_draw")
 
 
+def zipf_stream(draws: DataFrame, u: Column, lo: int, hi: int, s: float,
+                name: str = "item") -> DataFrame:
+    """Zipf draws of one skew."""
+    return zipf_streams(draws, u, lo, hi, [s], name).drop("z")
+
+
 def zeta(spark: SparkSession, n: int, theta: float) -> DataFrame:
     """One row ``(zeta)``: sum of ``i**-theta`` for i up to n."""
     return spark.range(1, n + 1).agg(
@@ -171,7 +183,8 @@ def skewed(draws: DataFrame, u: Column, level: str, low: float = 0.0, high: floa
            name: str = "skewed", ranks: int = SKEW_RANKS) -> DataFrame:
     """Add a Zipf draw of a named skew, scaled from rank to ``[low, high]``."""
     exponent, norm = SKEW_LEVELS[level]
-    drawn = draw_ranks(draws, u, 1, ranks, exponent, "_k", norm if ranks == SKEW_RANKS else None)
+    drawn = draw_ranks(
+        draws, u, 1, ranks, [exponent], "_k", norm if ranks == SKEW_RANKS else None).drop("z")
     share = (F.col("_k") - F.lit(1)) / F.lit(float(ranks - 1))
     return drawn.withColumn(name, F.lit(float(high - low)) * share + F.lit(float(low))).drop("_k")
 

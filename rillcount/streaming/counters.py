@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillcount.functions.hashing import hash31
-from rillcount.operators.counters import SHARD_A, SHARD_B, Budget, CounterSummary
+from rillcount.operators.counters import Budget, CounterSummary, item_shard
 
 STATE = "items array<long>, residuals array<long>, q long, weight long, seq long"
 OUTPUT = "shard int, seq long, item long, residual long, q long, weight long"
@@ -25,11 +24,10 @@ def _keep_summary(budget: Budget):
         import pandas as pd
 
         items, residuals, q, weight, seq = state.get if state.exists else ([], [], 0, 0, 0)
-        sums = pd.Series(residuals, index=items, dtype="int64")
+        sums = pd.Series(residuals, index=np.array(items, np.int64), dtype="int64")
         for batch in batches:
             weight += int(batch["weight"].sum())
-            sums = pd.concat([sums, batch.groupby("item")["weight"].sum()])
-            sums = sums.groupby(level=0).sum()
+            sums = sums.add(batch.groupby("item")["weight"].sum(), fill_value=0).astype("int64")
             if len(sums) > capacity:
                 values = sums.to_numpy()
                 delta = int(np.partition(values, len(values) - counters)[len(values) - counters])
@@ -37,9 +35,9 @@ def _keep_summary(budget: Budget):
                 sums, q = sums[sums > 0], q + delta
         state.update((sums.index.tolist(), sums.tolist(), q, weight, seq + 1))
         yield pd.DataFrame({
-            "shard": key[0], "seq": seq + 1,
-            "item": pd.array([*sums.index, None], dtype="Int64"),
-            "residual": [*sums, 0], "q": q, "weight": weight})
+            "shard": key[0], "seq": seq + 1, "item": [*sums.index.tolist(), None],
+            "residual": [*sums.tolist(), 0], "q": q, "weight": weight,
+        }).astype({"item": "Int64"})
 
     return step
 
@@ -52,7 +50,7 @@ def streaming_summary(updates: DataFrame, budget: Budget, shards: int, item: str
     nothing is kept.
     """
     dealt = updates.select(
-        (hash31(SHARD_A, SHARD_B, F.col(pos)) % F.lit(shards)).cast("int").alias("shard"),
+        item_shard(F.col(pos), shards).alias("shard"),
         F.col(item).cast("long").alias("item"), F.col(weight).cast("long").alias("weight"))
     return dealt.groupBy("shard").applyInPandasWithState(
         _keep_summary(budget), OUTPUT, STATE, "append", "NoTimeout")
