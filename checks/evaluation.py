@@ -278,11 +278,11 @@ CHECKS = {
     "v1_evaluate_runs": (per_run, run_sql() + "SELECT * FROM final"),
     "v4_run_summary": (run_summary, run_sql() + """,
       long AS (UNPIVOT final ON recall, precision, re_true, re_false INTO NAME measure VALUE x),
-      placed AS (SELECT measure, x, row_number() OVER (PARTITION BY measure ORDER BY x) - 1 AS i,
+      ordered AS (SELECT measure, x, row_number() OVER (PARTITION BY measure ORDER BY x) - 1 AS i,
         count(*) OVER (PARTITION BY measure) AS n FROM long)
       SELECT 'count_min' AS method, measure, round(avg(x), 9) AS mean,
         max(x) FILTER (i = floor(n * 0.05::DOUBLE)) AS p5, max(x) FILTER (i = floor(n * 0.95::DOUBLE)) AS p95
-      FROM placed GROUP BY measure"""),
+      FROM ordered GROUP BY measure"""),
     "v5_method_comparison": (comparison, comparison_sql()),
     "p1_epsilon_sweep": (epsilon_sweep, sweep_sql(
         sweep.epsilon_settings(), "WITH " + WORDS, "words")),

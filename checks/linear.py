@@ -96,10 +96,10 @@ def float_point(spark, d):
 
 def float_product(spark, d):
     """Estimated price total times quantity total, per part."""
-    q = parts(spark, d).withColumn("total", F.col("total").cast("double"))
-    p = prices(spark, d).withColumn("total", F.col("total").cast("double"))
+    q = parts(spark, d).withColumn("total", F.col("total").cast("decimal(12,0)"))
+    p = prices(spark, d).withColumn("total", F.col("total").cast("decimal(18,2)"))
     return sketch(p, PART_SHAPE).point_product(sketch(q, PART_SHAPE), q).select(
-        "item", F.round("est", 0).cast("long").alias("est"))
+        "item", (F.col("est") * 100).cast("long").alias("cents"))
 
 
 def float_inner(spark, d):
@@ -166,7 +166,7 @@ CHECKS = {
     "b4_cmf_point_product": (float_product, with_(
         PRICES, PARTS, cells("s1", "prices", PART_SHAPE), cells("s2", "parts", PART_SHAPE),
         found("f1", "parts", "s1", PART_SHAPE), found("f2", "parts", "s2", PART_SHAPE)) + """
-        SELECT item, round(min(f1.c::DOUBLE * f2.c::DOUBLE), 0)::BIGINT AS est
+        SELECT item, (min(f1.c::DECIMAL(18,2) * f2.c::DECIMAL(12,0)) * 100)::BIGINT AS cents
         FROM f1 JOIN f2 USING (item, r) GROUP BY item"""),
     "b5_cmf_inner_product": (float_inner, with_(
         PRICES, PARTS, cells("s1", "prices", PART_SHAPE), cells("s2", "parts", PART_SHAPE)) + """

@@ -77,11 +77,11 @@ def coefficient_rows(coeffs: Sequence[Sequence[int]]) -> Column:
     all rows of a sketch and stays small enough for the JVM to compile.
     """
     names = "abcd"
-    return F.explode(F.array(*[
-        F.struct(F.lit(r).alias("row"), *[
-            F.lit(v).cast("long").alias(names[i]) for i, v in enumerate(c)])
-        for r, c in enumerate(coeffs)
-    ])).alias("h")
+    rows = ", ".join(
+        f"named_struct('row', {r}, " + ", ".join(
+            f"'{names[i]}', {v}L" for i, v in enumerate(c)) + ")"
+        for r, c in enumerate(coeffs))
+    return F.expr(f"explode(array({rows}))").alias("h")
 
 
 def string_id(s: Column, bits: int = 32) -> Column:

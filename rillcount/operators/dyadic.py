@@ -22,8 +22,8 @@ from rillcount.functions.hashing import (
 )
 from rillcount.operators.exact import WIDE, item_totals, stream_total
 from rillcount.operators.linear import (
-    COEFFICIENT_BYTES, WHOLE_CELL_BYTES, SketchShape, add_cells, item_cells, join_cells,
-    packed_cells, pick_sorted, smallest,
+    COEFFICIENT_BYTES, WHOLE_CELL_BYTES, SketchShape, add_cells, item_cells, pick_sorted, probe,
+    row_values,
 )
 
 # Bytes of the record that describes each kind of hierarchy, and
@@ -89,12 +89,11 @@ def all_level_cells(updates: DataFrame, h: Hierarchy, item: Column, weight: Colu
             cells += [(level, r, *c) for r, c in enumerate(coefficients(h.seed, h.depth, 4))]
         else:
             cells += [(level, r, *c, 0, 0) for r, c in enumerate(h.shape(level).coeffs)]
-    generator = F.explode(F.array(*[
-        F.struct(
-            F.lit(level).alias("level"), F.lit(row).alias("row"),
-            F.lit(level * h.gran).alias("shift"),
-            *[F.lit(v).cast("long").alias(n) for n, v in zip("abcd", coeffs)])
-        for level, row, *coeffs in cells]))
+    rows = ", ".join(
+        f"named_struct('level', {level}, 'row', {row}, 'shift', {level * h.gran}, "
+        f"'a', {a}L, 'b', {b}L, 'c', {c}L, 'd', {d}L)"
+        for level, row, a, b, c, d in cells)
+    generator = F.expr(f"explode(array({rows}))")
     opened = updates.select(item.alias("_x"), weight.alias("_w"), generator.alias("h")).select(
         F.col("h.*"), F.expr("shiftright(_x, h.shift)").alias("_p"), "_w")
     hashed = hash31(F.col("a"), F.col("b"), F.col("_p")) % F.lit(h.width).cast("long")
@@ -187,32 +186,32 @@ class DyadicCountMin:
         return stream_total(self.totals)
 
     def count(self, prefixes: DataFrame, level: int) -> DataFrame:
-        """Add ``est`` to a table with ``prefix``: the estimated count at ``level``."""
+        """Add ``est`` to a table with ``prefix``: the estimated count at ``level``.
+
+        Rows that are equal in all columns come back once.
+        """
         if level >= self.h.levels:
             return prefixes.withColumn("est", self.total().scalar())
         if level >= self.h.exact_from:
-            exact = self.prefix_counts(level).select(
-                F.col("prefix").alias("_p"), F.col("c").alias("_c"))
-            return prefixes.join(exact, F.col("prefix") == F.col("_p"), "left").withColumn(
-                "est", F.coalesce("_c", F.lit(0))).drop("_p", "_c")
-        found, names = item_cells(
-            prefixes, self.h.shape(level), self.level_cells(level), F.col("prefix"))
-        return found.withColumn("est", smallest(names)).drop(*names)
-
-    def _survivors(self, keys: DataFrame, level: int) -> DataFrame:
-        """Keys whose every cell reaches ``_thr``, with the smallest as ``est``.
-
-        The minimum reaches a threshold only if all cells do, so each row of the
-        sketch drops keys before the next row is looked at.
+            exact = self.prefix_counts(level)
+            return prefixes.join(exact, "prefix", "left").select(
+                *prefixes.columns, F.coalesce("c", F.lit(0)).alias("est"))
+        met = probe(prefixes, self.h.shape(level), self.level_cells(level), F.col("prefix"))
+        return met.groupBy(*prefixes.columns).agg(F.min("c").alias("est"))
+
+    def _survivors(self, keys: DataFrame, level: int, thr: Column) -> DataFrame:
+        """Keys whose every cell reaches ``thr``, with the smallest as ``est``.
+
+        The minimum reaches a threshold only if all cells do, so cells below it are
+        dropped before they are joined; of a non-negative stream at most
+        ``weight / thr`` cells per sketch row are left.
         """
         shape = self.h.shape(level)
-        packed = packed_cells(self.level_cells(level), shape.depth)
-        keys = keys.withColumn("est", F.lit(None).cast("long"))
-        for r in range(shape.depth):
-            keys = join_cells(keys, shape, F.col("prefix"), packed, r, "inner").withColumn(
-                "est", F.least("est", F.col("_s")[r])
-            ).drop("_s").where(F.col("est") >= F.col("_thr"))
-        return keys
+        heavy = self.level_cells(level).where(F.col("c") >= thr)
+        met = probe(keys, shape, heavy, F.col("prefix"), "inner")
+        return met.groupBy("prefix").agg(
+            F.min("c").alias("est"), F.count(F.lit(1)).alias("_n")
+        ).where(F.col("_n") == shape.depth).drop("_n")
 
     def heavy_hitters(self, thr: Column, cap: bool = False) -> DataFrame:
         """``(item, est)`` of all ids whose estimate and all of whose ancestors reach ``thr``.
@@ -221,16 +220,17 @@ class DyadicCountMin:
         order.
         """
         h = self.h
-        level = min(h.levels, h.exact_from)
+        level = h.exact_from
         if level < h.levels:
             frontier = self._exact_frontier(thr)
         else:
             frontier = self.total().select(
-                F.lit(0).cast("long").alias("prefix"), F.col("n").alias("est"),
-                thr.alias("_thr")).where(F.col("est") >= F.col("_thr"))
+                F.lit(0).cast("long").alias("prefix"), F.col("n").alias("est")
+            ).where(F.col("est") >= thr)
         while level > 0:
             level -= 1
-            frontier = self._survivors(_children(_spread_frontier(frontier, h), h, level), level)
+            opened = _children(_spread_frontier(frontier, h), h, level)
+            frontier = self._survivors(opened, level, thr)
         hitters = frontier.select(F.col("prefix").alias("item"), "est")
         return hitters.orderBy("item").limit(h.width) if cap else hitters
 
@@ -241,15 +241,14 @@ class DyadicCountMin:
         all exact levels are looked at; each has at most ``width * depth`` rows.
         """
         h = self.h
-        lowest = self.prefix_counts(h.exact_from).select(
-            "prefix", F.col("c").alias("est"), thr.alias("_thr"))
-        keep = F.col("est") >= F.col("_thr")
+        lowest = self.prefix_counts(h.exact_from).withColumnRenamed("c", "est")
+        keep = F.col("est") >= thr
         for level in range(h.exact_from + 1, h.levels + 1):
             above = Window.partitionBy(
                 F.shiftright("prefix", h.gran * (level - h.exact_from)))
-            keep = keep & (F.col(f"_a{level}") >= F.col("_thr"))
+            keep = keep & (F.col(f"_a{level}") >= thr)
             lowest = lowest.withColumn(f"_a{level}", F.sum("est").over(above))
-        return lowest.where(keep).select("prefix", "est", "_thr")
+        return lowest.where(keep).select("prefix", "est")
 
     def range_sums(self, ranges: DataFrame) -> DataFrame:
         """``(range_id, est)`` for a table ``(range_id, start, end)``, ends inclusive."""
@@ -398,29 +397,39 @@ class DyadicCountSketch:
             return (s - F.pmod(s, F.lit(2)) + F.when((s < 0) & (s % 2 != 0), 2).otherwise(0)) / 2
         return pick_sorted(signed, self.h.depth // 2)
 
+    def _signs(self, x: Column) -> list[Column]:
+        return [sign_hash(c[2], c[3], x) for c in self.coeffs]
+
     def count(self, prefixes: DataFrame, level: int) -> DataFrame:
-        """Add ``est`` to a table with ``prefix``: the median signed cell at ``level``."""
+        """Add ``est`` to a table with ``prefix``: the median signed cell at ``level``.
+
+        Rows that are equal in all columns come back once.
+        """
         if level >= self.h.levels:
             return prefixes.withColumn("est", self.total().scalar())
-        x = F.col("prefix")
-        found, names = item_cells(prefixes, self.shape, self.level_cells(level), x)
-        signed = [sign_hash(c[2], c[3], x) * F.col(n) for c, n in zip(self.coeffs, names)]
+        names = [f"_c{r}" for r in range(self.h.depth)]
+        met = probe(prefixes, self.shape, self.level_cells(level), F.col("prefix"))
+        found = met.groupBy(*prefixes.columns).agg(*row_values(F.col("c"), names))
+        return self._with_median(found, names, F.col("prefix"))
+
+    def _with_median(self, found: DataFrame, names: list[str], x: Column) -> DataFrame:
+        signed = [s * F.col(n) for s, n in zip(self._signs(x), names)]
         return found.withColumn("est", self._median(signed).cast("long")).drop(*names)
 
     def point(self, items: DataFrame, item: str = "item") -> DataFrame:
         """Add ``est``, the estimated total of each item."""
-        named = items.withColumn("prefix", F.col(item))
-        return self.count(named, 0).drop("prefix")
+        found, names = item_cells(items, self.shape, self.level_cells(0), F.col(item))
+        return self._with_median(found, names, F.col(item))
 
     def heavy_hitters(self, thr: Column, cap: bool = False) -> DataFrame:
         """``(item, est)`` of ids whose own and whose ancestors' estimates reach ``thr``."""
         h = self.h
         frontier = self.total().select(
-            F.lit(0).cast("long").alias("prefix"), F.col("n").alias("est"), thr.alias("_thr")
-        ).where(F.col("est") >= F.col("_thr"))
+            F.lit(0).cast("long").alias("prefix"), F.col("n").alias("est")
+        ).where(F.col("est") >= thr)
         for level in reversed(range(h.levels)):
             opened = _children(_spread_frontier(frontier, h), h, level)
-            frontier = self.count(opened, level).where(F.col("est") >= F.col("_thr"))
+            frontier = self.count(opened, level).where(F.col("est") >= thr)
         hitters = frontier.select(F.col("prefix").alias("item"), "est")
         return hitters.orderBy("item").limit(h.width) if cap else hitters
 

@@ -75,33 +75,55 @@ def packed_cells(cells: DataFrame, depth: int) -> DataFrame:
     )
 
 
-def join_cells(keys: DataFrame, shape: SketchShape, item: Column, packed: DataFrame,
-               row: int, how: str = "left") -> DataFrame:
-    """Add ``_s``: the packed counts found in ``item``'s bucket of one sketch row.
+def item_cells(keys: DataFrame, shape: SketchShape, cells: DataFrame,
+               item: Column) -> tuple[DataFrame, list[str]]:
+    """``keys`` with one extra column per sketch row holding the item's cell.
 
-    ``packed`` has at most ``width`` rows. When that bound fits the session's
-    broadcast limit, every row of the sketch probes the same broadcast table and
-    the keys are never shuffled; beyond it the join shuffles as usual.
+    The packed cells have at most ``width`` rows. When that bound fits the
+    session's broadcast limit, every row of the sketch probes the same broadcast
+    table and the keys are not shuffled at all. Beyond it, the cells of each
+    distinct item are gathered by one shuffled join and joined back.
+    """
+    zero = F.lit(0).cast(cells.schema["c"].dataType)
+    names = [f"_c{r}" for r in range(shape.depth)]
+    kept = keys.columns
+    if not fits_broadcast(keys.sparkSession, shape.width, 48 + 8 * shape.depth):
+        distinct = keys.select(item.alias("_i")).distinct()
+        met = probe(distinct, shape, cells, F.col("_i"))
+        gathered = met.groupBy("_i").agg(*row_values(F.col("c"), names))
+        return keys.withColumn("_j", item).join(
+            gathered, F.col("_j") == F.col("_i"), "left").drop("_i", "_j"), names
+    packed = F.broadcast(packed_cells(cells, shape.depth))
+    found = keys.select("*", *[
+        b.alias(f"_b{r}") for r, b in enumerate(shape.buckets(item))])
+    for r in range(shape.depth):
+        side = packed.select(F.col("bucket").alias(f"_k{r}"), F.col("cs").alias(f"_s{r}"))
+        found = found.join(side, F.col(f"_b{r}") == F.col(f"_k{r}"), "left")
+    return found.select(*kept, *[
+        F.coalesce(F.col(f"_s{r}")[r], zero).alias(name) for r, name in enumerate(names)]), names
+
+
+def probe(keys: DataFrame, shape: SketchShape, cells: DataFrame, item: Column,
+          how: str = "left") -> DataFrame:
+    """Every row of ``keys`` once per sketch row, with ``row`` and the cell ``c`` it meets.
+
+    The cells, at most ``width * depth`` of them, are broadcast if that bound fits.
     """
-    side = packed.select(F.col("bucket").alias("_k"), F.col("cs").alias("_s"))
-    if fits_broadcast(keys.sparkSession, shape.width, 48 + 8 * shape.depth):
+    def cell() -> Column:
+        return F.col("row") * F.lit(shape.width).cast("long") + F.col("bucket")
+
+    side = cells.select(cell().alias("_cell"), "c")
+    if fits_broadcast(keys.sparkSession, shape.width * shape.depth, 40):
         side = F.broadcast(side)
-    return keys.withColumn("_b", shape.buckets(item)[row]).join(
-        side, F.col("_b") == F.col("_k"), how
-    ).drop("_b", "_k")
+    placed = place(keys, shape, item, *[F.col(c) for c in keys.columns]).select(
+        *keys.columns, "row", cell().alias("_cell"))
+    return placed.join(side, "_cell", how).select(
+        *keys.columns, "row", F.coalesce("c", F.lit(0).cast(cells.schema["c"].dataType)).alias("c"))
 
 
-def item_cells(keys: DataFrame, shape: SketchShape, cells: DataFrame,
-               item: Column) -> tuple[DataFrame, list[str]]:
-    """``keys`` with one extra column per sketch row holding the item's cell."""
-    packed = packed_cells(cells, shape.depth)
-    zero = F.lit(0).cast(cells.schema["c"].dataType)
-    names = [f"_c{r}" for r in range(shape.depth)]
-    for r, name in enumerate(names):
-        keys = join_cells(keys, shape, item, packed, r).withColumn(
-            name, F.coalesce(F.col("_s")[r], zero)
-        ).drop("_s")
-    return keys, names
+def row_values(value: Column, names: list[str]) -> list[Column]:
+    """Aggregates that lay the values of all sketch rows of one key side by side."""
+    return [F.max(F.when(F.col("row") == r, value)).alias(n) for r, n in enumerate(names)]
 
 
 def smallest(columns: list[str]) -> Column:
