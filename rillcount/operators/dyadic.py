@@ -60,7 +60,10 @@ class Hierarchy:
 
     @property
     def exact_from(self) -> int:
-        """Lowest level kept exactly because its prefixes need no more room than a sketch."""
+        """Lowest level kept exactly because its prefixes need no more room than a sketch.
+
+        Level 0 is always sketched; ``levels`` means that no level is exact.
+        """
         room = self.width * self.depth
         cheap = max(j for j in range(self.levels) if (1 << (self.gran * j)) <= room)
         return self.levels - cheap
@@ -317,13 +320,9 @@ class DyadicCountMin:
         return met.unionByName(outside)
 
     def second_moment(self) -> DataFrame:
-        """One row ``(est)``: smallest row-wise sum of squares at level 0, exact if it is exact."""
-        if self.h.exact_from == 0:
-            counts = self.prefix_counts(0)
-            c = F.col("c").cast("decimal(19,0)")
-            return counts.agg(F.coalesce(F.sum(c * c), F.lit(0)).cast(WIDE).alias("est"))
-        sums = _square_sums(self.level_cells(0), self.h.depth)
-        return sums[0].agg((F.least(*sums[1]) if len(sums[1]) > 1 else sums[1][0]).alias("est"))
+        """One row ``(est)``: smallest row-wise sum of squares at level 0, which is sketched."""
+        cells, sums = _square_sums(self.level_cells(0), self.h.depth)
+        return cells.agg((F.least(*sums) if len(sums) > 1 else sums[0]).alias("est"))
 
     def size(self) -> DataFrame:
         """One row: bytes of the dense form."""
