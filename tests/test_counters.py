@@ -45,7 +45,7 @@ def test_budgets():
 @pytest.mark.parametrize("shards", [1, 4])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_im_sum_brackets_and_prunes(make, seed, shards):
-    rows = stream(seed)
+    rows = stream(seed, 6000)  # enough distinct items to fill every shard
     totals = item_totals(make(rows, SCHEMA))
     summary = check(counters.im_sum(totals, 1 / 20, 1.0, shards), rows, make, 20)
     kept = {r.shard: r["count"] for r in summary.items.groupBy("shard").count().collect()}
