@@ -54,10 +54,8 @@ def im_collapsed(spark, d):
 
 
 def dim_epochs(spark, d):
-    events = tables.user_events(spark, d)
-    cut = exact.split_runs(events, DIM_EPOCHS)
-    epochs = [exact.item_totals(cut.where(F.col("run") == e)) for e in range(DIM_EPOCHS)]
-    return counters.dim_sum(epochs, DIM_PHI, 0.5)
+    epochs = exact.run_slices(tables.user_events(spark, d), DIM_EPOCHS)
+    return counters.dim_sum([exact.item_totals(e) for e in epochs], DIM_PHI, 0.5)
 
 
 def dim_build(spark, d):

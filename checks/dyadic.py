@@ -5,24 +5,31 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.common import (
-    PARTS, PART_TREE, PHI_WORDS, WORD_SIGNED_TREE, WORD_TREE, WORDS, cells, found, h31, parts, real, thr,
+    PARTS, PART_TREE, PHI_WORDS, WORD_SIGNED_TREE, WORD_TREE, WORDS, cells, found, h31, real, thr,
     values, with_, words,
 )
+from rillcount.functions import hashing
 from rillcount.operators import exact
 from rillcount.operators.dyadic import DyadicCountMin, DyadicCountSketch
 from rillcount.sources import tables
 
 
 def word_tree(spark, d):
-    return DyadicCountMin(WORD_TREE, words(spark, d))
+    """One pass over the documents; descents read the stored cells."""
+    return DyadicCountMin.build(tables.word_totals(spark, d), WORD_TREE, per_item_first=False)
 
 
 def part_tree(spark, d):
-    return DyadicCountMin(PART_TREE, parts(spark, d))
+    return DyadicCountMin.build(tables.part_quantities(spark, d), PART_TREE)
 
 
 def signed_tree(spark, d):
-    return DyadicCountSketch(WORD_SIGNED_TREE, words(spark, d))
+    return DyadicCountSketch.build(
+        tables.word_totals(spark, d), WORD_SIGNED_TREE, per_item_first=False)
+
+
+def tree_threshold(tree):
+    return hashing.threshold(PHI_WORDS, tree.total().scalar())
 
 
 def build(spark, d):
@@ -37,18 +44,16 @@ def count(spark, d):
 
 
 def heavy(spark, d):
-    tree = word_tree(spark, d)
-    return tree.heavy_hitters(exact.heavy_threshold(tree.totals, PHI_WORDS))
+    tree = word_tree(spark, d).store()
+    return tree.heavy_hitters(tree_threshold(tree))
 
 
 def heavy_judged(spark, d):
     """Every exact heavy hitter is found, and no estimate is below the truth."""
     w = words(spark, d)
-    tree = DyadicCountMin(WORD_TREE, w)
-    thr_ = exact.heavy_threshold(w, PHI_WORDS)
-    return exact.exact_heavy_hitters(w, PHI_WORDS).join(
-        tree.heavy_hitters(thr_), "item", "left"
-    ).select("item", "total", F.coalesce(F.col("est") >= F.col("total"), F.lit(False)).alias("ok"))
+    tree = word_tree(spark, d).store()
+    found = tree.heavy_hitters(tree_threshold(tree))
+    return exact.exact_heavy_hitters(w, PHI_WORDS).join(found, "item", "left").select("item", "total", F.coalesce(F.col("est") >= F.col("total"), F.lit(False)).alias("ok"))
 
 
 def part_ranges(spark, d):
@@ -58,7 +63,7 @@ def part_ranges(spark, d):
 
 
 def range_sums(spark, d):
-    return part_tree(spark, d).range_sums(part_ranges(spark, d))
+    return part_tree(spark, d).store().range_sums(part_ranges(spark, d))
 
 
 def fractions(spark, d):
@@ -73,17 +78,17 @@ def targets(spark, d, tree):
 
 
 def find_range(spark, d):
-    tree = part_tree(spark, d)
+    tree = part_tree(spark, d).store()
     return tree.find_range(targets(spark, d, tree))
 
 
 def find_range_right(spark, d):
-    tree = part_tree(spark, d)
+    tree = part_tree(spark, d).store()
     return tree.find_range_from_right(targets(spark, d, tree))
 
 
 def quantiles(spark, d):
-    return part_tree(spark, d).quantiles(fractions(spark, d))
+    return part_tree(spark, d).store().quantiles(fractions(spark, d))
 
 
 def prefix_counts(spark, d):
@@ -110,13 +115,12 @@ def signed_count(spark, d):
 
 
 def signed_heavy(spark, d):
-    tree = signed_tree(spark, d)
-    return tree.heavy_hitters(exact.heavy_threshold(tree.totals, PHI_WORDS))
+    tree = signed_tree(spark, d).store()
+    return tree.heavy_hitters(tree_threshold(tree))
 
 
 def signed_point(spark, d):
-    tree = signed_tree(spark, d)
-    return tree.point(tree.totals.select("item"))
+    return signed_tree(spark, d).point(words(spark, d).select("item"))
 
 
 def signed_moment(spark, d):
@@ -236,6 +240,8 @@ def build_sql():
         parts_.append(f"SELECT {l} AS level, -1 AS r, prefix AS bucket, c::BIGINT AS c FROM x{l}"
                       if l >= h.exact_from else
                       f"SELECT {l} AS level, r, bucket, c::BIGINT AS c FROM s{l}")
+    parts_.append(f"SELECT {h.levels} AS level, -1 AS r, 0::BIGINT AS bucket, "
+                  "sum(total)::BIGINT AS c FROM parts")
     return with_(PARTS, *levels_sql(h, "parts")) + " UNION ALL ".join(parts_)
 
 
@@ -303,7 +309,8 @@ CHECKS = {
             f"(SELECT count(*) FROM {'x' if l >= PART_TREE.exact_from else 's'}{l})"
             for l in range(PART_TREE.levels))})::BIGINT AS stored_cells"""),
     "c1_cs_build": (signed_build, with_(WORDS, *[signed_cells(l) for l in range(4)]) + " UNION ALL ".join(
-        f"SELECT {l} AS level, r, bucket, c::BIGINT AS c FROM s{l}" for l in range(4))),
+        f"SELECT {l} AS level, r, bucket, c::BIGINT AS c FROM s{l}" for l in range(4)) + """
+        UNION ALL SELECT 4 AS level, -1 AS r, 0::BIGINT AS bucket, sum(total)::BIGINT AS c FROM words"""),
     "c2_cs_count": (signed_count, with_(
         WORDS, signed_cells(2), "p AS (SELECT DISTINCT item >> 16 AS prefix FROM words)",
         signed_estimate(2, "p", "e")) + "SELECT prefix, est::BIGINT AS est FROM e"),

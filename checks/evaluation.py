@@ -105,8 +105,8 @@ def comparison(spark, d):
         "im_sum": im.heavy_hitters(thr_), "dim_sum": dim.heavy_hitters(thr_),
         "space_saving": space.heavy_hitters(thr_),
         "count_min": CountMin.from_totals(w, WORD_SHAPE).point(w).where(F.col("est") >= thr_),
-        "hierarchical_count_min": DyadicCountMin(WORD_TREE, w).heavy_hitters(thr_),
-        "count_sketch": DyadicCountSketch(WORD_SIGNED_TREE, w).heavy_hitters(thr_)}
+        "hierarchical_count_min": DyadicCountMin(WORD_TREE, w).store().heavy_hitters(thr_),
+        "count_sketch": DyadicCountSketch(WORD_SIGNED_TREE, w).store().heavy_hitters(thr_)}
     return rounded(evaluate.compare(answers, w, thr_))
 
 

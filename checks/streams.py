@@ -60,7 +60,7 @@ def levels(spark, d):
     h = PART_TREE
     state = sketches.streaming_level_cells(updates, h)
     return sketches.run_to_memory(
-        state, name("levels"), h.levels * h.width * h.depth // 2).select(
+        state, name("levels"), h.max_cells).select(
         "level", F.col("row").alias("r"), "bucket", "c")
 
 
@@ -70,7 +70,7 @@ def signed_levels(spark, d):
 
     h = USER_TREE
     state = sketches.streaming_level_cells(events(spark, d), h, signed=True)
-    streamed = sketches.run_to_memory(state, name("signs"), h.levels * h.width * h.depth)
+    streamed = sketches.run_to_memory(state, name("signs"), h.levels * h.width * h.depth + 1)
     batch = DyadicCountSketch(h, users(spark, d)).cells()
     return streamed.join(
         batch.withColumnRenamed("c", "b"), ["level", "row", "bucket"], "full_outer"

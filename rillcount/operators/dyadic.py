@@ -5,13 +5,13 @@ hitters without a list of candidates, and answers range sums and quantiles. Two
 kinds of level sketch are offered: Count-Min, with exact counts on the levels
 small enough for them, and the signed Count Sketch.
 
-Every level is its own DataFrame built from the same per-item totals; Spark runs
-the shuffle that makes the totals once and reuses it.
+The cells of all levels come from one pass over the data, or one level at a time
+from the same per-item totals, whose shuffle Spark then runs once and reuses.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +25,7 @@ from rillcount.operators.linear import (
     COEFFICIENT_BYTES, WHOLE_CELL_BYTES, SketchShape, add_cells, item_cells, pick_sorted, probe,
     row_values,
 )
+from rillcount.session import cut_lineage
 
 # Bytes of the record that describes each kind of hierarchy, and
 # of a pointer to one of its levels.
@@ -76,15 +77,23 @@ class Hierarchy:
     def top(self) -> int:
         return 1 << self.bits
 
+    @property
+    def max_cells(self) -> int:
+        """Most cells the levels can hold, and the total."""
+        exact = sum(min(1 << (self.gran * (self.levels - l)), self.top)
+                    for l in range(self.exact_from, self.levels))
+        return self.exact_from * self.width * self.depth + exact + 1
+
 
 def all_level_cells(updates: DataFrame, h: Hierarchy, item: Column, weight: Column,
                     signed: bool = False) -> DataFrame:
     """``(level, row, bucket, c)`` of all levels with one generator and one shuffle.
 
-    Levels kept exactly use row -1 and the prefix as bucket. Works on batch and on
-    streaming input.
+    Levels kept exactly use row -1 and the prefix as bucket, and so does the total,
+    which is the only prefix of the level above all others. Works on batch and on
+    streaming input, on totals as well as on single updates.
     """
-    cells = []
+    cells = [(h.levels, -1, 0, 0, 0, 0)]
     for level in range(h.levels):
         if not signed and level >= h.exact_from:
             cells.append((level, -1, 0, 0, 0, 0))
@@ -102,7 +111,7 @@ def all_level_cells(updates: DataFrame, h: Hierarchy, item: Column, weight: Colu
     hashed = hash31(F.col("a"), F.col("b"), F.col("_p")) % F.lit(h.width).cast("long")
     w = F.col("_w")
     if signed:
-        w = sign_hash(F.col("c"), F.col("d"), F.col("_p")) * w
+        w = F.when(F.col("row") < 0, w).otherwise(sign_hash(F.col("c"), F.col("d"), F.col("_p")) * w)
     placed = opened.select(
         "level", "row", F.when(F.col("row") < 0, F.col("_p")).otherwise(hashed).alias("bucket"),
         w.alias("_w"))
@@ -156,38 +165,80 @@ def _range_blocks(ranges: DataFrame, h: Hierarchy, level: int, start: Column, st
 
 
 @dataclass(frozen=True)
-class DyadicCountMin:
-    """Hierarchical Count-Min: exact upper levels over sketched lower ones."""
+class _Levels:
+    """Cells of all levels, computed from ``totals`` or kept in ``stored``.
+
+    ``totals`` holds ``(item, total)``. All sketches are linear, so items may repeat:
+    single updates do as well as totals, and save the shuffle that groups them.
+
+    Answers that walk through the levels read each level once or twice. Over large
+    input call :meth:`store` first: one pass over the data makes the cells of all
+    levels, whose number depends on the hierarchy and not on the data.
+    """
 
     h: Hierarchy
-    totals: DataFrame
+    totals: DataFrame | None = None
+    stored: DataFrame | None = None
+
+    signed = False
+
+    @classmethod
+    def build(cls, updates: DataFrame, h: Hierarchy, item: str = "item", weight: str = "weight",
+              per_item_first: bool = True):
+        """From an update stream, by default summed per item first.
+
+        Leave that out if few items repeat: the shuffle then carries cells only.
+        """
+        if per_item_first:
+            return cls(h, item_totals(updates, item, weight))
+        return cls(h, updates.select(F.col(item).alias("item"), F.col(weight).alias("total")))
 
     @classmethod
-    def build(cls, updates: DataFrame, h: Hierarchy, item: str = "item",
-              weight: str = "weight") -> "DyadicCountMin":
-        return cls(h, item_totals(updates, item, weight))
+    def from_cells(cls, h: Hierarchy, cells: DataFrame):
+        """From a table of cells written earlier, best partitioned by ``level``."""
+        return cls(h, stored=cells)
+
+    def store(self):
+        """The same sketch over checkpointed cells."""
+        return replace(self, stored=cut_lineage(self.cells()))
+
+    def cells(self) -> DataFrame:
+        """``(level, row, bucket, c)`` of all levels and the total: the form to write out."""
+        if self.stored is not None:
+            return self.stored
+        return all_level_cells(
+            self.totals, self.h, F.col("item"), F.col("total"), self.signed)
+
+    def total(self) -> DataFrame:
+        """One row ``(n)``: the weight of the stream."""
+        if self.stored is None:
+            return stream_total(self.totals)
+        return self.stored.where(F.col("level") == self.h.levels).agg(
+            F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("n"))
+
+    def _stored_level(self, level: int) -> DataFrame:
+        return self.stored.where(F.col("level") == level)
+
+
+@dataclass(frozen=True)
+class DyadicCountMin(_Levels):
+    """Hierarchical Count-Min: exact upper levels over sketched lower ones."""
 
     def prefix_counts(self, level: int) -> DataFrame:
-        """``(prefix, c)``: exact counts of one level."""
+        """``(prefix, c)``: exact counts of one level; stored for exact levels only."""
+        if self.stored is not None and level >= self.h.exact_from:
+            return self._stored_level(level).select(F.col("bucket").alias("prefix"), "c")
         return self.totals.groupBy(
             level_prefix(F.col("item"), self.h.gran, level).alias("prefix")
         ).agg(F.sum("total").alias("c"))
 
     def level_cells(self, level: int) -> DataFrame:
         """``(row, bucket, c)``: the sketch of one level."""
+        if self.stored is not None:
+            return self._stored_level(level).select("row", "bucket", "c")
         return add_cells(self.totals, self.h.shape(level),
                          level_prefix(F.col("item"), self.h.gran, level), F.col("total"))
 
-    def cells(self) -> DataFrame:
-        """``(level, row, bucket, c)`` of all levels; exact levels use row -1.
-
-        The form to write out, partitioned by ``level``, when the sketch is kept.
-        """
-        return all_level_cells(self.totals, self.h, F.col("item"), F.col("total"))
-
-    def total(self) -> DataFrame:
-        return stream_total(self.totals)
-
     def count(self, prefixes: DataFrame, level: int) -> DataFrame:
         """Add ``est`` to a table with ``prefix``: the estimated count at ``level``.
 
@@ -333,7 +384,7 @@ class DyadicCountMin:
             for i in range(sketched, h.levels))
         hashes = (h.levels - sketched) * h.depth * 2 * COEFFICIENT_BYTES
         dense = CM_HEADER_BYTES + 2 * h.levels * POINTER_BYTES + counts + hashes
-        return self.cells().agg(
+        return self.cells().where(F.col("level") < h.levels).agg(
             F.lit(dense).cast("long").alias("bytes"), F.count(F.lit(1)).alias("stored_cells"))
 
 
@@ -346,19 +397,13 @@ def _square_sums(cells: DataFrame, depth: int) -> tuple[DataFrame, list[Column]]
 
 
 @dataclass(frozen=True)
-class DyadicCountSketch:
+class DyadicCountSketch(_Levels):
     """Hierarchical Count Sketch; the same signed hashes on every level.
 
     Estimates are two-sided: an item may be over- or underestimated, or missed.
     """
 
-    h: Hierarchy
-    totals: DataFrame
-
-    @classmethod
-    def build(cls, updates: DataFrame, h: Hierarchy, item: str = "item",
-              weight: str = "weight") -> "DyadicCountSketch":
-        return cls(h, item_totals(updates, item, weight))
+    signed = True
 
     @property
     def coeffs(self) -> tuple[tuple[int, int, int, int], ...]:
@@ -371,6 +416,8 @@ class DyadicCountSketch:
 
     def level_cells(self, level: int) -> DataFrame:
         """``(row, bucket, c)``: signed cells of one level."""
+        if self.stored is not None:
+            return self._stored_level(level).select("row", "bucket", "c")
         x = level_prefix(F.col("item"), self.h.gran, level)
         opened = self.totals.select(
             x.alias("_x"), F.col("total").alias("_w"), coefficient_rows(self.coeffs))
@@ -380,14 +427,6 @@ class DyadicCountSketch:
             F.col("h.row").alias("row"), bucket.alias("bucket"), signed.alias("_w"))
         return placed.groupBy("row", "bucket").agg(F.sum("_w").alias("c"))
 
-    def cells(self) -> DataFrame:
-        """``(level, row, bucket, c)`` of all levels."""
-        return all_level_cells(
-            self.totals, self.h, F.col("item"), F.col("total"), signed=True)
-
-    def total(self) -> DataFrame:
-        return stream_total(self.totals)
-
     def _median(self, signed: list[Column]) -> Column:
         if len(signed) == 1:
             return signed[0]
@@ -449,5 +488,5 @@ class DyadicCountSketch:
         dense = ((h.bits + 1) * POINTER_BYTES
                  + (1 + h.bits // h.gran) * h.width * h.depth * WHOLE_CELL_BYTES
                  + h.depth * 4 * COEFFICIENT_BYTES + CS_HEADER_BYTES)
-        return self.cells().agg(
+        return self.cells().where(F.col("level") < h.levels).agg(
             F.lit(dense).cast("long").alias("bytes"), F.count(F.lit(1)).alias("stored_cells"))

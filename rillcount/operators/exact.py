@@ -57,16 +57,20 @@ def inner_product(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def dense_position(df: DataFrame, key: str, splits: int = 64) -> DataFrame:
+def dense_position(df: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
     """Add ``pos``: the 0-based rank of each row by the unique column ``key``.
 
     No single task ever sorts the whole table: approximate quantiles of the key
-    give explicit ranges, rows are numbered inside their range, and the counts
-    of the earlier ranges (at most ``splits + 1`` rows) are added. The range is
-    an ordinary column, so a recomputed task numbers its rows the same way.
+    give explicit ranges, by default as many as the session has shuffle partitions;
+    rows are numbered inside their range, and the counts of the earlier ranges are
+    added. The range is an ordinary column, so a recomputed task numbers its rows
+    the same way.
     """
-    cuts = sorted(set(df.approxQuantile(key, [i / splits for i in range(1, splits)], 0.001)))
-    bounds = [-float("inf"), *cuts, float("inf")]
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = sorted(set(df.approxQuantile(key, shares, 0.5 / ranges))) if shares else []
+    bounds = [-float("inf"), *cuts, float("inf")] if cuts else [
+        -float("inf"), 0.0, float("inf")]
     ranged = Bucketizer(splits=bounds, inputCol="_key", outputCol="_range").transform(
         df.withColumn("_key", F.col(key).cast("double"))
     ).drop("_key")
@@ -102,6 +106,18 @@ def split_runs(
     return cut.where(F.col("run") < runs).withColumn("run", F.col("run").cast("int"))
 
 
+def run_slices(updates: DataFrame, runs: int, pos: str = "pos") -> list[DataFrame]:
+    """The runs of :func:`split_runs` as one DataFrame each.
+
+    Counts the updates first, so that every slice is a plain range of positions,
+    which reaches the scan and lets it skip the files and row groups of other runs.
+    """
+    size = max(updates.count() // runs, 1)
+    return [
+        updates.where((F.col(pos) >= r * size) & (F.col(pos) < (r + 1) * size))
+        for r in range(runs)]
+
+
 def run_thresholds(per_run: DataFrame, phi: float) -> DataFrame:
     """``(run, thr)`` from the running total; one row per run."""
     so_far = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, 0)

@@ -8,13 +8,13 @@ a join of the item's buckets with the cells.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import cached_property, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillcount.functions.hashing import bucket_hashes, coefficient_rows, coefficients, hash31
-from rillcount.operators.exact import WIDE, item_totals
+from rillcount.operators.exact import item_totals
 from rillcount.session import fits_broadcast
 
 # Bytes of the record that describes a sketch, of one hash
@@ -48,7 +48,7 @@ class SketchShape:
 
 
 def add_cells(totals: DataFrame, shape: SketchShape, item: Column, weight: Column) -> DataFrame:
-    """``(row, bucket, c)`` from pre-aggregated totals.
+    """``(row, bucket, c)`` from totals or single updates.
 
     All rows of an item come out of one generator, and the sum has a map-side
     half, so a task sends at most ``width * depth`` rows to the shuffle.
@@ -144,9 +144,15 @@ class CountMin:
 
     @classmethod
     def build(cls, updates: DataFrame, shape: SketchShape, item: str = "item",
-              weight: str = "weight") -> "CountMin":
-        """Weights are summed per item first, so hashing runs once per item."""
-        return cls.from_totals(item_totals(updates, item, weight), shape)
+              weight: str = "weight", per_item_first: bool = True) -> "CountMin":
+        """Weights are by default summed per item first, so hashing runs once per item.
+
+        Leave that out if few items repeat: then only cells are shuffled, at most
+        ``width * depth`` per task, at the price of hashing every update.
+        """
+        if per_item_first:
+            return cls.from_totals(item_totals(updates, item, weight), shape)
+        return cls(shape, add_cells(updates, shape, F.col(item), F.col(weight)))
 
     @classmethod
     def from_totals(cls, totals: DataFrame, shape: SketchShape) -> "CountMin":
@@ -199,10 +205,6 @@ class CountMin:
         est = F.least(*products) if len(products) > 1 else products[0]
         return both.withColumn("est", est).drop(*names, *[f"_m{n}" for n in names])
 
-    @cached_property
-    def _is_double(self) -> bool:
-        return self.cells.schema["c"].dataType.simpleString() in ("double", "float")
-
     def _square_type(self) -> str:
         kind = self.cells.schema["c"].dataType.simpleString()
         return "decimal(19,0)" if kind in ("bigint", "int") else kind

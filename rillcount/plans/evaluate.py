@@ -22,28 +22,48 @@ def evaluate(claims: DataFrame, totals: DataFrame, thr: Column,
     are means over the true and the false positives; a false positive that never
     occurred has no relative error and is left out of the mean. An empty answer
     has precision 100, and recall 100 only if there was nothing to find.
+
+    Only claims are looked up in the totals, and only counts are put together, so
+    the totals are not sorted or moved for it.
     """
     keys = list(keys)
-    on = [*keys, "item"]
-    judged = totals.select(*on, "total", (F.col("total") >= thr).alias("_hh"))
-    marked = claims.select(*on, "est").join(judged, on, "full_outer").withColumn(
-        "_hh", F.coalesce("_hh", F.lit(False))
-    ).where(F.col("est").isNotNull() | F.col("_hh"))
-    claimed = F.col("est").isNotNull()
+    judged = totals.select(*keys, "item", "total", (F.col("total") >= thr).alias("_hh"))
+    return _scores(_tally(claims, judged, keys), keys)
+
+
+def _tally(claims: DataFrame, judged: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts and errors from claims, from claims met in ``judged``, and from its hits."""
+    on = [k for k in keys if k in judged.columns] + ["item"]
+    none, zero = F.lit(None).cast("double"), F.lit(0).cast("long")
+
+    def part(df: DataFrame, claimed=zero, correct=zero, hh=zero, rt=none, rf=none) -> DataFrame:
+        grouped = df.groupBy(*keys) if keys else df
+        return grouped.agg(
+            claimed.alias("claimed"), correct.alias("correct"), hh.alias("hh"),
+            rt.alias("_rt"), rf.alias("_rf"))
+
     error = F.abs(F.col("total") - F.col("est")) / F.nullif(F.col("total"), F.lit(0))
-    counted = (marked.groupBy(*keys) if keys else marked).agg(
-        F.count(F.when(claimed, 1)).alias("claimed"),
-        F.count(F.when(claimed & F.col("_hh"), 1)).alias("correct"),
-        F.count(F.when(F.col("_hh"), 1)).alias("hh"),
-        F.avg(F.when(claimed & F.col("_hh"), error)).alias("_rt"),
-        F.avg(F.when(claimed & ~F.col("_hh"), error)).alias("_rf"))
+    met = claims.select(*keys, "item", "est").join(judged, on)
+    parts = [
+        part(claims, claimed=F.count(F.lit(1))),
+        part(met, correct=F.count(F.when(F.col("_hh"), 1)),
+             rt=F.avg(F.when(F.col("_hh"), error)), rf=F.avg(F.when(~F.col("_hh"), error)))]
+    if set(keys) <= set(judged.columns):
+        parts.append(part(judged.where("_hh"), hh=F.count(F.lit(1))))
+    both = reduce(DataFrame.unionByName, parts)
+    return (both.groupBy(*keys) if keys else both).agg(
+        *[F.sum(c).alias(c) for c in ("claimed", "correct", "hh")],
+        F.max("_rt").alias("_rt"), F.max("_rf").alias("_rf"))
+
+
+def _scores(counted: DataFrame, keys: list[str]) -> DataFrame:
+    full = F.lit(100.0)
     return counted.select(
         *keys, "claimed", "correct", "hh",
-        F.when(F.col("hh") == 0, F.lit(100.0)).otherwise(
-            F.lit(100.0) * F.col("correct") / F.nullif(F.col("hh"), F.lit(0))).alias("recall"),
-        F.when(F.col("claimed") == 0, F.lit(100.0)).otherwise(
-            F.lit(100.0) * F.col("correct") / F.nullif(F.col("claimed"), F.lit(0))
-        ).alias("precision"),
+        F.when(F.col("hh") == 0, full).otherwise(
+            full * F.col("correct") / F.nullif(F.col("hh"), F.lit(0))).alias("recall"),
+        F.when(F.col("claimed") == 0, full).otherwise(
+            full * F.col("correct") / F.nullif(F.col("claimed"), F.lit(0))).alias("precision"),
         F.coalesce("_rt", F.lit(0.0)).alias("re_true"),
         F.coalesce("_rf", F.lit(0.0)).alias("re_false"))
 
@@ -122,24 +142,10 @@ def compare(answers: Mapping[str, DataFrame], totals: DataFrame, thr: Column) ->
     tagged = reduce(DataFrame.unionByName, [
         a.select(F.lit(name).alias("method"), "item", F.col("est").cast("long").alias("est"))
         for name, a in answers.items()])
-    heavy = totals.where(F.col("total") >= thr)
-    hh = heavy.agg(F.count(F.lit(1)).alias("hh")).scalar()
-    scored = tagged.join(totals, "item", "left").withColumn(
-        "_hh", F.coalesce(F.col("total") >= thr, F.lit(False)))
-    error = F.abs(F.col("total") - F.col("est")) / F.nullif(F.col("total"), F.lit(0))
-    counted = scored.groupBy("method").agg(
-        F.count(F.lit(1)).alias("claimed"), F.count(F.when(F.col("_hh"), 1)).alias("correct"),
-        F.avg(F.when(F.col("_hh"), error)).alias("_rt"),
-        F.avg(F.when(~F.col("_hh"), error)).alias("_rf"))
-    spark = totals.sparkSession
-    names = spark.createDataFrame([(m,) for m in answers], "method string")
-    return names.join(counted, "method", "left").select(
+    judged = totals.select("item", "total", (F.col("total") >= thr).alias("_hh"))
+    hh = judged.where("_hh").agg(F.count(F.lit(1)).alias("hh")).scalar()
+    names = totals.sparkSession.createDataFrame([(m,) for m in answers], "method string")
+    counted = names.join(_tally(tagged, judged, ["method"]), "method", "left").select(
         "method", F.coalesce("claimed", F.lit(0)).alias("claimed"),
-        F.coalesce("correct", F.lit(0)).alias("correct"), hh.alias("hh"),
-        F.when(hh == 0, F.lit(100.0)).otherwise(
-            F.lit(100.0) * F.coalesce("correct", F.lit(0)) / F.nullif(hh, F.lit(0))
-        ).alias("recall"),
-        F.coalesce(F.lit(100.0) * F.col("correct") / F.col("claimed"), F.lit(100.0))
-        .alias("precision"),
-        F.coalesce("_rt", F.lit(0.0)).alias("re_true"),
-        F.coalesce("_rf", F.lit(0.0)).alias("re_false"))
+        F.coalesce("correct", F.lit(0)).alias("correct"), hh.alias("hh"), "_rt", "_rf")
+    return _scores(counted, ["method"])

@@ -36,7 +36,7 @@ def run_to_memory(state: DataFrame, name: str, max_rows: int) -> DataFrame:
     state to a table or a message topic with ``writeStream`` instead.
     """
     spark = state.sparkSession
-    if not fits_broadcast(spark, max_rows, 64):
+    if not fits_broadcast(spark, max_rows, 48):
         raise ValueError(f"{max_rows} rows of state do not fit the broadcast limit")
     query = (
         state.writeStream.outputMode("complete").format("memory").queryName(name)

@@ -59,6 +59,23 @@ def test_heavy_hitters_have_full_recall(make, h):
     assert capped == sorted(found)[:h.width]
 
 
+@pytest.mark.parametrize("kind", [DyadicCountMin, DyadicCountSketch])
+def test_stored_cells_answer_the_same(make, spark, tmp_path, kind):
+    updates = stream(7, MIXED.top)
+    direct = kind.build(make(updates, SCHEMA), MIXED)
+    single = kind.build(make(updates, SCHEMA), MIXED, per_item_first=False).store()
+    single.cells().write.partitionBy("level").parquet(str(tmp_path / "cells"))
+    written = kind.from_cells(MIXED, spark.read.parquet(str(tmp_path / "cells")))
+    thr = F.lit(sum(w for _, w in updates) // 60)
+    want = sorted(map(tuple, direct.heavy_hitters(thr).collect()))
+    for tree in (single, written):
+        assert tree.total().first().n == sum(w for _, w in updates)
+        assert sorted(map(tuple, tree.heavy_hitters(thr).collect())) == want
+        assert tree.second_moment().first() == direct.second_moment().first()
+        assert tree.size().first() == direct.size().first()
+    assert MIXED.max_cells >= direct.cells().count()
+
+
 def test_removals_hide_children_of_light_ancestors(make):
     """An id whose ancestor falls below the threshold is not reached."""
     h = Hierarchy(8, 2, 64, 4)
@@ -126,6 +143,7 @@ def test_count_sketch_matches_plain_python(make, depth):
                 key = level, row, hash31(a, b, x) % 16
                 sign = 1 if hash31(c, d, x) & 1 else -1
                 cells[key] = cells.get(key, 0) + sign * weight
+    cells[2, -1, 0] = sum(w for _, w in updates)
     assert {(r.level, r.row, r.bucket): r.c for r in sketch.cells().collect()} == cells
 
     def estimate(level, x):

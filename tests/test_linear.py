@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from rillcount.functions import hashing
 from rillcount.operators.exact import (
-    cumulative_heavy_hitters, dense_position, inner_product, item_totals, second_moment, split_runs,
+    cumulative_heavy_hitters, dense_position, inner_product, item_totals, run_slices, second_moment,
+    split_runs,
 )
 from rillcount.operators.linear import CountMin, SketchShape, merge_all
 
@@ -65,6 +66,8 @@ def test_build_and_points_match_plain_python(spark, make, depth, broadcast):
         sketch = CountMin.build(make(updates, SCHEMA), shape)
         cells = plain_cells(shape, updates)
         assert as_dict(sketch.cells) == cells
+        direct = CountMin.build(make(updates, SCHEMA), shape, per_item_first=False)
+        assert as_dict(direct.cells) == cells
         queried = make([(i,) for i in list(range(0, 400, 3)) + [3, 3]], "item long")
         mine = sketch.point_median(sketch.point(queried).withColumnRenamed("est", "low")).collect()
         assert len(mine) == queried.count()
@@ -146,6 +149,7 @@ def test_runs_of_the_tiny_stream(make):
     assert {r.run: r.n for r in split_runs(tiny, 4).groupBy("run").agg(
         F.count("*").alias("n")).collect()} == {0: 1, 1: 1, 2: 1, 3: 1}
     assert split_runs(tiny, 4, include_tail=True).count() == 6
+    assert [sorted(r.pos for r in s.collect()) for s in run_slices(tiny, 4)] == [[0], [1], [2], [3]]
     got = cumulative_heavy_hitters(split_runs(tiny, 3), 0.2).collect()
     assert {(r.run, r.item, r.total) for r in got} == {
         (0, 1, 5), (0, 2, 3), (1, 1, 7), (1, 2, 3), (2, 1, 8), (2, 2, 3)}
@@ -168,5 +172,6 @@ def test_cumulative_heavy_hitters_match_plain_python(make):
 def test_dense_position_of_skewed_keys(spark):
     keys = [i**3 for i in range(1500)] + [-5, 10**12]
     df = spark.createDataFrame([(k,) for k in keys], "key long").repartition(5)
-    got = {r.key: r.pos for r in dense_position(df, "key", 16).collect()}
-    assert got == {k: i for i, k in enumerate(sorted(keys))}
+    for ranges in (None, 1, 2, 40):
+        got = {r.key: r.pos for r in dense_position(df, "key", ranges).collect()}
+        assert got == {k: i for i, k in enumerate(sorted(keys))}
