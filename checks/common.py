@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rillcount.operators.dyadic import Hierarchy
 from rillcount.operators.exact import item_totals
 from rillcount.operators.linear import SketchShape
+from rillcount.session import cut_lineage
 from rillcount.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,11 @@ def words(spark, sf_dir):
     return item_totals(tables.word_totals(spark, sf_dir))
 
 
+def kept_words(spark, sf_dir):
+    """Word totals checkpointed for queries that use them several times."""
+    return tables.spread(cut_lineage(words(spark, sf_dir)))
+
+
 def users(spark, sf_dir):
     return item_totals(tables.user_events(spark, sf_dir))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks.common import (
     PHI_USERS, PHI_WORDS, USERS, WORD_SHAPE, WORD_SIGNED_TREE, WORD_TREE, WORDS, cells, found, h31,
-    real, thr, users, values, with_, words,
+    kept_words, real, thr, users, values, with_, words,
 )
 from checks.counters import summary_sql
 from checks.dyadic import heavy_sql, signed_heavy_sql
@@ -34,7 +34,7 @@ def rounded(df, *keys):
 
 
 def count_min(spark, d):
-    w = words(spark, d)
+    w = kept_words(spark, d)
     thr_ = exact.heavy_threshold(w, PHI_WORDS)
     claims = CountMin.from_totals(w, WORD_SHAPE).point(w).where(F.col("est") >= thr_)
     return rounded(evaluate.evaluate(claims.select("item", "est"), w, thr_))
@@ -42,7 +42,7 @@ def count_min(spark, d):
 
 def relative_errors(spark, d):
     """Claims above half the threshold, so that false positives are judged too."""
-    w = words(spark, d)
+    w = kept_words(spark, d)
     n = exact.stream_total(w).scalar()
     thr_ = exact.heavy_threshold(w, PHI_WORDS)
     claims = CountMin.from_totals(w, WORD_SHAPE).point(w).where(
@@ -52,7 +52,7 @@ def relative_errors(spark, d):
 
 
 def empty_answer(spark, d):
-    w = words(spark, d)
+    w = kept_words(spark, d)
     none = w.where(F.col("total") < 0).select("item", F.col("total").alias("est"))
     return rounded(evaluate.evaluate(none, w, exact.heavy_threshold(w, PHI_WORDS)))
 
@@ -96,7 +96,7 @@ def run_summary(spark, d):
 
 
 def comparison(spark, d):
-    w = words(spark, d)
+    w = kept_words(spark, d)
     thr_ = exact.heavy_threshold(w, PHI_WORDS)
     im = counters.im_sum(w, PHI_WORDS)
     dim = counters.summarise(w, Budget.dim_sum(PHI_WORDS))

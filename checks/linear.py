@@ -80,6 +80,12 @@ def merged(spark, d):
     return merge_all(sketches).cells.select(F.col("row").alias("r"), "bucket", "c")
 
 
+def from_empty(spark, d):
+    """A sketch with the same hashes and no content, merged with a full one."""
+    full = sketch(parts(spark, d), PART_SHAPE)
+    return full.empty_like().merge(full).cells.select(F.col("row").alias("r"), "bucket", "c")
+
+
 def size(spark, d):
     return sketch(words(spark, d), WORD_SHAPE).size()
 
@@ -126,6 +132,8 @@ def _size_sql(stream, table, shape, cell_bytes):
 CHECKS = {
     "a1_cm_build": (build, with_(WORDS, cells("s", "words", WORD_SHAPE)) +
                     "SELECT r, bucket, c::BIGINT AS c FROM s"),
+    "a2_cm_empty_like": (from_empty, with_(PARTS, cells("s", "parts", PART_SHAPE)) +
+                         "SELECT r, bucket, c::BIGINT AS c FROM s"),
     "a3_cm_point": (point, _min_sql("words", WORD_SHAPE) +
                     "SELECT item, min(c)::BIGINT AS est FROM f GROUP BY item"),
     "a3_cm_heavy_hitters": (hitters, _min_sql("words", WORD_SHAPE) + f"""

@@ -65,9 +65,18 @@ def coefficients(seed: int, rows: int, per_row: int) -> tuple[tuple[int, ...], .
     )
 
 
+def bucket(a, b, x, width: int | Column) -> Column:
+    """Bucket of ``x`` in a row of ``width`` cells.
+
+    Spark takes every remainder as possibly null; saying that this one is not keeps
+    aggregations and joins on buckets from hashing twice to test for it.
+    """
+    return F.coalesce(hash31(a, b, x) % _as_column(width), F.lit(0).cast("long"))
+
+
 def bucket_hashes(x: Column, coeffs: Sequence[Sequence[int]], width: int) -> list[Column]:
     """One bucket number per sketch row."""
-    return [hash31(c[0], c[1], x) % F.lit(width).cast("long") for c in coeffs]
+    return [bucket(c[0], c[1], x, width) for c in coeffs]
 
 
 def coefficient_rows(coeffs: Sequence[Sequence[int]]) -> Column:

@@ -109,7 +109,6 @@ class CounterSummary:
     errors: DataFrame
     budget: Budget
     shards: int = 1
-    disjoint: bool = True
 
     def prune(self) -> "CounterSummary":
         cuts = cut_points(self.items, self.budget)
@@ -124,27 +123,40 @@ class CounterSummary:
 
     def add(self, totals: DataFrame) -> "CounterSummary":
         """Add one epoch of ``(item, total)`` rows and prune if over capacity."""
-        other = _unpruned(totals, item_shard(F.col("item"), self.shards), self.budget, self.shards)
-        return _combine([self, other]).prune()
+        return _combine([self, _unpruned(totals, self.budget, self.shards)]).prune()
 
     def collapse(self) -> "CounterSummary":
         """One summary of the whole stream from all shards.
 
-        Where shards hold disjoint items, an item is only ever short by its own
-        shard's error, so the largest one covers all; otherwise errors add up.
+        Shards hold disjoint items, so an item is only ever short by its own shard's
+        error, and the largest one covers all.
         """
-        q = F.max("q") if self.disjoint else F.sum("q")
         one = F.lit(0)
-        items = self.items.groupBy("item").agg(F.sum("residual").alias("residual")).select(
-            one.alias("shard"), "item", "residual")
+        items = self.items.select(one.alias("shard"), "item", "residual")
         errors = self.errors.agg(
-            F.coalesce(q, F.lit(0)).cast("long").alias("q"),
+            F.coalesce(F.max("q"), F.lit(0)).cast("long").alias("q"),
             F.coalesce(F.sum("weight"), F.lit(0)).cast("long").alias("weight"),
         ).select(one.alias("shard"), "q", "weight")
-        return CounterSummary(items, errors, self.budget, 1, True).prune()
+        return CounterSummary(items, errors, self.budget).prune()
+
+    def rows(self) -> DataFrame:
+        """Items and errors as one table, errors without item: the form to write out."""
+        zero = F.lit(0).cast("long")
+        kept = self.items.select(
+            "shard", "item", "residual", zero.alias("q"), zero.alias("weight"))
+        errors = self.errors.select(
+            "shard", F.lit(None).cast("long").alias("item"), zero.alias("residual"), "q", "weight")
+        return kept.unionByName(errors)
+
+    def with_rows(self, rows: DataFrame) -> "CounterSummary":
+        """The same kind of summary over rows written earlier."""
+        return replace(
+            self,
+            items=rows.where("item is not null").select("shard", "item", "residual"),
+            errors=rows.where("item is null").select("shard", "q", "weight"))
 
     def checkpoint(self) -> "CounterSummary":
-        return replace(self, items=cut_lineage(self.items), errors=cut_lineage(self.errors))
+        return self.with_rows(cut_lineage(self.rows()))
 
     def estimates(self) -> DataFrame:
         """``(item, est, lower, q)`` of the kept items; ``est`` is an upper bound."""
@@ -177,13 +189,13 @@ class CounterSummary:
             "shard", "item", "residual", "q")
 
 
-def _unpruned(totals: DataFrame, shard: Column, budget: Budget, shards: int,
-              disjoint: bool = True) -> CounterSummary:
-    items = totals.groupBy(shard.cast("int").alias("shard"), "item").agg(
-        F.sum("total").cast("long").alias("residual"))
+def _unpruned(totals: DataFrame, budget: Budget, shards: int) -> CounterSummary:
+    items = totals.select(
+        item_shard(F.col("item"), shards).alias("shard"), "item",
+        F.col("total").cast("long").alias("residual"))
     errors = items.groupBy("shard").agg(F.sum("residual").alias("weight")).select(
         "shard", F.lit(0).cast("long").alias("q"), "weight")
-    return CounterSummary(items, errors, budget, shards, disjoint)
+    return CounterSummary(items, errors, budget, shards)
 
 
 def _combine(parts: Sequence[CounterSummary]) -> CounterSummary:
@@ -205,8 +217,23 @@ def merge(parts: Sequence[CounterSummary]) -> CounterSummary:
 
 
 def summarise(totals: DataFrame, budget: Budget, shards: int = 1) -> CounterSummary:
-    """Summary of ``(item, total)`` rows in item-disjoint shards, pruned once."""
-    return _unpruned(totals, item_shard(F.col("item"), shards), budget, shards).prune()
+    """Summary of ``(item, total)`` rows, one per item, in item-disjoint shards."""
+    return _unpruned(totals, budget, shards).prune()
+
+
+def gather(partial: DataFrame, budget: Budget) -> CounterSummary:
+    """One summary from rows ``(item, residual, q, weight)`` of many partial summaries.
+
+    Residuals and errors add up; rows without item carry the errors.
+    """
+    one = F.lit(0)
+    items = partial.where("item is not null").groupBy("item").agg(
+        F.sum("residual").alias("residual")).select(one.alias("shard"), "item", "residual")
+    errors = partial.where("item is null").agg(
+        F.coalesce(F.sum("q"), F.lit(0)).cast("long").alias("q"),
+        F.coalesce(F.sum("weight"), F.lit(0)).cast("long").alias("weight"),
+    ).select(one.alias("shard"), "q", "weight")
+    return CounterSummary(items, errors, budget).prune()
 
 
 def im_sum(totals: DataFrame, eps: float, gamma: float = 4.0, shards: int = 1) -> CounterSummary:
@@ -271,15 +298,7 @@ def summarise_in_place(updates: DataFrame, budget: Budget, item: str = "item",
     partial = updates.select(
         F.col(item).cast("long").alias("item"), F.col(weight).cast("long").alias("total")
     ).mapInPandas(_local_summary(budget), "item long, residual long, q long, weight long")
-    partial = cut_lineage(partial)
-    one = F.lit(0)
-    items = partial.where("item is not null").groupBy("item").agg(
-        F.sum("residual").alias("residual")).select(one.alias("shard"), "item", "residual")
-    errors = partial.where("item is null").agg(
-        F.coalesce(F.sum("q"), F.lit(0)).cast("long").alias("q"),
-        F.coalesce(F.sum("weight"), F.lit(0)).cast("long").alias("weight"),
-    ).select(one.alias("shard"), "q", "weight")
-    return CounterSummary(items, errors, budget).prune()
+    return gather(cut_lineage(partial), budget)
 
 
 def dense_size(method: str, phi: float, gamma: float = 4.0) -> int:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillcount.functions.hashing import (
-    coefficient_rows, coefficients, hash31, level_prefix, sign_hash,
+    bucket, coefficient_rows, coefficients, level_prefix, sign_hash,
 )
 from rillcount.operators.exact import WIDE, item_totals, stream_total
 from rillcount.operators.linear import (
@@ -108,7 +108,7 @@ def all_level_cells(updates: DataFrame, h: Hierarchy, item: Column, weight: Colu
     generator = F.expr(f"explode(array({rows}))")
     opened = updates.select(item.alias("_x"), weight.alias("_w"), generator.alias("h")).select(
         F.col("h.*"), F.expr("shiftright(_x, h.shift)").alias("_p"), "_w")
-    hashed = hash31(F.col("a"), F.col("b"), F.col("_p")) % F.lit(h.width).cast("long")
+    hashed = bucket(F.col("a"), F.col("b"), F.col("_p"), h.width)
     w = F.col("_w")
     if signed:
         w = F.when(F.col("row") < 0, w).otherwise(sign_hash(F.col("c"), F.col("d"), F.col("_p")) * w)
@@ -421,10 +421,10 @@ class DyadicCountSketch(_Levels):
         x = level_prefix(F.col("item"), self.h.gran, level)
         opened = self.totals.select(
             x.alias("_x"), F.col("total").alias("_w"), coefficient_rows(self.coeffs))
-        bucket = hash31(F.col("h.a"), F.col("h.b"), F.col("_x")) % F.lit(self.h.width).cast("long")
+        cell = bucket(F.col("h.a"), F.col("h.b"), F.col("_x"), self.h.width)
         signed = sign_hash(F.col("h.c"), F.col("h.d"), F.col("_x")) * F.col("_w")
         placed = opened.select(
-            F.col("h.row").alias("row"), bucket.alias("bucket"), signed.alias("_w"))
+            F.col("h.row").alias("row"), cell.alias("bucket"), signed.alias("_w"))
         return placed.groupBy("row", "bucket").agg(F.sum("_w").alias("c"))
 
     def _median(self, signed: list[Column]) -> Column:

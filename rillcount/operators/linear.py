@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillcount.functions.hashing import bucket_hashes, coefficient_rows, coefficients, hash31
+from rillcount.functions.hashing import bucket, bucket_hashes, coefficient_rows, coefficients
 from rillcount.operators.exact import item_totals
 from rillcount.session import fits_broadcast
 
@@ -61,8 +61,8 @@ def place(rows: DataFrame, shape: SketchShape, item: Column, *kept: Column) -> D
     """``(row, bucket, *kept)``: every row of the input once per sketch row."""
     opened = rows.select(item.alias("_x"), *kept, coefficient_rows(shape.coeffs))
     names = [c for c in opened.columns if c not in ("_x", "h")]
-    bucket = hash31(F.col("h.a"), F.col("h.b"), F.col("_x")) % F.lit(shape.width).cast("long")
-    return opened.select(F.col("h.row").alias("row"), bucket.alias("bucket"), *names)
+    cell = bucket(F.col("h.a"), F.col("h.b"), F.col("_x"), shape.width)
+    return opened.select(F.col("h.row").alias("row"), cell.alias("bucket"), *names)
 
 
 def packed_cells(cells: DataFrame, depth: int) -> DataFrame:

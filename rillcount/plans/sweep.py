@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillcount.functions.hashing import hash31
+from rillcount.functions.hashing import bucket
 from rillcount.operators.counters import Budget
 from rillcount.operators.exact import stream_total
 from rillcount.operators.linear import SketchShape
@@ -101,9 +101,9 @@ def sweep_count_min(totals: DataFrame, settings: Mapping[float, float], depth: i
             F.lit(row).alias("row"), F.lit(shape.width).cast("long").alias("width"),
             F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"))
         for param, shape in shapes.items() for row, (a, b) in enumerate(shape.coeffs)])).alias("h")
-    bucket = hash31(F.col("a"), F.col("b"), F.col("item")) % F.col("width")
+    cell = bucket(F.col("a"), F.col("b"), F.col("item"), F.col("width"))
     placed = totals.select("item", "total", generator).select("item", "total", "h.*").select(
-        "item", "total", "param", "phi", "row", bucket.alias("bucket"))
+        "item", "total", "param", "phi", "row", cell.alias("bucket"))
     cells = placed.groupBy("param", "row", "bucket").agg(F.sum("total").alias("c"))
     n = stream_total(totals).scalar()
     thr = (F.floor(F.col("phi") * n) + 1).cast("long")

@@ -25,13 +25,15 @@ def word_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(item, weight)``: every word of every document with its number of uses.
 
     Words are counted as text before they are hashed, so MD5 runs once per
-    distinct word and not once per token.
+    distinct word and not once per token. A word's id is never null; saying so keeps
+    joins on it from testing for nulls, and hashing, before the words are counted.
     """
     texts = spread(read_table(spark, sf_dir, "documents").select("text"))
     words = texts.select(
         F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("weight"))
-    return counted.select(string_id(F.col("word")).alias("item"), "weight")
+    item = F.coalesce(string_id(F.col("word")), F.lit(0))
+    return counted.select(item.alias("item"), "weight")
 
 
 def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:

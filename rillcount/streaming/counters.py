@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillcount.operators.counters import Budget, CounterSummary, item_shard
+from rillcount.operators.counters import Budget, CounterSummary, gather, item_shard
 
 STATE = "items array<long>, residuals array<long>, q long, weight long, seq long"
 OUTPUT = "shard int, seq long, item long, residual long, q long, weight long"
@@ -34,9 +34,11 @@ def _keep_summary(budget: Budget):
                 sums = sums - delta
                 sums, q = sums[sums > 0], q + delta
         state.update((sums.index.tolist(), sums.tolist(), q, weight, seq + 1))
+        kept = len(sums)
         yield pd.DataFrame({
             "shard": key[0], "seq": seq + 1, "item": [*sums.index.tolist(), None],
-            "residual": [*sums.tolist(), 0], "q": q, "weight": weight,
+            "residual": [*sums.tolist(), 0], "q": [0] * kept + [q],
+            "weight": [0] * kept + [weight],
         }).astype({"item": "Int64"})
 
     return step
@@ -59,12 +61,4 @@ def streaming_summary(updates: DataFrame, budget: Budget, shards: int, item: str
 def latest_summary(rows: DataFrame, budget: Budget) -> CounterSummary:
     """The whole-stream summary from what :func:`streaming_summary` has written."""
     newest = rows.groupBy("shard").agg(F.max("seq").alias("seq"))
-    current = rows.join(newest, ["shard", "seq"])
-    one = F.lit(0)
-    items = current.where("item is not null").groupBy("item").agg(
-        F.sum("residual").alias("residual")).select(one.alias("shard"), "item", "residual")
-    errors = current.where("item is null").agg(
-        F.coalesce(F.sum("q"), F.lit(0)).cast("long").alias("q"),
-        F.coalesce(F.sum("weight"), F.lit(0)).cast("long").alias("weight"),
-    ).select(one.alias("shard"), "q", "weight")
-    return CounterSummary(items, errors, budget).prune()
+    return gather(rows.join(newest, ["shard", "seq"]), budget)
