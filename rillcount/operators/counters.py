@@ -77,13 +77,25 @@ def item_shard(item: Column, shards: int) -> Column:
     return (hash31(SHARD_A, SHARD_B, key) % F.lit(shards)).cast("int")
 
 
-def _small(df: DataFrame, shards: int) -> DataFrame:
-    """Broadcast hint for one row per shard, behind a check of that bound."""
-    return F.broadcast(df) if fits_broadcast(df.sparkSession, shards, 48) else df
+def with_shard_values(df: DataFrame, side: DataFrame, columns: Sequence[str],
+                      shards: int) -> DataFrame:
+    """Add columns of a table with one row per shard, 0 for shards it does not have.
+
+    A single shard has single values, which come as scalar subqueries. Several are
+    joined, by broadcast if as many rows as shards fit.
+    """
+    if shards == 1:
+        return df.withColumns({
+            c: F.coalesce(side.select(c).scalar(), F.lit(0).cast("long")) for c in columns})
+    if fits_broadcast(df.sparkSession, shards, 48):
+        side = F.broadcast(side)
+    kept = [F.col(c) for c in df.columns]
+    return df.join(side.select("shard", *columns), "shard", "left").select(
+        *kept, *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in columns])
 
 
 def cut_points(items: DataFrame, budget: Budget) -> DataFrame:
-    """``(shard, delta)``: what a prune takes off the residuals of each shard.
+    """``(shard, delta, weight)``: what a prune takes off each residual, and their sum.
 
     Residuals are counted by value before they are ranked. Distinct positive
     values that sum to at most N number at most ``sqrt(2 N)``, which bounds what
@@ -98,7 +110,8 @@ def cut_points(items: DataFrame, budget: Budget) -> DataFrame:
     kth = F.max(F.when(F.col("above") >= budget.counters, F.col("residual")))
     over = F.sum("n") > budget.capacity
     return counted.groupBy("shard").agg(
-        F.coalesce(F.when(over, kth), F.lit(0)).cast("long").alias("delta"))
+        F.coalesce(F.when(over, kth), F.lit(0)).cast("long").alias("delta"),
+        F.sum(F.col("residual") * F.col("n")).cast("long").alias("weight"))
 
 
 @dataclass(frozen=True)
@@ -112,14 +125,15 @@ class CounterSummary:
 
     def prune(self) -> "CounterSummary":
         cuts = cut_points(self.items, self.budget)
-        kept = (
-            self.items.join(_small(cuts, self.shards), "shard")
+        errors = with_shard_values(self.errors, cuts, ["delta"], self.shards).select(
+            "shard", (F.col("q") + F.col("delta")).alias("q"), "weight")
+        return replace(self, items=self._above(cuts), errors=errors)
+
+    def _above(self, cuts: DataFrame) -> DataFrame:
+        return (
+            with_shard_values(self.items, cuts, ["delta"], self.shards)
             .select("shard", "item", (F.col("residual") - F.col("delta")).alias("residual"))
             .where(F.col("residual") > 0))
-        errors = (
-            self.errors.join(_small(cuts, self.shards), "shard", "left")
-            .select("shard", (F.col("q") + F.coalesce("delta", F.lit(0))).alias("q"), "weight"))
-        return replace(self, items=kept, errors=errors)
 
     def add(self, totals: DataFrame) -> "CounterSummary":
         """Add one epoch of ``(item, total)`` rows and prune if over capacity."""
@@ -160,32 +174,26 @@ class CounterSummary:
 
     def estimates(self) -> DataFrame:
         """``(item, est, lower, q)`` of the kept items; ``est`` is an upper bound."""
-        return self.items.join(_small(self.errors, self.shards), "shard").select(
+        return self.state().select(
             "item", (F.col("residual") + F.col("q")).alias("est"),
             F.col("residual").alias("lower"), "q")
 
     def point(self, queried: DataFrame, item: str = "item") -> DataFrame:
         """Add ``est``, ``lower`` and ``q``; items that are not kept get ``q`` and 0."""
-        keyed = queried.withColumn("_shard", item_shard(F.col(item), self.shards))
-        kept = self.items.select(
-            F.col("shard").alias("_s"), F.col("item").alias("_i"), "residual")
-        errors = self.errors.select(F.col("shard").alias("_e"), "q")
-        return (
-            keyed
-            .join(kept, (F.col(item) == F.col("_i")) & (F.col("_shard") == F.col("_s")), "left")
-            .join(_small(errors, self.shards), F.col("_shard") == F.col("_e"), "left")
-            .withColumn("lower", F.coalesce("residual", F.lit(0)).cast("long"))
-            .withColumn("q", F.coalesce("q", F.lit(0)).cast("long"))
-            .withColumn("est", F.col("lower") + F.col("q"))
-            .drop("_shard", "_s", "_i", "_e", "residual"))
+        kept = self.items.select(F.col("item").alias("_i"), "residual")
+        found = queried.join(kept, F.col(item) == F.col("_i"), "left").withColumn(
+            "shard", item_shard(F.col(item), self.shards))
+        lower = F.coalesce("residual", F.lit(0)).cast("long")
+        return with_shard_values(found, self.errors, ["q"], self.shards).select(
+            *queried.columns, lower.alias("lower"), "q", (lower + F.col("q")).alias("est"))
 
     def heavy_hitters(self, thr: Column) -> DataFrame:
         """``(item, est, lower, q)`` of kept items whose estimate reaches ``thr``."""
         return self.estimates().where(F.col("est") >= thr)
 
     def state(self) -> DataFrame:
-        """``(shard, item, residual, q)``, the form to write out."""
-        return self.items.join(_small(self.errors, self.shards), "shard").select(
+        """``(shard, item, residual, q)`` of the kept items."""
+        return with_shard_values(self.items, self.errors, ["q"], self.shards).select(
             "shard", "item", "residual", "q")
 
 
@@ -218,7 +226,10 @@ def merge(parts: Sequence[CounterSummary]) -> CounterSummary:
 
 def summarise(totals: DataFrame, budget: Budget, shards: int = 1) -> CounterSummary:
     """Summary of ``(item, total)`` rows, one per item, in item-disjoint shards."""
-    return _unpruned(totals, budget, shards).prune()
+    whole = _unpruned(totals, budget, shards)
+    cuts = cut_points(whole.items, budget)
+    errors = cuts.select("shard", F.col("delta").alias("q"), "weight")
+    return replace(whole, items=whole._above(cuts), errors=errors)
 
 
 def gather(partial: DataFrame, budget: Budget) -> CounterSummary:
