@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillcount.functions.hashing import hash31
+from rillcount.functions.hashing import bucket
 from rillcount.session import cut_lineage, fits_broadcast
 
 # Coefficients of the pairwise hash that assigns items to shards.
@@ -74,7 +74,7 @@ def item_shard(item: Column, shards: int) -> Column:
     if shards == 1:
         return F.lit(0)
     key = F.pmod(item, F.lit(1 << 32).cast("long"))
-    return (hash31(SHARD_A, SHARD_B, key) % F.lit(shards)).cast("int")
+    return bucket(SHARD_A, SHARD_B, key, shards).cast("int")
 
 
 def with_shard_values(df: DataFrame, side: DataFrame, columns: Sequence[str],
