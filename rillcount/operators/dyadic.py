@@ -18,12 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillcount.functions.hashing import (
-    bucket, coefficient_rows, coefficients, level_prefix, sign_hash,
+    bucket, coefficients, level_prefix, sign_hash,
 )
 from rillcount.operators.exact import WIDE, item_totals, stream_total
 from rillcount.operators.linear import (
-    COEFFICIENT_BYTES, WHOLE_CELL_BYTES, SketchShape, add_cells, item_cells, pick_sorted, probe,
-    row_values,
+    COEFFICIENT_BYTES, WHOLE_CELL_BYTES, SketchShape, add_cells, item_cells, pick_sorted,
+    place, probe, row_values,
 )
 from rillcount.session import cut_lineage
 
@@ -419,13 +419,9 @@ class DyadicCountSketch(_Levels):
         if self.stored is not None:
             return self._stored_level(level).select("row", "bucket", "c")
         x = level_prefix(F.col("item"), self.h.gran, level)
-        opened = self.totals.select(
-            x.alias("_x"), F.col("total").alias("_w"), coefficient_rows(self.coeffs))
-        cell = bucket(F.col("h.a"), F.col("h.b"), F.col("_x"), self.h.width)
-        signed = sign_hash(F.col("h.c"), F.col("h.d"), F.col("_x")) * F.col("_w")
-        placed = opened.select(
-            F.col("h.row").alias("row"), cell.alias("bucket"), signed.alias("_w"))
-        return placed.groupBy("row", "bucket").agg(F.sum("_w").alias("c"))
+        placed = place(self.totals, self.shape, x, F.col("total").alias("_w"), signs=self.coeffs)
+        return placed.groupBy("row", "bucket").agg(
+            F.sum(F.col("sign") * F.col("_w")).alias("c"))
 
     def _median(self, signed: list[Column]) -> Column:
         if len(signed) == 1:
@@ -435,9 +431,6 @@ class DyadicCountSketch(_Levels):
             return (s - F.pmod(s, F.lit(2)) + F.when((s < 0) & (s % 2 != 0), 2).otherwise(0)) / 2
         return pick_sorted(signed, self.h.depth // 2)
 
-    def _signs(self, x: Column) -> list[Column]:
-        return [sign_hash(c[2], c[3], x) for c in self.coeffs]
-
     def count(self, prefixes: DataFrame, level: int) -> DataFrame:
         """Add ``est`` to a table with ``prefix``: the median signed cell at ``level``.
 
@@ -446,18 +439,18 @@ class DyadicCountSketch(_Levels):
         if level >= self.h.levels:
             return prefixes.withColumn("est", self.total().scalar())
         names = [f"_c{r}" for r in range(self.h.depth)]
-        met = probe(prefixes, self.shape, self.level_cells(level), F.col("prefix"))
+        met = probe(prefixes, self.shape, self.level_cells(level), F.col("prefix"),
+                    signs=self.coeffs)
         found = met.groupBy(*prefixes.columns).agg(*row_values(F.col("c"), names))
-        return self._with_median(found, names, F.col("prefix"))
-
-    def _with_median(self, found: DataFrame, names: list[str], x: Column) -> DataFrame:
-        signed = [s * F.col(n) for s, n in zip(self._signs(x), names)]
-        return found.withColumn("est", self._median(signed).cast("long")).drop(*names)
+        est = self._median([F.col(n) for n in names])
+        return found.select(*prefixes.columns, est.cast("long").alias("est"))
 
     def point(self, items: DataFrame, item: str = "item") -> DataFrame:
         """Add ``est``, the estimated total of each item."""
         found, names = item_cells(items, self.shape, self.level_cells(0), F.col(item))
-        return self._with_median(found, names, F.col(item))
+        signed = [sign_hash(c[2], c[3], F.col(item)) * F.col(n)
+                  for c, n in zip(self.coeffs, names)]
+        return found.select(*items.columns, self._median(signed).cast("long").alias("est"))
 
     def heavy_hitters(self, thr: Column, cap: bool = False) -> DataFrame:
         """``(item, est)`` of ids whose own and whose ancestors' estimates reach ``thr``."""

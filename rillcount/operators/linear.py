@@ -7,13 +7,16 @@ a join of the item's buckets with the cells.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillcount.functions.hashing import bucket, bucket_hashes, coefficient_rows, coefficients
+from rillcount.functions.hashing import (
+    bucket, bucket_hashes, coefficient_rows, coefficients, sign_hash,
+)
 from rillcount.operators.exact import item_totals
 from rillcount.session import fits_broadcast
 
@@ -57,12 +60,18 @@ def add_cells(totals: DataFrame, shape: SketchShape, item: Column, weight: Colum
     return placed.groupBy("row", "bucket").agg(F.sum("_w").alias("c"))
 
 
-def place(rows: DataFrame, shape: SketchShape, item: Column, *kept: Column) -> DataFrame:
-    """``(row, bucket, *kept)``: every row of the input once per sketch row."""
-    opened = rows.select(item.alias("_x"), *kept, coefficient_rows(shape.coeffs))
+def place(rows: DataFrame, shape: SketchShape, item: Column, *kept: Column,
+          signs: Sequence[Sequence[int]] = ()) -> DataFrame:
+    """``(row, bucket, *kept)``: every row of the input once per sketch row.
+
+    ``signs`` gives all four coefficients of each sketch row; the item's ``sign`` in
+    that row is then added.
+    """
+    opened = rows.select(item.alias("_x"), *kept, coefficient_rows(signs or shape.coeffs))
     names = [c for c in opened.columns if c not in ("_x", "h")]
     cell = bucket(F.col("h.a"), F.col("h.b"), F.col("_x"), shape.width)
-    return opened.select(F.col("h.row").alias("row"), cell.alias("bucket"), *names)
+    sign = [sign_hash(F.col("h.c"), F.col("h.d"), F.col("_x")).alias("sign")] if signs else []
+    return opened.select(F.col("h.row").alias("row"), cell.alias("bucket"), *names, *sign)
 
 
 def packed_cells(cells: DataFrame, depth: int) -> DataFrame:
@@ -104,10 +113,11 @@ def item_cells(keys: DataFrame, shape: SketchShape, cells: DataFrame,
 
 
 def probe(keys: DataFrame, shape: SketchShape, cells: DataFrame, item: Column,
-          how: str = "left") -> DataFrame:
+          how: str = "left", signs: Sequence[Sequence[int]] = ()) -> DataFrame:
     """Every row of ``keys`` once per sketch row, with ``row`` and the cell ``c`` it meets.
 
     The cells, at most ``width * depth`` of them, are broadcast if that bound fits.
+    With ``signs``, cells come multiplied by the item's sign.
     """
     def cell() -> Column:
         return F.col("row") * F.lit(shape.width).cast("long") + F.col("bucket")
@@ -115,10 +125,12 @@ def probe(keys: DataFrame, shape: SketchShape, cells: DataFrame, item: Column,
     side = cells.select(cell().alias("_cell"), "c")
     if fits_broadcast(keys.sparkSession, shape.width * shape.depth, 40):
         side = F.broadcast(side)
-    placed = place(keys, shape, item, *[F.col(c) for c in keys.columns]).select(
-        *keys.columns, "row", cell().alias("_cell"))
-    return placed.join(side, "_cell", how).select(
-        *keys.columns, "row", F.coalesce("c", F.lit(0).cast(cells.schema["c"].dataType)).alias("c"))
+    placed = place(keys, shape, item, *[F.col(c) for c in keys.columns], signs=signs)
+    value = F.coalesce("c", F.lit(0).cast(cells.schema["c"].dataType))
+    if signs:
+        value = value * F.col("sign")
+    return placed.withColumn("_cell", cell()).join(side, "_cell", how).select(
+        *keys.columns, "row", value.alias("c"))
 
 
 def row_values(value: Column, names: list[str]) -> list[Column]:

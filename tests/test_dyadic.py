@@ -76,6 +76,22 @@ def test_stored_cells_answer_the_same(make, spark, tmp_path, kind):
     assert MIXED.max_cells >= direct.cells().count()
 
 
+@pytest.mark.parametrize("kind", [DyadicCountMin, DyadicCountSketch])
+def test_descent_without_broadcasts(make, spark, kind):
+    """Shuffled joins and a frontier spread over tasks give the same answer."""
+    h = Hierarchy(16, 8, 4096, 3, 4)
+    updates = stream(8, h.top)
+    tree = kind.build(make(updates, SCHEMA), h).store()
+    thr = F.lit(sum(w for _, w in updates) // 80)
+    want = sorted(map(tuple, tree.heavy_hitters(thr).collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, tree.heavy_hitters(thr).collect())) == want and want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_removals_hide_children_of_light_ancestors(make):
     """An id whose ancestor falls below the threshold is not reached."""
     h = Hierarchy(8, 2, 64, 4)
