@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.common import (
-    PARTS, PART_TREE, PHI_WORDS, WORD_SIGNED_TREE, WORD_TREE, WORDS, cells, found, h31, real, thr,
+    PARTS, PART_TREE, PHI_WORDS, WORD_SIGNED_TREE, WORD_TREE, WORDS, cells, found, h31, thr,
     values, with_, words,
 )
 from rillcount.functions import hashing

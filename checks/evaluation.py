@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.common import (
-    PHI_USERS, PHI_WORDS, USERS, WORD_SHAPE, WORD_SIGNED_TREE, WORD_TREE, WORDS, cells, found, h31,
-    kept_words, real, thr, users, values, with_, words,
+    PHI_USERS, PHI_WORDS, WORD_SHAPE, WORD_SIGNED_TREE, WORD_TREE, WORDS, cells, found, h31,
+    kept_words, real, thr, values, with_, words,
 )
 from checks.counters import summary_sql
 from checks.dyadic import heavy_sql, signed_heavy_sql
@@ -199,9 +199,6 @@ def run_sql():
 
 
 def comparison_sql():
-    def inner(sql):
-        return f"({sql})"
-
     def counter_sql(budget):
         return with_(WORDS, *summary_sql("words", budget)) + f"""
           SELECT item, (residual + q)::BIGINT AS est FROM items WHERE residual + q >= {WORD_THR}"""

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.common import (
-    PARTS, PHI_PARTS, PHI_USERS, PHI_WORDS, USERS, WORD_SHAPE, WORDS, h31, parts, real, thr, users,
-    with_, words,
+    PARTS, PHI_PARTS, PHI_USERS, PHI_WORDS, WORD_SHAPE, WORDS, h31, parts, real, thr, with_, words,
 )
 from rillcount.functions import hashing
 from rillcount.operators import exact
+from rillcount.operators.linear import place
 from rillcount.operators.order_stats import kth_smallest
 from rillcount.sources import tables
 
@@ -48,8 +48,6 @@ def threshold(spark, d):
 
 def coefficient_table(spark, d):
     """Every item's bucket in every row: the coefficients at work."""
-    from rillcount.operators.linear import place
-
     return place(words(spark, d), WORD_SHAPE, F.col("item"), F.col("item")).select(
         F.col("row").alias("r"), "bucket").groupBy("r", "bucket").agg(
         F.count(F.lit(1)).alias("items"))

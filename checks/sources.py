@@ -162,7 +162,6 @@ def zipf_sql(seed, ranks, s):
       SELECT pos, s.k AS k FROM d ASOF JOIN steps s ON d.u > s.lo"""
 
 
-UZ = f"(u * z)"
 FAST_SQL = f"""WITH zz AS (SELECT sum(pow(1.0::DOUBLE / i, {real(FAST_THETA)})) AS z FROM range(1, {FAST_N} + 1) t(i)),
   d AS (SELECT event_id AS pos, {u(2)} AS u FROM events),
   e AS (SELECT (1.0::DOUBLE - pow(2.0::DOUBLE / {FAST_N}, {real(1 - FAST_THETA)}))

@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from checks.common import (
-    PART_SHAPE, PART_TREE, PARTS, PHI_USERS, PRICES, SIGNED, SIGNED_SHAPE, USERS, cells, users, with_,
+    PART_SHAPE, PART_TREE, PHI_USERS, PRICES, SIGNED, SIGNED_SHAPE, USERS, cells, users, with_,
 )
 from checks.counters import EXACT_OK, verdict
 from checks.dyadic import build_sql
 from rillcount.operators import lossy
 from rillcount.operators.counters import Budget
-from rillcount.operators.dyadic import Hierarchy
+from rillcount.operators.dyadic import DyadicCountSketch, Hierarchy
 from rillcount.sources import tables
 from rillcount.streaming import counters, runs, sketches
 
@@ -66,8 +66,6 @@ def levels(spark, d):
 
 def signed_levels(spark, d):
     """Streamed and batch-built Count Sketch cells, subtracted: nothing may remain."""
-    from rillcount.operators.dyadic import DyadicCountSketch
-
     h = USER_TREE
     state = sketches.streaming_level_cells(events(spark, d), h, signed=True)
     streamed = sketches.run_to_memory(state, name("signs"), h.levels * h.width * h.depth + 1)

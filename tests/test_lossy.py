@@ -1,8 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from rillcount.operators import lossy
 from rillcount.operators.order_stats import kth_smallest
 
