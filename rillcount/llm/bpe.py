@@ -16,6 +16,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -166,6 +167,12 @@ class BatchEncoder:
         return [self._mixed(t) if k in odd else found for (k, t), found in zip(enumerate(texts), plain)]
 
 
+@lru_cache(maxsize=2)
+def batch_encoder(path: str) -> BatchEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return BatchEncoder(path)
+
+
 def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row.
 
@@ -173,7 +180,7 @@ def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     other columns are not read; an empty table gives no rows.
     """
     def run(batches) -> Iterator[pa.RecordBatch]:
-        encoder = BatchEncoder(tokenizer)
+        encoder = batch_encoder(tokenizer)
         sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
         for batch in text_batches(batches):
             counts, ids, decoded = zip(*encoder.encode(batch.column("text").to_pylist()))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillcount.llm.tokens import TextEncoder, text_batches
+from rillcount.llm.tokens import text_batches, text_encoder
 
 
 @dataclass(frozen=True)
@@ -155,7 +155,7 @@ def pack_examples(
             yield doc_id, np.append(ids[first:at], np.uint32(end_id)), np.concatenate([[0], np.cumsum(marks)])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        encoder, sequence = TextEncoder(tokenizer), TaskContext.get().partitionId() << 40
+        encoder, sequence = text_encoder(tokenizer), TaskContext.get().partitionId() << 40
         held, tokens = [], 0
 
         def packed():

@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from array import array as pack
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -137,3 +138,9 @@ class TextEncoder:
         ends = np.cumsum(each)
         taken = np.repeat(starts[which] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)
         return flat[taken], ends[offsets[1:] - 1]
+
+
+@lru_cache(maxsize=2)
+def text_encoder(path: str) -> TextEncoder:
+    """One encoder for all tasks of a Python worker, which keeps the pieces that it has met."""
+    return TextEncoder(path)

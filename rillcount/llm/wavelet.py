@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillcount.llm.common import running_starts
-from rillcount.llm.tokens import TextEncoder, text_batches
+from rillcount.llm.tokens import text_batches, text_encoder
 
 #: Bits between two stored counts.
 BLOCK = 512
@@ -149,7 +149,7 @@ class WaveletMatrix:
 
 def _shards(path: str, end_id: int, shard_tokens: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = TextEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, seq = text_encoder(path), TaskContext.get().partitionId(), 0
         doc_ids, sizes, parts, held = [], [], [], 0
 
         def shard():
