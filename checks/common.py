@@ -45,9 +45,9 @@ def parts(spark, sf_dir):
 
 # Each stream as the body of a WITH clause entry with columns item, total.
 WORDS = """words AS (
-  SELECT ('0x' || substr(md5(w), 1, 8))::BIGINT AS item, count(*)::BIGINT AS total
-  FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents)
-  GROUP BY 1)"""
+  SELECT (row_number() OVER (PARTITION BY class ORDER BY w) - 1) * 4096 + class AS item, total
+  FROM (SELECT w, ('0x' || substr(md5(w), 1, 3))::BIGINT AS class, count(*)::BIGINT AS total
+    FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS w FROM documents) GROUP BY 1))"""
 USERS = """users AS (
   SELECT user_id AS item, count(*)::BIGINT AS total FROM events GROUP BY 1)"""
 SIGNED = """signed AS (

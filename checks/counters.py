@@ -54,7 +54,7 @@ def im_collapsed(spark, d):
 
 
 def dim_epochs(spark, d):
-    epochs = exact.run_slices(tables.user_events(spark, d), DIM_EPOCHS)
+    epochs = exact.run_slices(tables.user_events(spark, d), DIM_EPOCHS, include_tail=False)
     return counters.dim_sum([exact.item_totals(e) for e in epochs], DIM_PHI, 0.5)
 
 
@@ -137,15 +137,15 @@ def sizes(spark, d):
 
 
 def lossy_build(spark, d):
-    return lossy.lossy_count(tables.user_events(spark, d), PHI_USERS).select("item", "est")
+    return lossy.lossy_count(tables.user_events(spark, d), PHI_USERS, include_tail=False).select("item", "est")
 
 
 def lossy_signed(spark, d):
-    return lossy.lossy_count(tables.signed_events(spark, d), PHI_USERS).select("item", "est")
+    return lossy.lossy_count(tables.signed_events(spark, d), PHI_USERS, include_tail=False).select("item", "est")
 
 
 def lossy_point(spark, d):
-    counts = lossy.lossy_count(tables.user_events(spark, d), PHI_USERS)
+    counts = lossy.lossy_count(tables.user_events(spark, d), PHI_USERS, include_tail=False)
     return lossy.lossy_point(counts, users(spark, d).select("item"))
 
 
@@ -155,18 +155,18 @@ def lossy_tail(spark, d):
 
 
 def lossy_heavy(spark, d):
-    counts = lossy.lossy_count(tables.user_events(spark, d), PHI_USERS)
+    counts = lossy.lossy_count(tables.user_events(spark, d), PHI_USERS, include_tail=False)
     return lossy.lossy_heavy_hitters(
         counts, exact.heavy_threshold(users(spark, d), PHI_USERS)).select("item", "est")
 
 
 def delta_build(spark, d):
     return lossy.lossy_count(
-        tables.user_events(spark, d), PHI_USERS, with_delta=True).select("item", "est", "lower")
+        tables.user_events(spark, d), PHI_USERS, with_delta=True, include_tail=False).select("item", "est", "lower")
 
 
 def delta_heavy(spark, d):
-    counts = lossy.lossy_count(tables.user_events(spark, d), PHI_USERS, with_delta=True)
+    counts = lossy.lossy_count(tables.user_events(spark, d), PHI_USERS, with_delta=True, include_tail=False)
     return lossy.lossy_heavy_hitters(
         counts, exact.heavy_threshold(users(spark, d), PHI_USERS)).select("item", "est", "lower")
 

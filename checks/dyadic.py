@@ -283,7 +283,7 @@ def _cm_bytes(h):
     low = h.exact_from
     counts = low * h.width * h.depth * 4 + sum(
         (1 << (h.gran * (h.levels - i))) * 4 for i in range(low, h.levels))
-    return 56 + 16 * h.levels + counts + (h.levels - low) * h.depth * 8
+    return 56 + 16 * h.levels + counts + low * h.depth * 8
 
 
 CHECKS = {
@@ -322,6 +322,6 @@ CHECKS = {
         SELECT (list_sort(list(m)))[{WORD_SIGNED_TREE.depth // 2 + 1}]::BIGINT AS est
         FROM (SELECT r, sum(c * c) AS m FROM s0 GROUP BY 1)"""),
     "c6_cs_size": (signed_size, with_(WORDS, *[signed_cells(l) for l in range(4)]) + f"""
-        SELECT {33 * 8 + 5 * 2000 * 10 * 4 + 10 * 16 + 64}::BIGINT AS bytes,
+        SELECT {33 * 8 + 4 * 2000 * 10 * 4 + 10 * 16 + 64}::BIGINT AS bytes,
           ({' + '.join(f'(SELECT count(*) FROM s{l})' for l in range(4))})::BIGINT AS stored_cells"""),
 }

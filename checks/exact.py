@@ -61,6 +61,13 @@ def heavy(spark, d):
     return exact.exact_heavy_hitters(words(spark, d), PHI_WORDS)
 
 
+def word_ids(spark, d):
+    """As many ids as there are different words, and all their uses."""
+    found = tables.word_totals(spark, d)
+    return found.agg(F.count(F.lit(1)).alias("words"), F.countDistinct("item").alias("ids"),
+                     F.sum("weight").alias("uses"))
+
+
 def runs(spark, d):
     cut = exact.split_runs(tables.user_events(spark, d), 7)
     return cut.groupBy("run").agg(
@@ -79,6 +86,11 @@ def cumulative(spark, d):
     return exact.cumulative_heavy_hitters(cut, PHI_USERS)
 
 
+def cumulative_signed(spark, d):
+    cut = exact.split_runs(tables.signed_events(spark, d), RUNS)
+    return exact.cumulative_heavy_hitters(cut, PHI_USERS)
+
+
 def turnstile(spark, d):
     return exact.item_totals(tables.signed_events(spark, d))
 
@@ -131,13 +143,25 @@ CHECKS = {
         GROUP BY 1, 2"""),
     "e1_item_totals": (ingest, with_(PARTS) + "SELECT item, total FROM parts"),
     "e2_exact_heavy_hitters": (heavy, with_(WORDS) + f"SELECT item, total FROM words WHERE total >= {thr(PHI_WORDS, 'words')}"),
-    "e3_split_runs": (runs, """SELECT (event_id // size)::INT AS run, count(*) AS n, min(event_id) AS first, max(event_id) AS last
-        FROM events, (SELECT count(*) // 7 AS size FROM events) WHERE event_id // size < 7 GROUP BY 1"""),
+    "e2_word_ids": (word_ids, """SELECT count(DISTINCT w) AS words, count(DISTINCT w) AS ids, count(*) AS uses
+        FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS w FROM documents)"""),
+    "e3_split_runs": (runs, """SELECT least(event_id // size, 6)::INT AS run, count(*) AS n, min(event_id) AS first, max(event_id) AS last
+        FROM events, (SELECT count(*) // 7 AS size FROM events) GROUP BY 1"""),
     "e3_dense_position": (positions, """SELECT o_orderkey * 7 + 3 AS key,
         row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders"""),
     "e4_cumulative_heavy_hitters": (cumulative, f"""WITH {RUN_SQL}
         SELECT c.run::INT AS run, item, total::BIGINT AS total, thr
         FROM cum c JOIN thrs t ON t.run = c.run WHERE total >= thr"""),
+    "e4_cumulative_signed": (cumulative_signed, f"""WITH s AS (
+          SELECT least(event_id // (SELECT count(*) // {RUNS} FROM events), {RUNS - 1})::INT AS run, user_id AS item,
+            CASE WHEN event_id % 5 = 0 THEN -1 ELSE 1 END AS w FROM events),
+        grid AS (SELECT r.run, i.item, coalesce(sum(s.w), 0)::BIGINT AS total
+          FROM (SELECT DISTINCT run FROM s) r CROSS JOIN (SELECT DISTINCT item FROM s) i
+          LEFT JOIN s ON s.item = i.item AND s.run <= r.run GROUP BY 1, 2),
+        thrs AS (SELECT run, floor({real(PHI_USERS)} * sum(total))::BIGINT + 1 AS thr FROM grid GROUP BY 1),
+        seen AS (SELECT item, min(run) AS since FROM s GROUP BY 1)
+        SELECT run, item, total, thr FROM grid JOIN thrs USING (run) JOIN seen USING (item)
+        WHERE run >= since AND total >= thr"""),
     "e5_turnstile": (turnstile, """SELECT user_id AS item,
         sum(CASE WHEN event_id % 5 = 0 THEN -1 ELSE 1 END)::BIGINT AS total FROM events GROUP BY 1"""),
     "e6_second_moment": (moments, with_(PARTS) + "SELECT sum(total * total)::BIGINT AS f2 FROM parts"),

@@ -23,12 +23,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillcount.functions.hashing import bucket
+from rillcount.functions.hashing import bucket, coefficients
 from rillcount.session import cut_lineage, fits_broadcast
 
-# Coefficients of the pairwise hash that assigns items to shards.
-SHARD_A = 151261303
-SHARD_B = 6722461
+# Coefficients of the pairwise hash that assigns items to shards.
+SHARD_A, SHARD_B = coefficients(31, 1, 2)[0]
 
 # Bytes of the record, of one counter and of one pointer in the
 # dense form of each summary; tables are hashed with three slots per counter.

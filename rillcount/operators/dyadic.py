@@ -191,7 +191,8 @@ class _Levels:
         """
         if per_item_first:
             return cls(h, item_totals(updates, item, weight))
-        return cls(h, updates.select(F.col(item).alias("item"), F.col(weight).alias("total")))
+        return cls(h, updates.where(F.col(item).isNotNull()).select(
+            F.col(item).alias("item"), F.col(weight).alias("total")))
 
     @classmethod
     def from_cells(cls, h: Hierarchy, cells: DataFrame):
@@ -267,11 +268,10 @@ class DyadicCountMin(_Levels):
             F.min("c").alias("est"), F.count(F.lit(1)).alias("_n")
         ).where(F.col("_n") == shape.depth).drop("_n")
 
-    def heavy_hitters(self, thr: Column, cap: bool = False) -> DataFrame:
+    def heavy_hitters(self, thr: Column) -> DataFrame:
         """``(item, est)`` of all ids whose estimate and all of whose ancestors reach ``thr``.
 
-        ``thr`` must be positive. ``cap`` keeps the first ``width`` items in id
-        order.
+        ``thr`` must be positive.
         """
         h = self.h
         level = h.exact_from
@@ -285,8 +285,7 @@ class DyadicCountMin(_Levels):
             level -= 1
             opened = _children(_spread_frontier(frontier, h), h, level)
             frontier = self._survivors(opened, level, thr)
-        hitters = frontier.select(F.col("prefix").alias("item"), "est")
-        return hitters.orderBy("item").limit(h.width) if cap else hitters
+        return frontier.select(F.col("prefix").alias("item"), "est")
 
     def _exact_frontier(self, thr: Column) -> DataFrame:
         """Prefixes of the lowest exact level that reach ``thr`` with all their ancestors.
@@ -382,7 +381,7 @@ class DyadicCountMin(_Levels):
         counts = sketched * h.width * h.depth * WHOLE_CELL_BYTES + sum(
             (1 << (h.gran * (h.levels - i))) * WHOLE_CELL_BYTES
             for i in range(sketched, h.levels))
-        hashes = (h.levels - sketched) * h.depth * 2 * COEFFICIENT_BYTES
+        hashes = sketched * h.depth * 2 * COEFFICIENT_BYTES
         dense = CM_HEADER_BYTES + 2 * h.levels * POINTER_BYTES + counts + hashes
         return self.cells().where(F.col("level") < h.levels).agg(
             F.lit(dense).cast("long").alias("bytes"), F.count(F.lit(1)).alias("stored_cells"))
@@ -428,7 +427,7 @@ class DyadicCountSketch(_Levels):
             return signed[0]
         if len(signed) == 2:
             s = signed[0] + signed[1]
-            return (s - F.pmod(s, F.lit(2)) + F.when((s < 0) & (s % 2 != 0), 2).otherwise(0)) / 2
+            return F.call_function("div", s, F.lit(2))
         return pick_sorted(signed, self.h.depth // 2)
 
     def count(self, prefixes: DataFrame, level: int) -> DataFrame:
@@ -452,7 +451,7 @@ class DyadicCountSketch(_Levels):
                   for c, n in zip(self.coeffs, names)]
         return found.select(*items.columns, self._median(signed).cast("long").alias("est"))
 
-    def heavy_hitters(self, thr: Column, cap: bool = False) -> DataFrame:
+    def heavy_hitters(self, thr: Column) -> DataFrame:
         """``(item, est)`` of ids whose own and whose ancestors' estimates reach ``thr``."""
         h = self.h
         frontier = self.total().select(
@@ -461,8 +460,7 @@ class DyadicCountSketch(_Levels):
         for level in reversed(range(h.levels)):
             opened = _children(_spread_frontier(frontier, h), h, level)
             frontier = self.count(opened, level).where(F.col("est") >= thr)
-        hitters = frontier.select(F.col("prefix").alias("item"), "est")
-        return hitters.orderBy("item").limit(h.width) if cap else hitters
+        return frontier.select(F.col("prefix").alias("item"), "est")
 
     def second_moment(self) -> DataFrame:
         """One row ``(est)``: median row-wise sum of squares at level 0."""
@@ -479,7 +477,7 @@ class DyadicCountSketch(_Levels):
         """One row: bytes of the dense form."""
         h = self.h
         dense = ((h.bits + 1) * POINTER_BYTES
-                 + (1 + h.bits // h.gran) * h.width * h.depth * WHOLE_CELL_BYTES
+                 + h.levels * h.width * h.depth * WHOLE_CELL_BYTES
                  + h.depth * 4 * COEFFICIENT_BYTES + CS_HEADER_BYTES)
         return self.cells().where(F.col("level") < h.levels).agg(
             F.lit(dense).cast("long").alias("bytes"), F.count(F.lit(1)).alias("stored_cells"))

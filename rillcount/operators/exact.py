@@ -92,32 +92,35 @@ def dense_position(df: DataFrame, key: str, ranges: int | None = None) -> DataFr
 
 
 def split_runs(
-    updates: DataFrame, runs: int, pos: str = "pos", include_tail: bool = False
+    updates: DataFrame, runs: int, pos: str = "pos", include_tail: bool = True
 ) -> DataFrame:
     """Add ``run``: equal contiguous pieces of ``n div runs`` updates each.
 
     ``pos`` holds the dense 0-based position. The remainder after the last full
-    run is dropped unless ``include_tail`` puts it into the last run.
+    run belongs to the last run; without ``include_tail`` it is left out.
     """
     n = updates.agg(F.count(F.lit(1)).alias("n")).scalar()
     size = F.greatest(F.floor(n / F.lit(runs)), F.lit(1)).cast("long")
-    run = F.floor(F.col(pos) / size).cast("long")
+    run = F.call_function("div", F.col(pos), size)
     cut = updates.withColumn("run", run)
     if include_tail:
         return cut.withColumn("run", F.least("run", F.lit(runs - 1)).cast("int"))
     return cut.where(F.col("run") < runs).withColumn("run", F.col("run").cast("int"))
 
 
-def run_slices(updates: DataFrame, runs: int, pos: str = "pos") -> list[DataFrame]:
+def run_slices(updates: DataFrame, runs: int, pos: str = "pos", include_tail: bool = True) -> list[DataFrame]:
     """The runs of :func:`split_runs` as one DataFrame each.
 
     Counts the updates first, so that every slice is a plain range of positions,
     which reaches the scan and lets it skip the files and row groups of other runs.
     """
     size = max(updates.count() // runs, 1)
-    return [
+    slices = [
         updates.where((F.col(pos) >= r * size) & (F.col(pos) < (r + 1) * size))
         for r in range(runs)]
+    if include_tail:
+        slices[-1] = updates.where(F.col(pos) >= (runs - 1) * size)
+    return slices
 
 
 def run_thresholds(per_run: DataFrame, phi: float) -> DataFrame:
@@ -134,10 +137,10 @@ def cumulative_heavy_hitters(
 ) -> DataFrame:
     """``(run, item, total, thr)``: exact heavy hitters after every run.
 
-    An item's running total changes only in runs where it occurs. The threshold
-    never falls while weights are not negative, so a total that misses it when it
-    was last updated misses it until the next update, and only the surviving
-    stretches are opened into one row per run.
+    An item's running total changes only in runs where it occurs. A total below the lowest
+    threshold of its own and all later runs is below until the next update, so only the
+    surviving stretches are opened into one row per run. With weights that are not
+    negative, that lowest threshold is the run's own.
     """
     per_run = runs.groupBy("run", F.col(item).alias("item")).agg(F.sum(weight).alias("w"))
     thresholds = run_thresholds(per_run, phi)
@@ -148,9 +151,11 @@ def cumulative_heavy_hitters(
         F.lead("run").over(by_item).alias("_next"),
     )
     last_run = thresholds.agg(F.max("run").alias("r")).scalar()
+    later = Window.orderBy("run").rowsBetween(0, Window.unboundedFollowing)
+    lowest = thresholds.select("run", F.min("thr").over(later).alias("low"))
     hot = (
-        stretches.join(thresholds, "run")
-        .where(F.col("total") >= F.col("thr"))
+        stretches.join(lowest, "run")
+        .where(F.col("total") >= F.col("low"))
         .select("item", "total", F.explode(
             F.sequence("run", F.coalesce(F.col("_next") - 1, last_run))).alias("run"))
     )

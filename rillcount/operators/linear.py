@@ -56,7 +56,7 @@ def add_cells(totals: DataFrame, shape: SketchShape, item: Column, weight: Colum
     All rows of an item come out of one generator, and the sum has a map-side
     half, so a task sends at most ``width * depth`` rows to the shuffle.
     """
-    placed = place(totals, shape, item, weight.alias("_w"))
+    placed = place(totals.where(item.isNotNull()), shape, item, weight.alias("_w"))
     return placed.groupBy("row", "bucket").agg(F.sum("_w").alias("c"))
 
 
@@ -91,7 +91,8 @@ def item_cells(keys: DataFrame, shape: SketchShape, cells: DataFrame,
     The packed cells have at most ``width`` rows. When that bound fits the
     session's broadcast limit, every row of the sketch probes the same broadcast
     table and the keys are not shuffled at all. Beyond it, the cells of each
-    distinct item are gathered by one shuffled join and joined back.
+    distinct item are gathered by one shuffled join and joined back. A null item
+    has null cells either way.
     """
     zero = F.lit(0).cast(cells.schema["c"].dataType)
     names = [f"_c{r}" for r in range(shape.depth)]
@@ -109,7 +110,8 @@ def item_cells(keys: DataFrame, shape: SketchShape, cells: DataFrame,
         side = packed.select(F.col("bucket").alias(f"_k{r}"), F.col("cs").alias(f"_s{r}"))
         found = found.join(side, F.col(f"_b{r}") == F.col(f"_k{r}"), "left")
     return found.select(*kept, *[
-        F.coalesce(F.col(f"_s{r}")[r], zero).alias(name) for r, name in enumerate(names)]), names
+        F.when(item.isNotNull(), F.coalesce(F.col(f"_s{r}")[r], zero)).alias(name)
+        for r, name in enumerate(names)]), names
 
 
 def probe(keys: DataFrame, shape: SketchShape, cells: DataFrame, item: Column,

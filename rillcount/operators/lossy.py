@@ -34,25 +34,25 @@ def epoch_counts(updates: DataFrame, w: int, item: str = "item", weight: str = "
                  pos: str = "pos") -> DataFrame:
     """``(item, epoch, n)``: count-based epochs of ``w`` updates, from 0."""
     return updates.groupBy(
-        F.col(item).alias("item"), F.floor(F.col(pos) / F.lit(w)).cast("long").alias("epoch")
+        F.col(item).alias("item"), F.call_function("div", F.col(pos), F.lit(w)).alias("epoch")
     ).agg(F.sum(weight).alias("n"))
 
 
 def full_epochs(updates: DataFrame, w: int) -> Column:
     """Scalar column: how many epochs are complete."""
     n = updates.agg(F.count(F.lit(1)).alias("n"))
-    return n.select(F.floor(F.col("n") / F.lit(w)).cast("long").alias("epochs")).scalar()
+    return n.select(F.call_function("div", F.col("n"), F.lit(w)).alias("epochs")).scalar()
 
 
 def lossy_count(updates: DataFrame, phi: float, with_delta: bool = False,
-                include_tail: bool = False) -> DataFrame:
+                include_tail: bool = True) -> DataFrame:
     """``(item, kept, est, lower)`` of the items still held at the end of the stream.
 
     ``updates`` has ``item``, ``weight`` (-1 removes) and the dense position
     ``pos``. ``est`` is the kept count plus the number of epochs and never below
-    the truth over the full epochs; ``lower`` counts the uses since the item was
-    last entered. The unfinished last epoch is left out; ``include_tail`` adds its
-    uses to the estimates and brings back items used in it.
+    the truth; ``lower`` counts the uses since the item was last entered. Uses in the
+    unfinished last epoch are added to the estimates and bring back items used in
+    it; without ``include_tail`` they are left out.
     """
     w = window_size(phi, with_delta)
     per_epoch = epoch_counts(updates, w)

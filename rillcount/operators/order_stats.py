@@ -31,7 +31,7 @@ def kth_smallest(df: DataFrame, groups: Sequence[str], value: str, k: int | Colu
         *keys, (k + F.lit(1 if zero_based else 0)).cast("long").alias("rank"), "size"
     ).where((F.col("rank") >= 1) & (F.col("rank") <= F.col("size"))).drop("size")
     joined = counted.join(state, keys)
-    for shift in range(bits - DIGIT_BITS, -1, -DIGIT_BITS):
+    for shift in [*range(bits - DIGIT_BITS, 0, -DIGIT_BITS), 0]:
         digits = joined.groupBy(
             *keys, "rank", F.shiftright("value", shift).alias("prefix")
         ).agg(F.sum("n").alias("m"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillcount.functions.hashing import string_id
 
+# Word ids end in the number of one of so many classes.
+WORD_CLASSES = 4096
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,16 +27,19 @@ def spread(df: DataFrame) -> DataFrame:
 def word_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(item, weight)``: every word of every document with its number of uses.
 
-    Words are counted as text before they are hashed, so MD5 runs once per
-    distinct word and not once per token. A word's id is never null; saying so keeps
-    joins on it from testing for nulls, and hashing, before the words are counted.
+    A word is a run of letters of any script, lower-cased. Words are counted as text, so
+    no two share an id: the classes of their MD5 number them in alphabetical order,
+    class by class. Ids stay below 2^32 for up to 2^20 words in a class. They are never null;
+    saying so keeps joins on them from testing for nulls before the words are counted.
     """
     texts = spread(read_table(spark, sf_dir, "documents").select("text"))
     words = texts.select(
-        F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+        F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("weight"))
-    item = F.coalesce(string_id(F.col("word")), F.lit(0))
-    return counted.select(item.alias("item"), "weight")
+    in_class = Window.partitionBy("class").orderBy("word")
+    item = (F.row_number().over(in_class) - 1).cast("long") * WORD_CLASSES + F.col("class")
+    return counted.withColumn("class", string_id(F.col("word"), 12)).select(
+        F.coalesce(item, F.lit(0)).alias("item"), "weight")
 
 
 def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:

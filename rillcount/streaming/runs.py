@@ -1,8 +1,10 @@
 """Exact counts per run of a stream, with runs cut by position.
 
-The position of an update serves as its event time, one second per update, so a
-run is a tumbling window. A run is written out when the watermark has passed its
-end, that is when a later update has been seen, and its state is then dropped.
+:func:`collect_runs` sums every micro-batch by run and item and appends the sums to a table;
+sums of one run add up on reading, so that no update is too late and the last run is
+there as soon as it begins. :func:`run_increments` keeps state instead: the position
+serves as event time, one second per update, a run is a tumbling window and comes out once, when the
+watermark has passed its end. What is later than ``lateness`` positions is then lost.
 """
 
 from __future__ import annotations
@@ -40,6 +42,28 @@ def run_increments(updates: DataFrame, run_size: int, lateness: int = 0, item: s
         F.floor(start / F.lit(run_size)).cast("int").alias("run"), "item", "w")
 
 
+def collect_runs(updates: DataFrame, run_size: int, path: str | None = None, item: str = "item",
+                 weight: str = "weight", pos: str = "pos") -> DataFrame:
+    """``(run, item, w)`` of all updates of a stream, read back from a table on shared storage.
+
+    Each micro-batch overwrites a folder of its own, so one that is repeated counts once.
+    """
+    spark = updates.sparkSession
+    path = path or scratch_path(spark, "runs")
+    run = F.call_function("div", F.col(pos), F.lit(run_size)).cast("int")
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.groupBy(run.alias("run"), F.col(item).alias("item")).agg(
+            F.sum(weight).alias("w")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = updates.writeStream.foreachBatch(append).option(
+        "checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    kinds = dict(updates.dtypes)
+    parts = spark.read.schema(f"run int, item {kinds[item]}, w {kinds[weight]}, batch long").parquet(path)
+    return parts.groupBy("run", "item").agg(F.sum("w").alias("w"))
+
+
 def run_to_table(rows: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Append a stream's rows to a parquet table on shared storage until input ends."""
     spark = rows.sparkSession

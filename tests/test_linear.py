@@ -146,15 +146,38 @@ TINY = [(1, 5, 0), (2, 3, 1), (1, 2, 2), (3, 1, 3), (4, 1, 4), (1, 1, 5)]
 
 def test_runs_of_the_tiny_stream(make):
     tiny = make(TINY, "item long, weight long, pos long")
-    assert {r.run: r.n for r in split_runs(tiny, 4).groupBy("run").agg(
+    assert {r.run: r.n for r in split_runs(tiny, 4, include_tail=False).groupBy("run").agg(
         F.count("*").alias("n")).collect()} == {0: 1, 1: 1, 2: 1, 3: 1}
-    assert split_runs(tiny, 4, include_tail=True).count() == 6
-    assert [sorted(r.pos for r in s.collect()) for s in run_slices(tiny, 4)] == [[0], [1], [2], [3]]
+    assert split_runs(tiny, 4).count() == 6
+    whole, cut = run_slices(tiny, 4), run_slices(tiny, 4, include_tail=False)
+    assert [sorted(r.pos for r in s.collect()) for s in whole] == [[0], [1], [2], [3, 4, 5]]
+    assert [sorted(r.pos for r in s.collect()) for s in cut] == [[0], [1], [2], [3]]
     got = cumulative_heavy_hitters(split_runs(tiny, 3), 0.2).collect()
     assert {(r.run, r.item, r.total) for r in got} == {
         (0, 1, 5), (0, 2, 3), (1, 1, 7), (1, 2, 3), (2, 1, 8), (2, 2, 3)}
 
 
+def test_cumulative_heavy_hitters_after_removals(make):
+    """A falling threshold makes an item heavy that was not used since."""
+    rows = make([(0, 1, 10), (0, 2, 4), (1, 1, -8)], "run int, item long, weight long")
+    got = {(r.run, r.item, r.total) for r in cumulative_heavy_hitters(rows, 0.4).collect()}
+    assert got == {(0, 1, 10), (1, 2, 4)}
+
+
+@pytest.mark.parametrize("limit", ["10485760", "-1"])
+def test_null_items_are_alike_on_every_path(spark, make, limit):
+    rows = make([(1, 5), (None, 7), (2, 3)], "item long, weight long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        for first in (True, False):
+            sketch = CountMin.build(rows, SketchShape(16, 3), per_item_first=first)
+            assert sketch.total().first().n == 8
+            assert {r.item: r.est for r in sketch.point(rows.select("item")).collect()} == {1: 5, 2: 3, None: None}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_cumulative_heavy_hitters_match_plain_python(make):
     rng = random.Random(9)
     rows = [(rng.choice([1, 2, 3, 4, 5 + i % 40]), rng.randint(1, 5), i) for i in range(600)]

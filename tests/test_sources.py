@@ -19,14 +19,16 @@ def pairs(df):
 
 def test_trace_stops_at_the_first_bad_line(spark, tmp_path):
     path = write(tmp_path / "t.txt", "5 10\n\n 6\t20 \n7 x\n8 30\n")
-    assert pairs(trace.read_weighted_trace(spark, path)) == [(5, 10), (6, 20)]
+    assert pairs(trace.read_weighted_trace(spark, path, stop_at_bad=True)) == [(5, 10), (6, 20)]
+    assert pairs(trace.read_weighted_trace(spark, path)) == [(5, 10), (6, 20), (8, 30)]
     assert [r.line for r in trace.rejected_lines(spark, path).collect()] == ["7 x"]
 
 
 @pytest.mark.parametrize("bad", ["7 0", "7 -1", "7", "7 1 2"])
 def test_trace_refuses_what_is_not_an_update(spark, tmp_path, bad):
     path = write(tmp_path / "t.txt", f"5 10\n{bad}\n8 30\n")
-    assert pairs(trace.read_weighted_trace(spark, path)) == [(5, 10)]
+    assert pairs(trace.read_weighted_trace(spark, path, stop_at_bad=True)) == [(5, 10)]
+    assert pairs(trace.read_weighted_trace(spark, path)) == [(5, 10), (8, 30)]
 
 
 def test_trace_cap_is_a_prefix(spark, tmp_path):
@@ -34,7 +36,8 @@ def test_trace_cap_is_a_prefix(spark, tmp_path):
     assert pairs(trace.read_weighted_trace(spark, path, cap=19)) == [(1, 4), (2, 4), (3, 10)]
     assert pairs(trace.read_weighted_trace(spark, path, cap=18)) == [(1, 4), (2, 4)]
     near = write(tmp_path / "n.txt", f"1 {trace.WEIGHT_CAP - 1}\n2 1\n")
-    assert pairs(trace.read_weighted_trace(spark, near)) == [(1, trace.WEIGHT_CAP - 1)]
+    assert pairs(trace.read_weighted_trace(spark, near, cap=trace.WEIGHT_CAP)) == [(1, trace.WEIGHT_CAP - 1)]
+    assert len(pairs(trace.read_weighted_trace(spark, near))) == 2
 
 
 def test_trace_cut_over_many_splits(spark, tmp_path):

@@ -62,6 +62,14 @@ def test_runs_are_written_when_complete(arrivals):
     assert totals[9, 7] == sum(w for i, w, p in rows if i == 7 and p < 1000)
 
 
+def test_collected_runs_lose_no_update(arrivals):
+    stream, rows = arrivals
+    want = {}
+    for item, weight, pos in rows:
+        want[pos // 100, item] = want.get((pos // 100, item), 0) + weight
+    assert {(r.run, r.item): r.w for r in runs.collect_runs(stream, 100).collect()} == want
+
+
 @pytest.mark.parametrize("budget", [Budget.im_sum(1 / 20, 0.5), Budget.space_saving(1 / 20)])
 def test_streamed_summary_keeps_its_bounds(make, arrivals, budget):
     stream, rows = arrivals
