@@ -111,21 +111,28 @@ class BatchEncoder:
 
     def __init__(self, path: str, memory: int = 250_000):
         self.table = MergeTable(path)
-        #: piece -> (number of ids, ids as text, decoded text)
-        self.known = Recent(None, memory)
+        #: Of a piece between blanks, and of a word in it: number of ids, ids as text, decoded text.
+        self.known, self.words = Recent(memory), Recent(memory)
 
     def _learn(self, pieces: list[str]) -> list[tuple[int, str, str]]:
-        known = self.known
-        fresh = [p for p in pieces if p not in known and p not in known.old]
-        words = {p: self.table.find(p) for p in fresh}
-        different = list({w for found in words.values() for w in found})
-        ids = dict(zip(different, self.table.encode(different)))
-        made = {}
-        for p in fresh:
-            whole = [i for w in words[p] for i in ids[w]]
-            made[p] = len(whole), " ".join(map(str, whole)), " ".join([self.table.token[i] for i in whole])
-        known.make = made.__getitem__
-        return [known[p] for p in pieces]
+        found = [self.known.seen(p) for p in pieces]
+        fresh = [p for p, f in zip(pieces, found) if f is None]
+        words = [self.table.find(p) for p in fresh]
+        coded = {w: self.words.seen(w) for ws in words for w in ws}
+        different = [w for w, entry in coded.items() if entry is None]
+        token = self.table.token
+        for w, ids in zip(different, self.table.encode(different)):
+            coded[w] = len(ids), " ".join(map(str, ids)), " ".join([token[i] for i in ids])
+        for w, entry in coded.items():
+            self.words.keep(w, entry)
+        made = iter([
+            coded[ws[0]] if len(ws) == 1 else
+            (sum(coded[w][0] for w in ws), " ".join([coded[w][1] for w in ws]), " ".join([coded[w][2] for w in ws]))
+            for ws in words])
+        found = [next(made) if f is None else f for f in found]
+        for p, f in zip(pieces, found):
+            self.known.keep(p, f)
+        return found
 
     def _normal(self, text: str) -> str:
         if not unicodedata.is_normalized("NFC", text):

@@ -29,19 +29,28 @@ BATCH_BYTES = 8 << 20
 
 
 class Recent(dict):
-    """Values by key for the keys used lately: two generations of at most ``size`` keys."""
+    """Values by key for the keys used lately: two generations of at most ``size`` keys.
 
-    def __init__(self, make, size: int):
+    ``recent[key]`` makes what is missing; ``seen`` and ``keep`` look and add without making.
+    """
+
+    def __init__(self, size: int, make=None):
         super().__init__()
         self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, key):
         value = self.old[key] if key in self.old else self.make(key)
+        self.keep(key, value)
+        return value
+
+    def seen(self, key):
+        return self.get(key) or self.old.get(key)
+
+    def keep(self, key, value):
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
 def byte_letters() -> list[str]:
@@ -87,8 +96,8 @@ class TextEncoder:
             form["normalizer"] is None and kind.get("type") == "ByteLevel"
             and kind.get("use_regex") and not kind.get("add_prefix_space"))
         self.tool, self.model, self.letters = tool, tool.model, dict(enumerate(byte_letters()))
-        self._words = Recent(self._word, memory)
-        self._known = Recent(self._piece, memory)
+        self._words = Recent(memory, self._word)
+        self._known = Recent(memory, self._piece)
 
     def whole(self, text: str) -> bytes:
         return pack("I", self.tool.encode(text, add_special_tokens=False).ids).tobytes()
