@@ -115,7 +115,7 @@ def links(prints: DataFrame) -> DataFrame:
     shared = cut_lineage(
         members.join(heads.where("size > 1"), ["k", "key"])
         .withColumn("near", _near("print", "head")).select("k", "key", "print", "head", "size", "near"))
-    star = shared.where("near").select(F.col("print").alias("a"), F.col("head").alias("b")).distinct()
+    star = shared.where("near AND print <> head").select(F.col("print").alias("a"), F.col("head").alias("b")).distinct()
     roots = components(star)
     known = shared.join(roots, shared["print"] == roots["node"], "left").select(
         "k", "key", "print", "size", "near", F.coalesce("root", "print").alias("root"))
