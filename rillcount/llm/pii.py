@@ -201,8 +201,9 @@ def extract(docs: DataFrame, **settings) -> DataFrame:
     text = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(
         ":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])))
     none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
-              for k, name in enumerate(KINDS)]
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, k)) for k in range(len(KINDS))]
+    counts = [(F.size("base") - n).cast("long").alias(f"n_{name}") for n, name in zip(counts, KINDS)]
     return rows.join(added, "key", "left").select(
         "doc_id", *counts, F.sha2(text(F.col("base")), 256).alias("base_sha256"),
         text(F.array_sort(F.concat("base", F.coalesce("added", none)))).alias("spans"),
