@@ -94,7 +94,7 @@ def numbers(docs: DataFrame) -> DataFrame:
     """The numbers of every row's whole text that rules look at, as longs beside doc_id. A null text has no words."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # Beside doc_id and the numbers stands ``text_key``, a hash by which rows of one id are told apart.
-    trimmed = F.expr(r"trim(BOTH ' \t\n\u000B\f\r' FROM text)")
+    trimmed = F.expr(r"trim(BOTH ' \t\n\u000B\u000C\r' FROM text)")
     with_words = text.select(
         "doc_id", F.xxhash64("text").alias("text_key"),
         F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE + "+")).alias("words"),
