@@ -102,11 +102,11 @@ scored AS MATERIALIZED (
   FROM ({grams.format(columns='text')}) JOIN units USING (g) GROUP BY text),
 bins AS (SELECT bin, sum(a) AS a, sum(r) AS r FROM scored JOIN texts USING (text) WHERE fold AND a + r > 0 GROUP BY bin),
 tried AS (
-  SELECT bin, coalesce(sum(a) OVER w, 0) AS lost, sum(a) OVER () AS all_a, sum(r) OVER () AS all_r,
+  SELECT bin, floor((coalesce(lag(bin) OVER (ORDER BY bin) + 1, bin) + bin) / 2)::BIGINT AS cut, coalesce(sum(a) OVER w, 0) AS lost, sum(a) OVER () AS all_a, sum(r) OVER () AS all_r,
     sum(r) OVER () - coalesce(sum(r) OVER w, 0) AS passed FROM bins
   WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 cut AS (
-  SELECT coalesce((SELECT bin FROM tried WHERE all_a > 0 AND all_r > 0
+  SELECT coalesce((SELECT cut FROM tried WHERE all_a > 0 AND all_r > 0
     ORDER BY lost * all_r + passed * all_a, bin LIMIT 1), 0) AS bin)
 SELECT page_id, host, path, rule,
   coalesce(by_rule, CASE WHEN scored.bin >= cut.bin THEN 'allow' ELSE 'block' END) AS verdict
