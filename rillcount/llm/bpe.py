@@ -109,7 +109,7 @@ class MergeTable:
 class BatchEncoder:
     """Encodes Arrow columns of texts; remembers what lately used pieces between blanks came out as."""
 
-    def __init__(self, path: str, memory: int = 250_000):
+    def __init__(self, path: str, memory: int = 150_000):
         self.table = MergeTable(path)
         #: Of a piece between blanks, and of a word in it: number of ids, ids as text, decoded text.
         self.known, self.words = Recent(memory), Recent(memory)

@@ -113,7 +113,7 @@ _PLACES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens lon
 
 def pack_examples(
     examples: DataFrame, tokenizer: str, key: str = "doc_id", end_id: int = 1,
-    limits: Limits = Limits(), group: int = 4096,
+    limits: Limits = Limits(), group: int = 2048,
 ) -> DataFrame:
     """Pieces of all examples: ``key, start, length, ids_crc32, doc_tokens, sequence_id, offset, n_loss``.
 
@@ -150,9 +150,9 @@ def pack_examples(
             for mark in marks:
                 loss.append(np.full(int(ends[k]) - at, mark))
                 at, k = int(ends[k]), k + 1
-            marks = np.concatenate([*loss, [True]])
-            marks[0] = False
-            yield doc_id, np.append(ids[first:at], np.uint32(end_id)), np.concatenate([[0], np.cumsum(marks)])
+            marks = np.concatenate([[False], *loss, [True]])
+            marks[1] = False
+            yield doc_id, np.append(ids[first:at], np.uint32(end_id)), np.cumsum(marks, dtype=np.int32)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         encoder, sequence = text_encoder(tokenizer), TaskContext.get().partitionId() << 40
@@ -176,7 +176,7 @@ def pack_examples(
             for example in encoded(batch, encoder):
                 held.append(example)
                 tokens += len(example[1])
-                if len(held) >= group or tokens >= group * limits.tokens:
+                if len(held) >= group or tokens >= group * limits.tokens // 2:
                     yield packed()
                     held, tokens = [], 0
         if held:

@@ -81,7 +81,7 @@ class TextEncoder:
     ids. ``memory`` bounds the pieces that are remembered.
     """
 
-    def __init__(self, path: str, memory: int = 250_000):
+    def __init__(self, path: str, memory: int = 150_000):
         import json
 
         from tokenizers import Tokenizer
