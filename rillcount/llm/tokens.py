@@ -81,7 +81,7 @@ class TextEncoder:
     ids. ``memory`` bounds the pieces that are remembered.
     """
 
-    def __init__(self, path: str, memory: int = 150_000):
+    def __init__(self, path: str, memory: int = 250_000):
         import json
 
         from tokenizers import Tokenizer
@@ -96,7 +96,6 @@ class TextEncoder:
             form["normalizer"] is None and kind.get("type") == "ByteLevel"
             and kind.get("use_regex") and not kind.get("add_prefix_space"))
         self.tool, self.model, self.letters = tool, tool.model, dict(enumerate(byte_letters()))
-        self._words = Recent(memory, self._word)
         self._known = Recent(memory, self._piece)
 
     def whole(self, text: str) -> bytes:
@@ -109,7 +108,8 @@ class TextEncoder:
 
     def _piece(self, piece: str) -> bytes | None:
         if found := _WORD(piece):
-            return b"".join([self._words[part] for part in found.groups() if part])
+            parts = [part for part in found.groups() if part]
+            return self._word(piece) if len(parts) == 1 else b"".join([self._known[part] for part in parts])
         if _UNSURE(piece) or any(s in piece for s in self.special):
             return None
         if piece[:1] == " " and (len(piece) == 1 or piece[1].isspace()):
