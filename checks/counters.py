@@ -8,17 +8,28 @@ from checks.common import (
     PARTS, PHI_USERS, PHI_WORDS, USERS, WORDS, h31, parts, thr, users, with_, words,
 )
 from rillcount.operators import counters, exact, lossy
-from rillcount.operators.counters import SHARD_A, SHARD_B, Budget
+from rillcount.operators.counters import FAN, SHARD_A, SHARD_B, Budget
 from rillcount.sources import tables
 
 EPS, GAMMA, SHARDS = 1 / 50, 1.0, 3
 DIM_PHI, DIM_EPOCHS = 1 / 40, 4
 SPACE_PHI = 1 / 60
 WORD_EPS = 2.0 ** -10
+WORD_DOCS, EVENT_BLOCK = 64, 500  # documents and events of a block
+
+
+def word_uses(spark, d):
+    return tables.word_uses(spark, d, WORD_DOCS)
 
 
 def word_summary(spark, d):
-    return counters.im_sum(words(spark, d), WORD_EPS)
+    """Summary of the stream of words, built block by block from its updates."""
+    return counters.summarise_blocks(word_uses(spark, d), Budget.im_sum(WORD_EPS))
+
+
+def event_summary(spark, d, phi=SPACE_PHI):
+    blocks = tables.user_events(spark, d).withColumn("block", F.expr(f"pos div {EVENT_BLOCK}"))
+    return counters.summarise_blocks(blocks, Budget.space_saving(phi))
 
 
 def user_summary(spark, d):
@@ -63,8 +74,19 @@ def dim_build(spark, d):
 
 
 def im_point(spark, d):
-    w = words(spark, d)
-    return counters.im_sum(w, WORD_EPS).point(w.select("item")).select("item", "est")
+    queried = word_uses(spark, d).select("item").distinct()
+    return word_summary(spark, d).point(queried).select("item", "est")
+
+
+def im_accuracy(spark, d):
+    """How many words have a wrong estimate, how many a bracket without the truth, and the error."""
+    summary = word_summary(spark, d)
+    judged = summary.point(exact.item_totals(word_uses(spark, d)))
+    within = (F.col("lower") <= F.col("total")) & (F.col("total") <= F.col("est"))
+    return judged.agg(
+        F.count(F.lit(1)).alias("items"), F.count(F.when(F.col("est") != F.col("total"), 1)).alias("wrong"),
+        F.count(F.when(~within, 1)).alias("outside"), F.max("q").alias("q"),
+        (F.max("q") * summary.budget.counters <= F.sum("total")).alias("bounded"))
 
 
 def im_error(spark, d):
@@ -73,9 +95,9 @@ def im_error(spark, d):
 
 
 def im_heavy(spark, d):
-    w = words(spark, d)
-    return counters.im_sum(w, WORD_EPS).heavy_hitters(
-        exact.heavy_threshold(w, PHI_WORDS)).select("item", "est")
+    summary = word_summary(spark, d)
+    n = summary.errors.select("weight").scalar()
+    return summary.heavy_hitters(exact.threshold(PHI_WORDS, n)).select("item", "est")
 
 
 def space_saving(spark, d):
@@ -85,22 +107,22 @@ def space_saving(spark, d):
 
 
 def space_saving_native(spark, d):
-    return counters.space_saving(users(spark, d), SPACE_PHI).state()
+    return event_summary(spark, d).state()
 
 
 def space_point(spark, d):
-    u = users(spark, d)
-    return verdict(counters.space_saving(u, SPACE_PHI, SHARDS), u)
+    return event_summary(spark, d).point(users(spark, d)).select(
+        "item", F.col("total").alias("exact"), "lower", "est",
+        F.col("total").between(F.col("lower"), F.col("est")).alias("ok"))
 
 
 def space_heavy(spark, d):
-    """All true heavy hitters are claimed, with a lower bound that is not above the truth."""
+    """Every claim and every true heavy hitter: false claims and missed ones would both show."""
     u = users(spark, d)
     thr_ = exact.heavy_threshold(u, PHI_USERS)
-    claimed = counters.space_saving(u, PHI_USERS).heavy_hitters(thr_)
-    return exact.exact_heavy_hitters(u, PHI_USERS).join(claimed, "item", "left").select(
-        "item", "total", (F.coalesce(F.col("est") >= F.col("total"), F.lit(False))
-                          & (F.col("lower") <= F.col("total"))).alias("ok"))
+    claimed = event_summary(spark, d, PHI_USERS).heavy_hitters(thr_).select("item", "est")
+    return u.withColumn("heavy", F.col("total") >= thr_).join(claimed, "item", "left").where(
+        "heavy OR est IS NOT NULL").select("item", "total", "est", "heavy")
 
 
 def unit_space_saving(spark, d):
@@ -110,13 +132,12 @@ def unit_space_saving(spark, d):
 
 
 def misra_gries(spark, d):
-    w = words(spark, d)
-    return counters.im_sum(w, WORD_EPS).point(w.select("item")).select("item", "lower")
+    queried = word_uses(spark, d).select("item").distinct()
+    return word_summary(spark, d).point(queried).select("item", "lower")
 
 
 def top(spark, d):
-    w = words(spark, d)
-    return exact.top_k(counters.im_sum(w, WORD_EPS).estimates().select("item", "est"), 25)
+    return exact.top_k(word_summary(spark, d).estimates().select("item", "est"), 25)
 
 
 def sizes(spark, d):
@@ -190,6 +211,34 @@ def summary_sql(table, budget: Budget, shards=1):
           FROM keyed JOIN cut USING (shard) WHERE total > q)"""]
 
 
+#: The streams of updates, and how often blocks are merged at most (more merges change nothing).
+WORD_USES = f"""uses AS (SELECT doc_id // {WORD_DOCS} AS block, 1 AS weight,
+  unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS item FROM documents)"""
+EVENT_USES = f"uses AS (SELECT event_id // {EVENT_BLOCK} AS block, 1 AS weight, user_id AS item FROM events)"
+MERGES = 4
+
+
+def blocks_sql(budget: Budget):
+    """WITH entries ``items(shard, item, residual, q)`` and ``error(q, n)`` from ``uses(block, weight, item)``."""
+    entries = ["m0 AS (SELECT block AS shard, item, sum(weight) AS x FROM uses GROUP BY 1, 2)",
+               "e0 AS (SELECT DISTINCT shard, 0 AS q FROM m0)"]
+    for level in range(MERGES + 1):
+        entries += [
+            f"""cut{level} AS (SELECT shard, CASE WHEN count(*) > {budget.capacity}
+              THEN coalesce(max(x) FILTER (i = {budget.counters}), 0) ELSE 0 END AS d
+              FROM (SELECT shard, x, row_number() OVER (PARTITION BY shard ORDER BY x DESC) AS i FROM m{level})
+              GROUP BY 1)""",
+            f"st{level} AS (SELECT shard, item, x - d AS x FROM m{level} JOIN cut{level} USING (shard) WHERE x > d)",
+            f"""er{level} AS (SELECT e.shard AS shard, e.q + coalesce(d, 0) AS q
+              FROM e{level} e LEFT JOIN cut{level} c ON c.shard = e.shard)""",
+            f"m{level + 1} AS (SELECT shard // {FAN} AS shard, item, sum(x) AS x FROM st{level} GROUP BY 1, 2)",
+            f"e{level + 1} AS (SELECT shard // {FAN} AS shard, sum(q) AS q FROM er{level} GROUP BY 1)"]
+    return [*entries,
+            f"""error AS (SELECT coalesce(sum(q), 0)::BIGINT AS q,
+              (SELECT coalesce(sum(weight), 0)::BIGINT FROM uses) AS n FROM er{MERGES})""",
+            f"items AS (SELECT 0 AS shard, item, x::BIGINT AS residual, q FROM st{MERGES}, error)"]
+
+
 def chain_sql(budget: Budget):
     """The state after every epoch, one after the other."""
     entries = [f"""per AS (SELECT event_id // size AS e, user_id AS item, count(*) AS total
@@ -235,34 +284,44 @@ IM_WORDS = Budget.im_sum(WORD_EPS)
 EXACT_OK = "item, total AS exact, true AS ok"
 
 CHECKS = {
-    "k1_im_sum": (im_build, with_(WORDS, *summary_sql("words", IM_WORDS)) +
+    "k1_im_sum": (im_build, with_(WORD_USES, *blocks_sql(IM_WORDS)) +
                   "SELECT shard, item, residual, q FROM items"),
+    "k1_im_sum_accuracy": (im_accuracy, with_(WORD_USES, *blocks_sql(IM_WORDS)) + f"""
+        SELECT count(*) AS items, count(*) FILTER (coalesce(residual, 0) + error.q <> total) AS wrong,
+          0::BIGINT AS outside, max(error.q) AS q, true AS bounded
+        FROM (SELECT item, count(*) AS total FROM uses GROUP BY 1) u LEFT JOIN items i ON i.item = u.item, error"""),
     "k1_im_sum_sharded": (im_sharded, with_(
         USERS, *summary_sql("users", Budget.im_sum(EPS, GAMMA), SHARDS)) +
         "SELECT shard, item, residual, q FROM items"),
     "k1_im_sum_in_place": (im_in_place, with_(PARTS) + f"SELECT {EXACT_OK} FROM parts"),
     "k1_im_sum_collapsed": (im_collapsed, with_(USERS) + f"SELECT {EXACT_OK} FROM users"),
     "k2_dim_sum_epochs": (dim_build, chain_sql(Budget.dim_sum(DIM_PHI, 0.5))),
-    "k3_im_sum_point": (im_point, with_(WORDS, *summary_sql("words", IM_WORDS)) + """
+    "k3_im_sum_point": (im_point, with_(WORD_USES, *blocks_sql(IM_WORDS)) + """
         SELECT w.item, (coalesce(i.residual, 0) + c.q)::BIGINT AS est
-        FROM words w CROSS JOIN cut c LEFT JOIN items i ON i.item = w.item"""),
+        FROM (SELECT DISTINCT item FROM uses) w CROSS JOIN error c LEFT JOIN items i ON i.item = w.item"""),
     "k4_im_sum_error": (im_error, with_(
         USERS, *summary_sql("users", Budget.im_sum(EPS, GAMMA), SHARDS)) +
         "SELECT item, q::BIGINT AS q FROM keyed JOIN cut USING (shard)"),
-    "k5_im_sum_heavy_hitters": (im_heavy, with_(WORDS, *summary_sql("words", IM_WORDS)) + f"""
+    "k5_im_sum_heavy_hitters": (im_heavy, with_(WORD_USES, *blocks_sql(IM_WORDS)) + f"""
         SELECT item, (residual + q)::BIGINT AS est FROM items
-        WHERE residual + q >= {thr(PHI_WORDS, 'words')}"""),
+        WHERE residual + q >= (SELECT floor(CAST('{PHI_WORDS!r}' AS DOUBLE) * n)::BIGINT + 1 FROM error)"""),
     "k6_space_saving_in_place": (space_saving, with_(PARTS) + f"SELECT {EXACT_OK} FROM parts"),
     "k6_space_saving": (space_saving_native, with_(
-        USERS, *summary_sql("users", Budget.space_saving(SPACE_PHI))) +
+        EVENT_USES, *blocks_sql(Budget.space_saving(SPACE_PHI))) +
         "SELECT shard, item, residual, q FROM items"),
-    "k7_space_saving_point": (space_point, with_(USERS) + f"SELECT {EXACT_OK} FROM users"),
-    "k8_space_saving_heavy_hitters": (space_heavy, with_(USERS) + f"""
-        SELECT item, total, true AS ok FROM users WHERE total >= {USER_THR}"""),
+    "k7_space_saving_point": (space_point, with_(USERS, EVENT_USES, *blocks_sql(Budget.space_saving(SPACE_PHI))) + """
+        SELECT u.item, total AS exact, coalesce(residual, 0)::BIGINT AS lower,
+          (coalesce(residual, 0) + error.q)::BIGINT AS est, true AS ok
+        FROM users u LEFT JOIN items i ON i.item = u.item, error"""),
+    "k8_space_saving_heavy_hitters": (space_heavy, with_(
+        USERS, EVENT_USES, *blocks_sql(Budget.space_saving(PHI_USERS))) + f"""
+        SELECT u.item, total, (residual + q)::BIGINT AS est, total >= {USER_THR} AS heavy
+        FROM users u LEFT JOIN items i ON i.item = u.item AND residual + q >= {USER_THR}
+        WHERE total >= {USER_THR} OR residual IS NOT NULL"""),
     "k9_unit_space_saving": (unit_space_saving, with_(USERS) + f"SELECT {EXACT_OK} FROM users"),
-    "k10_misra_gries_lower": (misra_gries, with_(WORDS, *summary_sql("words", IM_WORDS)) + """
+    "k10_misra_gries_lower": (misra_gries, with_(WORD_USES, *blocks_sql(IM_WORDS)) + """
         SELECT w.item, coalesce(i.residual, 0)::BIGINT AS lower
-        FROM words w LEFT JOIN items i ON i.item = w.item"""),
+        FROM (SELECT DISTINCT item FROM uses) w LEFT JOIN items i ON i.item = w.item"""),
     "k11_lossy_count": (lossy_build, lossy_sql(W) + "SELECT item, est FROM held"),
     "k11_lossy_count_signed": (lossy_signed, lossy_sql(W, True) + "SELECT item, est FROM held"),
     "k12_lossy_point": (lossy_point, lossy_sql(W) + """
@@ -288,6 +347,6 @@ CHECKS = {
           ('unit_space_saving', {72 + 131 * (24 + 56 + 32 + 8)}::BIGINT),
           ('lossy', {5 * 130 * 8 + 48}::BIGINT),
           ('lossy_delta', {3 * 131 * 12 + 48}::BIGINT)) t(method, bytes)"""),
-    "k16_top_k": (top, with_(WORDS, *summary_sql("words", IM_WORDS)) + """
+    "k16_top_k": (top, with_(WORD_USES, *blocks_sql(IM_WORDS)) + """
         SELECT item, (residual + q)::BIGINT AS est FROM items ORDER BY est DESC, item LIMIT 25"""),
 }

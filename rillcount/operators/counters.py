@@ -10,7 +10,9 @@ largest residual off every residual, drops what is no longer positive and adds i
 to ``q``; merging adds residuals and errors and prunes again.
 
 Shards are explicit columns, never Spark's own partitions, so results do not
-change with the layout of the data.
+change with the layout of the data. ``summarise_blocks`` and ``summarise_in_place`` build
+summaries from updates and never hold exact totals of a whole stream; ``summarise``
+prunes totals that are there already.
 """
 
 from __future__ import annotations
@@ -39,6 +41,9 @@ HEAP_HEADER, HEAP_COUNTER = 48, 32
 UNIT_HEADER, UNIT_ITEM, UNIT_GROUP = 72, 56, 32
 BUFFER_BYTES = 4
 
+#: Summaries merged at a time, and rows a task gathers at least before it sums them up.
+FAN, GATHERED = 16, 1 << 16
+
 
 @dataclass(frozen=True)
 class Budget:
@@ -158,7 +163,8 @@ class CounterSummary:
         kept = self.items.select(
             "shard", "item", "residual", zero.alias("q"), zero.alias("weight"))
         errors = self.errors.select(
-            "shard", F.lit(None).cast("long").alias("item"), zero.alias("residual"), "q", "weight")
+            "shard", F.lit(None).cast(self.items.schema["item"].dataType).alias("item"),
+            zero.alias("residual"), "q", "weight")
         return kept.unionByName(errors)
 
     def with_rows(self, rows: DataFrame) -> "CounterSummary":
@@ -246,6 +252,43 @@ def gather(partial: DataFrame, budget: Budget) -> CounterSummary:
     return CounterSummary(items, errors, budget).prune()
 
 
+def summarise_blocks(updates: DataFrame, budget: Budget, block: str = "block", item: str = "item",
+                     weight: str = "weight", fan: int = FAN) -> CounterSummary:
+    """Summary from updates: one of each block of the stream, merged ``fan`` at a time.
+
+    ``block`` numbers stretches of the stream from 0 and bounds what one summary reads, so
+    a block never holds more than its own items, and a merge never more than ``fan * capacity``
+    counters. Every merge prunes, and ``q <= weight / counters`` holds after each. Items may be of any
+    type; rows without item or weight are left out. Negative weights are an error, as is a negative block.
+    The result depends on the blocks alone, not on how Spark splits the data.
+    """
+    sound = F.when((F.col("residual") >= 0) & (F.col("shard") >= 0), F.col("residual")).otherwise(
+        F.raise_error(F.lit("weights and blocks must not be negative")).cast("long"))
+    known = updates.where(F.col(item).isNotNull() & F.col(weight).isNotNull()).select(
+        F.col(block).cast("long").alias("shard"), F.col(item).alias("item"),
+        F.col(weight).cast("long").alias("residual"))
+    items = known.withColumn("residual", sound).groupBy("shard", "item").agg(F.sum("residual").alias("residual"))
+    cuts = cut_points(items, budget)
+    kept = items.join(cuts.select("shard", "delta"), "shard").select(
+        "shard", "item", (F.col("residual") - F.col("delta")).alias("residual")).where("residual > 0")
+    errors = cuts.select("shard", F.col("delta").alias("q"), "weight")
+    summary = CounterSummary(kept, errors, budget).checkpoint()
+    shards = (summary.errors.agg(F.max("shard")).first()[0] or 0) + 1
+    while shards > 1:
+        shards = -(-shards // fan)
+        group = F.expr(f"shard div {fan}").alias("shard")
+        summary = _combine([replace(
+            summary, shards=shards, items=summary.items.select(group, "item", "residual"),
+            errors=summary.errors.select(group, "q", "weight"))]).prune()
+        if shards > 1:
+            summary = summary.checkpoint()
+    one = F.lit(0).alias("shard")
+    total = summary.errors.agg(*[
+        F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("q", "weight")])
+    return replace(summary, items=summary.items.select(one, "item", "residual"),
+                   errors=total.select(one, "q", "weight")).checkpoint()
+
+
 def im_sum(totals: DataFrame, eps: float, gamma: float = 4.0, shards: int = 1) -> CounterSummary:
     """IM-SUM over a whole stream at once."""
     return summarise(totals, Budget.im_sum(eps, gamma), shards)
@@ -269,29 +312,60 @@ def space_saving(totals: DataFrame, phi: float, shards: int = 1) -> CounterSumma
     return summarise(totals, Budget.space_saving(phi), shards)
 
 
+class LocalCounters:
+    """A bounded summary inside one task, for non-null items and weights that are not negative.
+
+    Updates are gathered up to half the capacity before they meet the counters.
+    """
+
+    def __init__(self, budget: Budget, items=(), residuals=(), q: int = 0, weight: int = 0):
+        import numpy as np
+
+        self.budget, self.q, self.weight = budget, q, weight
+        self.items, self.residuals = np.array(items, np.int64), np.array(residuals, np.int64)
+        self.held, self.waiting = [], 0
+
+    def add(self, items, weights) -> None:
+        self.weight += int(weights.sum())
+        self.held.append((items, weights))
+        self.waiting += len(items)
+        if self.waiting >= max(GATHERED, self.budget.capacity // 2):
+            self.fold()
+
+    def fold(self) -> "LocalCounters":
+        """Sums by item of counters and gathered updates, cut if over capacity."""
+        import numpy as np
+
+        items = np.concatenate([self.items, *[i for i, _ in self.held]])
+        weights = np.concatenate([self.residuals, *[w for _, w in self.held]])
+        self.held, self.waiting = [], 0
+        if not len(items):
+            return self
+        order = np.argsort(items, kind="stable")
+        items, weights = items[order], weights[order]
+        first = np.flatnonzero(np.concatenate([[True], items[1:] != items[:-1]]))
+        items, weights = items[first], np.add.reduceat(weights, first)
+        if (over := len(items) - self.budget.counters) >= 0 and len(items) > self.budget.capacity:
+            delta = int(np.partition(weights, over)[over])
+            weights, self.q = weights - delta, self.q + delta
+        self.items, self.residuals = items[weights > 0], weights[weights > 0]
+        return self
+
+
 def _local_summary(budget: Budget):
     """Python side of :func:`summarise_in_place`: one bounded summary per task."""
-    counters, capacity = budget.counters, budget.capacity
-
     def run(batches):
-        import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
-        items, residuals, q, weight = np.empty(0, np.int64), np.empty(0, np.int64), 0, 0
+        own = LocalCounters(budget)
         for batch in batches:
-            weight += int(batch["total"].sum())
-            sums = pd.concat([pd.Series(residuals, index=items),
-                              pd.Series(batch["total"].to_numpy(), index=batch["item"])])
-            sums = sums.groupby(level=0).sum()
-            items, residuals = sums.index.to_numpy(), sums.to_numpy()
-            if len(items) > capacity:
-                delta = int(np.partition(residuals, len(items) - counters)[len(items) - counters])
-                residuals = residuals - delta
-                items, residuals, q = items[residuals > 0], residuals[residuals > 0], q + delta
-        yield pd.DataFrame({
-            "item": pd.array([*items, None], dtype="Int64"),
-            "residual": [*residuals, 0], "q": [0] * len(items) + [q],
-            "weight": [0] * len(items) + [weight]})
+            own.add(batch.column("item").to_numpy(), batch.column("total").to_numpy())
+        own.fold()
+        kept = len(own.items)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([*own.items.tolist(), None], pa.int64()), pa.array([*own.residuals.tolist(), 0], pa.int64()),
+            pa.array([0] * kept + [own.q], pa.int64()), pa.array([0] * kept + [own.weight], pa.int64())],
+            ["item", "residual", "q", "weight"])
 
     return run
 
@@ -304,10 +378,14 @@ def summarise_in_place(updates: DataFrame, budget: Budget, item: str = "item",
     shuffle carries counters per task and not distinct items. The partial
     summaries are checkpointed to shared storage, so the input is read once. Numbers
     inside the bounds depend on how the input is split; the bounds hold for any split.
+    Rows without item or weight are left out; negative weights are an error.
     """
-    partial = updates.select(
-        F.col(item).cast("long").alias("item"), F.col(weight).cast("long").alias("total")
-    ).mapInPandas(_local_summary(budget), "item long, residual long, q long, weight long")
+    amount = F.col(weight).cast("long")
+    amount = F.when(amount >= 0, amount).otherwise(
+        F.raise_error(F.lit("weights must not be negative")).cast("long"))
+    partial = updates.where(F.col(item).isNotNull() & F.col(weight).isNotNull()).select(
+        F.col(item).cast("long").alias("item"), amount.alias("total")
+    ).mapInArrow(_local_summary(budget), "item long, residual long, q long, weight long")
     return gather(cut_lineage(partial), budget)
 
 

@@ -24,6 +24,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def word_uses(spark: SparkSession, sf_dir: str, docs_per_block: int) -> DataFrame:
+    """``(item, weight, block)``: every use of a word, the word itself as item, in blocks of documents."""
+    texts = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return texts.select(
+        F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("item"),
+        F.lit(1).cast("long").alias("weight"), F.expr(f"doc_id div {docs_per_block}").alias("block"))
+
+
 def word_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(item, weight)``: every word of every document with its number of uses.
 

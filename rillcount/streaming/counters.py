@@ -10,36 +10,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillcount.operators.counters import Budget, CounterSummary, gather, item_shard
+from rillcount.operators.counters import Budget, CounterSummary, LocalCounters, gather, item_shard
 
 STATE = "items array<long>, residuals array<long>, q long, weight long, seq long"
 OUTPUT = "shard int, seq long, item long, residual long, q long, weight long"
 
 
 def _keep_summary(budget: Budget):
-    counters, capacity = budget.counters, budget.capacity
-
     def step(key, batches, state):
-        import numpy as np
         import pandas as pd
 
         items, residuals, q, weight, seq = state.get if state.exists else ([], [], 0, 0, 0)
-        sums = pd.Series(residuals, index=np.array(items, np.int64), dtype="int64")
+        own = LocalCounters(budget, items, residuals, q, weight)
         for batch in batches:
-            weight += int(batch["weight"].sum())
-            sums = sums.add(batch.groupby("item")["weight"].sum(), fill_value=0).astype("int64")
-            if len(sums) > capacity:
-                values = sums.to_numpy()
-                delta = int(np.partition(values, len(values) - counters)[len(values) - counters])
-                sums = sums - delta
-                sums, q = sums[sums > 0], q + delta
-        state.update((sums.index.tolist(), sums.tolist(), q, weight, seq + 1))
-        kept = len(sums)
+            own.add(batch["item"].to_numpy(), batch["weight"].to_numpy())
+        own.fold()
+        items, residuals = own.items.tolist(), own.residuals.tolist()
+        state.update((items, residuals, own.q, own.weight, seq + 1))
         yield pd.DataFrame({
-            "shard": key[0], "seq": seq + 1, "item": [*sums.index.tolist(), None],
-            "residual": [*sums.tolist(), 0], "q": [0] * kept + [q],
-            "weight": [0] * kept + [weight],
-        }).astype({"item": "Int64"})
+            "shard": key[0], "seq": seq + 1, "item": pd.array([*items, None], dtype="Int64"),
+            "residual": [*residuals, 0], "q": [0] * len(items) + [own.q],
+            "weight": [0] * len(items) + [own.weight]})
 
     return step
 
@@ -49,9 +40,9 @@ def streaming_summary(updates: DataFrame, budget: Budget, shards: int, item: str
     """Stream of pruned summaries: one set of rows per shard and micro-batch.
 
     Every set ends with a row without item, which carries the shard's error even if
-    nothing is kept.
+    nothing is kept. Updates without item or weight are left out.
     """
-    dealt = updates.select(
+    dealt = updates.where(F.col(item).isNotNull() & F.col(weight).isNotNull()).select(
         item_shard(F.col(pos), shards).alias("shard"),
         F.col(item).cast("long").alias("item"), F.col(weight).cast("long").alias("weight"))
     return dealt.groupBy("shard").applyInPandasWithState(

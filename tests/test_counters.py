@@ -130,3 +130,63 @@ def test_sizes_grow_with_precision():
         assert counters.dense_size(method, 0.001) > counters.dense_size(method, 0.01) > 0
     with pytest.raises(ValueError):
         counters.dense_size("other", 0.1)
+
+
+@pytest.mark.parametrize("fan", [2, 16])
+@pytest.mark.parametrize("size", [100, 700, 10_000])
+def test_summary_from_blocks_brackets_and_differs(make, size, fan):
+    rows = stream(9, 4000)
+    updates = make(rows, SCHEMA).withColumn("block", F.expr(f"pos div {size}"))
+    summary = check(counters.summarise_blocks(updates, Budget.im_sum(1 / 20, 0.5), fan=fan), rows, make, 20)
+    error = summary.errors.collect()
+    assert len(error) == 1 and error[0].weight == sum(w for _, w, _ in rows) and error[0].q > 0
+    assert summary.items.count() <= 30
+    true = totals_of(rows)
+    assert any(r.est != true[r.item] for r in summary.estimates().collect()) or size > 4000
+
+
+def test_summary_from_blocks_does_not_depend_on_splits(make):
+    updates = make(stream(10, 3000), SCHEMA).withColumn("block", F.expr("pos div 200"))
+    found = [sorted(map(tuple, counters.summarise_blocks(
+        updates.repartition(n, "weight"), Budget(15, 20)).state().collect())) for n in (1, 7)]
+    assert found[0] == found[1]
+
+
+def test_summary_from_blocks_of_text_items_nulls_and_nothing(make):
+    rows = [("a", 5, 0), (None, 9, 0), ("b", 1, 3), ("a", None, 3), ("a", 2, 9)]
+    updates = make(rows, "item string, weight long, block long")
+    summary = counters.summarise_blocks(updates, Budget(4, 8), fan=2)
+    assert {tuple(r) for r in summary.state().collect()} == {(0, "a", 7, 0), (0, "b", 1, 0)}
+    assert summary.errors.first().weight == 8
+    nothing = counters.summarise_blocks(updates.where("false"), Budget(4, 8))
+    assert nothing.items.isEmpty() and tuple(nothing.errors.first()) == (0, 0, 0)
+
+
+def test_updates_that_no_summary_takes(make):
+    negative = make([(1, -1, 0)], "item long, weight long, block long")
+    for build in (counters.summarise_blocks, counters.summarise_in_place):
+        with pytest.raises(Exception, match="must not be negative"):
+            build(negative, Budget(4, 8)).items.collect()
+
+
+def test_in_place_keeps_wide_ids_beside_nulls(make):
+    wide = 9007199254740993
+    updates = make([(wide, 2, 0), (None, 7, 1), (wide, 3, 2)], SCHEMA)
+    summary = counters.summarise_in_place(updates, Budget(4, 8))
+    assert [tuple(r) for r in summary.state().collect()] == [(0, wide, 5, 0)]
+    assert summary.errors.first().weight == 5
+
+
+def test_local_counters_fold_many_small_batches(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(counters, "GATHERED", 50)
+    rows, budget = stream(11, 3000), Budget(20, 40)
+    own = counters.LocalCounters(budget)
+    for at in range(0, len(rows), 7):
+        part = rows[at:at + 7]
+        own.add(np.array([r[0] for r in part]), np.array([r[1] for r in part]))
+    own.fold()
+    true, kept = totals_of(rows), dict(zip(own.items.tolist(), own.residuals.tolist()))
+    assert 0 < own.q <= own.weight / budget.counters and len(kept) <= budget.capacity
+    assert all(kept.get(i, 0) <= c <= kept.get(i, 0) + own.q for i, c in true.items())
