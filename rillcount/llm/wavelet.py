@@ -33,6 +33,11 @@ _MAGIC = b"WMX1"
 _FILES = "part int, seq int, n long, doc_ids array<long>, ends array<long>, matrix binary"
 
 
+def _type(digits: int) -> str:
+    """The smaller of two types that holds ids of so many binary digits."""
+    return "<u2" if digits <= 16 else "<u4"
+
+
 class WaveletMatrix:
     """Ids ``0 <= id < 2 ** digits`` with access, rank, count and select."""
 
@@ -43,9 +48,10 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         ids = np.asarray(ids, "<u4")
-        planes, zeros, before = [], [], []
-        for digit in reversed(range(int(ids.max()).bit_length() if len(ids) else 0)):
-            ones = (ids >> np.uint32(digit) & np.uint32(1)).astype(bool)
+        digits, planes, zeros, before = int(ids.max()).bit_length() if len(ids) else 0, [], [], []
+        ids = ids.astype(_type(digits))
+        for digit in reversed(range(digits)):
+            ones = (ids & ids.dtype.type(1 << digit)).astype(bool)
             padded = np.zeros(-(-len(ids) // BLOCK) * BLOCK // 8, np.uint8)
             packed = np.packbits(ones)
             padded[:len(packed)] = packed
@@ -53,7 +59,7 @@ class WaveletMatrix:
             planes.append(padded)
             before.append(np.concatenate([np.zeros(1, "<u4"), np.cumsum(count, dtype="<u4")]))
             zeros.append(len(ids) - int(before[-1][-1]))
-            ids = np.concatenate([ids[~ones], ids[ones]])
+            ids = np.concatenate([ids[np.flatnonzero(~ones)], ids[np.flatnonzero(ones)]])
         return cls(int(len(ids)), planes, zeros, before)
 
     def to_bytes(self) -> bytes:
@@ -137,14 +143,14 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids, from the last plane back to the first."""
-        ids = np.zeros(self.n, "<u4")
+        ids = np.zeros(self.n, _type(len(self.planes)))
         for digit, (packed, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros))):
             ones = np.unpackbits(packed, count=self.n).view(bool)
             order = np.empty_like(ids)
-            order[~ones] = ids[:zeros]
-            order[ones] = ids[zeros:] | np.uint32(1 << digit)
+            order[np.flatnonzero(~ones)] = ids[:zeros]
+            order[np.flatnonzero(ones)] = ids[zeros:] | ids.dtype.type(1 << digit)
             ids = order
-        return ids
+        return ids.astype("<u4")
 
 
 def _shards(path: str, end_id: int, shard_tokens: int):
