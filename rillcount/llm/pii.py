@@ -37,6 +37,8 @@ _MARK = re.compile(r"@|[0-9]{3,}+").finditer
 _LONGEST = 64
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[=:]").findall
 _NEAR = 80
+#: Parts that the copies of one text are dealt to where spans are too many for a broadcast.
+SALTS = 16
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -187,6 +189,21 @@ def added_spans(found: DataFrame, accepted: DataFrame) -> DataFrame:
         F.collect_set(F.struct("kind", F.col("start"), F.col("end"))).alias("added"))
 
 
+def _beside(rows: DataFrame, added: DataFrame) -> DataFrame:
+    """``rows(key, doc_id, ...)`` with ``added`` of their text, null where nothing is.
+
+    A third of all rows may be copies of one text: spans are broadcast if they are few, else
+    every text's spans go to ``SALTS`` parts and its copies are dealt to these by doc_id.
+    """
+    added = cut_lineage(added)
+    size = added.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("added")).alias("spans")).first()
+    if fits_broadcast(rows.sparkSession, size["rows"] + (size["spans"] or 0), 160):
+        return rows.join(F.broadcast(added), "key", "left")
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SALTS)).cast("int"))
+    copied = added.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copied, ["key", "_salt"], "left").drop("_salt")
+
+
 def extract(docs: DataFrame, **settings) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found`` of every row.
 
@@ -204,7 +221,7 @@ def extract(docs: DataFrame, **settings) -> DataFrame:
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [F.size(F.array_remove(kinds, k)) for k in range(len(KINDS))]
     counts = [(F.size("base") - n).cast("long").alias(f"n_{name}") for n, name in zip(counts, KINDS)]
-    return rows.join(added, "key", "left").select(
+    return _beside(rows, added).select(
         "doc_id", *counts, F.sha2(text(F.col("base")), 256).alias("base_sha256"),
         text(F.array_sort(F.concat("base", F.coalesce("added", none)))).alias("spans"),
         F.size(F.coalesce("added", none)).cast("long").alias("found"))
@@ -226,14 +243,12 @@ def redact(docs: DataFrame, **settings) -> DataFrame:
     A null text stays null.
     """
     found = find(docs)
-    added = cut_lineage(added_spans(found, learn(found, **settings)))
-    size = added.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("added")).alias("spans")).first()
-    if fits_broadcast(docs.sparkSession, size["rows"] + (size["spans"] or 0), 160):
-        added = F.broadcast(added)
     columns = docs.columns
-    keyed = docs.withColumn("_key", F.sha2(F.col("text").cast("binary"), 256)).join(
-        added.select(F.col("key").alias("_key"), F.col("added").alias("_added")), "_key", "left").select(
-        *columns, "_added")
+    named = docs.select(
+        *[docs[c].alias(f"_{i}") for i, c in enumerate(columns)], "doc_id",
+        F.sha2(F.col("text").cast("binary"), 256).alias("key"))
+    keyed = _beside(named, added_spans(found, learn(found, **settings))).select(
+        *[F.col(f"_{i}").alias(c) for i, c in enumerate(columns)], F.col("added").alias("_added"))
 
     def run(batches):
         import pyarrow as pa

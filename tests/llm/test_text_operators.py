@@ -127,6 +127,22 @@ def test_patterns_discover_unseen_identifiers(spark, make):
     assert pii.extract(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_copies_of_one_text_meet_its_spans_with_and_without_broadcast(spark, make):
+    said = [(i, f"My staff number is kx{i}@ab.example now", f"s{i}") for i in range(8)]
+    copies = [(100 + i, "My staff number is 7731-ZZ now", "hot") for i in range(40)] + [(None, None, None)] * 2
+    docs = make(said + copies, "doc_id long, text string, added string")
+    limit, seen = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), []
+    for other in (limit, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", other)
+        try:
+            seen.append([sorted(map(str, f(docs).collect())) for f in (pii.extract, pii.redact)])
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert seen[0] == seen[1] and len(seen[0][0]) == len(seen[0][1]) == 50
+    assert sum("found=1" in r for r in seen[0][0]) == 40
+    assert sum("My staff number is [EMAIL] now" in r for r in seen[0][1]) == 48
+
+
 def test_overlapping_spans_are_taken_out_once():
     assert pii.without("call +1 555 1234567 now", [(3, 5, 19), (2, 8, 19)]) == "call [PHONE] now"
 
