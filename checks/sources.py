@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.common import h31, real
@@ -57,11 +58,10 @@ def zipf_fast(spark, d):
 
 def zeta(spark, d):
     """Harmonic sums as long as the number of parts in each size class."""
-    sizes = tables.read_table(spark, d, "part").groupBy("p_size").agg(
-        F.count(F.lit(1)).alias("n"))
-    return sizes.select("p_size", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i")
-                        ).groupBy("p_size").agg(
-        F.round(F.sum(F.pow(F.lit(1.0) / F.col("i"), F.lit(0.8))), 9).alias("zeta"))
+    ranked = tables.read_table(spark, d, "part").select("p_size", F.row_number().over(
+        Window.partitionBy("p_size").orderBy("p_partkey")).alias("i"))
+    return synthetic.power_sums(ranked, 0.8, "p_size", rank="i").select(
+        "p_size", F.round("zeta", 9).alias("zeta"))
 
 
 def scrambled(spark, d):

@@ -23,7 +23,7 @@ from rillcount.functions.hashing import (
 from rillcount.operators.exact import WIDE, item_totals, stream_total
 from rillcount.operators.linear import (
     COEFFICIENT_BYTES, WHOLE_CELL_BYTES, SketchShape, add_cells, item_cells, pick_sorted,
-    place, probe, row_values,
+    place, probe, row_values, smallest,
 )
 from rillcount.session import cut_lineage
 
@@ -85,6 +85,12 @@ class Hierarchy:
         return self.exact_from * self.width * self.depth + exact + 1
 
 
+def in_universe(item: Column, bits: int) -> Column:
+    """The item itself; one outside ``0..2**bits - 1`` is an error, as levels would disagree on it."""
+    known = item.isNull() | item.between(F.lit(0), F.lit((1 << bits) - 1))
+    return F.when(known, item).otherwise(F.raise_error(F.lit(f"item outside the universe of {bits} bits")).cast("long"))
+
+
 def all_level_cells(updates: DataFrame, h: Hierarchy, item: Column, weight: Column,
                     signed: bool = False) -> DataFrame:
     """``(level, row, bucket, c)`` of all levels with one generator and one shuffle.
@@ -182,6 +188,11 @@ class _Levels:
 
     signed = False
 
+    def __post_init__(self):
+        if self.totals is not None and self.stored is None:
+            object.__setattr__(self, "totals", self.totals.withColumn(
+                "item", in_universe(F.col("item"), self.h.bits)))
+
     @classmethod
     def build(cls, updates: DataFrame, h: Hierarchy, item: str = "item", weight: str = "weight",
               per_item_first: bool = True):
@@ -243,8 +254,16 @@ class DyadicCountMin(_Levels):
     def count(self, prefixes: DataFrame, level: int) -> DataFrame:
         """Add ``est`` to a table with ``prefix``: the estimated count at ``level``.
 
-        Rows that are equal in all columns come back once.
+        Every row comes back once, repeated ones too; no row is shuffled if the level's cells
+        can be broadcast.
         """
+        if level >= self.h.exact_from:
+            return self._count(prefixes, level)
+        found, names = item_cells(prefixes, self.h.shape(level), self.level_cells(level), F.col("prefix"))
+        return found.select(*prefixes.columns, smallest(names).alias("est"))
+
+    def _count(self, prefixes: DataFrame, level: int) -> DataFrame:
+        """As :meth:`count`, for rows of which no two are equal."""
         if level >= self.h.levels:
             return prefixes.withColumn("est", self.total().scalar())
         if level >= self.h.exact_from:
@@ -310,7 +329,8 @@ class DyadicCountMin(_Levels):
         parts = [ranges.select("range_id", F.lit(0).cast("long").alias("est"))]
         for level in range(self.h.levels):
             blocks = _range_blocks(ranges, self.h, level, start, stop)
-            parts.append(self.count(blocks, level).select("range_id", "est"))
+            counted = self._count(blocks.select("prefix").distinct(), level)
+            parts.append(blocks.join(counted, "prefix").select("range_id", "est"))
         return reduce(DataFrame.unionByName, parts).groupBy("range_id").agg(
             F.sum("est").alias("est"))
 
@@ -326,7 +346,7 @@ class DyadicCountMin(_Levels):
         order = F.col("prefix").desc() if from_right else F.col("prefix").asc()
         along = Window.partitionBy("target_id").orderBy(order)
         for level in reversed(range(h.levels)):
-            counted = self.count(_children(state, h, level), level)
+            counted = self._count(_children(state, h, level), level)
             walked = counted.select(
                 "target_id", "target", "rem", "prefix", "est",
                 F.sum("est").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"),
@@ -433,8 +453,14 @@ class DyadicCountSketch(_Levels):
     def count(self, prefixes: DataFrame, level: int) -> DataFrame:
         """Add ``est`` to a table with ``prefix``: the median signed cell at ``level``.
 
-        Rows that are equal in all columns come back once.
+        Every row comes back once, repeated ones too.
         """
+        if level < self.h.levels:
+            return self._estimate(prefixes, level, "prefix")
+        return prefixes.withColumn("est", self.total().scalar())
+
+    def _count(self, prefixes: DataFrame, level: int) -> DataFrame:
+        """As :meth:`count`, for rows of which no two are equal."""
         if level >= self.h.levels:
             return prefixes.withColumn("est", self.total().scalar())
         names = [f"_c{r}" for r in range(self.h.depth)]
@@ -446,10 +472,13 @@ class DyadicCountSketch(_Levels):
 
     def point(self, items: DataFrame, item: str = "item") -> DataFrame:
         """Add ``est``, the estimated total of each item."""
-        found, names = item_cells(items, self.shape, self.level_cells(0), F.col(item))
-        signed = [sign_hash(c[2], c[3], F.col(item)) * F.col(n)
+        return self._estimate(items, 0, item)
+
+    def _estimate(self, keys: DataFrame, level: int, key: str) -> DataFrame:
+        found, names = item_cells(keys, self.shape, self.level_cells(level), F.col(key))
+        signed = [sign_hash(c[2], c[3], F.col(key)) * F.col(n)
                   for c, n in zip(self.coeffs, names)]
-        return found.select(*items.columns, self._median(signed).cast("long").alias("est"))
+        return found.select(*keys.columns, self._median(signed).cast("long").alias("est"))
 
     def heavy_hitters(self, thr: Column) -> DataFrame:
         """``(item, est)`` of ids whose own and whose ancestors' estimates reach ``thr``."""
@@ -459,7 +488,7 @@ class DyadicCountSketch(_Levels):
         ).where(F.col("est") >= thr)
         for level in reversed(range(h.levels)):
             opened = _children(_spread_frontier(frontier, h), h, level)
-            frontier = self.count(opened, level).where(F.col("est") >= thr)
+            frontier = self._count(opened, level).where(F.col("est") >= thr)
         return frontier.select(F.col("prefix").alias("item"), "est")
 
     def second_moment(self) -> DataFrame:

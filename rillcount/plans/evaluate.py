@@ -76,14 +76,12 @@ def evaluate_runs(claims: DataFrame, runs: DataFrame, phi: float) -> DataFrame:
     """
     per_run = runs.groupBy("run", "item").agg(F.sum("weight").alias("w"))
     thresholds = run_thresholds(per_run, phi)
-    by_item = Window.partitionBy("item").orderBy("run")
-    stretches = per_run.select(
-        "item", F.col("run").alias("_from"),
-        F.coalesce(F.lead("run").over(by_item), F.lit(1 << 30)).alias("_to"),
-        F.sum("w").over(by_item.rowsBetween(Window.unboundedPreceding, 0)).alias("total"))
-    exact = claims.join(stretches, "item").where(
-        (F.col("run") >= F.col("_from")) & (F.col("run") < F.col("_to"))
-    ).select("run", "item", "total")
+    # Claims stand among the updates of their item, at most one row for each run and side.
+    so_far = Window.partitionBy("item").orderBy("run").rangeBetween(Window.unboundedPreceding, 0)
+    placed = per_run.select("run", "item", "w", F.lit(False).alias("_claim")).unionByName(
+        claims.select("run", "item", F.lit(None).cast(per_run.schema["w"].dataType).alias("w"), F.lit(True).alias("_claim")))
+    exact = placed.withColumn("total", F.sum("w").over(so_far)).where(
+        "_claim AND total IS NOT NULL").select("run", "item", "total")
     heavy = cumulative_heavy_hitters(runs, phi).select("run", "item", "total")
     known = exact.unionByName(heavy).dropDuplicates(["run", "item"])
     judged = known.join(thresholds, "run").select("run", "item", "total", "thr")

@@ -120,10 +120,14 @@ def zipf_stream(draws: DataFrame, u: Column, lo: int, hi: int, s: float,
     return zipf_streams(draws, u, lo, hi, [s], name).drop("z")
 
 
+def power_sums(ranks: DataFrame, theta: float, *keys: str, rank: str = "id") -> DataFrame:
+    """``(*keys, zeta)``: sum of ``rank**-theta`` over the rows of each key."""
+    return ranks.groupBy(*keys).agg(F.sum(F.pow(F.lit(1.0) / F.col(rank), F.lit(float(theta)))).alias("zeta"))
+
+
 def zeta(spark: SparkSession, n: int, theta: float) -> DataFrame:
     """One row ``(zeta)``: sum of ``i**-theta`` for i up to n."""
-    return spark.range(1, n + 1).agg(
-        F.sum(F.pow(F.lit(1.0) / F.col("id"), F.lit(float(theta)))).alias("zeta"))
+    return power_sums(spark.range(1, n + 1), theta)
 
 
 def zipf_fast(u: Column, n: int | Column, theta: float, zetan: Column) -> Column:

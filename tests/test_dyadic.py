@@ -175,3 +175,23 @@ def test_count_sketch_matches_plain_python(make, depth):
     thr = 60
     want = {x for x in range(256) if estimate(1, x >> 4) >= thr and estimate(0, x) >= thr}
     assert {r.item for r in sketch.heavy_hitters(F.lit(thr)).collect()} == want
+
+
+@pytest.mark.parametrize("limit", ["10485760", "-1"])
+@pytest.mark.parametrize("kind", [DyadicCountMin, DyadicCountSketch])
+def test_repeated_prefixes_come_back_as_often(spark, make, kind, limit):
+    tree = kind.build(make([(5, 3), (300, 4)], "item long, weight long"), Hierarchy(16, 8, 16, 3, 5))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        asked = make([(5,), (5,), (300,)], "prefix long")
+        assert sorted(map(tuple, tree.count(asked, 0).collect())) == [(5, 3), (5, 3), (300, 4)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_ids_outside_the_universe_are_an_error(make):
+    for item in (5000, -1):
+        tree = DyadicCountMin.build(make([(item, 3)], "item long, weight long"), Hierarchy(12, 4, 16, 3, 5))
+        with pytest.raises(Exception, match="universe"):
+            tree.cells().collect()
