@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.common import (
@@ -16,6 +19,8 @@ DIM_PHI, DIM_EPOCHS = 1 / 40, 4
 SPACE_PHI = 1 / 60
 WORD_EPS = 2.0 ** -10
 WORD_DOCS, EVENT_BLOCK = 64, 500  # documents and events of a block
+SIZED = {"im_sum": Budget.im_sum(PHI_USERS), "dim_sum": Budget.dim_sum(PHI_USERS),
+         "space_saving": Budget.space_saving(PHI_USERS), "unit_space_saving": Budget.unit_space_saving(PHI_USERS)}
 
 
 def word_uses(spark, d):
@@ -28,12 +33,15 @@ def word_summary(spark, d):
 
 
 def event_summary(spark, d, phi=SPACE_PHI):
-    blocks = tables.user_events(spark, d).withColumn("block", F.expr(f"pos div {EVENT_BLOCK}"))
-    return counters.summarise_blocks(blocks, Budget.space_saving(phi))
+    return counters.summarise_blocks(user_blocks(spark, d), Budget.space_saving(phi))
+
+
+def user_blocks(spark, d):
+    return tables.user_events(spark, d).withColumn("block", F.expr(f"pos div {EVENT_BLOCK}"))
 
 
 def user_summary(spark, d):
-    return counters.im_sum(users(spark, d), EPS, GAMMA, SHARDS)
+    return counters.summarise_blocks(user_blocks(spark, d), Budget.im_sum(EPS, GAMMA), shards=SHARDS)
 
 
 def im_build(spark, d):
@@ -141,20 +149,18 @@ def top(spark, d):
 
 
 def sizes(spark, d):
-    """Dense bytes of every counter summary beside the counters really kept."""
-    u = users(spark, d)
-    phi = PHI_USERS
-    kept = counters.im_sum(u, phi).items.agg(F.count(F.lit(1)).alias("kept")).scalar()
-    rows = [("im_sum", counters.dense_size("im_sum", phi)),
-            ("dim_sum", counters.dense_size("dim_sum", phi)),
-            ("space_saving", counters.dense_size("space_saving", phi)),
-            ("unit_space_saving", counters.dense_size("unit_space_saving", phi)),
-            ("lossy", lossy.dense_size(phi)), ("lossy_delta", lossy.dense_size(phi, True))]
-    return u.agg(F.count(F.lit(1)).alias("items")).select(
-        F.explode(F.array(*[
-            F.struct(F.lit(m).alias("method"), F.lit(b).cast("long").alias("bytes"))
-            for m, b in rows])).alias("s"), "items", kept.alias("im_kept")
-    ).select("s.method", "s.bytes", "items", "im_kept")
+    """Dense bytes of every counter summary beside the counters it really keeps."""
+    phi, updates, rows = PHI_USERS, user_blocks(spark, d), []
+    kept = {m: counters.summarise_blocks(updates, b).items for m, b in SIZED.items()}
+    for method, delta in (("lossy", False), ("lossy_delta", True)):
+        kept[method] = lossy.lossy_count(tables.user_events(spark, d), phi, delta, include_tail=False)
+    for method, held in kept.items():
+        size = (lossy.dense_size(phi, method == "lossy_delta") if method.startswith("lossy")
+                else counters.dense_size(method, phi))
+        rows.append(held.agg(F.count(F.lit(1)).alias("kept")).select(
+            F.lit(method).alias("method"), F.lit(size).cast("long").alias("bytes"), "kept"))
+    items = users(spark, d).agg(F.count(F.lit(1)).alias("items")).scalar()
+    return reduce(DataFrame.unionByName, rows).withColumn("items", items)
 
 
 def lossy_build(spark, d):
@@ -198,19 +204,6 @@ def shard_sql(x, shards):
     return "0" if shards == 1 else f"({h31(SHARD_A, SHARD_B, x)} % {shards})::INT"
 
 
-def summary_sql(table, budget: Budget, shards=1):
-    """WITH entries ``items(shard, item, residual, q)`` by ranking every item of a shard."""
-    return [
-        f"keyed AS (SELECT {shard_sql('item', shards)} AS shard, item, total FROM {table})",
-        f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY total DESC) AS i,
-          count(*) OVER (PARTITION BY shard) AS m FROM keyed)""",
-        f"""cut AS (SELECT shard, CASE WHEN max(m) > {budget.capacity}
-          THEN coalesce(max(total) FILTER (i = {budget.counters}), 0) ELSE 0 END AS q
-          FROM ranked GROUP BY 1)""",
-        """items AS (SELECT shard, item, (total - q)::BIGINT AS residual, q::BIGINT AS q
-          FROM keyed JOIN cut USING (shard) WHERE total > q)"""]
-
-
 #: The streams of updates, and how often blocks are merged at most (more merges change nothing).
 WORD_USES = f"""uses AS (SELECT doc_id // {WORD_DOCS} AS block, 1 AS weight,
   unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS item FROM documents)"""
@@ -218,9 +211,13 @@ EVENT_USES = f"uses AS (SELECT event_id // {EVENT_BLOCK} AS block, 1 AS weight,
 MERGES = 4
 
 
-def blocks_sql(budget: Budget):
-    """WITH entries ``items(shard, item, residual, q)`` and ``error(q, n)`` from ``uses(block, weight, item)``."""
-    entries = ["m0 AS (SELECT block AS shard, item, sum(weight) AS x FROM uses GROUP BY 1, 2)",
+def blocks_sql(budget: Budget, shards: int = 1):
+    """WITH entries ``items(shard, item, residual, q)`` and ``error(q, n)`` from ``uses(block, weight, item)``.
+
+    With shards, ``items`` carry the error of their shard and ``errors(shard, q)`` lists them.
+    """
+    up = f"shard // {shards * FAN} * {shards} + shard % {shards}"
+    entries = [f"m0 AS (SELECT block * {shards} + {shard_sql('item', shards)} AS shard, item, sum(weight) AS x FROM uses GROUP BY 1, 2)",
                "e0 AS (SELECT DISTINCT shard, 0 AS q FROM m0)"]
     for level in range(MERGES + 1):
         entries += [
@@ -231,12 +228,14 @@ def blocks_sql(budget: Budget):
             f"st{level} AS (SELECT shard, item, x - d AS x FROM m{level} JOIN cut{level} USING (shard) WHERE x > d)",
             f"""er{level} AS (SELECT e.shard AS shard, e.q + coalesce(d, 0) AS q
               FROM e{level} e LEFT JOIN cut{level} c ON c.shard = e.shard)""",
-            f"m{level + 1} AS (SELECT shard // {FAN} AS shard, item, sum(x) AS x FROM st{level} GROUP BY 1, 2)",
-            f"e{level + 1} AS (SELECT shard // {FAN} AS shard, sum(q) AS q FROM er{level} GROUP BY 1)"]
+            f"m{level + 1} AS (SELECT {up} AS shard, item, sum(x) AS x FROM st{level} GROUP BY 1, 2)",
+            f"e{level + 1} AS (SELECT {up} AS shard, sum(q) AS q FROM er{level} GROUP BY 1)"]
     return [*entries,
             f"""error AS (SELECT coalesce(sum(q), 0)::BIGINT AS q,
               (SELECT coalesce(sum(weight), 0)::BIGINT FROM uses) AS n FROM er{MERGES})""",
-            f"items AS (SELECT 0 AS shard, item, x::BIGINT AS residual, q FROM st{MERGES}, error)"]
+            f"errors AS (SELECT shard::INT AS shard, q::BIGINT AS q FROM er{MERGES})",
+            f"""items AS (SELECT s.shard::INT AS shard, item, x::BIGINT AS residual, e.q AS q
+              FROM st{MERGES} s JOIN errors e ON e.shard = s.shard)"""]
 
 
 def chain_sql(budget: Budget):
@@ -290,8 +289,7 @@ CHECKS = {
         SELECT count(*) AS items, count(*) FILTER (coalesce(residual, 0) + error.q <> total) AS wrong,
           0::BIGINT AS outside, max(error.q) AS q, true AS bounded
         FROM (SELECT item, count(*) AS total FROM uses GROUP BY 1) u LEFT JOIN items i ON i.item = u.item, error"""),
-    "k1_im_sum_sharded": (im_sharded, with_(
-        USERS, *summary_sql("users", Budget.im_sum(EPS, GAMMA), SHARDS)) +
+    "k1_im_sum_sharded": (im_sharded, with_(EVENT_USES, *blocks_sql(Budget.im_sum(EPS, GAMMA), SHARDS)) +
         "SELECT shard, item, residual, q FROM items"),
     "k1_im_sum_in_place": (im_in_place, with_(PARTS) + f"SELECT {EXACT_OK} FROM parts"),
     "k1_im_sum_collapsed": (im_collapsed, with_(USERS) + f"SELECT {EXACT_OK} FROM users"),
@@ -300,8 +298,8 @@ CHECKS = {
         SELECT w.item, (coalesce(i.residual, 0) + c.q)::BIGINT AS est
         FROM (SELECT DISTINCT item FROM uses) w CROSS JOIN error c LEFT JOIN items i ON i.item = w.item"""),
     "k4_im_sum_error": (im_error, with_(
-        USERS, *summary_sql("users", Budget.im_sum(EPS, GAMMA), SHARDS)) +
-        "SELECT item, q::BIGINT AS q FROM keyed JOIN cut USING (shard)"),
+        USERS, EVENT_USES, *blocks_sql(Budget.im_sum(EPS, GAMMA), SHARDS)) + f"""
+        SELECT item, coalesce(q, 0)::BIGINT AS q FROM users LEFT JOIN errors ON shard = {shard_sql('item', SHARDS)}"""),
     "k5_im_sum_heavy_hitters": (im_heavy, with_(WORD_USES, *blocks_sql(IM_WORDS)) + f"""
         SELECT item, (residual + q)::BIGINT AS est FROM items
         WHERE residual + q >= (SELECT floor(CAST('{PHI_WORDS!r}' AS DOUBLE) * n)::BIGINT + 1 FROM error)"""),
@@ -337,16 +335,14 @@ CHECKS = {
     "k13_lossy_count_delta": (delta_build, lossy_sql(WD) + "SELECT item, est, lower FROM held"),
     "k14_lossy_delta_heavy_hitters": (delta_heavy, lossy_sql(WD) +
                                       f"SELECT item, est, lower FROM held WHERE est >= {USER_THR}"),
-    "k15_sizes": (sizes, with_(USERS, *summary_sql("users", Budget.im_sum(PHI_USERS))) + f"""
-        SELECT method, bytes, (SELECT count(*) FROM users) AS items,
-          (SELECT count(*) FROM items) AS im_kept
-        FROM (VALUES
-          ('im_sum', {104 + (520 + 130 - 1) * (4 + 48 + 64)}::BIGINT),
-          ('dim_sum', {144 + (524 + 131 - 1) * (4 + 48 + 32)}::BIGINT),
-          ('space_saving', {48 + 133 * (12 + 32)}::BIGINT),
-          ('unit_space_saving', {72 + 131 * (24 + 56 + 32 + 8)}::BIGINT),
-          ('lossy', {5 * 130 * 8 + 48}::BIGINT),
-          ('lossy_delta', {3 * 131 * 12 + 48}::BIGINT)) t(method, bytes)"""),
+    "k15_sizes": (sizes, with_(USERS) + """
+        SELECT method, bytes, kept, (SELECT count(*) FROM users) AS items FROM (""" + " UNION ALL ".join(
+        f"SELECT '{m}' AS method, {size}::BIGINT AS bytes, ({kept}) AS kept" for m, size, kept in (
+            *[(m, size, with_(EVENT_USES, *blocks_sql(SIZED[m])) + "SELECT count(*) FROM items") for m, size in (
+                ("im_sum", 104 + (520 + 130 - 1) * (4 + 48 + 64)), ("dim_sum", 144 + (524 + 131 - 1) * (4 + 48 + 32)),
+                ("space_saving", 48 + 133 * (12 + 32)), ("unit_space_saving", 72 + 131 * (24 + 56 + 32 + 8)))],
+            ("lossy", 5 * 130 * 8 + 48, lossy_sql(W) + "SELECT count(*) FROM held"),
+            ("lossy_delta", 3 * 131 * 12 + 48, lossy_sql(WD) + "SELECT count(*) FROM held"))) + ")"),
     "k16_top_k": (top, with_(WORD_USES, *blocks_sql(IM_WORDS)) + """
         SELECT item, (residual + q)::BIGINT AS est FROM items ORDER BY est DESC, item LIMIT 25"""),
 }

@@ -9,7 +9,7 @@ from checks.common import (
     PHI_USERS, PHI_WORDS, WORD_SHAPE, WORD_SIGNED_TREE, WORD_TREE, WORDS, cells, found, h31,
     kept_words, real, thr, values, with_, words,
 )
-from checks.counters import summary_sql
+from checks.counters import WORD_USES, blocks_sql, word_uses
 from checks.dyadic import heavy_sql, signed_heavy_sql
 from checks.exact import RUN_SQL, RUNS
 from checks.sources import u
@@ -19,6 +19,7 @@ from rillcount.operators.counters import Budget
 from rillcount.operators.dyadic import DyadicCountMin, DyadicCountSketch
 from rillcount.operators.linear import CountMin, SketchShape, place
 from rillcount.plans import evaluate, sweep
+from rillcount.session import cut_lineage
 from rillcount.sources import synthetic, tables
 
 RUN_SHAPE = SketchShape(64, 4, 31)
@@ -26,6 +27,8 @@ MEASURES = ("recall", "precision", "re_true", "re_false")
 SWEEP_DEPTH, SWEEP_SEED = 4, 41
 SKEW_PHI = 2.0 ** -7
 SKEW_DOMAIN = 1 << 12
+COMPARED = {"im_sum": Budget.im_sum(PHI_WORDS), "dim_sum": Budget.dim_sum(PHI_WORDS),
+            "space_saving": Budget.space_saving(PHI_WORDS)}
 
 
 def rounded(df, *keys):
@@ -96,14 +99,17 @@ def run_summary(spark, d):
 
 
 def comparison(spark, d):
-    w = kept_words(spark, d)
+    """Counter summaries are built from the uses of words, block by block, sketches from the same stream."""
+    named = cut_lineage(tables.numbered_words(spark, d))
+    w = exact.item_totals(named)
     thr_ = exact.heavy_threshold(w, PHI_WORDS)
-    im = counters.im_sum(w, PHI_WORDS)
-    dim = counters.summarise(w, Budget.dim_sum(PHI_WORDS))
-    space = counters.space_saving(w, PHI_WORDS)
+
+    def counted(budget):
+        claims = counters.summarise_blocks(word_uses(spark, d), budget).heavy_hitters(thr_)
+        return claims.select(F.col("item").alias("word"), "est").join(named, "word").select("item", "est")
+
     answers = {
-        "im_sum": im.heavy_hitters(thr_), "dim_sum": dim.heavy_hitters(thr_),
-        "space_saving": space.heavy_hitters(thr_),
+        **{method: counted(budget) for method, budget in COMPARED.items()},
         "count_min": CountMin.from_totals(w, WORD_SHAPE).point(w).where(F.col("est") >= thr_),
         "hierarchical_count_min": DyadicCountMin(WORD_TREE, w).store().heavy_hitters(thr_),
         "count_sketch": DyadicCountSketch(WORD_SIGNED_TREE, w).store().heavy_hitters(thr_)}
@@ -200,17 +206,16 @@ def run_sql():
 
 def comparison_sql():
     def counter_sql(budget):
-        return with_(WORDS, *summary_sql("words", budget)) + f"""
-          SELECT item, (residual + q)::BIGINT AS est FROM items WHERE residual + q >= {WORD_THR}"""
+        return with_(WORD_USES, *blocks_sql(budget)) + f"""
+          SELECT n.item AS item, (residual + q)::BIGINT AS est FROM items i JOIN named n ON n.w = i.item
+          WHERE residual + q >= {WORD_THR}"""
 
     answers = {
-        "im_sum": counter_sql(Budget.im_sum(PHI_WORDS)),
-        "dim_sum": counter_sql(Budget.dim_sum(PHI_WORDS)),
-        "space_saving": counter_sql(Budget.space_saving(PHI_WORDS)),
+        **{method: counter_sql(budget) for method, budget in COMPARED.items()},
         "count_min": with_(*CM_ENTRIES) + f"SELECT item, est FROM ests WHERE est >= {WORD_THR}",
         "hierarchical_count_min": heavy_sql(WORD_TREE, "words", WORDS, PHI_WORDS),
         "count_sketch": signed_heavy_sql()}
-    return with_(WORDS) + " UNION ALL ".join(
+    return with_(WORDS, WORDS.replace("words AS (", "named AS (", 1).replace("item, total", "item, w, total", 1)) + " UNION ALL ".join(
         f"SELECT '{name}' AS method, * FROM ({judged(sql, 'words', WORD_THR)})"
         for name, sql in answers.items())
 

@@ -253,19 +253,24 @@ def gather(partial: DataFrame, budget: Budget) -> CounterSummary:
 
 
 def summarise_blocks(updates: DataFrame, budget: Budget, block: str = "block", item: str = "item",
-                     weight: str = "weight", fan: int = FAN) -> CounterSummary:
+                     weight: str = "weight", fan: int = FAN, shards: int = 1) -> CounterSummary:
     """Summary from updates: one of each block of the stream, merged ``fan`` at a time.
 
+    With several ``shards`` each block is cut into so many summaries of disjoint items (whole
+    numbers then), which are merged shard by shard and keep the budget each.
+
     ``block`` numbers stretches of the stream from 0 and bounds what one summary reads, so
     a block never holds more than its own items, and a merge never more than ``fan * capacity``
     counters. Every merge prunes, and ``q <= weight / counters`` holds after each. Items may be of any
     type; rows without item or weight are left out. Negative weights are an error, as is a negative block.
     The result depends on the blocks alone, not on how Spark splits the data.
     """
+    place = F.col(block).cast("long")
     sound = F.when((F.col("residual") >= 0) & (F.col("shard") >= 0), F.col("residual")).otherwise(
         F.raise_error(F.lit("weights and blocks must not be negative")).cast("long"))
+    # Summaries in the making are numbered by block, then by shard.
     known = updates.where(F.col(item).isNotNull() & F.col(weight).isNotNull()).select(
-        F.col(block).cast("long").alias("shard"), F.col(item).alias("item"),
+        (place * shards + item_shard(F.col(item), shards)).alias("shard"), F.col(item).alias("item"),
         F.col(weight).cast("long").alias("residual"))
     items = known.withColumn("residual", sound).groupBy("shard", "item").agg(F.sum("residual").alias("residual"))
     cuts = cut_points(items, budget)
@@ -273,20 +278,22 @@ def summarise_blocks(updates: DataFrame, budget: Budget, block: str = "block", i
         "shard", "item", (F.col("residual") - F.col("delta")).alias("residual")).where("residual > 0")
     errors = cuts.select("shard", F.col("delta").alias("q"), "weight")
     summary = CounterSummary(kept, errors, budget).checkpoint()
-    shards = (summary.errors.agg(F.max("shard")).first()[0] or 0) + 1
-    while shards > 1:
-        shards = -(-shards // fan)
-        group = F.expr(f"shard div {fan}").alias("shard")
+    blocks = (summary.errors.agg(F.max("shard")).first()[0] or 0) // shards + 1
+    while blocks > 1:
+        blocks = -(-blocks // fan)
+        group = F.expr(f"shard div {shards * fan} * {shards} + shard % {shards}").alias("shard")
         summary = _combine([replace(
-            summary, shards=shards, items=summary.items.select(group, "item", "residual"),
+            summary, shards=blocks * shards, items=summary.items.select(group, "item", "residual"),
             errors=summary.errors.select(group, "q", "weight"))]).prune()
-        if shards > 1:
+        if blocks > 1:
             summary = summary.checkpoint()
-    one = F.lit(0).alias("shard")
-    total = summary.errors.agg(*[
-        F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("q", "weight")])
-    return replace(summary, items=summary.items.select(one, "item", "residual"),
-                   errors=total.select(one, "q", "weight")).checkpoint()
+    number = F.col("shard").cast("int").alias("shard")
+    errors = summary.errors.select(number, "q", "weight")
+    if shards == 1:
+        errors = errors.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("q", "weight")]).select(
+            F.lit(0).alias("shard"), "q", "weight")
+    return replace(summary, items=summary.items.select(number, "item", "residual"),
+                   errors=errors, shards=shards).checkpoint()
 
 
 def im_sum(totals: DataFrame, eps: float, gamma: float = 4.0, shards: int = 1) -> CounterSummary:

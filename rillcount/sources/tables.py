@@ -32,8 +32,8 @@ def word_uses(spark: SparkSession, sf_dir: str, docs_per_block: int) -> DataFram
         F.lit(1).cast("long").alias("weight"), F.expr(f"doc_id div {docs_per_block}").alias("block"))
 
 
-def word_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(item, weight)``: every word of every document with its number of uses.
+def numbered_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(word, item, weight)``: every word of every document with its number and its uses.
 
     A word is a run of letters of any script, lower-cased. Words are counted as text, so
     no two share an id: the classes of their MD5 number them in alphabetical order,
@@ -47,7 +47,12 @@ def word_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     in_class = Window.partitionBy("class").orderBy("word")
     item = (F.row_number().over(in_class) - 1).cast("long") * WORD_CLASSES + F.col("class")
     return counted.withColumn("class", string_id(F.col("word"), 12)).select(
-        F.coalesce(item, F.lit(0)).alias("item"), "weight")
+        "word", F.coalesce(item, F.lit(0)).alias("item"), "weight")
+
+
+def word_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(item, weight)``: the numbers of all words with their uses."""
+    return numbered_words(spark, sf_dir).select("item", "weight")
 
 
 def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
