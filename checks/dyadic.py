@@ -253,10 +253,11 @@ def sign_sql(x):
     return f"(CASE WHEN {h31('k.c', 'k.d', x)} & 1 = 1 THEN 1 ELSE -1 END)"
 
 
-def signed_cells(level):
-    x = f"(t.item >> {WORD_SIGNED_TREE.gran * level})"
-    return f"""s{level} AS (SELECT k.r, {h31('k.a', 'k.b', x)} % {WORD_SIGNED_TREE.width} AS bucket,
-      sum({sign_sql(x)} * t.total) AS c FROM words t, {CS_COEFFS} k(r, a, b, c, d) GROUP BY 1, 2)"""
+def signed_cells(level, tree=WORD_SIGNED_TREE, table="words"):
+    x = f"(t.item >> {tree.gran * level})"
+    rows = values([(r, *c) for r, c in enumerate(hashing.coefficients(tree.seed, tree.depth, 4))])
+    return f"""s{level} AS (SELECT k.r, {h31('k.a', 'k.b', x)} % {tree.width} AS bucket,
+      sum({sign_sql(x)} * t.total) AS c FROM {table} t, {rows} k(r, a, b, c, d) GROUP BY 1, 2)"""
 
 
 def signed_estimate(level, source, name):

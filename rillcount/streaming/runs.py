@@ -9,6 +9,8 @@ watermark has passed its end. What is later than ``lateness`` positions is then
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,26 +44,35 @@ def run_increments(updates: DataFrame, run_size: int, lateness: int = 0, item: s
         F.floor(start / F.lit(run_size)).cast("int").alias("run"), "item", "w")
 
 
-def collect_runs(updates: DataFrame, run_size: int, path: str | None = None, item: str = "item",
-                 weight: str = "weight", pos: str = "pos") -> DataFrame:
-    """``(run, item, w)`` of all updates of a stream, read back from a table on shared storage.
+def collect_sums(updates: DataFrame, reduced: Callable[[DataFrame], DataFrame], value: str,
+                 path: str | None = None) -> DataFrame:
+    """``reduced`` of all updates of a stream, read back from a table on shared storage.
 
-    Each micro-batch overwrites a folder of its own, so one that is repeated counts once.
+    ``reduced`` makes keyed sums of a micro-batch, which are written out; sums of ``value`` with
+    the same keys add up on reading. Each micro-batch overwrites a folder of its own, so one
+    that is repeated counts once, and nothing is kept in memory or on the driver between them.
     """
     spark = updates.sparkSession
-    path = path or scratch_path(spark, "runs")
-    run = F.call_function("div", F.col(pos), F.lit(run_size)).cast("int")
+    path = path or scratch_path(spark, "sums")
+    schema = reduced(updates).schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
 
     def append(batch: DataFrame, number: int) -> None:
-        batch.groupBy(run.alias("run"), F.col(item).alias("item")).agg(
-            F.sum(weight).alias("w")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        reduced(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     query = updates.writeStream.foreachBatch(append).option(
         "checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    kinds = dict(updates.dtypes)
-    parts = spark.read.schema(f"run int, item {kinds[item]}, w {kinds[weight]}, batch long").parquet(path)
-    return parts.groupBy("run", "item").agg(F.sum("w").alias("w"))
+    keys = [name for name in schema.names if name != value]
+    return spark.read.schema(schema).parquet(path).groupBy(*keys).agg(F.sum(value).alias(value))
+
+
+def collect_runs(updates: DataFrame, run_size: int, path: str | None = None, item: str = "item",
+                 weight: str = "weight", pos: str = "pos") -> DataFrame:
+    """``(run, item, w)`` of all updates of a stream, by :func:`collect_sums`."""
+    run = F.call_function("div", F.col(pos), F.lit(run_size)).cast("int")
+    return collect_sums(updates, lambda batch: batch.groupBy(
+        run.alias("run"), F.col(item).alias("item")).agg(F.sum(weight).alias("w")), "w", path)
 
 
 def run_to_table(rows: DataFrame, name: str, path: str | None = None) -> DataFrame:

@@ -1,18 +1,22 @@
 """Linear sketches kept up to date by Structured Streaming.
 
-The state of a sketch is its cell table, whose size is fixed by its shape and not
-by the stream, and a streaming aggregation keeps it. Its end state equals the
-sketch built from the same rows at once.
+A sketch is linear, so the cells of every micro-batch go to a table and add up on
+reading (:func:`collect_cells`), for sketches of any size. A small one may instead be
+the state of a streaming aggregation that ends in memory (:func:`run_to_memory`). Either
+way it equals the sketch built from the same rows at once. Updates without item are left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillcount.operators.dyadic import Hierarchy, all_level_cells
+from rillcount.operators.dyadic import Hierarchy, all_level_cells, in_universe
 from rillcount.operators.linear import SketchShape, place
 from rillcount.session import fits_broadcast, scratch_path
+from rillcount.streaming.runs import collect_sums
 
 
 def streaming_cells(updates: DataFrame, shape: SketchShape, item: str = "item",
@@ -25,15 +29,21 @@ def streaming_cells(updates: DataFrame, shape: SketchShape, item: str = "item",
 def streaming_level_cells(updates: DataFrame, h: Hierarchy, item: str = "item",
                           weight: str = "weight", signed: bool = False) -> DataFrame:
     """Streaming ``(level, row, bucket, c)`` of a hierarchy of sketches."""
-    return all_level_cells(updates, h, F.col(item), F.col(weight), signed)
+    known = updates.where(F.col(item).isNotNull())
+    return all_level_cells(known, h, in_universe(F.col(item), h.bits), F.col(weight), signed)
+
+
+def collect_cells(updates: DataFrame, cells: Callable[[DataFrame], DataFrame], path: str | None = None) -> DataFrame:
+    """All cells of a stream; ``cells`` is one of the functions above with its settings."""
+    return collect_sums(updates, cells, "c", path)
 
 
 def run_to_memory(state: DataFrame, name: str, max_rows: int) -> DataFrame:
     """Run a stream over all available input and return its end state.
 
     Only for state with a proven bound, like cells: ``max_rows`` is checked against
-    the session's broadcast limit, as the table ends up on the driver. Send larger
-    state to a table or a message topic with ``writeStream`` instead.
+    the session's broadcast limit, as the table ends up on the driver. Larger sketches
+    go through :func:`collect_cells`.
     """
     spark = state.sparkSession
     if not fits_broadcast(spark, max_rows, 48):

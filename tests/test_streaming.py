@@ -37,6 +37,8 @@ def test_streamed_sketch_equals_batch(spark, make, arrivals):
     shape = SketchShape(64, 3, 2)
     state = sketches.run_to_memory(sketches.streaming_cells(stream, shape), "t_cm", 192)
     same(state, CountMin.build(make(rows, SCHEMA), shape).cells, ("row", "bucket"))
+    collected = sketches.collect_cells(stream, lambda b: sketches.streaming_cells(b, shape))
+    same(collected, CountMin.build(make(rows, SCHEMA), shape).cells, ("row", "bucket"))
     with pytest.raises(ValueError):
         sketches.run_to_memory(sketches.streaming_cells(stream, shape), "t_big", 10**9)
 
@@ -73,11 +75,14 @@ def test_collected_runs_lose_no_update(arrivals):
 @pytest.mark.parametrize("budget", [Budget.im_sum(1 / 20, 0.5), Budget.space_saving(1 / 20)])
 def test_streamed_summary_keeps_its_bounds(make, arrivals, budget):
     stream, rows = arrivals
+    true, n = item_totals(make(rows, SCHEMA)), sum(w for _, w, _ in rows)
+    collected = counters.collect_summary(stream, budget)
+    assert collected.errors.first().weight == n
+    judged = collected.point(true)
+    assert judged.where(f"lower > total or total > est or q > {n / budget.counters}").isEmpty()
     written = runs.run_to_table(counters.streaming_summary(stream, budget, 3), "t_summary")
     assert written.agg(F.max("seq")).first()[0] == 5
     summary = counters.latest_summary(written, budget)
-    true = item_totals(make(rows, SCHEMA))
-    n = sum(w for _, w, _ in rows)
     assert summary.errors.first().weight == n
     judged = summary.point(true)
     assert judged.where("lower > total or total > est").isEmpty()
