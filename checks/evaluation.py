@@ -9,7 +9,7 @@ from checks.common import (
     PHI_USERS, PHI_WORDS, WORD_SHAPE, WORD_SIGNED_TREE, WORD_TREE, WORDS, cells, found, h31,
     kept_words, real, thr, values, with_, words,
 )
-from checks.counters import WORD_USES, blocks_sql, word_uses
+from checks.counters import FAN, MERGES, WORD_USES, blocks_sql, word_uses
 from checks.dyadic import heavy_sql, signed_heavy_sql
 from checks.exact import RUN_SQL, RUNS
 from checks.sources import u
@@ -116,8 +116,13 @@ def comparison(spark, d):
     return rounded(evaluate.compare(answers, w, thr_))
 
 
+def word_sweep(spark, d, settings):
+    totals = cut_lineage(exact.item_totals(word_uses(spark, d)))
+    return rounded(sweep.sweep_summaries(word_uses(spark, d), totals, settings))
+
+
 def epsilon_sweep(spark, d):
-    return rounded(sweep.sweep_counters(words(spark, d), sweep.epsilon_settings()))
+    return word_sweep(spark, d, sweep.epsilon_settings())
 
 
 def epsilon_sweep_count_min(spark, d):
@@ -126,7 +131,7 @@ def epsilon_sweep_count_min(spark, d):
 
 
 def gamma_sweep(spark, d):
-    return rounded(sweep.sweep_counters(words(spark, d), sweep.gamma_settings()))
+    return word_sweep(spark, d, sweep.gamma_settings())
 
 
 def skew_totals(spark, d):
@@ -242,6 +247,37 @@ def sweep_sql(settings, stream, table, group=None):
         100.0::DOUBLE AS precision, 0.0::DOUBLE AS re_true, 0.0::DOUBLE AS re_false FROM res"""
 
 
+def summaries_sql(settings):
+    """Every setting by itself: blocks of uses, summed, cut and merged; then judged by the exact totals."""
+    rows = values([(k, f"'{m}'", real(float(p)), real(float(phi)), b.counters, b.capacity)
+                   for k, ((m, p), (phi, b)) in enumerate(settings.items())])
+    entries = [WORD_USES, f"st AS (SELECT * FROM {rows} t(k, method, param, phi, counters, capacity))",
+               """m0 AS MATERIALIZED (SELECT k, shard, item, x FROM st,
+                 (SELECT block AS shard, item, sum(weight) AS x FROM uses GROUP BY 1, 2))""",
+               "e0 AS (SELECT DISTINCT k, shard, 0 AS q FROM m0)"]
+    for level in range(MERGES + 1):
+        entries += [
+            f"""c{level} AS MATERIALIZED (SELECT k, shard, CASE WHEN count(*) > max(capacity)
+              THEN coalesce(max(x) FILTER (i = counters), 0) ELSE 0 END AS d
+              FROM (SELECT k, shard, x, row_number() OVER (PARTITION BY k, shard ORDER BY x DESC) AS i FROM m{level})
+              JOIN st USING (k) GROUP BY 1, 2)""",
+            f"l{level} AS MATERIALIZED (SELECT k, shard, item, x - d AS x FROM m{level} JOIN c{level} USING (k, shard) WHERE x > d)",
+            f"r{level} AS (SELECT k, shard, q + coalesce(d, 0) AS q FROM e{level} LEFT JOIN c{level} USING (k, shard))",
+            f"m{level + 1} AS MATERIALIZED (SELECT k, shard // {FAN} AS shard, item, sum(x) AS x FROM l{level} GROUP BY 1, 2, 3)",
+            f"e{level + 1} AS (SELECT k, shard // {FAN} AS shard, sum(q) AS q FROM r{level} GROUP BY 1, 2)"]
+    return with_(*entries, """
+      w AS (SELECT item, sum(weight) AS total FROM uses GROUP BY 1), n AS (SELECT sum(total) AS n FROM w),
+      t AS (SELECT k, method, param, n, floor(phi * n)::BIGINT + 1 AS thr FROM st, n)""", f"""
+      res AS (SELECT t.k, count(x) FILTER (x + q >= thr) AS claimed, count(*) FILTER (total >= thr) AS hh,
+        count(x) FILTER (x + q >= thr AND total >= thr) AS correct, max(q) AS q,
+        avg((x + q - total)::DOUBLE / total) FILTER (x + q >= thr AND total >= thr) AS rt,
+        avg((x + q - total)::DOUBLE / total) FILTER (x + q >= thr AND total < thr) AS rf
+        FROM t JOIN r{MERGES} r ON r.k = t.k CROSS JOIN w LEFT JOIN l{MERGES} l ON l.k = t.k AND l.item = w.item
+        GROUP BY t.k)""") + f"""
+      SELECT method, param, n::BIGINT AS n, q::BIGINT AS q, claimed, correct, hh,
+        {score('claimed', 'correct', 'hh', 'rt', 'rf')} FROM res JOIN t USING (k)"""
+
+
 def sweep_cm_sql():
     rows = []
     for i, e in enumerate(sweep.EPSILON_EXPONENTS):
@@ -286,10 +322,10 @@ CHECKS = {
         max(x) FILTER (i = floor(n * 0.05::DOUBLE)) AS p5, max(x) FILTER (i = floor(n * 0.95::DOUBLE)) AS p95
       FROM ordered GROUP BY measure"""),
     "v5_method_comparison": (comparison, comparison_sql()),
-    "p1_epsilon_sweep": (epsilon_sweep, sweep_sql(
-        sweep.epsilon_settings(), "WITH " + WORDS, "words")),
+    "p1_epsilon_sweep": (epsilon_sweep, summaries_sql(
+        sweep.epsilon_settings())),
     "p1_epsilon_sweep_count_min": (epsilon_sweep_count_min, sweep_cm_sql()),
-    "p2_gamma_sweep": (gamma_sweep, sweep_sql(sweep.gamma_settings(), "WITH " + WORDS, "words")),
+    "p2_gamma_sweep": (gamma_sweep, summaries_sql(sweep.gamma_settings())),
     "p3_skew_sweep": (skew_sweep, sweep_sql(skew_settings(), SKEW_STREAM, "drawn", "z")),
     "p4_average_repeats": (repeats, """
         WITH r AS (SELECT user_id % 8 AS repeat, event_type AS method, (event_id % 5)::DOUBLE AS param,

@@ -28,7 +28,7 @@ def evaluate(claims: DataFrame, totals: DataFrame, thr: Column,
     """
     keys = list(keys)
     judged = totals.select(*keys, "item", "total", (F.col("total") >= thr).alias("_hh"))
-    return _scores(_tally(claims, judged, keys), keys)
+    return scores(_tally(claims, judged, keys), keys)
 
 
 def _tally(claims: DataFrame, judged: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,7 +56,8 @@ def _tally(claims: DataFrame, judged: DataFrame, keys: list[str]) -> DataFrame:
         F.max("_rt").alias("_rt"), F.max("_rf").alias("_rf"))
 
 
-def _scores(counted: DataFrame, keys: list[str]) -> DataFrame:
+def scores(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Percentages and errors from ``(*keys, claimed, correct, hh, _rt, _rf)``."""
     full = F.lit(100.0)
     return counted.select(
         *keys, "claimed", "correct", "hh",
@@ -146,4 +147,4 @@ def compare(answers: Mapping[str, DataFrame], totals: DataFrame, thr: Column) ->
     counted = names.join(_tally(tagged, judged, ["method"]), "method", "left").select(
         "method", F.coalesce("claimed", F.lit(0)).alias("claimed"),
         F.coalesce("correct", F.lit(0)).alias("correct"), hh.alias("hh"), "_rt", "_rf")
-    return _scores(counted, ["method"])
+    return scores(counted, ["method"])

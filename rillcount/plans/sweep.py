@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillcount.functions.hashing import bucket
-from rillcount.operators.counters import Budget
+from rillcount.operators.counters import FAN, Budget
 from rillcount.operators.exact import stream_total
 from rillcount.operators.linear import SketchShape
+from rillcount.plans.evaluate import scores
+from rillcount.session import cut_lineage
 
 # The settings of the reference's sweeps.
 EPSILON_EXPONENTS = tuple(range(10, 21))
@@ -25,7 +27,8 @@ def sweep_counters(totals: DataFrame, settings: Mapping[tuple[str, float], tuple
     """``(*groups, method, param, n, delta, hh, claimed, recall, precision, re_true, re_false)``.
 
     ``settings`` maps ``(method, param)`` to ``(phi, budget)``; ``totals`` holds
-    exact totals, of one stream or of one per ``groups``. What a budget prunes, and
+    exact totals, of one stream or of one per ``groups``, which are pruned once: what is left of
+    streams whose exact totals are at hand (:func:`sweep_summaries` builds from updates). What a budget prunes, and
     which heavy hitters survive it, follows from the counts by value, a table of at
     most ``sqrt(2 N)`` rows per stream; only that small table is opened per setting.
     An item that survives has its exact total as estimate, so nothing else is
@@ -62,6 +65,90 @@ def sweep_counters(totals: DataFrame, settings: Mapping[tuple[str, float], tuple
         F.lit(0.0).alias("re_false"))
 
 
+def _cuts(rows: DataFrame, budgets: Sequence[Budget]) -> DataFrame:
+    """``(block, deltas)``: what a prune by each budget takes off the residuals of a block.
+
+    Residuals are opened per setting inside the tasks that hold them and counted by
+    value there, so the shuffle carries different values and no items.
+    """
+    def of(name: str, i: str):
+        return F.get(F.array(*[F.lit(getattr(b, name)).cast("long") for b in budgets]), F.col(i))
+
+    by_value = rows.select("block", F.posexplode("rs").alias("i", "v")).where("v > 0").groupBy(
+        "block", "i", "v").agg(F.count(F.lit(1)).alias("m"))
+    largest_first = Window.partitionBy("block", "i").orderBy(F.col("v").desc()).rowsBetween(
+        Window.unboundedPreceding, 0)
+    ranked = by_value.withColumn("above", F.sum("m").over(largest_first))
+    kth = F.max(F.when(F.col("above") >= of("counters", "i"), F.col("v")))
+    cut = ranked.groupBy("block", "i").agg(kth.alias("kth"), F.sum("m").alias("items")).select(
+        "block", "i", F.when(F.col("items") > of("capacity", "i"), F.col("kth")).alias("delta"))
+    return cut.groupBy("block").agg(F.array(*[
+        F.coalesce(F.max(F.when(F.col("i") == k, F.col("delta"))), F.lit(0).cast("long"))
+        for k in range(len(budgets))]).alias("deltas"))
+
+
+def summaries(updates: DataFrame, budgets: Sequence[Budget], fan: int = FAN) -> tuple[DataFrame, DataFrame]:
+    """Counter summaries of one stream under many budgets at once: ``(item, rs)`` and one row ``(qs)``.
+
+    As :func:`~rillcount.operators.counters.summarise_blocks` of ``(item, weight, block)`` for every
+    budget, but an item stays one row, with an array that holds its residual under each of them.
+    """
+    n = len(budgets)
+    sums = updates.where("item IS NOT NULL AND weight IS NOT NULL").groupBy("block", "item").agg(
+        F.sum("weight").alias("x"))
+    rows = cut_lineage(sums.select("block", "item", F.array_repeat("x", n).alias("rs")))
+    errors = rows.select("block").distinct().withColumn("qs", F.array_repeat(F.lit(0).cast("long"), n))
+    blocks = (rows.agg(F.max("block")).first()[0] or 0) + 1
+    while True:
+        cuts = cut_lineage(_cuts(rows, budgets))
+        rows = rows.join(cuts, "block").select("block", "item", F.zip_with(
+            "rs", "deltas", lambda r, d: F.greatest(r - d, F.lit(0))).alias("rs")).where(
+            F.exists("rs", lambda r: r > 0))
+        errors = errors.join(cuts, "block", "left").select("block", F.coalesce(
+            F.zip_with("qs", "deltas", lambda q, d: q + d), "qs").alias("qs"))
+        if blocks <= 1:
+            break
+        blocks = -(-blocks // fan)
+        group = F.expr(f"block div {fan}").alias("block")
+
+        def added(name: str):
+            return F.array(*[F.sum(F.col(name)[k]) for k in range(n)]).alias(name)
+
+        rows = cut_lineage(rows.groupBy(group, "item").agg(added("rs")))
+        errors = cut_lineage(errors.groupBy(group).agg(added("qs")))
+    return cut_lineage(rows.select("item", "rs")), errors.agg(F.array(*[
+        F.coalesce(F.sum(F.col("qs")[k]), F.lit(0)).cast("long") for k in range(n)]).alias("qs"))
+
+
+def sweep_summaries(updates: DataFrame, totals: DataFrame,
+                    settings: Mapping[tuple[str, float], tuple[float, Budget]]) -> DataFrame:
+    """``(method, param, n, q, claimed, correct, hh, recall, precision, re_true, re_false)``.
+
+    ``settings`` maps ``(method, param)`` to ``(phi, budget)``. Summaries are built from ``updates``
+    in blocks and their heavy hitters judged by the exact ``totals`` of the same stream.
+    """
+    names, phis, budgets = list(settings), [p for p, _ in settings.values()], [b for _, b in settings.values()]
+    items, errors = summaries(updates, budgets)
+    n = stream_total(totals).scalar()
+    thrs = [(F.floor(F.lit(float(phi)) * n) + 1).cast("long") for phi in phis]
+    qs = errors.scalar()
+    claims = items.select("item", "rs", qs.alias("qs"), F.array(*thrs).alias("thrs")).select(
+        "item", F.posexplode(F.zip_with("rs", "qs", lambda r, q: F.when(r > 0, r + q))).alias("i", "est"), "thrs"
+    ).select("item", "i", "est", F.get("thrs", F.col("i")).alias("thr")).where("est >= thr")
+    met = claims.join(totals, "item").withColumn("hit", F.col("total") >= F.col("thr"))
+    error = F.abs(F.col("est") - F.col("total")) / F.nullif(F.col("total"), F.lit(0))
+    scored = met.groupBy("i").agg(
+        F.count(F.lit(1)).alias("claimed"), F.count(F.when(F.col("hit"), 1)).alias("correct"),
+        F.avg(F.when(F.col("hit"), error)).alias("_rt"), F.avg(F.when(~F.col("hit"), error)).alias("_rf"))
+    heavy = totals.agg(F.array(*[F.count(F.when(F.col("total") >= t, 1)) for t in thrs]).alias("hhs"))
+    tried = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(float(p)).alias("param")) for m, p in names])
+    every = heavy.select(n.alias("n"), qs.alias("qs"), "hhs", F.posexplode(tried).alias("i", "s")).select(
+        "i", "s.*", "n", F.get("qs", F.col("i")).alias("q"), F.get("hhs", F.col("i")).alias("hh"))
+    zero = F.lit(0).cast("long")
+    return scores(every.join(scored, "i", "left").withColumns({
+        c: F.coalesce(c, zero) for c in ("claimed", "correct")}), ["method", "param", "n", "q"])
+
+
 def epsilon_settings(exponents: Sequence[int] = EPSILON_EXPONENTS, gamma: float = 4.0):
     """Settings of the sweep over epsilon: phi = 2^-10 to 2^-20."""
     made = {}
