@@ -65,26 +65,23 @@ def sweep_counters(totals: DataFrame, settings: Mapping[tuple[str, float], tuple
         F.lit(0.0).alias("re_false"))
 
 
-def _cuts(rows: DataFrame, budgets: Sequence[Budget]) -> DataFrame:
-    """``(block, deltas)``: what a prune by each budget takes off the residuals of a block.
+def _cuts(by_value: DataFrame, budgets: Sequence[Budget]) -> DataFrame:
+    """``(block, deltas)``: what a prune by each budget takes off, from ``(block, i, v, m)``.
 
-    Residuals are opened per setting inside the tasks that hold them and counted by
-    value there, so the shuffle carries different values and no items.
+    ``m`` residuals of block ``block`` have the value ``v`` under budget ``i``.
     """
     def of(name: str, i: str):
         return F.get(F.array(*[F.lit(getattr(b, name)).cast("long") for b in budgets]), F.col(i))
 
-    by_value = rows.select("block", F.posexplode("rs").alias("i", "v")).where("v > 0").groupBy(
-        "block", "i", "v").agg(F.count(F.lit(1)).alias("m"))
     largest_first = Window.partitionBy("block", "i").orderBy(F.col("v").desc()).rowsBetween(
         Window.unboundedPreceding, 0)
     ranked = by_value.withColumn("above", F.sum("m").over(largest_first))
     kth = F.max(F.when(F.col("above") >= of("counters", "i"), F.col("v")))
     cut = ranked.groupBy("block", "i").agg(kth.alias("kth"), F.sum("m").alias("items")).select(
         "block", "i", F.when(F.col("items") > of("capacity", "i"), F.col("kth")).alias("delta"))
-    return cut.groupBy("block").agg(F.array(*[
+    return cut_lineage(cut.groupBy("block").agg(F.array(*[
         F.coalesce(F.max(F.when(F.col("i") == k, F.col("delta"))), F.lit(0).cast("long"))
-        for k in range(len(budgets))]).alias("deltas"))
+        for k in range(len(budgets))]).alias("deltas")))
 
 
 def summaries(updates: DataFrame, budgets: Sequence[Budget], fan: int = FAN) -> tuple[DataFrame, DataFrame]:
@@ -92,31 +89,35 @@ def summaries(updates: DataFrame, budgets: Sequence[Budget], fan: int = FAN) ->
 
     As :func:`~rillcount.operators.counters.summarise_blocks` of ``(item, weight, block)`` for every
     budget, but an item stays one row, with an array that holds its residual under each of them.
+    Only different values are ranked per setting: those of a block's sums are opened
+    after they are counted, and those of merged residuals are counted in the tasks that open them.
     """
     n = len(budgets)
-    sums = updates.where("item IS NOT NULL AND weight IS NOT NULL").groupBy("block", "item").agg(
-        F.sum("weight").alias("x"))
-    rows = cut_lineage(sums.select("block", "item", F.array_repeat("x", n).alias("rs")))
-    errors = rows.select("block").distinct().withColumn("qs", F.array_repeat(F.lit(0).cast("long"), n))
-    blocks = (rows.agg(F.max("block")).first()[0] or 0) + 1
-    while True:
-        cuts = cut_lineage(_cuts(rows, budgets))
-        rows = rows.join(cuts, "block").select("block", "item", F.zip_with(
-            "rs", "deltas", lambda r, d: F.greatest(r - d, F.lit(0))).alias("rs")).where(
-            F.exists("rs", lambda r: r > 0))
-        errors = errors.join(cuts, "block", "left").select("block", F.coalesce(
-            F.zip_with("qs", "deltas", lambda q, d: q + d), "qs").alias("qs"))
-        if blocks <= 1:
-            break
+    settings = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")
+    count = F.count(F.lit(1)).alias("m")
+
+    def added(name: str):
+        return F.array(*[F.sum(F.col(name)[k]) for k in range(n)]).alias(name)
+
+    sums = cut_lineage(updates.where("item IS NOT NULL AND weight IS NOT NULL").groupBy("block", "item").agg(
+        F.sum("weight").alias("x")))
+    blocks = (sums.agg(F.max("block")).first()[0] or 0) + 1
+    cuts = _cuts(sums.where("x > 0").groupBy("block", F.col("x").alias("v")).agg(count).select(
+        "block", settings, "v", "m"), budgets)
+    rows = sums.join(cuts, "block").select("block", "item", F.transform(
+        "deltas", lambda d: F.greatest(F.col("x") - d, F.lit(0))).alias("rs"))
+    errors = cuts.select("block", F.col("deltas").alias("qs"))
+    while blocks > 1:
         blocks = -(-blocks // fan)
         group = F.expr(f"block div {fan}").alias("block")
-
-        def added(name: str):
-            return F.array(*[F.sum(F.col(name)[k]) for k in range(n)]).alias(name)
-
-        rows = cut_lineage(rows.groupBy(group, "item").agg(added("rs")))
-        errors = cut_lineage(errors.groupBy(group).agg(added("qs")))
-    return cut_lineage(rows.select("item", "rs")), errors.agg(F.array(*[
+        rows = cut_lineage(rows.where(F.exists("rs", lambda r: r > 0)).groupBy(group, "item").agg(added("rs")))
+        cuts = _cuts(rows.select("block", F.posexplode("rs").alias("i", "v")).where("v > 0").groupBy(
+            "block", "i", "v").agg(count), budgets)
+        rows = rows.join(cuts, "block").select("block", "item", F.zip_with(
+            "rs", "deltas", lambda r, d: F.greatest(r - d, F.lit(0))).alias("rs"))
+        errors = cut_lineage(errors.groupBy(group).agg(added("qs")).join(cuts, "block", "left").select(
+            "block", F.coalesce(F.zip_with("qs", "deltas", lambda q, d: q + d), "qs").alias("qs")))
+    return rows.select("item", "rs"), errors.agg(F.array(*[
         F.coalesce(F.sum(F.col("qs")[k]), F.lit(0)).cast("long") for k in range(n)]).alias("qs"))
 
 
