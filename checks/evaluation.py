@@ -19,14 +19,16 @@ from rillcount.operators.counters import Budget
 from rillcount.operators.dyadic import DyadicCountMin, DyadicCountSketch
 from rillcount.operators.linear import CountMin, SketchShape, place
 from rillcount.plans import evaluate, sweep
-from rillcount.session import cut_lineage
+from rillcount.session import cut_lineage, scratch_path
 from rillcount.sources import synthetic, tables
+from rillcount.sources.reports import read_report, write_report
 
 RUN_SHAPE = SketchShape(64, 4, 31)
 MEASURES = ("recall", "precision", "re_true", "re_false")
 SWEEP_DEPTH, SWEEP_SEED = 4, 41
 SKEW_PHI = 2.0 ** -7
 SKEW_DOMAIN = 1 << 12
+REPORTED = {"count_min": 40 + 64 * 4 * 4 + 4 * 8, "not_run": counters.dense_size("im_sum", PHI_USERS)}
 COMPARED = {"im_sum": Budget.im_sum(PHI_WORDS), "dim_sum": Budget.dim_sum(PHI_WORDS),
             "space_saving": Budget.space_saving(PHI_WORDS)}
 
@@ -98,6 +100,16 @@ def run_summary(spark, d):
         F.round(c, 9).alias(c) for c in ("mean", "p5", "p95")])
 
 
+def full_report(spark, d):
+    """Space and scores over the runs of each method, written as text and read back; one method has no runs."""
+    scores = evaluate.evaluate_runs(run_claims(spark, d), run_stream(spark, d), PHI_USERS)
+    made = evaluate.report(scores.withColumn("method", F.lit("count_min")), REPORTED)
+    path = scratch_path(spark, "report")
+    write_report(made, path)
+    read = read_report(spark, path, made.schema)
+    return read.select("method", "space", *[F.round(c, 9).alias(c) for c in read.columns[2:]])
+
+
 def comparison(spark, d):
     """Counter summaries are built from the uses of words, block by block, sketches from the same stream."""
     named = cut_lineage(tables.numbered_words(spark, d))
@@ -297,6 +309,24 @@ def sweep_cm_sql():
       SELECT 'count_min' AS method, param, hh, claimed, {score('claimed', 'correct', 'hh', 'rt', 'rf')} FROM res"""
 
 
+RUN_SUMMARY = """,
+      long AS (UNPIVOT final ON recall, precision, re_true, re_false INTO NAME measure VALUE x),
+      ordered AS (SELECT measure, x, row_number() OVER (PARTITION BY measure ORDER BY x) - 1 AS i,
+        count(*) OVER (PARTITION BY measure) AS n FROM long)"""
+
+
+def report_sql():
+    parts = [(m, f"max({x}) FILTER (measure = '{m}')", part) for m in MEASURES
+             for part, x in (("mean", "mean"), ("p5", "p5"), ("p95", "p95"))]
+    ran = ", ".join(f"{x} AS {m}_{part}" for m, x, part in parts)
+    absent = ", ".join(f"{0 if part == 'mean' else -1}::DOUBLE AS {m}_{part}" for m, _, part in parts)
+    return run_sql() + f"""{RUN_SUMMARY},
+      summary AS (SELECT measure, round(avg(x), 9) AS mean, max(x) FILTER (i = floor(n * 0.05::DOUBLE)) AS p5,
+        max(x) FILTER (i = floor(n * 0.95::DOUBLE)) AS p95 FROM ordered GROUP BY measure)
+      SELECT 'count_min' AS method, 1096::BIGINT AS space, {ran} FROM summary
+      UNION ALL SELECT 'not_run' AS method, {104 + (520 + 130 - 1) * (4 + 48 + 64)}::BIGINT AS space, {absent}"""
+
+
 SKEW_STREAM = f"""WITH z AS (SELECT z FROM {values([(real(z),) for z in sweep.SKEWS])} t(z)),
   p AS (SELECT z, k, pow(k::DOUBLE, -z) AS p FROM z, range(1, {SKEW_DOMAIN}) t(k)),
   cdf AS (SELECT z, k, sum(p) OVER (PARTITION BY z ORDER BY k) / sum(p) OVER (PARTITION BY z) AS hi FROM p),
@@ -314,10 +344,8 @@ CHECKS = {
     "v3_empty_answer": (empty_answer, with_(WORDS) + judged(
         "SELECT item, total AS est FROM words WHERE total < 0", "words", WORD_THR)),
     "v1_evaluate_runs": (per_run, run_sql() + "SELECT * FROM final"),
-    "v4_run_summary": (run_summary, run_sql() + """,
-      long AS (UNPIVOT final ON recall, precision, re_true, re_false INTO NAME measure VALUE x),
-      ordered AS (SELECT measure, x, row_number() OVER (PARTITION BY measure ORDER BY x) - 1 AS i,
-        count(*) OVER (PARTITION BY measure) AS n FROM long)
+    "v6_report": (full_report, report_sql()),
+    "v4_run_summary": (run_summary, run_sql() + RUN_SUMMARY + """
       SELECT 'count_min' AS method, measure, round(avg(x), 9) AS mean,
         max(x) FILTER (i = floor(n * 0.05::DOUBLE)) AS p5, max(x) FILTER (i = floor(n * 0.95::DOUBLE)) AS p95
       FROM ordered GROUP BY measure"""),

@@ -11,7 +11,7 @@ from checks.counters import EXACT_OK, verdict
 from checks.dyadic import build_sql, signed_cells
 from rillcount.operators import lossy
 from rillcount.operators.counters import Budget
-from rillcount.operators.dyadic import Hierarchy
+from rillcount.operators.dyadic import DyadicCountSketch, Hierarchy
 from rillcount.session import scratch_path
 from rillcount.sources import tables
 from rillcount.streaming import counters, runs, sketches
@@ -60,12 +60,22 @@ def levels(spark, d):
         "level", F.col("row").alias("r"), "bucket", "c")
 
 
-def signed_levels(spark, d):
+def signed_level_cells(spark, d):
     return sketches.collect_cells(
         events(spark, d), lambda b: sketches.streaming_level_cells(b, USER_TREE, signed=True)).select(
         "level", F.col("row").alias("r"), "bucket", "c")
 
 
+def signed_levels(spark, d):
+    """Streamed and batch-built Count Sketch cells, subtracted: nothing may remain."""
+    streamed = signed_level_cells(spark, d).withColumnRenamed("r", "row")
+    batch = DyadicCountSketch(USER_TREE, users(spark, d)).cells()
+    return streamed.join(
+        batch.withColumnRenamed("c", "b"), ["level", "row", "bucket"], "full_outer"
+    ).agg(F.count(F.lit(1)).alias("cells"), F.sum(
+        (F.coalesce("c", F.lit(0)) != F.coalesce("b", F.lit(0))).cast("long")).alias("unequal"))
+
+
 def exact_runs(spark, d):
     return runs.snapshots(runs.collect_runs(events(spark, d), RUN_SIZE))
 
@@ -82,16 +92,19 @@ def epochs(spark, d):
     return lossy.epoch_counts(tables.user_events(spark, d), lossy.window_size(PHI_USERS))
 
 
+CS_CELLS = with_(USERS, *[signed_cells(l, USER_TREE, "users") for l in range(USER_TREE.levels)],
+                 "cells AS (" + " UNION ALL ".join(
+    f"SELECT {l} AS level, r, bucket, c::BIGINT AS c FROM s{l}" for l in range(USER_TREE.levels)) + f"""
+  UNION ALL SELECT {USER_TREE.levels} AS level, -1 AS r, 0::BIGINT AS bucket, sum(total)::BIGINT AS c FROM users)""")
+
 CHECKS = {
     "t1_stream_cm": (signed, with_(SIGNED, cells("s", "signed", SIGNED_SHAPE)) +
                      "SELECT r, bucket, c::BIGINT AS c FROM s"),
     "t1_stream_cmf": (prices, with_(PRICES, cells("s", "prices", PART_SHAPE)) +
                       "SELECT r, bucket, (c * 100)::BIGINT AS cents FROM s"),
     "t1_stream_cmh": (levels, build_sql()),
-    "t1_stream_cs": (signed_levels, with_(
-        USERS, *[signed_cells(l, USER_TREE, "users") for l in range(USER_TREE.levels)]) + " UNION ALL ".join(
-        f"SELECT {l} AS level, r, bucket, c::BIGINT AS c FROM s{l}" for l in range(USER_TREE.levels)) + f"""
-        UNION ALL SELECT {USER_TREE.levels} AS level, -1 AS r, 0::BIGINT AS bucket, sum(total)::BIGINT AS c FROM users"""),
+    "t1_stream_cs": (signed_levels, CS_CELLS + "SELECT count(*) AS cells, 0::BIGINT AS unequal FROM cells"),
+    "t1_stream_cs_cells": (signed_level_cells, CS_CELLS + "SELECT * FROM cells"),
     "t2_stream_runs": (exact_runs, f"""
         SELECT run, item, sum(w) OVER (PARTITION BY item ORDER BY run)::BIGINT AS total FROM (
           SELECT (event_id // {RUN_SIZE})::INT AS run, user_id AS item, count(*) AS w

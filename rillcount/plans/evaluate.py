@@ -124,12 +124,10 @@ def report(scores: DataFrame, methods: Mapping[str, int]) -> DataFrame:
     """
     spark = scores.sparkSession
     known = spark.createDataFrame(list(methods.items()), "method string, space long")
-    summary = summarise_runs(scores)
-    for m in MEASURES:
-        one = summary.where(F.col("measure") == m).select(
-            "method", F.col("mean").alias(f"{m}_mean"), F.col("p5").alias(f"{m}_p5"),
-            F.col("p95").alias(f"{m}_p95"))
-        known = known.join(one, "method", "left")
+    summary = summarise_runs(scores).groupBy("method").agg(*[
+        F.max(F.when(F.col("measure") == m, F.col(part))).alias(f"{m}_{part}")
+        for m in MEASURES for part in ("mean", "p5", "p95")])
+    known = known.join(summary, "method", "left")
     cols = [
         F.coalesce(f"{m}_{part}", F.lit(0.0 if part == "mean" else -1.0)).alias(f"{m}_{part}")
         for m in MEASURES for part in ("mean", "p5", "p95")]
