@@ -150,12 +150,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's smallest, one row for each.
+def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of a group of near copies, one row for each.
 
+    Groups hang together by links of Jaccard similarity 0.8 or more between sets of word
+    shingles, see ``minhash``; the narrower links of ``near_duplicates`` are not used.
     Rows without a doc_id are kept, as nothing says which of them to keep. Of rows with the kept
     id one stays, the first by its other columns as text.
     """
-    classes = near_duplicates(docs, shingle).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(classes, "doc_id").dropDuplicates(["doc_id"])
+    from rillcount.llm import minhash
+
+    texts = docs.select("doc_id", minhash.node().alias("node"), "text")
+    roots = minhash.near_copies(texts.select("node", "text"), shingle)
+    least = texts.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(roots, "node", "left")
+    classes = least.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("doc_id").alias("doc_id"))
+    kept = docs.join(classes.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"])
     return kept.select(docs.columns).union(docs.where("doc_id is null"))

@@ -96,6 +96,31 @@ def test_near_duplicates_of_odd_rows(spark, make):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def similarity(a, b):
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_kept_rows_are_those_of_brute_force_similarity(make):
+    """Texts of 100 to 500 words with some edits, most of them too far apart for the fingerprints of op4."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [""]
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(rng.randint(100, 500))]
+        texts.append(" ".join(base))
+        for _ in range(5):
+            copy = list(base)
+            for _ in range(rng.randint(0, len(base) // 30)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy).upper())
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if similarity(texts[i], texts[j]) >= 0.8]
+    prints = [simhash.fingerprint(t) for t in texts]
+    assert sum((prints[i] ^ prints[j]).bit_count() > 3 for i, j in near) > len(near) / 2
+    kept = simhash.keep_one(make(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(union(len(texts), near)))
+
+
 URLS = [None, "", "no scheme", "http://", "http://EXAMPLE.com", "http://example.com/", "https://www.example.com/en/a?b", "x://example.com/en",
         "http://a.example.com/en/1#x", "http://n.net/es/", "http://net/fr/2", "http://evilexample.com/en/", "http://a.net?x/es/", "http://b.org/q/w" * 400]
 
