@@ -151,18 +151,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of a group of near copies, one row for each.
+    """One row of ``docs`` for each group of near copies: the first by doc_id, text and other columns.
 
     Groups hang together by links of Jaccard similarity 0.8 or more between sets of word
     shingles, see ``minhash``; the narrower links of ``near_duplicates`` are not used.
-    Rows without a doc_id are kept, as nothing says which of them to keep. Of rows with the kept
-    id one stays, the first by its other columns as text.
+    Rows and not ids are grouped, so rows of one id that are no copies all stay. Rows
+    without a doc_id are members like any other and come last; text and other columns are
+    ordered by their SHA-256, so that every run keeps the same row.
     """
     from rillcount.llm import minhash
 
-    texts = docs.select("doc_id", minhash.node().alias("node"), "text")
-    roots = minhash.near_copies(texts.select("node", "text"), shingle)
-    least = texts.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(roots, "node", "left")
-    classes = least.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("doc_id").alias("doc_id"))
-    kept = docs.join(classes.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).union(docs.where("doc_id is null"))
+    names = docs.columns
+    others = F.to_json(F.struct(F.lit(0).alias("_"), *[docs[c].alias(f"_{i}") for i, c in enumerate(names) if c != "text"]))
+    digest = F.sha2(F.concat_ws(" ", F.sha2(F.col("text").cast("binary"), 256), others), 256)  # of a null text: without it
+    rows = docs.select(
+        *[docs[c].alias(f"_{i}") for i, c in enumerate(names)], "text", minhash.node().alias("node"),
+        F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text"),
+                 digest.alias("row")).alias("rank"))
+    roots = minhash.near_copies(rows.select("node", "text"), shingle)
+    first = rows.groupBy("node").agg(F.min("rank").alias("rank")).join(roots, "node", "left")
+    kept = first.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rank").alias("rank")).select("rank.row")
+    # Rows of one digest are equal in all columns: it does not matter which of them is kept.
+    named = rows.withColumn("row", F.col("rank.row")).drop("text", "node", "rank")
+    return named.join(kept, "row").dropDuplicates(["row"]).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)])

@@ -121,6 +121,23 @@ def test_kept_rows_are_those_of_brute_force_similarity(make):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(union(len(texts), near)))
 
 
+def test_rows_of_one_id_or_none_are_kept_by_their_texts(make):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(900)]
+    a, b, c, d = ([rng.choice(words) for _ in range(200)] for _ in range(4))
+    a, near, b, c, d = (" ".join(w) for w in (a, [*a[:100], "edit", *a[101:]], b, c, d))
+    rows = [(3, a, "x"), (5, near, "x"), (5, b, "x"), (7, c, "y"), (7, c, "x"), (7, c, "y"), (None, a, "x"),
+            (None, d, "x"), (None, d, "x"), (None, d + " more", "x")]
+    seen = set()
+    for turn in range(3):
+        rng.shuffle(rows)
+        kept = simhash.keep_one(make(rows, "doc_id long, text string, source string")).collect()
+        assert len(kept) == 4
+        assert {(r.doc_id, r.text) for r in kept if r.text not in (d, d + " more")} == {(3, a), (5, b), (7, c)}
+        seen.add(tuple(sorted(map(str, kept))))
+    assert len(seen) == 1
+
+
 URLS = [None, "", "no scheme", "http://", "http://EXAMPLE.com", "http://example.com/", "https://www.example.com/en/a?b", "x://example.com/en",
         "http://a.example.com/en/1#x", "http://n.net/es/", "http://net/fr/2", "http://evilexample.com/en/", "http://a.net?x/es/", "http://b.org/q/w" * 400]
 
