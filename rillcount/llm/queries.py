@@ -41,6 +41,11 @@ def op5_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models of host and path only, as its SQL twin has them; ``op6_url_filter_whole`` judges whole URLs."""
+    return urls.judge(read_table(spark, sf_dir, "pages"), whole_url=False).drop("score")
+
+
+def op6_url_filter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read_table(spark, sf_dir, "pages")).drop("score")
 
 
@@ -70,4 +75,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_rules, op2_pii, op3_license_scan, op4_simhash, op5_wavelet_tokens, op6_url_filter,
-    op7_quality_classifier, op8_packing, op9_top_k, op10_bpe, pipeline)}
+    op6_url_filter_whole, op7_quality_classifier, op8_packing, op9_top_k, op10_bpe, pipeline)}

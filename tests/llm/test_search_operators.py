@@ -183,6 +183,17 @@ def test_model_tells_unruled_hosts_apart(make):
     assert len(got) == 40 and right >= 38
 
 
+def test_models_see_the_whole_url(make):
+    """Only the query strings, or URLs without a scheme, tell these apart."""
+    rows = [f"http://s{i}.com/p?q=good-{i}" for i in range(150)] + [f"http://s{i}.net/es/p?q=casino-{i}" for i in range(150)]
+    odd = ["http://x.org/p?q=good-1", "http://x.org/p?q=casino-1", "good-good-good", "casino-casino-casino", "HTTP://X.org/P?Q#F", None]
+    got = {r.page_id: r for r in urls.judge(make(list(enumerate(odd + rows)), "page_id long, url string")).collect()}
+    assert got[0].score > got[1].score and got[0].verdict == "allow" and got[1].verdict == "block"
+    assert got[2].score > got[3].score and (got[2].host, got[2].path, got[5].host) == ("", "", "")
+    texts = make([(u,) for u in odd], "url string").select("url", urls.whole("url").alias("t")).collect()
+    assert {r.url: r.t for r in texts} == {**{u: u for u in odd[:4]}, odd[4]: "HTTP://x.org/P?Q#F", None: ""}
+
+
 def plain_top(rows, k):
     out = []
     for a, (qid, q) in enumerate(rows):
