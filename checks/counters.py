@@ -72,8 +72,8 @@ def im_collapsed(spark, d):
     return verdict(user_summary(spark, d).collapse(), users(spark, d))
 
 
-def dim_epochs(spark, d):
-    epochs = exact.run_slices(tables.user_events(spark, d), DIM_EPOCHS, include_tail=False)
+def dim_epochs(spark, d, tail=False):
+    epochs = exact.run_slices(tables.user_events(spark, d), DIM_EPOCHS, include_tail=tail)
     return counters.dim_sum([exact.item_totals(e) for e in epochs], DIM_PHI, 0.5)
 
 
@@ -81,6 +81,10 @@ def dim_build(spark, d):
     return dim_epochs(spark, d).state()
 
 
+def dim_whole(spark, d):
+    return dim_epochs(spark, d, True).state()
+
+
 def im_point(spark, d):
     queried = word_uses(spark, d).select("item").distinct()
     return word_summary(spark, d).point(queried).select("item", "est")
@@ -148,12 +152,12 @@ def top(spark, d):
     return exact.top_k(word_summary(spark, d).estimates().select("item", "est"), 25)
 
 
-def sizes(spark, d):
+def sizes(spark, d, tail=False):
     """Dense bytes of every counter summary beside the counters it really keeps."""
     phi, updates, rows = PHI_USERS, user_blocks(spark, d), []
     kept = {m: counters.summarise_blocks(updates, b).items for m, b in SIZED.items()}
     for method, delta in (("lossy", False), ("lossy_delta", True)):
-        kept[method] = lossy.lossy_count(tables.user_events(spark, d), phi, delta, include_tail=False)
+        kept[method] = lossy.lossy_count(tables.user_events(spark, d), phi, delta, include_tail=tail)
     for method, held in kept.items():
         size = (lossy.dense_size(phi, method == "lossy_delta") if method.startswith("lossy")
                 else counters.dense_size(method, phi))
@@ -198,6 +202,38 @@ def delta_heavy(spark, d):
         counts, exact.heavy_threshold(users(spark, d), PHI_USERS)).select("item", "est", "lower")
 
 
+# The same over the whole stream, the unfinished last epoch included.
+
+def lossy_signed_whole(spark, d):
+    return lossy.lossy_count(tables.signed_events(spark, d), PHI_USERS).select("item", "est")
+
+
+def lossy_point_whole(spark, d):
+    counts = lossy.lossy_count(tables.user_events(spark, d), PHI_USERS)
+    return lossy.lossy_point(counts, users(spark, d).select("item"))
+
+
+def lossy_heavy_whole(spark, d):
+    counts = lossy.lossy_count(tables.user_events(spark, d), PHI_USERS)
+    return lossy.lossy_heavy_hitters(
+        counts, exact.heavy_threshold(users(spark, d), PHI_USERS)).select("item", "est")
+
+
+def delta_whole(spark, d):
+    return lossy.lossy_count(
+        tables.user_events(spark, d), PHI_USERS, with_delta=True).select("item", "est", "lower")
+
+
+def delta_heavy_whole(spark, d):
+    counts = lossy.lossy_count(tables.user_events(spark, d), PHI_USERS, with_delta=True)
+    return lossy.lossy_heavy_hitters(
+        counts, exact.heavy_threshold(users(spark, d), PHI_USERS)).select("item", "est", "lower")
+
+
+def sizes_whole(spark, d):
+    return sizes(spark, d, True)
+
+
 # --- SQL -----------------------------------------------------------------
 
 def shard_sql(x, shards):
@@ -238,9 +274,12 @@ def blocks_sql(budget: Budget, shards: int = 1):
               FROM st{MERGES} s JOIN errors e ON e.shard = s.shard)"""]
 
 
-def chain_sql(budget: Budget):
-    """The state after every epoch, one after the other."""
-    entries = [f"""per AS (SELECT event_id // size AS e, user_id AS item, count(*) AS total
+def chain_sql(budget: Budget, whole: bool = False):
+    """The state after every epoch, one after the other; if whole, the last has the rows that are left over."""
+    entries = [f"""per AS (SELECT least(event_id // size, {DIM_EPOCHS - 1}) AS e, user_id AS item, count(*) AS total
+      FROM events, (SELECT greatest(count(*) // {DIM_EPOCHS}, 1) AS size FROM events) GROUP BY 1, 2)"""
+               if whole else
+               f"""per AS (SELECT event_id // size AS e, user_id AS item, count(*) AS total
       FROM events, (SELECT count(*) // {DIM_EPOCHS} AS size FROM events)
       WHERE event_id // size < {DIM_EPOCHS} GROUP BY 1, 2)""",
                "st0 AS (SELECT 0::BIGINT AS item, 0::BIGINT AS residual WHERE false)",
@@ -277,6 +316,18 @@ def lossy_sql(w, signed=False):
 """
 
 
+def whole_sql(w, signed=False):
+    """``whole(item, est, lower)``: the recursion, and the uses after its last epoch."""
+    n = "sum(CASE WHEN event_id % 5 = 0 THEN -1 ELSE 1 END)" if signed else "count(*)"
+    return lossy_sql(w, signed) + f"""
+      , tail AS (SELECT user_id AS item, {n} AS t FROM events, size WHERE event_id // {w} >= epochs GROUP BY 1),
+      whole AS (SELECT item, (coalesce(est, epochs) + coalesce(t, 0))::BIGINT AS est,
+          (coalesce(lower, 0) + coalesce(t, 0))::BIGINT AS lower
+        FROM (SELECT * FROM held FULL JOIN tail USING (item)), size
+        WHERE coalesce(est, epochs) + coalesce(t, 0) > epochs)
+"""
+
+
 W, WD = lossy.window_size(PHI_USERS), lossy.window_size(PHI_USERS, True)
 USER_THR = f"(SELECT floor(CAST('{PHI_USERS!r}' AS DOUBLE) * count(*))::BIGINT + 1 FROM events)"
 IM_WORDS = Budget.im_sum(WORD_EPS)
@@ -294,6 +345,7 @@ CHECKS = {
     "k1_im_sum_in_place": (im_in_place, with_(PARTS) + f"SELECT {EXACT_OK} FROM parts"),
     "k1_im_sum_collapsed": (im_collapsed, with_(USERS) + f"SELECT {EXACT_OK} FROM users"),
     "k2_dim_sum_epochs": (dim_build, chain_sql(Budget.dim_sum(DIM_PHI, 0.5))),
+    "k2_dim_sum_epochs_whole": (dim_whole, chain_sql(Budget.dim_sum(DIM_PHI, 0.5), True)),
     "k3_im_sum_point": (im_point, with_(WORD_USES, *blocks_sql(IM_WORDS)) + """
         SELECT w.item, (coalesce(i.residual, 0) + c.q)::BIGINT AS est
         FROM (SELECT DISTINCT item FROM uses) w CROSS JOIN error c LEFT JOIN items i ON i.item = w.item"""),
@@ -335,6 +387,15 @@ CHECKS = {
     "k13_lossy_count_delta": (delta_build, lossy_sql(WD) + "SELECT item, est, lower FROM held"),
     "k14_lossy_delta_heavy_hitters": (delta_heavy, lossy_sql(WD) +
                                       f"SELECT item, est, lower FROM held WHERE est >= {USER_THR}"),
+    "k11_lossy_count_signed_whole": (lossy_signed_whole, whole_sql(W, True) + "SELECT item, est FROM whole"),
+    "k12_lossy_point_whole": (lossy_point_whole, whole_sql(W) + """
+        SELECT u.item, coalesce(h.est, 0)::BIGINT AS est
+        FROM (SELECT DISTINCT user_id AS item FROM events) u LEFT JOIN whole h ON h.item = u.item"""),
+    "k12_lossy_heavy_hitters_whole": (lossy_heavy_whole, whole_sql(W) +
+                                      f"SELECT item, est FROM whole WHERE est >= {USER_THR}"),
+    "k13_lossy_count_delta_whole": (delta_whole, whole_sql(WD) + "SELECT item, est, lower FROM whole"),
+    "k14_lossy_delta_heavy_hitters_whole": (delta_heavy_whole, whole_sql(WD) +
+                                            f"SELECT item, est, lower FROM whole WHERE est >= {USER_THR}"),
     "k15_sizes": (sizes, with_(USERS) + """
         SELECT method, bytes, kept, (SELECT count(*) FROM users) AS items FROM (""" + " UNION ALL ".join(
         f"SELECT '{m}' AS method, {size}::BIGINT AS bytes, ({kept}) AS kept" for m, size, kept in (
@@ -343,6 +404,14 @@ CHECKS = {
                 ("space_saving", 48 + 133 * (12 + 32)), ("unit_space_saving", 72 + 131 * (24 + 56 + 32 + 8)))],
             ("lossy", 5 * 130 * 8 + 48, lossy_sql(W) + "SELECT count(*) FROM held"),
             ("lossy_delta", 3 * 131 * 12 + 48, lossy_sql(WD) + "SELECT count(*) FROM held"))) + ")"),
+    "k15_sizes_whole": (sizes_whole, with_(USERS) + """
+        SELECT method, bytes, kept, (SELECT count(*) FROM users) AS items FROM (""" + " UNION ALL ".join(
+        f"SELECT '{m}' AS method, {size}::BIGINT AS bytes, ({kept}) AS kept" for m, size, kept in (
+            *[(m, size, with_(EVENT_USES, *blocks_sql(SIZED[m])) + "SELECT count(*) FROM items") for m, size in (
+                ("im_sum", 104 + (520 + 130 - 1) * (4 + 48 + 64)), ("dim_sum", 144 + (524 + 131 - 1) * (4 + 48 + 32)),
+                ("space_saving", 48 + 133 * (12 + 32)), ("unit_space_saving", 72 + 131 * (24 + 56 + 32 + 8)))],
+            ("lossy", 5 * 130 * 8 + 48, whole_sql(W) + "SELECT count(*) FROM whole"),
+            ("lossy_delta", 3 * 131 * 12 + 48, whole_sql(WD) + "SELECT count(*) FROM whole"))) + ")"),
     "k16_top_k": (top, with_(WORD_USES, *blocks_sql(IM_WORDS)) + """
         SELECT item, (residual + q)::BIGINT AS est FROM items ORDER BY est DESC, item LIMIT 25"""),
 }

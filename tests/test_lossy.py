@@ -92,3 +92,20 @@ def test_kth_smallest_against_sorting(make, bits, span):
         assert got == want
     everything = sorted(v for _, v in rows)
     assert kth_smallest(df, [], "v", 17, bits, zero_based=True).first().value == everything[17]
+
+
+WHOLE = ["k2_dim_sum_epochs_whole", "k11_lossy_count_signed_whole", "k12_lossy_point_whole", "k13_lossy_count_delta_whole"]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_registered_queries_count_the_tail(spark, make, monkeypatch, name):
+    """An item that is used after the last full epoch only, and never before."""
+    from checks import counters
+    from rillcount.sources import tables
+
+    rows = [(i % 5, 1, i) for i in range(262)] + [(99, 1, 262)]  # 262 is no full epoch, nor the end of a quarter
+    updates = make(rows, SCHEMA)
+    monkeypatch.setattr(tables, "user_events", lambda spark, d: updates)
+    monkeypatch.setattr(counters, "users", lambda spark, d: updates.select("item").distinct())
+    found = {r.item: r for r in counters.CHECKS[name][0](spark, "").collect()}
+    assert 99 in found and (name[1:3] != "12" or found[99].est > 0)
