@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rillcount.llm import bpe, gam, licenses, packing, pii, rules, simhash, topk, urls, wavelet
+from rillcount.llm import (
+    align, bpe, decontaminate, gam, licenses, packing, pii, rules, search, simhash, topk, urls, wavelet)
 from rillcount.llm.common import read_table
 from rillcount.session import scratch_path
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, PIECE_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def tokenizer(name: str) -> str:
@@ -67,6 +68,22 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read_table(spark, sf_dir, "documents"), tokenizer(WORD_BPE))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "lexical")
+    search.build_index(read_table(spark, sf_dir, "documents"), path)
+    return search.search(spark, path, read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "alignment")
+    align.build_index(read_table(spark, sf_dir, "documents"), path, tokenizer(BYTE_BPE), tokenizer(PIECE_BPE))
+    return align.document_scores(spark, path)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,4 +92,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_rules, op2_pii, op3_license_scan, op4_simhash, op5_wavelet_tokens, op6_url_filter,
-    op6_url_filter_whole, op7_quality_classifier, op8_packing, op9_top_k, op10_bpe, pipeline)}
+    op6_url_filter_whole, op7_quality_classifier, op8_packing, op9_top_k, op10_bpe, op11_lexical_search, op12_decontaminate,
+    op13_token_alignment, pipeline)}

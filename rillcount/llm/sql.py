@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rillcount.llm import rules, topk, urls
+from rillcount.llm import decontaminate, rules, search, topk, urls
 
 _MIXED = "CASE WHEN {n} + {t} > 0 THEN ({x} + {t} * {p}) / ({n} + {t}) ELSE {p} END"
 
@@ -128,5 +128,49 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
 
 
+_ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _lexical_search() -> str:
+    return f"""WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS words FROM documents),
+sized AS (SELECT r, doc_id, len(words) AS n FROM d WHERE len(words) > 0),
+totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM sized),
+tf AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM d) GROUP BY ALL),
+asked AS (SELECT DISTINCT item_id, unnest({_WORDS}) AS term FROM benchmark),
+weights AS (
+  SELECT term, floor({search.WEIGHT_UNIT} * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), totals),
+scored AS (
+  SELECT item_id, r, doc_id, sum(w * (({search.IMPACT_UNIT} * tf) // ({search.TF_UNIT} * tf + {search.LENGTH_FACTOR}
+    * ({search.LEAST} + ({search.SHARE} * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN sized USING (r), totals GROUP BY item_id, r, doc_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= {search.TOP}"""
+
+
+def _decontaminate() -> str:
+    n = decontaminate.WINDOW
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS words FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS words FROM benchmark),
+windows AS MATERIALIZED (
+  SELECT DISTINCT item, least(len(words), {n}) AS size, array_to_string(words[i:i + {n - 1}], ' ') AS w
+  FROM b, unnest(generate_series(1, greatest(len(words) - {n - 1}, 1))) AS s(i) WHERE len(words) > 0),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (
+  SELECT r, i, size, array_to_string(words[i:i + size - 1], ' ') AS w
+  FROM d, sizes, unnest(generate_series(1, len(words) - size + 1)) AS s(i)),
+found AS MATERIALIZED (SELECT r, i, size, item FROM places JOIN windows USING (size, w)),
+hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM found, unnest(generate_series(i, i + size - 1)) AS s(p) GROUP BY r),
+items AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT r, item FROM found WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)"""
+
+
 SQL = {"op1_quality_rules": _quality_rules(), "op6_url_filter": _url_filter(), "op6_url_filter_whole": _url_filter(True),
-       "op9_top_k": _top_k()}
+       "op9_top_k": _top_k(), "op11_lexical_search": _lexical_search(), "op12_decontaminate": _decontaminate()}
