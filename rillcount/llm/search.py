@@ -29,7 +29,7 @@ from rillcount.llm.common import byte_words, in_blocks
 from rillcount.llm.tokens import text_batches
 
 #: Bytes of text in a shard, of terms in a block of queries, and lists merged at a time.
-SHARD_BYTES, BLOCK_BYTES, FAN = 16 << 20, 4 << 20, 256
+SHARD_BYTES, BLOCK_BYTES, FAN = 8 << 20, 4 << 20, 256
 TOP = 10
 #: Fixed values of the score: weights, impacts, term and length shares.
 WEIGHT_UNIT, IMPACT_UNIT, TF_UNIT, LENGTH_FACTOR, LEAST, SHARE = 1000, 10**9, 1000, 8, 10, 90
@@ -38,9 +38,9 @@ FIRST_VISIT = 64
 #: Stands for a null doc_id, which comes last among equal scores.
 _NO_ID = np.iinfo(np.int64).max
 
-_INDEX = ("part int, seq int, n_docs long, n_terms long, doc_ids array<long>, doc_m array<long>, "
-          "terms array<binary>, df array<int>, first_run array<int>, run_m array<long>, run_tf array<long>, "
-          "run_size array<int>, postings binary")
+#: Arrays of a shard as compressed 64-bit numbers; ``terms`` is the terms joined by blanks.
+_ARRAYS = ("doc_ids", "doc_m", "df", "first_run", "run_m", "run_tf", "run_size", "postings")
+_INDEX = "part int, seq int, n_docs long, n_terms long, terms binary, " + ", ".join(f"{a} binary" for a in _ARRAYS)
 _RANKED = "item int, part int, doc_id long, score long"
 
 
@@ -57,6 +57,24 @@ def impact(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
     return IMPACT_UNIT * tf // (TF_UNIT * tf + LENGTH_FACTOR * m)
 
 
+def _packed(values: np.ndarray | bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(values if isinstance(values, bytes) else values.astype("<i8").tobytes())
+
+
+def _unpacked(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def unpack_row(row: dict) -> dict:
+    """A row of the index with its terms as a list and its arrays as numbers."""
+    return {c: _unpacked(v).split() if c == "terms" else np.frombuffer(_unpacked(v), "<i8") if c in _ARRAYS else v
+            for c, v in row.items()}
+
+
 def _lengths(docs: DataFrame) -> DataFrame:
     """``n_docs, n_terms`` of every batch of texts."""
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -94,9 +112,9 @@ def _shard(doc_ids: np.ndarray, texts: pa.Array, n_docs: int, n_terms: int) -> d
     runs = np.flatnonzero(new)
     return {
         "n_docs": len(order), "n_terms": int(sizes.sum()), "doc_ids": doc_ids[order], "doc_m": m,
-        "terms": list(numbers), "df": np.bincount(term, minlength=len(numbers)),
+        "terms": b" ".join(numbers), "df": np.bincount(term, minlength=len(numbers)),
         "first_run": np.searchsorted(term[runs], np.arange(len(numbers) + 1)), "run_m": m[at[runs]], "run_tf": tf[runs],
-        "run_size": np.diff(np.append(runs, len(term))), "postings": at.astype("<i4").tobytes()}
+        "run_size": np.diff(np.append(runs, len(term))), "postings": at}
 
 
 def build_index(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) -> None:
@@ -119,10 +137,11 @@ def build_index(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) -> N
             ids = batch.column("doc_id").fill_null(int(_NO_ID)).to_numpy(zero_copy_only=False)
             made = {"part": part, "seq": seq} | _shard(ids, batch.column("text"), n_docs, n_terms)
             seq += 1
+            made |= {c: _packed(made[c]) for c in ("terms", *_ARRAYS)}
             yield pa.RecordBatch.from_arrays(
                 [pa.array([made[f.name]], f.type) for f in schema], schema=schema)
 
-    docs.mapInArrow(run, _INDEX).write.option("compression", "zstd").parquet(path)
+    docs.mapInArrow(run, _INDEX).write.option("compression", "uncompressed").parquet(path)
 
 
 def rank_shard(row: dict, queries: list[tuple[list[int], list[int]]], local: np.ndarray, kept: list, k: int = TOP) -> int:
@@ -131,11 +150,9 @@ def rank_shard(row: dict, queries: list[tuple[list[int], list[int]]], local: np.
     ``queries`` holds term numbers and weights, ``local`` the place of each term in the shard or -1.
     Returns how many postings were added up.
     """
-    doc_ids = np.asarray(row["doc_ids"], np.int64)
-    first, run_m = np.asarray(row["first_run"], np.int64), np.asarray(row["run_m"], np.int64)
-    size, postings = np.asarray(row["run_size"], np.int64), np.frombuffer(row["postings"], "<i4")
+    doc_ids, first, run_m, size, postings = (row[c] for c in ("doc_ids", "first_run", "run_m", "run_size", "postings"))
     start = np.cumsum(size) - size
-    each = impact(np.asarray(row["run_tf"], np.int64), run_m)  # once per run
+    each = impact(row["run_tf"], run_m)  # once per run
     strata, stratum = np.unique(run_m, return_inverse=True)
     # Runs of a term and stratum stand together, highest first: the first of them is the bound.
     term_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -229,9 +246,9 @@ def _search_block(spark: SparkSession, index: DataFrame, block: list, n_docs: in
 
     def frequencies(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for terms, df in zip(batch.column("terms"), batch.column("df")):
-                known = np.array([asked.value.get(t, -1) for t in terms.as_py()], np.int64)
-                there, df = known >= 0, df.values.to_numpy()
+            for row in map(unpack_row, batch.to_pylist()):
+                known = np.array([asked.value.get(t, -1) for t in row["terms"]], np.int64)
+                there, df = known >= 0, row["df"]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(known[there], pa.int32()), pa.array(df[there], pa.int64())], ["term", "df"])
 
@@ -247,9 +264,7 @@ def _search_block(spark: SparkSession, index: DataFrame, block: list, n_docs: in
         kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in queries]
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i] for c in batch.schema.names}
-                row = {c: v.as_py() if c in ("terms", "postings") else v.values.to_numpy(zero_copy_only=False)
-                       for c, v in row.items()}
+                row = unpack_row({c: batch.column(c)[i].as_py() for c in batch.schema.names})
                 local = np.full(len(asked.value), -1, np.int64)
                 for at, term in enumerate(row["terms"]):
                     if (number := asked.value.get(term)) is not None:
