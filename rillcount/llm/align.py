@@ -16,6 +16,7 @@ tasks; the postings stay in their chunk and return the counts to its documents.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,8 +30,10 @@ from pyspark.sql.types import StructType
 
 from rillcount.llm.tokens import byte_letters, text_batches
 
-#: Bytes of text in a chunk.
-CHUNK_BYTES = 8 << 20
+#: Bytes of text in a chunk, and pieces of it that are encoded together.
+CHUNK_BYTES, SLICE = 4 << 20, 8192
+#: A piece in which a blank is followed by white space or nothing, or that holds what may be white space.
+_UNSURE = re.compile(r"^ (?:\s|\Z)|[\x1c-\x1f]").search
 
 _INDEX = ("part int, seq int, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, "
           "n_links array<long>, groups_sha256 array<string>, pairs array<long>, docs array<int>, links array<long>, "
@@ -66,6 +69,13 @@ def unpack_bitmaps(counts: bytes, lists: bytes, bits: bytes, n_slots: int) -> tu
 
 # Alignment
 
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches of so many values."""
+    after = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(counts)
+    return after[ends] - after[ends - counts]
+
+
 class Aligner:
     """Groups and links of whole texts; tokenizers are files on the executors."""
 
@@ -90,20 +100,38 @@ class Aligner:
         # Where no piece of B has a blank behind another character, no token of B crosses the start of a word.
         self.by_word = all("▁" not in p.lstrip("▁") for p in pieces)
 
+    def _encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        ids_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        return ids_a, self.b.encode([t[1:] for t in texts], num_threads=1)
+
+    def _spell(self, a: np.ndarray, b: np.ndarray) -> tuple[bytes, bytes]:
+        return (b"".join(map(self.bytes_a.__getitem__, a.tolist())), b"".join(map(self.bytes_b.__getitem__, b.tolist())))
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and of B of all texts in a row, and how many each text has; none where they do not spell it."""
+        made_a, made_b = self._encode(texts)
+        spelled = "".join(texts).encode()
+        size = np.array([len(t.encode()) for t in texts], np.int64)
+        while True:
+            n_a, n_b = (np.array([len(x) for x in made], np.int64) for made in (made_a, made_b))
+            a, b = (np.array([i for x in made for i in x], np.int64) for made in (made_a, made_b))
+            lengths = (_sums(self.size_a[a], n_a), _sums(self.size_b[b], n_b))
+            wrong = (lengths[0] != size) | (lengths[1] != size)
+            if not wrong.any() and self._spell(a, b) == (spelled, spelled):
+                return a, b, n_a, n_b
+            for i, text in enumerate(texts):
+                if wrong[i] or self._spell(np.array(made_a[i], int), np.array(made_b[i], int)) != (text.encode(),) * 2:
+                    made_a[i] = made_b[i] = []
+                    size[i] = 0
+            spelled = "".join(t for t, n in zip(texts, size) if n).encode()
+
     def align(self, texts: list[str]) -> dict[str, np.ndarray | list]:
         """For texts that begin with a blank: ids, numbers of groups, and links, all texts in a row.
 
         A text whose tokens do not spell it has no tokens.
         """
-        ids_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        ids_b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        for i, text in enumerate(texts):
-            spelled = text.encode()
-            if (b"".join(map(self.bytes_a.__getitem__, ids_a[i])) != spelled
-                    or b"".join(map(self.bytes_b.__getitem__, ids_b[i])) != spelled):
-                ids_a[i] = ids_b[i] = []
-        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-        a, b = (np.array([i for x in ids for i in x], np.int64) for ids in (ids_a, ids_b))
+        parts = [self.ids(texts[at:at + SLICE]) for at in range(0, max(len(texts), 1), SLICE)]
+        a, b, n_a, n_b = map(np.concatenate, zip(*parts))
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
@@ -134,7 +162,7 @@ def _cut(texts: pa.Array, by_word: bool) -> tuple[list[str], np.ndarray, np.ndar
         coded = lists.flatten().dictionary_encode()
         pieces = [" " + w for w in coded.dictionary.to_pylist()]
         which = coded.indices.to_numpy().astype(np.int64)
-        unsure = np.array([len(p) == 1 or p[1].isspace() or any("\x1c" <= c <= "\x1f" for c in p) for p in pieces], bool)
+        unsure = np.array([_UNSURE(p) is not None for p in pieces], bool)
         starts = np.concatenate([[0], ends[:-1]])
         odd = np.add.reduceat(unsure[which], starts) > 0 if len(which) else np.zeros(0, bool)
     else:
@@ -195,15 +223,21 @@ def _piece_links(found: dict, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return piece, pair, times, links
 
 
-def _spelled(found: dict, n: int) -> list[str]:
-    """``a1,a2|b1;a3|b2,b3`` of every piece."""
-    def lists(ids, counts):
-        named, ends = list(map(str, ids.tolist())), np.cumsum(counts).tolist()
-        return [",".join(named[s:e]) for s, e in zip([0, *ends[:-1]], ends)]
-
-    groups = [f"{x}|{y}" for x, y in zip(lists(found["ids_a"], found["in_a"]), lists(found["ids_b"], found["in_b"]))]
-    ends = found["groups_to"].tolist()
-    return [";".join(groups[s:e]) for s, e in zip([0, *ends[:-1]], ends)]
+def _spelled(found: dict, n: int) -> list[bytes]:
+    """``a1,a2|b1;a3|b2,b3;`` of every piece."""
+    a, b, group_a, group_b = found["ids_a"], found["ids_b"], found["group_a"], found["group_b"]
+    ends_a, ends_b = (np.append(g[1:] != g[:-1], True) if len(g) else np.zeros(0, bool) for g in (group_a, group_b))
+    # Each token with its separator: a comma inside its list, else a bar after A and a semicolon after B.
+    order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+    marked = np.concatenate([4 * a + ends_a, 4 * b + 2 + ends_b])[order]
+    kinds, which = np.unique(marked, return_inverse=True)
+    shown = [f"{k >> 2}{',|,;'[k & 3]}".encode() for k in kinds.tolist()]
+    size = np.array([len(x) for x in shown], np.int64)[which] if len(which) else np.zeros(0, np.int64)
+    joined = b"".join(map(shown.__getitem__, which.tolist()))
+    after = np.concatenate([[0], np.cumsum(size)])
+    tokens = np.cumsum(found["n_a"] + found["n_b"])
+    ends = after[tokens].tolist()
+    return [joined[s:e] for s, e in zip([0, *ends[:-1]], ends)]
 
 
 def chunk_index(doc_ids: list, texts: pa.Array, tool: Aligner) -> dict:
@@ -227,7 +261,7 @@ def chunk_index(doc_ids: list, texts: pa.Array, tool: Aligner) -> dict:
     edges = np.searchsorted(doc, np.arange(n_docs + 1)).tolist()
     listed = which.tolist()
     made["groups_sha256"] = [
-        hashlib.sha256(";".join(map(strings.__getitem__, listed[s:e])).encode()).hexdigest() if s < e else ""
+        hashlib.sha256(b"".join(map(strings.__getitem__, listed[s:e]))[:-1]).hexdigest() if s < e else ""
         for s, e in zip(edges, edges[1:])]
     # Documents by piece first, then by pair: most words repeat.
     d, p, repeats = _tallied(doc, which, np.ones(len(doc), np.int64), max(n, 1))
