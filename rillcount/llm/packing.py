@@ -113,11 +113,11 @@ _PLACES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens lon
 
 def pack_examples(
     examples: DataFrame, tokenizer: str, key: str = "doc_id", end_id: int = 1,
-    limits: Limits = Limits(), group: int = 2048,
+    limits: Limits = Limits(), group: int = 2048, by_part: bool = False,
 ) -> DataFrame:
     """Pieces of all examples: ``key, start, length, ids_crc32, doc_tokens, sequence_id, offset, n_loss``.
 
-    ``examples`` has ``key`` (long) and either ``text``, all of which is learnt, or
+    ``examples`` has ``key`` (long) and ``text``, all of which is learnt, or with ``by_part``
     ``parts array<struct<text string, learn boolean>>``, of which the marked parts
     are. Each example ends with ``end_id``, which is learnt; a first token never is.
     A null or empty text, null parts and null marks give an example of the end id
@@ -125,7 +125,6 @@ def pack_examples(
     columns are not read, and an empty table gives no rows. ``sequence_id`` holds
     the task's number in its upper and a running number in its lower 40 bits.
     """
-    by_part = "parts" in examples.columns
     if by_part:
         parts = F.coalesce("parts", F.array().cast("array<struct<text:string,learn:boolean>>"))
         rows = examples.select(

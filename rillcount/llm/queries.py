@@ -42,11 +42,6 @@ def op5_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Models of host and path only, as its SQL twin has them; ``op6_url_filter_whole`` judges whole URLs."""
-    return urls.judge(read_table(spark, sf_dir, "pages"), whole_url=False).drop("score")
-
-
-def op6_url_filter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read_table(spark, sf_dir, "pages")).drop("score")
 
 
@@ -60,6 +55,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_examples(read_table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE)).drop("n_loss")
 
 
+def op8_packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction data: what the assistant says is learnt, at most half of a sequence."""
+    turns = packing.conversations(read_table(spark, sf_dir, "conversations"))
+    return packing.pack_examples(turns, tokenizer(BYTE_BPE), key="conv_id", limits=packing.Limits(loss=1024), by_part=True)
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"))
 
@@ -92,5 +93,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_rules, op2_pii, op3_license_scan, op4_simhash, op5_wavelet_tokens, op6_url_filter,
-    op6_url_filter_whole, op7_quality_classifier, op8_packing, op9_top_k, op10_bpe, op11_lexical_search, op12_decontaminate,
+    op7_quality_classifier, op8_packing, op8_packing_conversations, op9_top_k, op10_bpe, op11_lexical_search, op12_decontaminate,
     op13_token_alignment, pipeline)}

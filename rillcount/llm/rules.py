@@ -168,14 +168,16 @@ def judged(docs: DataFrame, rules: Sequence[Rule] = RULES, rounds: int = ROUNDS,
     found = cut_lineage(numbers(docs))
     voted = found.select("*", *[F.expr(r.vote()).alias(f"v{j}") for j, r in enumerate(rules)])
     votes = [f"v{j}" for j in range(len(rules))]
-    patterns = cut_lineage(voted.groupBy(*votes).agg(F.count(F.lit(1)).alias("n")).coalesce(1))
+    patterns = cut_lineage(voted.groupBy(*votes).agg(F.count(F.lit(1)).alias("n")))
     rates = estimate(patterns, len(rules), rounds)
     failed = F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
     p_good = F.round(F.lit(1.0) - F.expr(rates.posterior()), 6)
     return voted.select(
         "doc_id", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), p_good.alias("p_good")).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("p_good") >= keep))
+        "kept", ~F.col("base_failed") & (F.col("p_good") >= keep)).select(
+        "doc_id", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "kept", "p_good")
 
 
 def judge(docs: DataFrame, **settings) -> DataFrame:
@@ -184,8 +186,11 @@ def judge(docs: DataFrame, **settings) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns."""
+    """The rows of ``docs`` that are kept, with their columns, whatever these are called."""
     kept = judged(docs, **settings).where("kept").select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key"))
-    return docs.join(kept, same).select(docs.columns)
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_key"))
+    return rows.join(kept, same).select(*rows.columns).toDF(*names)

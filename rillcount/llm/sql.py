@@ -60,11 +60,11 @@ patterns AS MATERIALIZED (SELECT {votes}, count(*)::DOUBLE AS n FROM v GROUP BY
 judged AS (
   SELECT v.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
     round(1 - {posterior(last)}, 6) AS p_good FROM v, {last})
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, p_good,
-  NOT base_failed AND p_good >= {rules.KEEP!r} AS kept FROM judged"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND p_good >= {rules.KEEP!r} AS kept, p_good FROM judged"""
 
 
-def _url_filter(whole: bool = False) -> str:
+def _url_filter() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     fits = []
     for kind, rule in sorted(urls.RULES, key=lambda r: (-len(r[1]), r[1])):
@@ -73,9 +73,7 @@ def _url_filter(whole: bool = False) -> str:
                      f"AND starts_with(path, {quote('/' + path)})", quote(rule), quote(kind)))
     case = lambda at: "CASE " + " ".join(f"WHEN {f[0]} THEN {f[at]}" for f in fits) + " END"
     order, unit, bins = urls.ORDER, urls.UNIT, urls.BINS
-    text = ("coalesce(substr(url, 1, length(url) - length(rest)) || host || substr(rest, length(host) + 1), '')"
-            if whole else "host || path")
-    url = ", url, rest" if whole else ""
+    text = "coalesce(substr(url, 1, length(url) - length(rest)) || host || substr(rest, length(host) + 1), '')"
     grams = f"""SELECT {{columns}}, substr(repeat(chr(2), {order}) || text || chr(3), i, {order + 1}) AS g
   FROM texts, unnest(generate_series(1, length(text) + 1)) AS s(i)"""
     steps = [f"""n{order} AS MATERIALIZED (SELECT g, sum(a) AS a, sum(r) AS r FROM (
@@ -90,10 +88,10 @@ def _url_filter(whole: bool = False) -> str:
         steps.append(f"""p{k} AS MATERIALIZED (SELECT n.g, {p('a')} AS pa, {p('r')} AS pr FROM n{k} n
   JOIN c{k} c ON c.c = substr(n.g, 1, length(n.g) - 1) JOIN {shorter} s ON s.g = substr(n.g, 2))""")
     return rf"""WITH cut0 AS (
-  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest{url[:5]} FROM pages),
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest, url FROM pages),
 parsed AS (
   SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path{url} FROM cut0),
+    'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, url, rest FROM cut0),
 ruled AS MATERIALIZED (SELECT *, {case(1)} AS rule, {case(2)} AS by_rule, {text} AS text FROM parsed),
 texts AS MATERIALIZED (
   SELECT text, count(*) FILTER (by_rule = 'allow') AS a, count(*) FILTER (by_rule = 'block') AS r,
@@ -172,5 +170,5 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)"""
 
 
-SQL = {"op1_quality_rules": _quality_rules(), "op6_url_filter": _url_filter(), "op6_url_filter_whole": _url_filter(True),
+SQL = {"op1_quality_rules": _quality_rules(), "op6_url_filter": _url_filter(),
        "op9_top_k": _top_k(), "op11_lexical_search": _lexical_search(), "op12_decontaminate": _decontaminate()}

@@ -132,12 +132,10 @@ def threshold(scored: DataFrame) -> float:
     return cut["cut"] / BINS if cut else 0.0
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, order: int = ORDER,
-          whole_url: bool = True) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, order: int = ORDER) -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` of every row of ``pages(page_id, url)``.
 
-    Rules look at host and path; the models learn and score the whole URL, without
-    ``whole_url`` only host and path.
+    Rules look at host and path; the models learn and score the whole URL.
 
     ``rule`` is the longest that fits and gives the verdict; else the score does. Equal URLs
     get equal results, rows of equal or null ids stay separate, null and odd URLs have
@@ -145,8 +143,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, order: int
     """
     host, path = parse("url")
     rule, verdict = matched(rules)
-    text = whole("url") if whole_url else F.concat(host, path)
-    parsed = pages.select("page_id", host.alias("host"), path.alias("path"), text.alias("text")).select(
+    parsed = pages.select("page_id", host.alias("host"), path.alias("path"), whole("url").alias("text")).select(
         "page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), "text")
     fold = F.expr("CAST(conv(substring(md5(text), 1, 4), 16, 10) AS INT) % 5 = 0")
     texts = cut_lineage(parsed.groupBy("text").agg(

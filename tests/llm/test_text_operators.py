@@ -51,6 +51,15 @@ def test_base_numbers_and_verdicts(spark, make):
     assert rules.judge(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_kept_rows_beside_clashing_columns(make):
+    good = " ".join(f"word{i}" for i in range(60)) + "."
+    docs = make([(1, good, 5, "k", 0), (2, "short", 6, "k", 1), (None, good, 7, "k", 2)],
+                "doc_id long, text string, _id long, _key string, c0 int")
+    kept = rules.kept_documents(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.where("_id <> 6").collect()))
+
+
 def test_estimation_finds_planted_rates(spark, make):
     """Votes drawn from known rates: the share of bad documents and most rates come back."""
     rng = random.Random(2)
