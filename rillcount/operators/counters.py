@@ -9,6 +9,15 @@ and ``q`` is at most ``weight / counters``. Pruning takes the ``counters``-th
 largest residual off every residual, drops what is no longer positive and adds it
 to ``q``; merging adds residuals and errors and prunes again.
 
+A *tracked* summary, the form of Space-Saving, also keeps for every item what it has
+``seen``: the weight counted since the item was taken in last. Its counters are then
+
+    count = residual + q,    delta = count - seen
+
+An item that is absent on one side of a merge takes that side's ``q``, the most it can have
+had there, into count and delta, so errors differ from item to item and
+``count - delta <= true total <= count``.
+
 Shards are explicit columns, never Spark's own partitions, so results do not
 change with the layout of the data. ``summarise_blocks`` and ``summarise_in_place`` build
 summaries from updates and never hold exact totals of a whole stream; ``summarise``
@@ -127,6 +136,15 @@ class CounterSummary:
     budget: Budget
     shards: int = 1
 
+    @property
+    def tracked(self) -> bool:
+        return "seen" in self.items.columns
+
+    @property
+    def more(self) -> list[str]:
+        """Columns of items besides shard, item and residual."""
+        return ["seen"] if self.tracked else []
+
     def prune(self) -> "CounterSummary":
         cuts = cut_points(self.items, self.budget)
         errors = with_shard_values(self.errors, cuts, ["delta"], self.shards).select(
@@ -136,7 +154,7 @@ class CounterSummary:
     def _above(self, cuts: DataFrame) -> DataFrame:
         return (
             with_shard_values(self.items, cuts, ["delta"], self.shards)
-            .select("shard", "item", (F.col("residual") - F.col("delta")).alias("residual"))
+            .select("shard", "item", (F.col("residual") - F.col("delta")).alias("residual"), *self.more)
             .where(F.col("residual") > 0))
 
     def add(self, totals: DataFrame) -> "CounterSummary":
@@ -150,7 +168,7 @@ class CounterSummary:
         error, and the largest one covers all.
         """
         one = F.lit(0)
-        items = self.items.select(one.alias("shard"), "item", "residual")
+        items = self.items.select(one.alias("shard"), "item", "residual", *self.more)
         errors = self.errors.agg(
             F.coalesce(F.max("q"), F.lit(0)).cast("long").alias("q"),
             F.coalesce(F.sum("weight"), F.lit(0)).cast("long").alias("weight"),
@@ -161,17 +179,18 @@ class CounterSummary:
         """Items and errors as one table, errors without item: the form to write out."""
         zero = F.lit(0).cast("long")
         kept = self.items.select(
-            "shard", "item", "residual", zero.alias("q"), zero.alias("weight"))
+            "shard", "item", "residual", *self.more, zero.alias("q"), zero.alias("weight"))
         errors = self.errors.select(
             "shard", F.lit(None).cast(self.items.schema["item"].dataType).alias("item"),
-            zero.alias("residual"), "q", "weight")
+            zero.alias("residual"), *[zero.alias(c) for c in self.more], "q", "weight")
         return kept.unionByName(errors)
 
     def with_rows(self, rows: DataFrame) -> "CounterSummary":
         """The same kind of summary over rows written earlier."""
         return replace(
             self,
-            items=rows.where("item is not null").select("shard", "item", "residual"),
+            items=rows.where("item is not null").select(
+                "shard", "item", "residual", *[c for c in ("seen",) if c in rows.columns]),
             errors=rows.where("item is null").select("shard", "q", "weight"))
 
     def checkpoint(self) -> "CounterSummary":
@@ -201,6 +220,33 @@ class CounterSummary:
         return with_shard_values(self.items, self.errors, ["q"], self.shards).select(
             "shard", "item", "residual", "q")
 
+    def counters(self) -> DataFrame:
+        """``(shard, item, count, delta)`` of a tracked summary: ``count - delta <= truth <= count``."""
+        self._need_seen()
+        count = F.col("residual") + F.col("q")
+        return with_shard_values(self.items, self.errors, ["q"], self.shards).select(
+            "shard", "item", count.alias("count"), (count - F.col("seen")).alias("delta"))
+
+    def count_of(self, queried: DataFrame, item: str = "item") -> DataFrame:
+        """Add ``count`` and ``delta``; both are the least counter ``q`` for items that are not kept."""
+        self._need_seen()
+        kept = self.items.select(F.col("item").alias("_i"), "residual", "seen")
+        found = queried.join(kept, F.col(item) == F.col("_i"), "left").withColumn(
+            "shard", item_shard(F.col(item), self.shards))
+        count = (F.coalesce("residual", F.lit(0)) + F.col("q")).cast("long")
+        return with_shard_values(found, self.errors, ["q"], self.shards).select(
+            *queried.columns, count.alias("count"),
+            (count - F.coalesce("seen", F.lit(0))).cast("long").alias("delta"))
+
+    def claims(self, thr: Column) -> DataFrame:
+        """``(item, count, delta, sure)`` of items that may reach ``thr``; those that must are sure."""
+        return self.counters().where(F.col("count") >= thr).select(
+            "item", "count", "delta", (F.col("count") - F.col("delta") >= thr).alias("sure"))
+
+    def _need_seen(self) -> None:
+        if not self.tracked:
+            raise ValueError("the summary keeps no error per item; build it with tracked=True")
+
 
 def _unpruned(totals: DataFrame, budget: Budget, shards: int) -> CounterSummary:
     items = totals.select(
@@ -217,15 +263,15 @@ def _combine(parts: Sequence[CounterSummary]) -> CounterSummary:
     errors = reduce(DataFrame.unionByName, [p.errors for p in parts])
     return replace(
         first,
-        items=items.groupBy("shard", "item").agg(F.sum("residual").alias("residual")),
+        items=items.groupBy("shard", "item").agg(*[F.sum(c).alias(c) for c in ("residual", *first.more)]),
         errors=errors.groupBy("shard").agg(
             F.sum("q").cast("long").alias("q"), F.sum("weight").cast("long").alias("weight")))
 
 
 def merge(parts: Sequence[CounterSummary]) -> CounterSummary:
     """Merge summaries with the same budget and shards: add, then prune once."""
-    if len({(p.budget, p.shards) for p in parts}) != 1:
-        raise ValueError("summaries differ in budget or number of shards")
+    if len({(p.budget, p.shards, p.tracked) for p in parts}) != 1:
+        raise ValueError("summaries differ in budget, number of shards or form")
     return _combine(parts).prune()
 
 
@@ -243,8 +289,9 @@ def gather(partial: DataFrame, budget: Budget) -> CounterSummary:
     Residuals and errors add up; rows without item carry the errors.
     """
     one = F.lit(0)
+    sums = [c for c in ("residual", "seen") if c in partial.columns]
     items = partial.where("item is not null").groupBy("item").agg(
-        F.sum("residual").alias("residual")).select(one.alias("shard"), "item", "residual")
+        *[F.sum(c).alias(c) for c in sums]).select(one.alias("shard"), "item", *sums)
     errors = partial.where("item is null").agg(
         F.coalesce(F.sum("q"), F.lit(0)).cast("long").alias("q"),
         F.coalesce(F.sum("weight"), F.lit(0)).cast("long").alias("weight"),
@@ -253,9 +300,11 @@ def gather(partial: DataFrame, budget: Budget) -> CounterSummary:
 
 
 def summarise_blocks(updates: DataFrame, budget: Budget, block: str = "block", item: str = "item",
-                     weight: str = "weight", fan: int = FAN, shards: int = 1) -> CounterSummary:
+                     weight: str = "weight", fan: int = FAN, shards: int = 1, tracked: bool = False) -> CounterSummary:
     """Summary from updates: one of each block of the stream, merged ``fan`` at a time.
 
+    ``tracked`` keeps an error for each item, as Space-Saving has them.
+
     With several ``shards`` each block is cut into so many summaries of disjoint items (whole
     numbers then), which are merged shard by shard and keep the budget each.
 
@@ -274,8 +323,9 @@ def summarise_blocks(updates: DataFrame, budget: Budget, block: str = "block", i
         F.col(weight).cast("long").alias("residual"))
     items = known.withColumn("residual", sound).groupBy("shard", "item").agg(F.sum("residual").alias("residual"))
     cuts = cut_points(items, budget)
+    seen = [F.col("residual").alias("seen")] if tracked else []
     kept = items.join(cuts.select("shard", "delta"), "shard").select(
-        "shard", "item", (F.col("residual") - F.col("delta")).alias("residual")).where("residual > 0")
+        "shard", "item", (F.col("residual") - F.col("delta")).alias("residual"), *seen).where("residual > 0")
     errors = cuts.select("shard", F.col("delta").alias("q"), "weight")
     summary = CounterSummary(kept, errors, budget).checkpoint()
     blocks = (summary.errors.agg(F.max("shard")).first()[0] or 0) // shards + 1
@@ -283,7 +333,7 @@ def summarise_blocks(updates: DataFrame, budget: Budget, block: str = "block", i
         blocks = -(-blocks // fan)
         group = F.expr(f"shard div {shards * fan} * {shards} + shard % {shards}").alias("shard")
         summary = _combine([replace(
-            summary, shards=blocks * shards, items=summary.items.select(group, "item", "residual"),
+            summary, shards=blocks * shards, items=summary.items.select(group, "item", "residual", *summary.more),
             errors=summary.errors.select(group, "q", "weight"))]).prune()
         if blocks > 1:
             summary = summary.checkpoint()
@@ -292,7 +342,7 @@ def summarise_blocks(updates: DataFrame, budget: Budget, block: str = "block", i
     if shards == 1:
         errors = errors.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("q", "weight")]).select(
             F.lit(0).alias("shard"), "q", "weight")
-    return replace(summary, items=summary.items.select(number, "item", "residual"),
+    return replace(summary, items=summary.items.select(number, "item", "residual", *summary.more),
                    errors=errors, shards=shards).checkpoint()
 
 
@@ -330,6 +380,7 @@ class LocalCounters:
 
         self.budget, self.q, self.weight = budget, q, weight
         self.items, self.residuals = np.array(items, np.int64), np.array(residuals, np.int64)
+        self.seen = self.residuals
         self.held, self.waiting = [], 0
 
     def add(self, items, weights) -> None:
@@ -344,18 +395,20 @@ class LocalCounters:
         import numpy as np
 
         items = np.concatenate([self.items, *[i for i, _ in self.held]])
-        weights = np.concatenate([self.residuals, *[w for _, w in self.held]])
+        added = [w for _, w in self.held]
+        weights, seen = np.concatenate([self.residuals, *added]), np.concatenate([self.seen, *added])
         self.held, self.waiting = [], 0
         if not len(items):
             return self
         order = np.argsort(items, kind="stable")
-        items, weights = items[order], weights[order]
+        items, weights, seen = items[order], weights[order], seen[order]
         first = np.flatnonzero(np.concatenate([[True], items[1:] != items[:-1]]))
-        items, weights = items[first], np.add.reduceat(weights, first)
+        items, weights, seen = items[first], np.add.reduceat(weights, first), np.add.reduceat(seen, first)
         if (over := len(items) - self.budget.counters) >= 0 and len(items) > self.budget.capacity:
             delta = int(np.partition(weights, over)[over])
             weights, self.q = weights - delta, self.q + delta
-        self.items, self.residuals = items[weights > 0], weights[weights > 0]
+        kept = weights > 0
+        self.items, self.residuals, self.seen = items[kept], weights[kept], seen[kept]
         return self
 
 
@@ -371,14 +424,15 @@ def _local_summary(budget: Budget):
         kept = len(own.items)
         yield pa.RecordBatch.from_arrays([
             pa.array([*own.items.tolist(), None], pa.int64()), pa.array([*own.residuals.tolist(), 0], pa.int64()),
+            pa.array([*own.seen.tolist(), 0], pa.int64()),
             pa.array([0] * kept + [own.q], pa.int64()), pa.array([0] * kept + [own.weight], pa.int64())],
-            ["item", "residual", "q", "weight"])
+            ["item", "residual", "seen", "q", "weight"])
 
     return run
 
 
 def summarise_in_place(updates: DataFrame, budget: Budget, item: str = "item",
-                       weight: str = "weight") -> CounterSummary:
+                       weight: str = "weight", tracked: bool = False) -> CounterSummary:
     """Summary without a shuffle of the items.
 
     Each task reduces the rows it reads to at most ``capacity`` counters, so the
@@ -392,8 +446,8 @@ def summarise_in_place(updates: DataFrame, budget: Budget, item: str = "item",
         F.raise_error(F.lit("weights must not be negative")).cast("long"))
     partial = updates.where(F.col(item).isNotNull() & F.col(weight).isNotNull()).select(
         F.col(item).cast("long").alias("item"), amount.alias("total")
-    ).mapInArrow(_local_summary(budget), "item long, residual long, q long, weight long")
-    return gather(cut_lineage(partial), budget)
+    ).mapInArrow(_local_summary(budget), "item long, residual long, seen long, q long, weight long")
+    return gather(cut_lineage(partial if tracked else partial.drop("seen")), budget)
 
 
 def dense_size(method: str, phi: float, gamma: float = 4.0) -> int:

@@ -190,3 +190,86 @@ def test_local_counters_fold_many_small_batches(monkeypatch):
     true, kept = totals_of(rows), dict(zip(own.items.tolist(), own.residuals.tolist()))
     assert 0 < own.q <= own.weight / budget.counters and len(kept) <= budget.capacity
     assert all(kept.get(i, 0) <= c <= kept.get(i, 0) + own.q for i, c in true.items())
+
+
+# Space-Saving with an error for each counter
+
+def model(blocks, budget, fan):
+    """Tracked summaries in plain Python: ``{item: (residual, seen)}`` and ``q`` of each part, merged ``fan`` at a time."""
+    def pruned(kept, q):
+        values = sorted((r for r, _ in kept.values()), reverse=True)
+        d = values[budget.counters - 1] if len(values) > budget.capacity and len(values) >= budget.counters else 0
+        return {i: (r - d, s) for i, (r, s) in kept.items() if r > d}, q + d
+
+    parts = []
+    for rows in blocks:
+        kept = {}
+        for item, weight in rows:
+            kept[item] = kept.get(item, 0) + weight
+        parts.append(pruned({i: (c, c) for i, c in kept.items()}, 0))
+    while len(parts) > 1:
+        merged = []
+        for at in range(0, len(parts), fan):
+            kept = {}
+            for part, _ in parts[at:at + fan]:
+                for i, (r, s) in part.items():
+                    kept[i] = (kept.get(i, (0, 0))[0] + r, kept.get(i, (0, 0))[1] + s)
+            merged.append(pruned(kept, sum(q for _, q in parts[at:at + fan])))
+        parts = merged
+    return parts[0]
+
+
+@pytest.mark.parametrize("n_blocks, fan", [(1, 16), (7, 16), (9, 2)])
+def test_counters_of_blocks_equal_the_model(make, n_blocks, fan):
+    rng = random.Random(n_blocks)
+    budget = Budget.space_saving(1 / 9)
+    blocks = [[(rng.choice([1, 1, 2, 2, 3, 4, rng.randint(5, 60)]), rng.randint(0, 9)) for _ in range(80)] for _ in range(n_blocks)]
+    rows = [(i, w, b) for b, block in enumerate(blocks) for i, w in block]
+    summary = counters.summarise_blocks(
+        make(rows, "item long, weight long, block long"), budget, fan=fan, tracked=True)
+    kept, q = model(blocks, budget, fan)
+    assert {r.item: (r["count"], r.delta) for r in summary.counters().collect()} == {
+        i: (r + q, r + q - s) for i, (r, s) in kept.items()}
+    true = {}
+    for i, w, _ in rows:
+        true[i] = true.get(i, 0) + w
+    asked = make([(i,) for i in [*true, 999]], "item long")
+    found = {r.item: r for r in summary.count_of(asked).collect()}
+    assert all(r["count"] - r.delta <= true.get(i, 0) <= r["count"] for i, r in found.items())
+    assert (found[999]["count"], found[999].delta) == (q, q)
+    assert q * budget.counters <= sum(true.values())
+    deltas = {found[i].delta for i in kept}
+    assert deltas == {0} if n_blocks == 1 else len(deltas) > 1
+
+
+def test_claims_are_sure_or_may_be_false(make):
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 2, 3, rng.randint(4, 90)]), 1, i // 50) for i in range(1000)]
+    summary = counters.summarise_blocks(make(rows, "item long, weight long, block long"), Budget.space_saving(1 / 20), tracked=True)
+    true = {}
+    for i, *_ in rows:
+        true[i] = true.get(i, 0) + 1
+    claims = {r.item: r for r in summary.claims(F.lit(60)).collect()}
+    assert {i for i, c in true.items() if c >= 60} <= set(claims)
+    assert all(true[i] >= 60 for i, r in claims.items() if r.sure) and any(r.sure for r in claims.values())
+
+
+def test_tracked_summaries_survive_storage_merging_and_scans(spark, make, tmp_path):
+    rng = random.Random(12)
+    halves = [[(rng.choice([1, 2, 3, rng.randint(4, 400)]), rng.randint(1, 5)) for _ in range(900)] for _ in range(2)]
+    budget = Budget.unit_space_saving(1 / 15)
+    parts = [counters.summarise_in_place(make(h, "item long, weight long"), budget, tracked=True) for h in halves]
+    parts[0].rows().write.parquet(str(tmp_path / "first"))
+    stored = parts[0].with_rows(spark.read.parquet(str(tmp_path / "first")))
+    both = counters.merge([stored, parts[1]])
+    true = {}
+    for i, w in halves[0] + halves[1]:
+        true[i] = true.get(i, 0) + w
+    found = {r.item: r for r in both.count_of(make([(i,) for i in true], "item long")).collect()}
+    assert all(r["count"] - r.delta <= true[i] <= r["count"] for i, r in found.items())
+    assert len(both.counters().collect()) <= budget.capacity
+    plain = counters.summarise_in_place(make(halves[0], "item long, weight long"), budget)
+    with pytest.raises(ValueError):
+        counters.merge([plain, parts[1]])
+    with pytest.raises(ValueError):
+        plain.counters()

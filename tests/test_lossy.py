@@ -22,10 +22,16 @@ def one_by_one(rows, w, tail=False):
     return {i: (kept, kept + epochs, used) for i, (kept, used) in held.items()}
 
 
+@pytest.fixture(params=["in order", "scattered"])
+def updates_of(request, spark, make):
+    """Updates whose tasks read contiguous stretches, or positions in any order."""
+    return make if request.param == "scattered" else lambda rows, schema: spark.createDataFrame(rows, schema)
+
+
 @pytest.mark.parametrize("signed", [False, True])
 @pytest.mark.parametrize("w", [4, 10])
-def test_closed_form_equals_the_recursion(make, monkeypatch, w, signed):
-    monkeypatch.setattr(lossy, "BLOCK", 3)  # many blocks even in a short stream
+def test_fold_equals_the_recursion(updates_of, w, signed):
+    make = updates_of
     for seed in range(4):
         rng = random.Random(seed)
         rows = [(rng.choice([1, 1, 2, 3, 4, 5 + i % 20]),
@@ -34,13 +40,27 @@ def test_closed_form_equals_the_recursion(make, monkeypatch, w, signed):
         assert {r.item: (r.kept, r.est, r.lower) for r in got} == one_by_one(rows, w)
 
 
-def test_bursts_and_gaps(make):
+def test_bursts_and_gaps(updates_of):
     """An item that comes, dies out, and comes back."""
+    make = updates_of
     rows = [(1 if i // 10 in (0, 5, 6) else 2 + i % 7, 1, i) for i in range(95)]
     got = lossy.lossy_count(make(rows, SCHEMA), 1 / 10, include_tail=False).collect()
     assert {r.item: (r.kept, r.est, r.lower) for r in got} == one_by_one(rows, 10)
 
 
+def test_one_row_for_an_item_and_stretch(spark):
+    """What is shuffled does not grow with the epochs, and short stretches give the same counts."""
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None, "c", f"x{i % 9}"]), 1, i) for i in range(4000)]
+    updates = spark.createDataFrame(rows, "item string, weight long, pos long").coalesce(2)
+    folded = lossy.stretches(updates, 10)
+    inner, parts = folded.where("whole").count(), folded.where("not whole").count()
+    assert inner <= 2 * 13 and parts <= 4 * 13
+    assert lossy.epoch_counts(updates, 10).count() > 1000
+    held = {r.item: (r.kept, r.est, r.lower) for r in lossy.lossy_count(updates, 1 / 10, include_tail=False).collect()}
+    assert held == one_by_one(rows, 10)
+
+
 def test_tail_is_left_out_on_request(make):
     rows = [(1, 1, i) for i in range(20)] + [(2, 1, 20 + i) for i in range(5)]
     updates = make(rows, SCHEMA)
@@ -94,7 +114,7 @@ def test_kth_smallest_against_sorting(make, bits, span):
     assert kth_smallest(df, [], "v", 17, bits, zero_based=True).first().value == everything[17]
 
 
-WHOLE = ["k2_dim_sum_epochs_whole", "k11_lossy_count_signed_whole", "k12_lossy_point_whole", "k13_lossy_count_delta_whole"]
+WHOLE = ["k2_dim_sum_epochs", "k11_lossy_count", "k11_lossy_count_signed", "k12_lossy_point", "k13_lossy_count_delta"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
