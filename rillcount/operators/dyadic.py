@@ -323,7 +323,18 @@ class DyadicCountMin(_Levels):
         return lowest.where(keep).select("prefix", "est")
 
     def range_sums(self, ranges: DataFrame) -> DataFrame:
-        """``(range_id, est)`` for a table ``(range_id, start, end)``, ends inclusive."""
+        """``(range_id, est)`` for every row ``(range_id, start, end)``, ends inclusive.
+
+        Repeated rows and repeated ids each get their own answer; a null end has none.
+        """
+        ends = ranges.select("range_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+        asked = ends.select(F.struct("start", "end").alias("range_id"), "start", "end").where(
+            "start IS NOT NULL AND end IS NOT NULL").distinct()
+        found = self._range_sums(asked).select("range_id.start", "range_id.end", "est")
+        return ends.join(found, ["start", "end"], "left").select("range_id", "est")
+
+    def _range_sums(self, ranges: DataFrame) -> DataFrame:
+        """Sums by ``range_id``, which has to differ from row to row."""
         start = F.greatest(F.col("start"), F.lit(0).cast("long"))
         stop = F.least(F.col("end"), F.lit(self.h.top - 1).cast("long")) + 1
         parts = [ranges.select("range_id", F.lit(0).cast("long").alias("est"))]
@@ -337,12 +348,14 @@ class DyadicCountMin(_Levels):
     def _descend(self, targets: DataFrame, from_right: bool) -> DataFrame:
         """Follow one child per level for every ``(target_id, target)``.
 
-        Each target looks at no more than ``2**gran`` children per level.
+        Each different target looks once at no more than ``2**gran`` children per level;
+        rows of equal targets or ids all get their answer, a null target has none.
         """
         h = self.h
-        state = targets.select(
-            "target_id", "target", F.col("target").cast("long").alias("rem"),
-            F.lit(0).cast("long").alias("prefix"))
+        rows = targets.select("target_id", F.col("target").cast("long").alias("target"))
+        state = rows.where("target IS NOT NULL").select(
+            F.col("target").alias("target_id"), "target", F.col("target").alias("rem"),
+            F.lit(0).cast("long").alias("prefix")).distinct()
         order = F.col("prefix").desc() if from_right else F.col("prefix").asc()
         along = Window.partitionBy("target_id").orderBy(order)
         for level in reversed(range(h.levels)):
@@ -359,8 +372,9 @@ class DyadicCountMin(_Levels):
                 .groupBy("target_id", "target").agg(chosen.alias("to"))
                 .select("target_id", "target", "to.rem", "to.prefix"))
         beyond = F.col("target") > self.total().scalar()
-        return state.select("target_id", F.when(
+        found = state.select("target", F.when(
             beyond, F.lit(h.top).cast("long")).otherwise(F.col("prefix")).alias("item"))
+        return rows.join(found, "target", "left").select("target_id", "item")
 
     def find_range(self, targets: DataFrame) -> DataFrame:
         """``(target_id, item)``: smallest x whose estimated sum over 0..x exceeds the target.
@@ -374,20 +388,24 @@ class DyadicCountMin(_Levels):
         return self._descend(targets, from_right=True)
 
     def quantiles(self, fractions: DataFrame) -> DataFrame:
-        """``(target_id, item)`` for ``(target_id, frac)``: the mean of both directions."""
+        """``(target_id, item)`` for every row ``(target_id, frac)``: the mean of both directions.
+
+        Repeated rows and ids each get their own answer; a null fraction has none.
+        """
         n = self.total().scalar()
-        inside = fractions.where(F.col("frac").between(0.0, 1.0))
-        left = self.find_range(inside.select(
-            "target_id", F.floor(n * F.col("frac")).cast("long").alias("target")))
-        right = self.find_range_from_right(inside.select(
-            "target_id", F.floor(n * (F.lit(1.0) - F.col("frac"))).cast("long").alias("target")))
-        met = left.withColumnRenamed("item", "_l").join(
-            right.withColumnRenamed("item", "_r"), "target_id"
-        ).select("target_id", F.shiftright(F.col("_l") + F.col("_r"), 1).alias("item"))
-        outside = fractions.where(~F.col("frac").between(0.0, 1.0)).select(
-            "target_id", F.when(F.col("frac") < 0, F.lit(0)).otherwise(F.lit(self.h.top))
-            .cast("long").alias("item"))
-        return met.unionByName(outside)
+        rows = fractions.select("target_id", F.col("frac").cast("double").alias("frac"))
+        inside = rows.where(F.col("frac").between(0.0, 1.0)).select("frac").distinct()
+
+        def at(share: Column) -> DataFrame:
+            return inside.select(F.col("frac").alias("target_id"), F.floor(n * share).cast("long").alias("target"))
+
+        left = self.find_range(at(F.col("frac"))).withColumnRenamed("item", "_l")
+        right = self.find_range_from_right(at(F.lit(1.0) - F.col("frac"))).withColumnRenamed("item", "_r")
+        met = left.join(right, "target_id").select(
+            F.col("target_id").alias("frac"), F.shiftright(F.col("_l") + F.col("_r"), 1).alias("_m"))
+        outside = F.when(F.col("frac") < 0, F.lit(0)).when(F.col("frac") > 1, F.lit(self.h.top))
+        return rows.join(met, "frac", "left").select(
+            "target_id", F.coalesce("_m", outside).cast("long").alias("item"))
 
     def second_moment(self) -> DataFrame:
         """One row ``(est)``: smallest row-wise sum of squares at level 0, which is sketched."""

@@ -195,3 +195,21 @@ def test_ids_outside_the_universe_are_an_error(make):
         tree = DyadicCountMin.build(make([(item, 3)], "item long, weight long"), Hierarchy(12, 4, 16, 3, 5))
         with pytest.raises(Exception, match="universe"):
             tree.cells().collect()
+
+
+def test_repeated_and_null_questions_each_have_their_answer(make):
+    totals = make([(i, 11) for i in range(10)], "item long, total long")
+    tree = DyadicCountMin(Hierarchy(8, 2, 64, 3, 5), totals).store()
+    ranges = [(1, 0, 9), (1, 0, 9), (1, 3, 4), (2, None, 4), (3, 4, None), (4, 9, 0)]
+    got = tree.range_sums(make(ranges, "range_id long, start long, end long")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(
+        [(1, 110), (1, 110), (1, 22), (2, None), (3, None), (4, 0)], key=str)
+    asked = make([(7, 100), (7, 100), (7, 0), (8, None), (9, 111)], "target_id long, target long")
+    right = sorted(map(tuple, tree.find_range(asked).collect()), key=str)
+    assert right == sorted([(7, 9), (7, 9), (7, 0), (8, None), (9, 256)], key=str)
+    assert sorted(r.target_id for r in tree.find_range_from_right(asked).collect()) == [7, 7, 7, 8, 9]
+    fractions = make([(1, 0.5), (1, 0.5), (1, 0.95), (2, None), (3, -1.0), (3, 2.0)], "target_id long, frac double")
+    found = sorted(map(tuple, tree.quantiles(fractions).collect()), key=str)
+    assert [r for r in found if r[0] != 1] == [(2, None), (3, 0), (3, 256)]
+    halves = [r[1] for r in found if r[0] == 1]
+    assert len(halves) == 3 and len(set(halves)) == 2
