@@ -8,7 +8,7 @@ a join of the item's buckets with the cells.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -188,6 +188,16 @@ class CountMin:
         both = self.cells.unionByName(other.cells)
         return CountMin(self.shape, both.groupBy("row", "bucket").agg(F.sum("c").alias("c")))
 
+    def fold(self, width: int) -> "CountMin":
+        """The sketch of a smaller width that divides this one, from its cells alone.
+
+        A bucket is a hash modulo the width, so buckets equal modulo the smaller width fall together.
+        """
+        if width < 1 or self.shape.width % width:
+            raise ValueError(f"{width} does not divide the width {self.shape.width}")
+        narrow = self.cells.select("row", F.pmod(F.col("bucket"), F.lit(width).cast("long")).alias("bucket"), "c")
+        return CountMin(replace(self.shape, width=width), narrow.groupBy("row", "bucket").agg(F.sum("c").alias("c")))
+
     def total(self) -> DataFrame:
         """One row ``(n)``: any one row of the sketch holds the whole weight."""
         return self.cells.where("row = 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))

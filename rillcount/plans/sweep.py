@@ -7,10 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillcount.functions.hashing import bucket
+from rillcount.functions.hashing import coefficients
 from rillcount.operators.counters import FAN, Budget
 from rillcount.operators.exact import stream_total
-from rillcount.operators.linear import SketchShape
+from rillcount.operators.linear import SketchShape, place
 from rillcount.plans.evaluate import scores
 from rillcount.session import cut_lineage
 
@@ -110,7 +110,7 @@ def summaries(updates: DataFrame, budgets: Sequence[Budget], fan: int = FAN) ->
     while blocks > 1:
         blocks = -(-blocks // fan)
         group = F.expr(f"block div {fan}").alias("block")
-        rows = cut_lineage(rows.where(F.exists("rs", lambda r: r > 0)).groupBy(group, "item").agg(added("rs")))
+        rows = cut_lineage(rows.where(F.array_max("rs") > 0).groupBy(group, "item").agg(added("rs")))
         cuts = _cuts(rows.select("block", F.posexplode("rs").alias("i", "v")).where("v > 0").groupBy(
             "block", "i", "v").agg(count), budgets)
         rows = rows.join(cuts, "block").select("block", "item", F.zip_with(
@@ -133,9 +133,11 @@ def sweep_summaries(updates: DataFrame, totals: DataFrame,
     n = stream_total(totals).scalar()
     thrs = [(F.floor(F.lit(float(phi)) * n) + 1).cast("long") for phi in phis]
     qs = errors.scalar()
+    # Only settings in which an item is claimed are opened.
     claims = items.select("item", "rs", qs.alias("qs"), F.array(*thrs).alias("thrs")).select(
-        "item", F.posexplode(F.zip_with("rs", "qs", lambda r, q: F.when(r > 0, r + q))).alias("i", "est"), "thrs"
-    ).select("item", "i", "est", F.get("thrs", F.col("i")).alias("thr")).where("est >= thr")
+        "item", F.explode(F.filter(F.transform("rs", lambda r, i: F.struct(
+            i.alias("i"), r.alias("r"), (r + F.get("qs", i)).alias("est"), F.get("thrs", i).alias("thr"))),
+            lambda s: (s["r"] > 0) & (s["est"] >= s["thr"]))).alias("s")).select("item", "s.i", "s.est", "s.thr")
     met = claims.join(totals, "item").withColumn("hit", F.col("total") >= F.col("thr"))
     error = F.abs(F.col("est") - F.col("total")) / F.nullif(F.col("total"), F.lit(0))
     scored = met.groupBy("i").agg(
@@ -172,48 +174,71 @@ def gamma_settings(exponents: Sequence[int] = GAMMA_EXPONENTS,
     return made
 
 
-def sweep_count_min(totals: DataFrame, settings: Mapping[float, float], depth: int,
-                    seed: int) -> DataFrame:
-    """``(method, param, hh, claimed, recall, precision, re_true, re_false)`` of Count-Min.
+def folded_estimates(totals: DataFrame, widths: Sequence[int], depth: int, seed: int,
+                     signed: bool = False) -> DataFrame:
+    """``(item, total, ests)``: estimates of every item by sketches of all ``widths``, narrowest first.
 
-    ``settings`` maps a parameter to phi; each setting has its own sketch of width
-    ``2 / phi``. All sketches are built by one aggregation and probed by one join,
-    with the parameter as part of the cell key.
+    Each width has to divide the next. Only the widest sketch is built; a narrower one is the
+    same with buckets equal modulo its width added up, so all share their hashes, and a cell
+    carries the counts of all widths in an array. ``signed`` gives Count Sketch instead
+    of Count-Min. An item is opened once per sketch row, however many widths there are.
     """
-    shapes = {
-        param: SketchShape(int(2.0 / phi), depth, seed + i)
-        for i, (param, phi) in enumerate(settings.items())}
-    generator = F.explode(F.array(*[
-        F.struct(
-            F.lit(float(param)).alias("param"), F.lit(float(settings[param])).alias("phi"),
-            F.lit(row).alias("row"), F.lit(shape.width).cast("long").alias("width"),
-            F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"))
-        for param, shape in shapes.items() for row, (a, b) in enumerate(shape.coeffs)])).alias("h")
-    cell = bucket(F.col("a"), F.col("b"), F.col("item"), F.col("width"))
-    placed = totals.select("item", "total", generator).select("item", "total", "h.*").select(
-        "item", "total", "param", "phi", "row", cell.alias("bucket"))
-    cells = placed.groupBy("param", "row", "bucket").agg(F.sum("total").alias("c"))
+    if any(b % a for a, b in zip(widths, widths[1:])):
+        raise ValueError("each width has to divide the next")
+    shape = SketchShape(widths[-1], depth, seed)
+    signs = coefficients(seed, depth, 4) if signed else ()
+    placed = place(totals, shape, F.col("item"), F.col("item"), F.col("total"), signs=signs)
+    value = F.col("total") * F.col("sign") if signed else F.col("total")
+    cells = placed.groupBy("row", "bucket").agg(F.sum(value).alias("c"))
+    # Buckets that are equal modulo the narrowest width stay together, so one shuffle serves all windows.
+    parts = [f"_b{i}" for i in range(len(widths))]
+    nested = cells.select("*", *[
+        F.pmod("bucket", F.lit(w).cast("long")).alias(p) for w, p in zip(widths, parts)]).repartition("row", parts[0])
+    sums = [F.sum("c").over(Window.partitionBy("row", *parts[:i + 1])) for i in range(len(widths) - 1)]
+    nested = nested.select("row", "bucket", F.array(*sums, F.col("c")).alias("cs"))
+    met = placed.join(nested, ["row", "bucket"])
+    if not signed:
+        return met.groupBy("item", "total").agg(
+            F.array(*[F.min(F.col("cs")[i]) for i in range(len(widths))]).alias("ests"))
+    rows = met.groupBy("item", "total").agg(
+        F.collect_list(F.transform("cs", lambda c: c * F.col("sign"))).alias("vs"))
+
+    def middle(i: int):
+        ordered = F.sort_array(F.transform("vs", lambda v: v[i]))
+        return F.call_function("div", ordered[0] + ordered[1], F.lit(2)) if depth == 2 else ordered[depth // 2]
+
+    return rows.select("item", "total", F.array(*map(middle, range(len(widths)))).alias("ests"))
+
+
+def sweep_folded(totals: DataFrame, phis: Sequence[float], depth: int, seed: int,
+                 signed: bool = False) -> DataFrame:
+    """``(method, param, hh, claimed, recall, precision, re_true, re_false)`` of Count-Min or Count Sketch.
+
+    Each phi, a power of two, has a sketch of width ``2 / phi``, folded from the widest.
+    """
+    phis = sorted(phis, reverse=True)
+    estimated = folded_estimates(totals, [int(2.0 / phi) for phi in phis], depth, seed, signed)
     n = stream_total(totals).scalar()
-    thr = (F.floor(F.col("phi") * n) + 1).cast("long")
-    estimated = placed.join(cells, ["param", "row", "bucket"]).groupBy(
-        "param", "phi", "item", "total").agg(F.min("c").alias("est"))
-    scored = estimated.select("param", "total", "est", thr.alias("thr")).withColumn(
-        "hit", F.col("total") >= F.col("thr")).withColumn("claim", F.col("est") >= F.col("thr"))
+    thrs = F.array(*[(F.floor(F.lit(float(phi)) * n) + 1).cast("long") for phi in phis])
+    # Settings in which an item is neither claimed nor heavy are dropped before the array is opened.
+    known = estimated.select("total", "ests", thrs.alias("thrs")).select("total", F.zip_with(
+        "ests", "thrs", lambda e, t: F.struct(e.alias("est"), t.alias("thr"))).alias("s"))
+    known = known.select("total", F.filter(F.transform("s", lambda s, i: F.struct(
+        i.alias("i"), s["est"].alias("est"), s["thr"].alias("thr"))),
+        lambda s: (s["est"] >= s["thr"]) | (F.col("total") >= s["thr"])).alias("s"))
+    opened = known.select("total", F.explode("s").alias("s")).select("total", "s.*")
+    hit, claim = F.col("total") >= F.col("thr"), F.col("est") >= F.col("thr")
     error = F.abs(F.col("est") - F.col("total")) / F.nullif(F.col("total"), F.lit(0))
-    counted = scored.groupBy("param").agg(
-        F.count(F.when(F.col("hit"), 1)).alias("hh"),
-        F.count(F.when(F.col("claim"), 1)).alias("claimed"),
-        F.count(F.when(F.col("hit") & F.col("claim"), 1)).alias("correct"),
-        F.coalesce(F.avg(F.when(F.col("hit") & F.col("claim"), error)), F.lit(0.0)).alias("re_true"),
-        F.coalesce(F.avg(F.when(~F.col("hit") & F.col("claim"), error)), F.lit(0.0))
-        .alias("re_false"))
-    full = F.lit(100.0)
-    return counted.select(
-        F.lit("count_min").alias("method"), "param", "hh", "claimed",
-        F.coalesce(full * F.col("correct") / F.nullif(F.col("hh"), F.lit(0)), full).alias("recall"),
-        F.coalesce(full * F.col("correct") / F.nullif(F.col("claimed"), F.lit(0)), full)
-        .alias("precision"),
-        "re_true", "re_false")
+    counted = opened.groupBy("i").agg(
+        F.count(F.when(hit, 1)).alias("hh"), F.count(F.when(claim, 1)).alias("claimed"),
+        F.count(F.when(hit & claim, 1)).alias("correct"),
+        F.avg(F.when(hit & claim, error)).alias("_rt"), F.avg(F.when(~hit & claim, error)).alias("_rf"))
+    spark, zero = totals.sparkSession, F.lit(0).cast("long")
+    every = spark.range(len(phis)).select(
+        F.col("id").cast("int").alias("i"), F.lit("count_sketch" if signed else "count_min").alias("method"),
+        F.get(F.array(*[F.lit(float(p)) for p in phis]), F.col("id").cast("int")).alias("param"))
+    judged = every.join(counted, "i", "left").withColumns({c: F.coalesce(c, zero) for c in ("hh", "claimed", "correct")})
+    return scores(judged, ["method", "param"]).drop("correct")
 
 
 def average_repeats(results: DataFrame, value: str = "value") -> DataFrame:

@@ -1,9 +1,13 @@
 import math
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from rillcount.functions.hashing import coefficients
 from rillcount.operators.counters import Budget
 from rillcount.operators.exact import split_runs
+from rillcount.operators.linear import CountMin, SketchShape, place
 from rillcount.plans import evaluate, sweep
 
 TOTALS = [(1, 8), (2, 3), (3, 1), (4, 1)]
@@ -89,3 +93,36 @@ def test_repeats_with_an_infinity_are_left_out(make):
 def test_sweep_settings_follow_the_protocol():
     assert len(sweep.epsilon_settings()) == 33 and len(sweep.gamma_settings()) == 18
     assert sweep.SKEWS[0] == 0.1 and sweep.SKEWS[-1] == 2.0 and len(sweep.SKEWS) == 20
+
+
+@pytest.mark.parametrize("signed", [False, True])
+def test_folded_sketches_equal_sketches_of_their_own(make, signed):
+    rng = random.Random(4)
+    totals = make([(i, rng.randint(1, 40)) for i in rng.sample(range(10**6), 300)], "item long, total long")
+    widths = [16, 64, 128]
+    got = {r.item: r.ests for r in sweep.folded_estimates(totals, widths, 3, 9, signed).collect()}
+    for i, width in enumerate(widths):
+        if signed:
+            placed = place(totals, SketchShape(width, 3, 9), F.col("item"), F.col("item"), F.col("total"),
+                           signs=coefficients(9, 3, 4))
+            cells = placed.groupBy("row", "bucket").agg(F.sum(F.col("total") * F.col("sign")).alias("c"))
+            rows = placed.join(cells, ["row", "bucket"]).groupBy("item").agg(
+                F.sort_array(F.collect_list(F.col("c") * F.col("sign")))[1].alias("est"))
+        else:
+            rows = CountMin.from_totals(totals, SketchShape(width, 3, 9)).point(totals)
+        assert {r.item: r.est for r in rows.collect()} == {item: ests[i] for item, ests in got.items()}
+    with pytest.raises(ValueError):
+        sweep.folded_estimates(totals, [16, 24], 3, 9)
+
+
+def test_a_sketch_folds_to_any_width_that_divides_its_own(make):
+    totals = make([(i * 7919, i + 1) for i in range(200)], "item long, total long")
+    wide = CountMin.from_totals(totals, SketchShape(96, 4, 2))
+    for width in (96, 32, 6):
+        narrow = CountMin.from_totals(totals, SketchShape(width, 4, 2))
+        folded = wide.fold(width)
+        assert folded.compatible(narrow)
+        assert sorted(map(tuple, folded.cells.select("row", "bucket", "c").collect())) == sorted(
+            map(tuple, narrow.cells.select("row", "bucket", "c").collect()))
+    with pytest.raises(ValueError):
+        wide.fold(36)
