@@ -150,27 +150,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """One row of ``docs`` for each group of near copies: the first by doc_id, text and other columns.
 
-    Groups hang together by links of Jaccard similarity 0.8 or more between sets of word
-    shingles, see ``minhash``; the narrower links of ``near_duplicates`` are not used.
-    Rows and not ids are grouped, so rows of one id that are no copies all stay. Rows
-    without a doc_id are members like any other and come last; text and other columns are
-    ordered by their SHA-256, so that every run keeps the same row.
+    Groups hang together by links of ``near_duplicates``: fingerprints that differ in at most
+    ``DISTANCE`` bits. Rows and not ids are grouped, so rows of one id that are no copies all
+    stay. Rows without a doc_id are members like any other and come last; text and other
+    columns are ordered by their SHA-256, so that every run keeps the same row. Null and
+    empty texts are one group. An empty table gives no rows.
     """
-    from rillcount.llm import minhash
-
     names = docs.columns
     others = F.to_json(F.struct(F.lit(0).alias("_"), *[docs[c].alias(f"_{i}") for i, c in enumerate(names) if c != "text"]))
-    digest = F.sha2(F.concat_ws(" ", F.sha2(F.col("text").cast("binary"), 256), others), 256)  # of a null text: without it
-    rows = docs.select(
-        *[docs[c].alias(f"_{i}") for i, c in enumerate(names)], "text", minhash.node().alias("node"),
-        F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text"),
-                 digest.alias("row")).alias("rank"))
-    roots = minhash.near_copies(rows.select("node", "text"), shingle)
-    first = rows.groupBy("node").agg(F.min("rank").alias("rank")).join(roots, "node", "left")
-    kept = first.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rank").alias("rank")).select("rank.row")
+    text = F.unhex(F.sha2(F.col("text").cast("binary"), 256))  # null of a null text
+    row = F.unhex(F.sha2(F.concat_ws(" ", F.hex(text), others), 256))
+    ranked = docs.select("text", F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("doc_id"),
+                         text.alias("digest"), row.alias("row"))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], "<u8").view("<i8")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(prints), *batch.columns[1:]], ["print", "last", "doc_id", "digest", "row"])
+
+    found = cut_lineage(ranked.mapInArrow(run, "print long, last boolean, doc_id long, digest binary, row binary").groupBy(
+        "print").agg(F.min(F.struct("last", "doc_id", "digest", "row")).alias("rank")))
+    roots = components(links(found.select("print")))
+    kept = found.join(roots, found["print"] == roots["node"], "left").groupBy(
+        F.coalesce("root", "print").alias("root")).agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("row"))
     # Rows of one digest are equal in all columns: it does not matter which of them is kept.
-    named = rows.withColumn("row", F.col("rank.row")).drop("text", "node", "rank")
-    return named.join(kept, "row").dropDuplicates(["row"]).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)])
+    rows = docs.select(*[docs[c].alias(f"_{i}") for i, c in enumerate(names)], row.alias("row"))
+    return rows.join(kept, "row").dropDuplicates(["row"]).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)])

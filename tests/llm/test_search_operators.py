@@ -96,44 +96,45 @@ def test_near_duplicates_of_odd_rows(spark, make):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def similarity(a, b):
-    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+def near_copy(rng, words):
+    """The words with one of them replaced so that the fingerprint stays within three bits, and differs."""
+    while True:
+        copy = list(words)
+        copy[rng.randrange(len(copy))] = f"edit{rng.randrange(10 ** 6)}"
+        if 0 < (simhash.fingerprint(" ".join(copy)) ^ simhash.fingerprint(" ".join(words))).bit_count() <= 3:
+            return copy
 
 
-def test_kept_rows_are_those_of_brute_force_similarity(make):
-    """Texts of 100 to 500 words with some edits, most of them too far apart for the fingerprints of op4."""
+def test_kept_rows_are_those_of_brute_force_distance(make):
+    """Chains of copies: each within three bits of the one before, not of the first."""
     rng = random.Random(4)
     words = [f"w{i}" for i in range(3000)]
     texts = [""]
-    for _ in range(12):
-        base = [rng.choice(words) for _ in range(rng.randint(100, 500))]
-        texts.append(" ".join(base))
-        for _ in range(5):
-            copy = list(base)
-            for _ in range(rng.randint(0, len(base) // 30)):
-                copy[rng.randrange(len(copy))] = rng.choice(words)
+    for _ in range(8):
+        copy = [rng.choice(words) for _ in range(rng.randint(100, 500))]
+        texts.append(" ".join(copy))
+        for _ in range(4):
+            copy = near_copy(rng, copy)
             texts.append(" ".join(copy).upper())
-    near = [(i, j) for i in range(len(texts)) for j in range(i) if similarity(texts[i], texts[j]) >= 0.8]
     prints = [simhash.fingerprint(t) for t in texts]
-    assert sum((prints[i] ^ prints[j]).bit_count() > 3 for i, j in near) > len(near) / 2
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3]
     kept = simhash.keep_one(make(list(enumerate(texts)), "doc_id long, text string"))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(union(len(texts), near)))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(union(len(texts), near))) == [0, *range(1, 41, 5)]
 
 
 def test_rows_of_one_id_or_none_are_kept_by_their_texts(make):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(900)]
     a, b, c, d = ([rng.choice(words) for _ in range(200)] for _ in range(4))
-    a, near, b, c, d = (" ".join(w) for w in (a, [*a[:100], "edit", *a[101:]], b, c, d))
+    a, near, b, c, d, e = (" ".join(w) for w in (a, near_copy(rng, a), b, c, d, near_copy(rng, d)))
     rows = [(3, a, "x"), (5, near, "x"), (5, b, "x"), (7, c, "y"), (7, c, "x"), (7, c, "y"), (None, a, "x"),
-            (None, d, "x"), (None, d, "x"), (None, d + " more", "x")]
+            (None, d, "x"), (None, d, "x"), (None, e, "x")]
     seen = set()
     for turn in range(3):
         rng.shuffle(rows)
         kept = simhash.keep_one(make(rows, "doc_id long, text string, source string")).collect()
         assert len(kept) == 4
-        assert {(r.doc_id, r.text) for r in kept if r.text not in (d, d + " more")} == {(3, a), (5, b), (7, c)}
+        assert {(r.doc_id, r.text) for r in kept if r.text not in (d, e)} == {(3, a), (5, b), (7, c)}
         seen.add(tuple(sorted(map(str, kept))))
     assert len(seen) == 1
 
