@@ -32,7 +32,12 @@ from rillcount.llm.tokens import byte_letters, text_batches
 
 #: Bytes of text in a chunk, and pieces of it that are encoded together.
 CHUNK_BYTES, SLICE = 4 << 20, 8192
-#: A piece in which a blank is followed by white space or nothing, or that holds what may be white space.
+#: Letters of one pre-token and punctuation of another; a common word; a piece of B that crosses its parts; and a piece in
+#: which a blank is followed by white space or nothing, or that holds what may be white space.
+_L, _P = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
+_LETTERS = re.compile(f" ?{_L}+").fullmatch
+_COMMON = re.compile(f"( ?{_L}+)({_P}*)(?:(\n)({_L}+)({_P}*))?").fullmatch
+_MIXED = re.compile(f"\n|{_L}{_P}|{_P}{_L}").search
 _UNSURE = re.compile(r"^ (?:\s|\Z)|[\x1c-\x1f]").search
 
 _INDEX = ("part int, seq int, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, "
@@ -97,12 +102,22 @@ class Aligner:
         self.bytes_b = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
-        # Where no piece of B has a blank behind another character, no token of B crosses the start of a word.
-        self.by_word = all("▁" not in p.lstrip("▁") for p in pieces)
+        # Where no piece of B has a blank behind another character, no token of B crosses the start of a word;
+        # where none has a line's end or a letter beside punctuation, none crosses the end of a word.
+        plain = [p for i, p in enumerate(pieces) if not self.b.is_byte(i) and not self.b.is_control(i) and not self.b.is_unknown(i)]
+        self.by_word = all("▁" not in p.lstrip("▁") for p in plain)
+        self.by_part = self.by_word and not any(map(_MIXED, plain))
+        self.letters = dict(enumerate(byte_letters()))
+
+    def _encode_a(self, text: str) -> list[int]:
+        if _LETTERS(text):  # a single pre-token
+            return [t.id for t in self.a.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+        return self.a.encode(text, add_special_tokens=False).ids
 
     def _encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        ids_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        return ids_a, self.b.encode([t[1:] for t in texts], num_threads=1)
+        # B puts a blank before a text; parts without one stand behind a word and a line's end, two ids.
+        found = self.b.encode([t[1:] if t[:1] == " " else "x\n" + t for t in texts], num_threads=1)
+        return list(map(self._encode_a, texts)), [ids if t[:1] == " " else ids[2:] for t, ids in zip(texts, found)]
 
     def _spell(self, a: np.ndarray, b: np.ndarray) -> tuple[bytes, bytes]:
         return (b"".join(map(self.bytes_a.__getitem__, a.tolist())), b"".join(map(self.bytes_b.__getitem__, b.tolist())))
@@ -126,7 +141,7 @@ class Aligner:
             spelled = "".join(t for t, n in zip(texts, size) if n).encode()
 
     def align(self, texts: list[str]) -> dict[str, np.ndarray | list]:
-        """For texts that begin with a blank: ids, numbers of groups, and links, all texts in a row.
+        """For texts that begin with a blank, and parts of words: ids, numbers of groups, and links, all in a row.
 
         A text whose tokens do not spell it has no tokens.
         """
@@ -148,11 +163,12 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
-def _cut(texts: pa.Array, by_word: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _cut(texts: pa.Array, by_word: bool, by_part: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Different pieces that begin with a blank, the pieces of all texts in a row, and where each text ends.
 
     Cuts stand before a blank that is followed by something other than white space and is not
-    preceded by a blank. Texts in which the libraries could see white space differently stay whole.
+    preceded by a blank, and between letters, punctuation and a line's end of common words. Texts in
+    which the libraries could see white space differently stay whole.
     """
     texts = pc.fill_null(texts, "")
     empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
@@ -168,21 +184,26 @@ def _cut(texts: pa.Array, by_word: bool) -> tuple[list[str], np.ndarray, np.ndar
     else:
         pieces, which, ends = [], np.zeros(len(texts), np.int64), np.arange(1, len(texts) + 1)
         starts, odd = ends - 1, np.ones(len(texts), bool)
-    sizes = ends - starts
-    parts = []
-    for d in np.flatnonzero(odd):
-        sizes[d] = 0 if empty[d] else 1
-    moved = np.repeat(odd, ends - starts)
-    numbers = np.cumsum(odd & ~empty) - 1 + len(pieces)
-    made = np.zeros(int(sizes.sum()), np.int64)
-    after = np.cumsum(sizes)
-    inside = np.repeat(~odd, sizes)
-    made[inside] = which[~moved]
-    made[~inside] = numbers[odd & ~empty]
-    parts = [" " + texts[int(d)].as_py() for d in np.flatnonzero(odd & ~empty)]
-    used, which = np.unique(made, return_inverse=True)
-    both = pieces + parts
-    return [both[u] for u in used], which.reshape(-1), after
+    numbers: dict[str, int] = {}
+    listed, counts = [], np.ones(len(pieces), np.int64)
+    for i, piece in enumerate(pieces):
+        found = _COMMON(piece) if by_part else None
+        for part in filter(None, found.groups()) if found else (piece,):
+            listed.append(numbers.setdefault(part, len(numbers)))
+        counts[i] = len(listed)
+    counts = np.diff(counts, prepend=0)
+    first, whole = np.cumsum(counts) - counts, odd & ~empty
+    doc = np.repeat(np.arange(len(texts)), ends - starts)
+    kept = ~odd[doc]
+    doc, which = doc[kept], which[kept]
+    made = np.array(listed, np.int64)[_rows_of(first[which], counts[which])]
+    doc = np.repeat(doc, counts[which])
+    parts = [*numbers, *(" " + texts[int(d)].as_py() for d in np.flatnonzero(whole))]
+    made = np.concatenate([made, len(numbers) + np.arange(int(whole.sum()))])
+    doc = np.concatenate([doc, np.flatnonzero(whole)])
+    order = np.argsort(doc, kind="stable")
+    used, which = np.unique(made[order], return_inverse=True)
+    return [parts[u] for u in used], which.reshape(-1), np.searchsorted(doc[order], np.arange(len(texts)), "right")
 
 
 def _rows_of(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -243,7 +264,7 @@ def _spelled(found: dict, n: int) -> list[bytes]:
 def chunk_index(doc_ids: list, texts: pa.Array, tool: Aligner) -> dict:
     """Counts of the documents of a chunk, and its pairs with their bitmaps."""
     n_docs = len(doc_ids)
-    pieces, which, ends = _cut(texts, tool.by_word)
+    pieces, which, ends = _cut(texts, tool.by_word, tool.by_part)
     n = len(pieces)
     found = tool.align(pieces)
     spells = found["n_a"] > 0
