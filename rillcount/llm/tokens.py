@@ -24,6 +24,8 @@ _UNSURE = re.compile("[\x1c-\x1f]").search
 _WORD = re.compile(
     r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*))?"
 ).fullmatch
+#: The same punctuation, one sign each.
+_MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 #: Bytes of text that are encoded together.
 BATCH_BYTES = 8 << 20
 
@@ -47,10 +49,14 @@ class Recent(dict):
         return self.get(key) or self.old.get(key)
 
     def keep(self, key, value):
+        self.turn()
+        self[key] = value
+
+    def turn(self):
+        """Begin a new generation if this one is full."""
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
-        self[key] = value
 
 
 def byte_letters() -> list[str]:
@@ -96,26 +102,55 @@ class TextEncoder:
             form["normalizer"] is None and kind.get("type") == "ByteLevel"
             and kind.get("use_regex") and not kind.get("add_prefix_space"))
         self.tool, self.model, self.letters = tool, tool.model, dict(enumerate(byte_letters()))
-        self._known = Recent(memory, self._piece)
+        self._known = Recent(memory)
 
     def whole(self, text: str) -> bytes:
         return pack("I", self.tool.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a single pre-token."""
-        spelled = word.encode().decode("latin-1").translate(self.letters)
-        return pack("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-
-    def _piece(self, piece: str) -> bytes | None:
-        if found := _WORD(piece):
-            parts = [part for part in found.groups() if part]
-            return self._word(piece) if len(parts) == 1 else b"".join([self._known[part] for part in parts])
+    def _odd(self, piece: str) -> bytes | None:
+        """Ids of a piece that is no common word; none where they depend on what stands beside it."""
         if _UNSURE(piece) or any(s in piece for s in self.special):
             return None
         if piece[:1] == " " and (len(piece) == 1 or piece[1].isspace()):
             return None
         return self.whole(piece) if piece else b""
 
+    def _ids(self, pieces: Iterable[str]) -> list[bytes | None]:
+        """Ids of every piece; common words by their parts, each of them a single pre-token."""
+        known, tokenize, letters, odd = self._known, self.model.tokenize, self.letters, self._odd
+        blank, table = letters[32], []
+        known.turn()
+        new, old = known.get, known.old.get
+
+        def word(part: str) -> bytes:
+            found = new(part)
+            if found is None:
+                found = old(part)
+                if found is None:
+                    if part.isascii():
+                        spelled = blank + part[1:] if part[0] == " " else "Ċ" if part == "\n" else part
+                    else:
+                        spelled = part.encode().decode("latin-1").translate(letters)
+                    found = pack("I", [t.id for t in tokenize(spelled)]).tobytes()
+                known[part] = found
+            return found
+
+        for piece in pieces:
+            found = new(piece)
+            if found is None:
+                if piece.isascii() and piece[0:1] == " ":
+                    if piece[1:].isalpha():
+                        found = word(piece)
+                    elif piece[-1] in _MARKS and piece[1:-1].isalpha():
+                        found = word(piece[:-1]) + word(piece[-1])
+                if found is None:
+                    if common := _WORD(piece):
+                        found = b"".join([word(part) for part in common.groups() if part])
+                    else:
+                        found = odd(piece)
+            table.append(found)
+        return table
+
     def ids_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
         if not self.by_piece:
@@ -125,12 +160,11 @@ class TextEncoder:
         offsets = lists.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        table = [self._known[" " + w] for w in words]
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         which = coded.indices.to_numpy().astype(np.int64)
         firsts = [words[i] for i in which[offsets[:-1]]]
-        which[offsets[:-1]] = np.arange(len(firsts)) + len(table)
-        table += [self._known[w] for w in firsts]
+        which[offsets[:-1]] = np.arange(len(firsts)) + len(words)
+        table = self._ids([" " + w for w in words] + firsts)
         unsure = np.array([t is None for t in table])
         if unsure.any():
             odd = np.flatnonzero(np.add.reduceat(unsure[which], offsets[:-1]))

@@ -59,8 +59,9 @@ class WaveletMatrix:
             planes.append(padded)
             before.append(np.concatenate([np.zeros(1, "<u4"), np.cumsum(count, dtype="<u4")]))
             zeros.append(len(ids) - int(before[-1][-1]))
-            ids = np.concatenate([ids[np.flatnonzero(~ones)], ids[np.flatnonzero(ones)]])
-        return cls(int(len(ids)), planes, zeros, before)
+            if digit:  # the order behind the last plane is not needed
+                ids = np.concatenate([np.compress(~ones, ids), np.compress(ones, ids)])
+        return cls(len(ids), planes, zeros, before)
 
     def to_bytes(self) -> bytes:
         head = np.array([self.n, len(self.planes), *self.zeros], "<u8").tobytes()
@@ -191,12 +192,13 @@ def write_shards(
     """Write the ids of ``docs(doc_id, text)``, each with ``end_id`` after it, in ascending order of doc_id.
 
     Null and empty texts have the end id alone. Rows of one doc_id are all written,
-    by text; a null doc_id comes first. Other columns are not read. An empty table
+    by a hash of the text; a null doc_id comes first. Other columns are not read. An empty table
     writes no shard.
     """
     (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+        .withColumn("_key", F.xxhash64("text"))  # rows of one id may fill several partitions
+        .repartitionByRange("doc_id", "_key").sortWithinPartitions("doc_id", "_key", "text").drop("_key")
         .mapInArrow(_shards(tokenizer, end_id, shard_tokens), _FILES)
         .write.option("compression", "zstd").parquet(path)
     )

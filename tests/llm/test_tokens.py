@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -89,7 +90,9 @@ def test_token_files_round_trip(spark, make, byte_tool):
     wavelet.write_shards(make(rows, "doc_id long, text string, n long".replace("n long", "start string")), path, BYTES, shard_tokens=500)
     got = wavelet.read_documents(spark, path).collect()
     at, want = 0, []
-    for doc_id, text, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    texts = spark.createDataFrame([(t,) for _, t, _ in rows], "text string")
+    place = {r.text: r.k for r in texts.select("text", F.xxhash64("text").alias("k")).collect()}
+    for doc_id, text, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, place[r[1]])):
         ids = np.array(tool.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
         want.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
@@ -140,7 +143,7 @@ def test_packing_leaves_little_padding():
 def test_packed_documents_hold_every_id(spark, make, byte_tool):
     tool, _ = byte_tool
     rows = [(i, t, 5) for i, t in enumerate(ODD)] + [(3, "again", 6), (None, "no id", 7)]
-    got = packing.pack_examples(make(rows, "doc_id long, text string, offset int"), BYTES, limits=packing.Limits(256, 16, 256)).collect()
+    got = packing.pack_examples(make([(*r, ["x"]) for r in rows], "doc_id long, text string, offset int, parts array<string>"), BYTES, limits=packing.Limits(256, 16, 256)).collect()
     total = sum(len(tool.encode(t or "", add_special_tokens=False).ids) + 1 for _, t, _ in rows)
     assert sum(r.length for r in got) == total
     by_sequence = {}
@@ -166,7 +169,7 @@ def test_instructions_learn_from_answers_only(spark, make, byte_tool):
     tool, _ = byte_tool
     turns = make([(1, 2, "assistant", "fine thanks"), (1, 1, "user", "how are you"), (2, 1, "user", None), (3, 1, None, "x")],
                  "conv_id long, turn long, role string, text string")
-    got = packing.pack_examples(packing.conversations(turns), BYTES, key="conv_id").collect()
+    got = packing.pack_examples(packing.conversations(turns), BYTES, key="conv_id", by_part=True).collect()
     assert {r.conv_id: r.n_loss for r in got if r.conv_id != 1} == {2: 0, 3: 1}
     assert sum(r.n_loss for r in got if r.conv_id == 1) == len(tool.encode("fine thanks").ids) + 1
 
