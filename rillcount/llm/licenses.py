@@ -35,8 +35,8 @@ TEMPLATES = {
         included in all copies or substantial portions of the software""",
     ],
     "apache-2": [
-        "licensed under the apache license [[version 2 [[0]]]] [[the license]]",
-        "released under the [[terms of the]] apache license [[version 2 [[0]]]]",
+        "licensed under the apache license version 2 [[0]] [[the license]]",
+        "released under the [[terms of the]] apache license version 2 [[0]]",
     ],
     "gpl-3": [
         "licensed under the gnu general public license [[as published by the free software foundation]] "

@@ -173,6 +173,13 @@ def test_templates_that_cannot_be_compiled(template):
         licenses.Automaton(template)
 
 
+def test_another_version_is_another_license(make):
+    texts = ["Licensed under the Apache License, Version 1.1", "Licensed under the Apache License, version 1 0 (the License)",
+             "released under the terms of the Apache License", "Licensed under the Apache License, Version 2.0 (the License)"]
+    got = licenses.license_scan(make(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.labels for r in got} == {0: "", 1: "", 2: "", 3: "apache-2"}
+
+
 def test_license_scan_of_odd_texts(spark, make):
     rows = list(enumerate(ODD)) + [
         (50, "Released under the MIT License. Cc-By-Nc; CC BY NC"), (51, "under the MITT license apache license version 20"),
