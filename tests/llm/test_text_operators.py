@@ -180,6 +180,78 @@ def test_another_version_is_another_license(make):
     assert {r.doc_id: r.labels for r in got} == {0: "", 1: "", 2: "", 3: "apache-2"}
 
 
+def as_expression(template):
+    """A template as an ordinary expression over words that follow a blank each."""
+    out = []
+    for token in re.findall(r"\[\[|\]\]|\{\{[^\s{}]+\}\}|[^\s\[\]{}]+", template):
+        if token == "[[":
+            out.append("(?:")
+        elif token == "]]":
+            out.append(")?")
+        elif token.startswith("{{!"):
+            out.append(f"(?! (?:{token[3:-2]})(?: |$))")
+        else:
+            out.append(f"(?: \\S+){{0,{token[2:-2]}}}" if token.startswith("{{") else " " + re.escape(token))
+    return re.compile("".join(out) + "(?= |$)")
+
+
+ALL_TEMPLATES = [(label, t) for group in (licenses.TEXTS, licenses.NOTICES) for label, forms in group.items() for t in forms]
+
+
+def rendered(rng, template):
+    """A text that the template accepts, as long as no forbidden word follows."""
+    text = re.sub(r"\{\{!\S+\}\}", "", template)
+    while (m := re.search(r"\[\[([^\[\]]*)\]\]", text)):
+        text = text[:m.start()] + (m[1] if rng.random() < 0.5 else "") + text[m.end():]
+    return re.sub(r"\{\{(\d+)\}\}", lambda m: " ".join(rng.choices(["the", "authors", "x1"], k=rng.randint(0, int(m[1])))), text).split()
+
+
+def test_automata_accept_what_their_expressions_accept():
+    """All production templates on texts as they stand, with a word changed, left out, doubled, or followed by others."""
+    rng, accepted = random.Random(8), 0
+    for label, template in ALL_TEMPLATES:
+        automaton, expression = licenses.Automaton(template), as_expression(template)
+        for turn in range(12):
+            text = rendered(rng, template)
+            at = rng.randrange(len(text))
+            if turn % 4 == 1:
+                text[at] = rng.choice(["other", "version", "3"])
+            elif turn % 4 == 2:
+                del text[at]
+            elif turn % 4 == 3:
+                text.insert(at, text[at])
+            text += rng.choice([[], ["1"], ["0"], ["except"], ["nc"], ["sharealike", "4"], ["or", "later"]])
+            m = expression.match(" " + " ".join(text))
+            end = automaton.match([w.encode() for w in text], 0)
+            assert (end >= 0) == bool(m), (label, text)
+            accepted += bool(m)
+    assert accepted > 2 * len(ALL_TEMPLATES)
+
+
+def test_whole_texts_notices_and_phrases_score_apart(make):
+    mit, bsd = licenses._MIT, licenses._BSD
+    plain = lambda t: re.sub(r"\{\{\d+\}\}", "the", re.sub(r"\[\[[^\]]*\]\]", "", t))
+    advertising = "3 all advertising materials mentioning features or use of this software must display the following acknowledgement"
+    cases = [
+        (plain(mit), "mit", 1.0), (plain(mit).replace("without limitation", "with limitation"), "", 0.0),
+        (plain(mit)[:300], "", 0.0), (plain(mit) + " Except as contained in this notice, the name of the X Consortium shall not "
+         "be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written "
+         "authorization from the X Consortium.", "x11", 1.0),
+        (plain(f"{bsd[0]} {bsd[2]}"), "bsd-2", 1.0), (plain(" ".join(bsd)), "bsd-3", 1.0),
+        (plain(f"{bsd[0]} {advertising} {bsd[2]}"), "", 0.0), (plain(bsd[0]), "", 0.0),
+        ("Released under the MIT License.", "mit", 0.8), ("cc-by-nc", "cc-by-nc", 0.5),
+        ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 "
+         "of the License", "lgpl-2-1", 0.8), ("under the terms of the GNU General Public License, version 2 or later", "gpl-2", 0.8),
+        ("Licensed under the GNU Affero General Public License version 3", "agpl-3", 0.8),
+        ("subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2", 0.8), ("Licensed under CC BY 4.0", "cc-by", 0.8),
+        ("Licensed under CC BY-SA 4.0", "cc-by-sa", 0.8), ("Licensed under CC BY-ND 4.0", "", 0.0),
+        ("Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa", 0.8),
+        ("licensed under a Creative Commons Attribution 4.0 International License", "cc-by", 0.8),
+        ("licensed under the GNU General Public License version 3.1", "", 0.0)]
+    got = licenses.license_scan(make([(i, t) for i, (t, *_) in enumerate(cases)], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.labels, r.score) for r in got} == {i: tuple(c[1:]) for i, c in enumerate(cases)}
+
+
 def test_license_scan_of_odd_texts(spark, make):
     rows = list(enumerate(ODD)) + [
         (50, "Released under the MIT License. Cc-By-Nc; CC BY NC"), (51, "under the MITT license apache license version 20"),
