@@ -1,10 +1,12 @@
 """Personal data: exact base formats, and contextual extraction bootstrapped from them.
 
 Matches of the base formats are seeds. The words around a seed make lexical patterns;
-the same patterns around other identifier-like tokens (with ``@`` or three digits in a
-row) propose those tokens. Spark scores the graph of patterns and instances in
-turns: a pattern by the mean score of the different instances it extracts, shrunk by
-``PRIOR`` instances of score zero, an instance by the noisy-or of its patterns. Instances
+what fills the slot of such a pattern elsewhere is an instance: a run of tokens with a digit,
+an ``@`` or a spelt-out sign like ``(at)``, up to the next plain word, comma or line end, of any
+length. Spark scores the graph of patterns and instances in turns: a pattern by the mean score of the
+different instances it extracts, shrunk by ``PRIOR`` instances of score zero, an instance by
+the noisy-or of its patterns, times the share of its different contexts that hold such
+a pattern (a number that stands everywhere is not an identifier). Instances
 that end at ``accept`` or more are personal data of that kind wherever such a pattern
 stands beside them.
 """
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -32,11 +35,14 @@ _PART = re.compile(r"[0-9]+").finditer
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++").finditer
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").finditer
 _DIGIT = re.compile("[0-9]").search
-# What an identifier-like token holds, the token around it, and words beside it.
-_MARK = re.compile(r"@|[0-9]{3,}+").finditer
-_LONGEST = 64
-_WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[=:]").findall
-_NEAR = 80
+# What an instance holds, a sign that joins the tokens beside it, and words of contexts.
+_MARK = re.compile(r"[0-9@]|[(\[{<](?:at|dot)[)\]}>]", re.IGNORECASE).search
+_SIGN = re.compile(r"[(\[{<](?:at|dot)[)\]}>]", re.IGNORECASE).fullmatch
+_BLANK = re.compile(r"\s").search
+_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[=:]")
+_BEFORE, _AFTER, _ENDS = "\"'([{<", "\"')]}>.,;:!?", ",;:!?"
+#: Longer instances are told apart by their digest.
+_LONG = 64
 #: Parts that the copies of one text are dealt to where spans are too many for a broadcast.
 SALTS = 16
 
@@ -95,48 +101,82 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return found
 
 
-def _patterns(text: str, start: int, end: int) -> list[str]:
-    """Contexts of a span: the two words before it, and the words on either side."""
-    before = _WORDS(text[max(0, start - _NEAR):start].lower())[-2:]
-    after = _WORDS(text[end:end + _NEAR].lower())[:1]
-    made = []
-    if len(before) == 2:
-        made.append("2 " + " ".join(before))
-    if before and after:
-        made.append(f"1 {before[-1]} _ {after[0]}")
+def _contexts(text: str, spans: list[tuple[int, int]]) -> list[list[str]]:
+    """Patterns of spans in order of their starts: the two words before, and the words on either side.
+
+    Words are read once, whatever their distance.
+    """
+    made, before = [], deque(maxlen=2)
+    words = _WORD.finditer(text)
+    word, known, after = next(words, None), -1, None
+    for start, end in spans:
+        while word and word.end() <= start:
+            before.append(word[0].lower())
+            word = next(words, None)
+        if not 0 <= known <= end or (after and after.start() < end):
+            known, after = end, _WORD.search(text, end)
+        found = []
+        if len(before) == 2:
+            found.append("2 " + " ".join(before))
+        if before and after:
+            found.append(f"1 {before[-1]} _ {after[0].lower()}")
+        made.append(found)
     return made
 
 
 def _instance(token: str) -> str:
-    return re.sub(r"[\s().-]", "", token.lower())
+    token = re.sub(r"[\s().-]", "", token.lower())
+    return token if len(token) <= _LONG else hashlib.sha256(token.encode()).hexdigest()
 
 
-def mentions(text: str | None) -> tuple[list[tuple], list[tuple]]:
-    """Seeds and other identifier-like tokens: ``(start, end, kind or -1, instance, patterns)``."""
-    text = text or ""
-    base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
-    seeds = [(a, b, kind, _instance(text[a:b]), _patterns(text, a, b)) for kind, a, b in base]
-    others, done, k = [], 0, 0
-    for mark in _MARK(text):
-        if mark.start() < done:
-            continue
+def _slots(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of tokens with a mark that touch no base span."""
+    runs: list[list[int]] = []
+    done, k = 0, 0
+    while mark := _MARK(text, done):
         start, end = mark.span()
-        while start > done and not text[start - 1].isspace() and mark.start() - start <= _LONGEST:
+        while start > done and not text[start - 1].isspace():
             start -= 1
-        while end < len(text) and not text[end].isspace() and end - mark.start() <= _LONGEST:
-            end += 1
+        blank = _BLANK(text, end)
+        end = blank.start() if blank else len(text)
+        if _SIGN(text, start, end):
+            left = len(text[done:start].rstrip(" \t")) + done
+            while left > done and not text[left - 1].isspace():
+                left -= 1
+            right = end
+            while right < len(text) and text[right] in " \t":
+                right += 1
+            blank = _BLANK(text, right)
+            start, end = left, blank.start() if blank else len(text)
         done = end
-        raw = text[start:end]
-        start += len(raw) - len(raw.lstrip("\"'([{<"))
-        end -= len(raw) - len(raw.rstrip("\"')]}>.,;:!?"))
         while k < len(taken) and taken[k][1] <= start:
             k += 1
-        if start < end <= start + _LONGEST and not (k < len(taken) and taken[k][0] < end):
-            found = _patterns(text, start, end)
-            if found:
-                others.append((start, end, -1, _instance(text[start:end]), found))
-    return base, seeds + others
+        if k < len(taken) and taken[k][0] < end:
+            continue
+        last = runs[-1] if runs else None
+        if last and text[last[1] - 1] not in _ENDS and not text[last[1]:start].strip(" \t"):
+            last[1] = end
+        else:
+            runs.append([start, end])
+    trimmed = []
+    for start, end in runs:
+        raw = text[start:end]
+        start, end = end - len(raw.lstrip(_BEFORE)), start + len(raw.rstrip(_AFTER))
+        if start < end:
+            trimmed.append((start, end))
+    return trimmed
+
+
+def mentions(text: str | None) -> tuple[list[tuple], list[tuple]]:
+    """Base spans, and seeds and slots with a pattern: ``(start, end, kind or -1, instance, patterns)``."""
+    text = text or ""
+    base = base_spans(text)
+    spans = sorted((a, b, kind) for kind, a, b in base)
+    spans = sorted(spans + [(a, b, -1) for a, b in _slots(text, [s[:2] for s in spans])])
+    if not spans:
+        return base, []
+    found = _contexts(text, [s[:2] for s in spans])
+    return base, [(a, b, kind, _instance(text[a:b]), f) for (a, b, kind), f in zip(spans, found) if f]
 
 
 _MENTION = "array<struct<start: long, end: long, kind: int, instance: string, patterns: array<string>>>"
@@ -162,20 +202,29 @@ def learn(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, accept
 
     A pattern takes part if at least ``support`` different seeds of one kind stand in it.
     """
-    edges = found.select(F.explode("mentions").alias("m")).select(
-        F.explode("m.patterns").alias("pattern"), "m.instance", "m.kind").distinct()
-    seeded = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n"))
+    contexts = found.select(F.explode("mentions").alias("m")).select(
+        "m.instance", "m.kind", F.xxhash64("m.patterns").alias("context"), "m.patterns").distinct()
+    edges = contexts.select("instance", "kind", "context", F.explode("patterns").alias("pattern"))
+    seeded = edges.where("kind >= 0").select("pattern", "kind", "instance").distinct().groupBy("pattern", "kind").agg(
+        F.count(F.lit(1)).alias("n"))
     able = seeded.where(F.col("n") >= support).select("pattern", F.col("kind").alias("of"))
-    edges = cut_lineage(edges.join(able, "pattern").select(
-        "pattern", "of", "instance",
+    places = cut_lineage(edges.join(able, "pattern").select(
+        "pattern", "of", "instance", F.when(F.col("kind") >= 0, None).otherwise(F.col("context")).alias("context"),
         F.when(F.col("kind") < 0, None).otherwise((F.col("kind") == F.col("of")).cast("double")).alias("seed")))
+    edges = places.select("pattern", "of", "instance", "seed").distinct()
+    # How many of an instance's different contexts hold a pattern of the kind.
+    held = places.where("context is not null").select("instance", "of", "context").distinct().groupBy(
+        "instance", "of").agg(F.count(F.lit(1)).alias("held"))
+    everywhere = contexts.where("kind < 0").groupBy("instance").agg(F.count_distinct("context").alias("everywhere"))
+    share = held.join(everywhere, "instance").select("instance", "of", (F.col("held") / F.col("everywhere")).alias("share"))
+    edges = cut_lineage(edges.join(share, ["instance", "of"], "left"))
     state = edges.withColumn("score", F.coalesce("seed", F.lit(0.0)))
     for _ in range(rounds):
         trust = state.groupBy("pattern", "of").agg(
             (F.sum("score") / (F.count(F.lit(1)) + F.lit(PRIOR))).alias("trust"))
         judged = edges.join(trust, ["pattern", "of"])
-        scores = judged.groupBy("instance", "of").agg(
-            F.coalesce(F.max("seed"), F.lit(1.0) - F.exp(F.sum(F.log1p(-F.col("trust"))))).alias("score"))
+        scores = judged.groupBy("instance", "of").agg(F.coalesce(F.max("seed"), F.max("share") * (
+            F.lit(1.0) - F.exp(F.sum(F.log1p(-F.col("trust")))))).alias("score"))
         state = judged.join(scores, ["instance", "of"])
     return state.where(F.col("seed").isNull() & (F.col("score") >= accept)).select(
         "pattern", "instance", F.col("of").alias("kind")).distinct()

@@ -152,6 +152,74 @@ def test_copies_of_one_text_meet_its_spans_with_and_without_broadcast(spark, mak
     assert sum("My staff number is [EMAIL] now" in r for r in seen[0][1]) == 48
 
 
+SLOTS = {
+    "dial 06 12 34 56 78 now": "06 12 34 56 78", "badge AB-12-CD, please": "AB-12-CD", "mail jane (at) mail [dot] com today": "jane (at) mail [dot] com",
+    "go to " + "q" * 90 + "=7 now": "q" * 90 + "=7", "line 4 5\n6 end": "4 5", "(7) ": "7", "none here, no": None, "x@y": "x@y", "(at)": "at",
+}
+
+
+@pytest.mark.parametrize("text", SLOTS)
+def test_slots_of_any_length_and_spelling(text):
+    slots = pii._slots(text, [])
+    assert (text[slice(*slots[0])] if slots else None) == SLOTS[text]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*PII_PARTS, "word", "Wört", "(at)", "\n", ",", "=", "it's"]), max_size=14).map("".join))
+def test_contexts_equal_a_plain_search(text):
+    """Every mention has the two whole words before it and the next word after it; slots touch no base span."""
+    base, mentions = pii.mentions(text)
+    words = [(m.start(), m.end(), m[0].lower()) for m in pii._WORD.finditer(text)]
+    for start, end, kind, _, patterns in mentions:
+        before, after = [w for _, b, w in words if b <= start][-2:], pii._WORD.search(text, end)
+        assert patterns == ["2 " + " ".join(before)] * (len(before) == 2) + (
+            [f"1 {before[-1]} _ {after[0].lower()}"] if before and after else [])
+        assert kind >= 0 or not [s for s in base if s[1] < end and start < s[2]]
+
+
+def plain_learning(texts, rounds=pii.ROUNDS, support=pii.SUPPORT, accept=pii.ACCEPT):
+    """The graph of patterns and instances with dictionaries."""
+    found = {(i, kind, tuple(p)) for t in texts for _, _, kind, i, p in pii.mentions(t)[1]}
+    seeds = {}
+    for i, kind, patterns in found:
+        for p in patterns:
+            if kind >= 0:
+                seeds.setdefault((p, kind), set()).add(i)
+    able = {key for key, members in seeds.items() if len(members) >= support}
+    edges = {(p, of, i, None if kind < 0 else float(kind == of)) for i, kind, ps in found for p in ps
+             for q, of in able if p == q}
+    scores = {e: e[3] or 0.0 for e in edges}
+    for _ in range(rounds):
+        trust = {key: sum(v for e, v in scores.items() if e[:2] == key) / (sum(e[:2] == key for e in edges) + pii.PRIOR)
+                 for key in able}
+        new = {}
+        for e in edges:
+            same = [x for x in edges if x[1:3] == e[1:3]]
+            given = [x[3] for x in same if x[3] is not None]
+            own = [ps for i, kind, ps in found if i == e[2] and kind < 0]
+            held = [ps for ps in own if any((p, e[1]) in able for p in ps)]
+            new[e] = max(given) if given else len(held) / len(own) * (1 - np.prod([1 - trust[x[:2]] for x in same]))
+        scores = new
+    return {(e[0], e[2], e[1]) for e, v in scores.items() if e[3] is None and v >= accept}
+
+
+def test_learning_equals_plain_dictionaries(make):
+    """Also: slots of any spelling are found where a pattern supports them, a number that stands everywhere is not."""
+    rng = random.Random(4)
+    slots = ["06 12 34 56 78", "AB-12-CD", "jane (at) mail (dot) com", "x" * 80 + "=4", "5"]
+    texts = [f"please call me at +1 555 {rng.randrange(10**6, 10**7)} tomorrow" for _ in range(30)]
+    texts += [f"please call me at {s} tomorrow" for s in slots]
+    texts += [f"she has {'many' * k} apples or {n} pears" for k, n in enumerate([5] * 6)]
+    texts += [f"write {rng.choice(['to', 'us'])} {rng.choice(['u1@a.bc', 'u2@a.bc', 'u3@a.bc', 'u4@a.bc', 'ext 44', '9 9'])} soon" for _ in range(40)]
+    texts += [f"{a} {b} 9 9 {c}" for a in ("in", "on") for b in ("the", "us") for c in ("soon", "then")]
+    texts += [None, "", "7"]
+    docs = make(list(enumerate(texts)), "doc_id long, text string")
+    got = {tuple(r) for r in pii.learn(pii.find(docs)).collect()}
+    assert got == plain_learning(texts)
+    found = {r.doc_id: r.found for r in pii.extract(docs).collect()}
+    assert [found[30 + i] for i in range(5)] == [1, 1, 1, 1, 0]
+
+
 def test_overlapping_spans_are_taken_out_once():
     assert pii.without("call +1 555 1234567 now", [(3, 5, 19), (2, 8, 19)]) == "call [PHONE] now"
 
