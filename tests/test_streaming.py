@@ -72,6 +72,46 @@ def test_collected_runs_lose_no_update(arrivals):
     assert {(r.run, r.item): r.w for r in runs.collect_runs(stream, 100).collect()} == want
 
 
+def test_folders_of_many_batches_are_summed_up(spark, make, tmp_path):
+    """64 micro-batches leave at most a dozen folders; a batch that is repeated counts once."""
+    path, want = str(tmp_path / "sums"), {}
+    runs.open_sums(spark, path)
+    for number in range(64):
+        rows = [(number % 3, "hot", 5), (number, None, 1), (7, "hot", -2)]
+        for run, item, w in rows:
+            want[run, item] = want.get((run, item), 0) + w
+        batch = make(rows, "run long, item string, w long").groupBy("run", "item").agg(F.sum("w").alias("w"))
+        for _ in range(1 + (number in (3, 15, 16, 63))):
+            runs.add_sums(batch, "w", path, number)
+        if number in (2, 20, 63):
+            runs.open_sums(spark, path)
+            got = runs.read_sums(spark, path, batch.schema, "w")
+            assert {(r.run, r.item): r.w for r in got.collect()} == want
+            assert len({f.rsplit("/", 2)[1] for f in got.inputFiles()}) <= {2: 3, 20: 3, 63: 1}[number]
+    assert len([f for f in (tmp_path / "sums").iterdir() if f.name != "manifest"]) <= 12
+
+
+def test_a_batch_that_breaks_off_counts_once(spark, make, tmp_path, monkeypatch):
+    """Broken off between its folder and its manifest, at a batch that takes full levels in, and with numbers left out."""
+    path, schema = str(tmp_path / "sums"), "item long, w decimal(18,2)"
+    runs.open_sums(spark, path)
+    assert runs.read_sums(spark, path, make([], schema).schema, "w").count() == 0
+    numbers = [0, 1, 4, 5, 9, 10]
+    for number in numbers:
+        batch = make([(1, None), (number, None)], "item long, x int").select("item", F.lit(1).cast("decimal(18,2)").alias("w")).groupBy(
+            "item").agg(F.sum("w").alias("w"))
+        known = runs._live(spark, path, number)
+        with monkeypatch.context() as m:
+            m.setattr(runs, "_live", lambda *_: known)
+            m.setattr(runs, "_MANIFEST", "no schema at all")
+            with pytest.raises(Exception):
+                runs.add_sums(batch, "w", path, number)
+        runs.add_sums(batch, "w", path, number)
+        assert runs.read_sums(spark, path, batch.schema, "w").agg(F.sum("w")).first()[0] == 2 * (numbers.index(number) + 1)
+    got = {r.item: int(r.w) for r in runs.read_sums(spark, path, batch.schema, "w").collect()}
+    assert got == {0: 1, 1: 7, 4: 1, 5: 1, 9: 1, 10: 1}
+
+
 @pytest.mark.parametrize("budget", [Budget.im_sum(1 / 20, 0.5), Budget.space_saving(1 / 20)])
 def test_streamed_summary_keeps_its_bounds(make, arrivals, budget):
     stream, rows = arrivals
