@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillcount.functions.hashing import coefficients
+from rillcount.functions.hashing import bucket, coefficients
 from rillcount.operators.counters import FAN, Budget
 from rillcount.operators.exact import stream_total
 from rillcount.operators.linear import SketchShape, place
 from rillcount.plans.evaluate import scores
-from rillcount.session import cut_lineage
+from rillcount.session import cut_lineage, fits_broadcast
 
 # The settings of the reference's sweeps.
 EPSILON_EXPONENTS = tuple(range(10, 21))
@@ -20,6 +20,8 @@ GAMMA_EXPONENTS = tuple(range(-4, 5))
 GAMMA_PHI_EXPONENT = 15
 SKEWS = tuple(round(0.1 * i, 1) for i in range(1, 21))
 SKEW_GAMMAS = (4.0, 1.0)
+# Bits of a cell's number that hold its bucket.
+BUCKET_BITS = 32
 
 
 def sweep_counters(totals: DataFrame, settings: Mapping[tuple[str, float], tuple[float, Budget]],
@@ -174,6 +176,81 @@ def gamma_settings(exponents: Sequence[int] = GAMMA_EXPONENTS,
     return made
 
 
+def _cell_key(i: int, row: int, depth: int) -> int:
+    """What is added to a bucket, so that one number names a cell among the sketches of all settings."""
+    return (i * depth + row) << BUCKET_BITS
+
+
+def own_cells(totals: DataFrame, shapes: Sequence[SketchShape]) -> DataFrame:
+    """``(cell, c)``: the cells of a sketch for each of ``shapes``, all of one depth, by one aggregation."""
+    rows = ", ".join(
+        f"named_struct('k', {_cell_key(i, row, shape.depth)}L, 'width', {shape.width}L, 'a', {a}L, 'b', {b}L)"
+        for i, shape in enumerate(shapes) for row, (a, b) in enumerate(shape.coeffs))
+    opened = totals.select("item", "total", F.expr(f"explode(array({rows}))").alias("h"))
+    cell = F.col("h.k") + bucket(F.col("h.a"), F.col("h.b"), F.col("item"), F.col("h.width"))
+    return opened.select(cell.alias("cell"), "total").groupBy("cell").agg(F.sum("total").alias("c"))
+
+
+def own_claims(totals: DataFrame, shapes: Sequence[SketchShape], heavy: DataFrame) -> DataFrame:
+    """``(item, total, i, cells)``: the settings in which all cells of an item are among the ``heavy`` ones.
+
+    The heavy cells are marked in words of 64 bits, whose number is bounded by the widths;
+    they are broadcast if that bound fits, so that items are tested without a shuffle.
+    """
+    depth = shapes[0].depth
+    marks = heavy.groupBy(F.shiftright("cell", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 AS int))")).alias("_bits"))
+    if fits_broadcast(totals.sparkSession, sum(-(-shape.width // 64) * depth for shape in shapes), 40):
+        marks = F.broadcast(marks)
+    settings = ", ".join(
+        f"named_struct('i', {i}, 'width', {shape.width}L, " + ", ".join(
+            f"'k{row}', {_cell_key(i, row, depth)}L, 'a{row}', {a}L, 'b{row}', {b}L"
+            for row, (a, b) in enumerate(shape.coeffs)) + ")"
+        for i, shape in enumerate(shapes))
+    cells = [f"_c{row}" for row in range(depth)]
+    met = totals.select("item", "total", F.expr(f"explode(array({settings}))").alias("h")).select(
+        "item", "total", "h.i", *[
+            (F.col(f"h.k{row}") + bucket(F.col(f"h.a{row}"), F.col(f"h.b{row}"), F.col("item"), F.col("h.width")))
+            .alias(name) for row, name in enumerate(cells)])
+    for name in cells:
+        side = marks.select(F.col("_word").alias(f"_w{name}"), F.col("_bits").alias(f"_b{name}"))
+        met = met.join(side, F.shiftright(name, 6) == F.col(f"_w{name}")).where(
+            F.expr(f"shiftright(_b{name}, cast({name} & 63 AS int)) & 1L = 1L"))
+    return met.select("item", "total", "i", F.array(*cells).alias("cells"))
+
+
+def sweep_count_min(totals: DataFrame, settings: Mapping[float, float], depth: int, seed: int) -> DataFrame:
+    """``(method, param, hh, claimed, recall, precision, re_true, re_false)`` of Count-Min.
+
+    ``settings`` maps a parameter to phi; each setting has a sketch of its own, of width
+    ``2 / phi`` and with hashes of its own. An estimate, the least of an item's cells, reaches the
+    threshold just when all of them do, so cells are joined only with the items that are claimed.
+    """
+    phis = F.array(*[F.lit(float(phi)) for phi in settings.values()])
+    shapes = [SketchShape(int(2.0 / phi), depth, seed + i) for i, phi in enumerate(settings.values())]
+    n = stream_total(totals).scalar()
+
+    def thr(i: Column) -> Column:
+        return (F.floor(F.get(phis, i) * n) + 1).cast("long")
+
+    setting = F.expr(f"cast(shiftright(cell, {BUCKET_BITS}) div {depth} AS int)")
+    heavy = own_cells(totals, shapes).where(F.col("c") >= thr(setting))
+    claims = own_claims(totals, shapes, heavy).select("item", "total", "i", F.explode("cells").alias("cell"))
+    estimated = claims.join(heavy, "cell").groupBy("item", "total", "i").agg(F.min("c").alias("est"))
+    hit = F.col("total") >= thr(F.col("i"))
+    error = F.abs(F.col("est") - F.col("total")) / F.nullif(F.col("total"), F.lit(0))
+    counted = estimated.groupBy("i").agg(
+        F.count(F.lit(1)).alias("claimed"), F.count(F.when(hit, 1)).alias("correct"),
+        F.avg(F.when(hit, error)).alias("_rt"), F.avg(F.when(~hit, error)).alias("_rf"))
+    every = totals.agg(F.array(*[
+        F.struct(F.lit(float(param)).alias("param"), F.count(F.when(F.col("total") >= thr(F.lit(i)), 1)).alias("hh"))
+        for i, param in enumerate(settings)]).alias("s")).select(F.posexplode("s").alias("i", "s")).select(
+        "i", F.lit("count_min").alias("method"), "s.param", "s.hh")
+    zero = F.lit(0).cast("long")
+    judged = every.join(counted, "i", "left").withColumns({c: F.coalesce(c, zero) for c in ("claimed", "correct")})
+    return scores(judged, ["method", "param"]).drop("correct")
+
+
 def folded_estimates(totals: DataFrame, widths: Sequence[int], depth: int, seed: int,
                      signed: bool = False) -> DataFrame:
     """``(item, total, ests)``: estimates of every item by sketches of all ``widths``, narrowest first.

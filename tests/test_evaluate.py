@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,42 @@ def test_a_sketch_folds_to_any_width_that_divides_its_own(make):
             map(tuple, narrow.cells.select("row", "bucket", "c").collect()))
     with pytest.raises(ValueError):
         wide.fold(36)
+
+
+@pytest.mark.parametrize("limit", ["10485760", "-1"])
+def test_swept_count_min_has_sketches_and_hashes_of_its_own(spark, make, limit):
+    rng = random.Random(5)
+    rows = [(i, rng.choice([1, 2, 3, 60, 300])) for i in rng.sample(range(10**6), 400)]
+    totals = make(rows, "item long, total long")
+    settings = {phi: phi for phi in (1 / 8, 1 / 64, 1 / 256, 1 / 1024)}
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        got = {r.param: r for r in sweep.sweep_count_min(totals, settings, 3, 7).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert len(got) == len(settings)
+    for i, phi in enumerate(settings):
+        thr = math.floor(phi * sum(w for _, w in rows)) + 1
+        point = CountMin.from_totals(totals, SketchShape(int(2 / phi), 3, 7 + i)).point(totals).collect()
+        claims = [(r.est, r.total) for r in point if r.est >= thr]
+        right, wrong = [[(e - t) / t for e, t in claims if (t >= thr) == side] for side in (True, False)]
+        assert (got[phi].hh, got[phi].claimed) == (sum(w >= thr for _, w in rows), len(claims))
+        assert got[phi].precision == pytest.approx(100 * len(right) / len(claims) if claims else 100)
+        assert got[phi].re_true == pytest.approx(sum(right) / len(right) if right else 0)
+        assert got[phi].re_false == pytest.approx(sum(wrong) / len(wrong) if wrong else 0)
+
+
+def test_registered_sweep_of_count_min_draws_hashes_for_every_setting(spark):
+    from checks import evaluation
+
+    found = re.findall(r"\(CAST\('\S+' AS DOUBLE\), \d+, \d+, (\d+), (\d+)[,)]",
+                       evaluation.CHECKS["p1_epsilon_sweep_count_min"][1])
+    assert len(found) == len(set(found)) == len(evaluation.SWEEP_PHIS) * evaluation.SWEEP_DEPTH
+    totals = evaluation.kept_words(spark, "/root/testdata/sf0.001")
+    got = {r.param: r for r in evaluation.epsilon_sweep_count_min(spark, "/root/testdata/sf0.001").collect()}
+    n = totals.agg(F.sum("total")).first()[0]
+    for i, phi in enumerate(evaluation.SWEEP_PHIS):
+        shape = SketchShape(int(2 / phi), evaluation.SWEEP_DEPTH, evaluation.SWEEP_SEED + i)
+        thr = math.floor(phi * n) + 1
+        assert got[phi].claimed == CountMin.from_totals(totals, shape).point(totals).where(f"est >= {thr}").count()
