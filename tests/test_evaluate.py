@@ -55,6 +55,56 @@ def test_every_run_is_judged(make):
     assert math.isclose(got[2][2], (0 + 1 / 3) / 2) and got[2][3] == 8.0
 
 
+def hash_joins(df):
+    """What the hash joins on buckets of a collected frame were built on."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in plan
+    return set(re.findall(r"HashJoin \[run#\d+, row#\d+, bucket.*, (Build\w+)", plan))
+
+
+@pytest.fixture(scope="module")
+def few_users(spark, tmp_path_factory):
+    """Events of 300 users: fewer bytes than the cells before, and more after they are opened for runs and sketch rows."""
+    path = tmp_path_factory.mktemp("events")
+    spark.range(6000).selectExpr("id as event_id", "if(id % 3 = 0, id % 5, id * 7919 % 300) as user_id").repartition(
+        4).write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+#: Room for the cells of all runs, room for the items before they are opened, room for neither.
+LIMITS = ["10485760", "60000", "-1"]
+
+
+@pytest.fixture(params=LIMITS)
+def limit(spark, request):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_claims_of_runs_never_broadcast_the_items(spark, few_users, limit):
+    from checks import evaluation
+    from checks.common import PHI_USERS
+
+    shape, runs = evaluation.RUN_SHAPE, evaluation.RUNS
+    claims = evaluation.run_claims(spark, few_users)
+    got = {(r.run, r.item): r.est for r in claims.collect()}
+    assert hash_joins(claims) <= {"BuildRight"}
+    cells, seen, expected = {}, set(), {}
+    events = [(i, i % 5 if i % 3 == 0 else i * 7919 % 300) for i in range(6000)]
+    for i, user in events:
+        hashes = [a * user + b for a, b in shape.coeffs]
+        places = [(r, (((h >> 31) + h) & 2147483647) % shape.width) for r, h in enumerate(hashes)]
+        seen.add((user, tuple(places)))
+        for place_ in places:
+            cells[place_] = cells.get(place_, 0) + 1
+        if (i + 1) % (6000 // runs) == 0:
+            ests = {(i * runs // 6000, u): min(cells[p] for p in ps) for u, ps in seen}
+            expected |= {k: v for k, v in ests.items() if v >= math.floor(PHI_USERS * (i + 1)) + 1}
+    assert got == expected and len(got) > 100
+
+
 def test_percentiles_are_elements(make):
     rows = [("a", float(i), 100.0 - i, 0.0, 0.0) for i in range(20)] + [("b", 5.0, 5.0, 1.0, 1.0)]
     df = make(rows, "method string, recall double, precision double, re_true double, re_false double")
