@@ -56,8 +56,8 @@ def test_every_run_is_judged(make):
 
 
 def hash_joins(df):
-    """What the hash joins on buckets of a collected frame were built on."""
-    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    """What the hash joins on buckets of a collected frame were built on, in its first plan and its last."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
     assert "isFinalPlan=true" in plan
     return set(re.findall(r"HashJoin \[run#\d+, row#\d+, bucket.*, (Build\w+)", plan))
 
@@ -105,6 +105,20 @@ def test_claims_of_runs_never_broadcast_the_items(spark, few_users, limit):
     assert got == expected and len(got) > 100
 
 
+def test_summary_of_runs_never_broadcasts_the_items(spark, few_users, limit):
+    from checks import evaluation
+
+    summary = evaluation.run_summary(spark, few_users)
+    got = {r.measure: (r["mean"], r.p5, r.p95) for r in summary.collect()}
+    assert hash_joins(summary) <= {"BuildRight"}
+    runs = evaluation.per_run(spark, few_users).collect()
+    assert len(runs) == evaluation.RUNS and set(got) == set(MEASURES)
+    for m, (mean, p5, p95) in got.items():
+        values = sorted(r[m] for r in runs)
+        assert (p5, p95) == (values[1], values[19])
+        assert mean == pytest.approx(sum(values) / len(values), abs=1e-8)
+
+
 def test_percentiles_are_elements(make):
     rows = [("a", float(i), 100.0 - i, 0.0, 0.0) for i in range(20)] + [("b", 5.0, 5.0, 1.0, 1.0)]
     df = make(rows, "method string, recall double, precision double, re_true double, re_false double")
