@@ -119,6 +119,20 @@ def test_summary_of_runs_never_broadcasts_the_items(spark, few_users, limit):
         assert mean == pytest.approx(sum(values) / len(values), abs=1e-8)
 
 
+def test_report_of_runs_never_broadcasts_the_items(spark, few_users, limit, monkeypatch):
+    from checks import evaluation
+
+    made, write = [], evaluation.write_report
+    monkeypatch.setattr(evaluation, "write_report", lambda report, path: (made.append(report), write(report, path)))
+    got = {r.method: r for r in evaluation.full_report(spark, few_users).collect()}
+    expected = {r.method: r for r in made[0].collect()}
+    assert hash_joins(made[0]) <= {"BuildRight"}
+    assert set(got) == set(expected) == set(evaluation.REPORTED)
+    for method, row in got.items():
+        assert tuple(row[1:]) == pytest.approx(tuple(expected[method][1:]), abs=1e-8)
+    assert got["not_run"].recall_p5 == -1.0 and got["count_min"].recall_mean == 100.0
+
+
 def test_percentiles_are_elements(make):
     rows = [("a", float(i), 100.0 - i, 0.0, 0.0) for i in range(20)] + [("b", 5.0, 5.0, 1.0, 1.0)]
     df = make(rows, "method string, recall double, precision double, re_true double, re_false double")
