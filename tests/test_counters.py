@@ -242,6 +242,29 @@ def test_counters_of_blocks_equal_the_model(make, n_blocks, fan):
     assert deltas == {0} if n_blocks == 1 else len(deltas) > 1
 
 
+@pytest.mark.parametrize("dealt", [True, False])
+def test_several_budgets_have_one_pass_over_the_updates(make, monkeypatch, dealt):
+    rng = random.Random(8)
+    blocks = [[(rng.choice([1, 1, 2, rng.randint(3, 60)]), rng.randint(0, 9)) for _ in range(80)] for _ in range(9)]
+    blocks[4] = [(i, 2) for i in range(100, 180)]  # nothing is left of a block whose items all weigh the same
+    rows = [(i, w, b) for b, block in enumerate(blocks) for i, w in block] + [(None, 5, 1), (3, None, 2)]
+    updates = make(rows, "item long, weight long, block long")
+    budgets = [Budget.im_sum(1 / 9, 1.0), Budget.dim_sum(1 / 9, 1.0), Budget.space_saving(1 / 9), Budget(200, 300)]
+    kept, cut = [], counters.cut_lineage
+    monkeypatch.setattr(counters, "cut_lineage", lambda df: (kept.append(df), cut(df))[1])
+    found = counters.summarise_blocks(updates.repartition("block") if dealt else updates, budgets, fan=3)
+    plans = [df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1] for df in kept]
+    source = next(line for line in plans[0].splitlines() if "Scan ExistingRDD" in line)
+    assert [plan.count(source.strip(" +-:")) for plan in plans] == [1] + [0] * (len(plans) - 1)
+    assert plans[0].count("Exchange hashpartitioning(") == (1 if dealt else 2)
+    assert len(found) == len(budgets)
+    for summary, budget in zip(found, budgets):
+        items, q = model(blocks, budget, 3)
+        assert {(r.shard, r.item, r.residual, r.q) for r in summary.state().collect()} == {
+            (0, i, residual, q) for i, (residual, _) in items.items()}
+        assert tuple(summary.errors.first()) == (0, q, sum(w for block in blocks for _, w in block))
+
+
 def test_claims_are_sure_or_may_be_false(make):
     rng = random.Random(3)
     rows = [(rng.choice([1, 2, 3, rng.randint(4, 90)]), 1, i // 50) for i in range(1000)]

@@ -144,6 +144,30 @@ def test_percentiles_are_elements(make):
     assert table["none"].recall_mean == 0.0 and table["none"].space == 20
 
 
+def test_compared_counters_read_the_documents_once(spark, tmp_path, monkeypatch):
+    from checks import evaluation
+    from checks.counters import word_uses
+    from rillcount.operators import counters
+
+    rng = random.Random(6)
+    texts = [(i, " ".join(rng.choice("abcdefgh") * rng.randint(1, 300) for _ in range(60)), "x") for i in range(200)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    plans, cut = [], counters.cut_lineage
+    monkeypatch.setattr(counters, "cut_lineage", lambda df: (plans.append(df), cut(df))[1])
+    got = {r.method: r for r in evaluation.comparison(spark, str(tmp_path)).collect()}
+    scans = [df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("FileScan parquet")
+             for df in plans]
+    assert sum(scans) == 1
+    made = counters.summarise_blocks(word_uses(spark, str(tmp_path)), list(evaluation.COMPARED.values()))
+    alone = [counters.summarise_blocks(word_uses(spark, str(tmp_path)), b) for b in evaluation.COMPARED.values()]
+    words = [w for _, text, _ in texts for w in text.split()]
+    thr = math.floor(evaluation.PHI_WORDS * len(words)) + 1
+    for method, one, other in zip(evaluation.COMPARED, made, alone):
+        assert sorted(map(tuple, one.state().collect())) == sorted(map(tuple, other.state().collect()))
+        assert got[method].claimed == other.heavy_hitters(F.lit(thr)).count()
+    assert {r.hh for r in got.values()} == {sum(words.count(w) >= thr for w in set(words))}
+
+
 def test_sweep_equals_one_summary_per_setting(make):
     from rillcount.operators import counters
 
